@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -238,7 +239,7 @@ _HITS_ARROW = [pa.field("n_words", pa.int64()), pa.field("spans", pa.list_(pa.st
 def _shards(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about ``most`` bytes of text each."""
     at, held = 0, 0
-    for i, size in enumerate(pa.compute.binary_length(texts).fill_null(0).to_pylist()):
+    for i, size in enumerate(pc.binary_length(texts).fill_null(0).to_pylist()):
         if i > at and held + size > most:
             yield at, i
             at, held = i, 0
@@ -249,8 +250,6 @@ def _shards(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
 
 def search_column(items: Items, shard_bytes: int):
     """Column function text -> (n_words, spans, items)."""
-    import pyarrow.compute  # noqa: F401
-
     @F.arrow_udf(HITS)
     def search(texts: pa.Array) -> pa.Array:
         rows: list[list] = [[], [], []]
