@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import bpe, decontaminate, pii, quality_rules, sharding, simhash, token_counts
+from tickloom.llm import bpe, decontaminate, pii, quality_model, quality_rules, sharding, simhash, token_counts
 from tickloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_sampled_splitters": lambda spark, d: sharding.shard_documents(docs(spark, d)),
         "op2_deobfuscation": lambda spark, d: pii.digest_documents(docs(spark, d)),
+        "op3_boosted_trees": lambda spark, d: quality_model.digest_documents(docs(spark, d), table(spark, d, "labels")),
         "op4_line_cleaning": lambda spark, d: quality_rules.digest_documents(docs(spark, d)),
         "op7_token_counts": lambda spark, d: token_counts.count_documents(docs(spark, d), tokenizer_file("piece_bpe_32k.model")),
         "op8_suffix_arrays": lambda spark, d: decontaminate.digest_documents(docs(spark, d), table(spark, d, "benchmark")),
