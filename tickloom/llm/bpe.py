@@ -270,6 +270,19 @@ def decode_column(path: str):
     return decode
 
 
+def round_trip_column(path: str):
+    """Column function text -> (ids, decoded), the decoded text being made from the ids in the same pass."""
+
+    @F.pandas_udf("ids array<int>, decoded string")
+    def round_trip(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        bpe = coder(path)
+        for texts in parts:
+            coded = list(bpe.encode(["" if t is None else t for t in texts]))
+            yield pd.DataFrame({"ids": pd.Series([np.frombuffer(x, "<i4") for x in coded], dtype=object), "decoded": pd.Series([bpe.decode(x) for x in coded], dtype=object)})
+
+    return round_trip
+
+
 def digest_column(path: str):
     """Column function text -> (n_tokens, ids_sha256, decoded_sha256), of an encoding followed by a decoding in the same pass."""
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import bpe, decontaminate, pii, quality_model, quality_rules, sharding, simhash, token_counts
+from tickloom.llm import bpe, decontaminate, html_text, pii, quality_model, quality_rules, revisits, sharding, simhash, token_counts
 from tickloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,8 @@ def queries() -> dict[str, Query]:
         "op2_deobfuscation": lambda spark, d: pii.digest_documents(docs(spark, d)),
         "op3_boosted_trees": lambda spark, d: quality_model.digest_documents(docs(spark, d), table(spark, d, "labels")),
         "op4_line_cleaning": lambda spark, d: quality_rules.digest_documents(docs(spark, d)),
+        "op5_html_layout": lambda spark, d: html_text.digest_pages(table(spark, d, "pages")),
+        "op6_revisits": lambda spark, d: revisits.digest_revisits(table(spark, d, "pages")),
         "op7_token_counts": lambda spark, d: token_counts.count_documents(docs(spark, d), tokenizer_file("piece_bpe_32k.model")),
         "op8_suffix_arrays": lambda spark, d: decontaminate.digest_documents(docs(spark, d), table(spark, d, "benchmark")),
         "op9_simhash": lambda spark, d: simhash.digest_documents(docs(spark, d)),
@@ -33,4 +35,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_revisits": revisits.SQL}
