@@ -53,7 +53,7 @@ def resolve_revisits(captures: DataFrame, slice_seconds: int = SLICE_SECONDS) ->
     named = F.coalesce("headers", F.create_map().cast("map<string,string>"))
     rows = captures.where(F.col("kind").isin("response", "revisit")).select("record_id", canonical_url(F.col("url")).alias("canonical_url"), "ts", "kind", _lower_keys(named).alias("headers"))
     rows = rows.withColumn("slice", F.floor(F.unix_timestamp("ts") / slice_seconds)).withColumn("is_response", (F.col("kind") == "response") & F.col("ts").isNotNull() & F.col("canonical_url").isNotNull())
-    response = F.when(F.col("is_response"), F.struct("ts", "record_id", validator(F.col("headers")["etag"]).alias("etag"), F.col("headers")["last-modified"].alias("modified"), "headers"))
+    response = F.when(F.col("is_response"), F.struct("ts", "record_id", validator(F.col("headers")["etag"]).alias("etag"), F.nullif(F.col("headers")["last-modified"], F.lit("")).alias("modified"), "headers"))
     inside = Window.partitionBy("canonical_url", "slice").orderBy("ts", F.col("is_response").cast("int"), "record_id").rowsBetween(Window.unboundedPreceding, -1)
     near = rows.withColumn("found", F.last(response, ignorenulls=True).over(inside)).where("kind = 'revisit'")
     of_slice = rows.where("is_response").groupBy("canonical_url", "slice").agg(F.max_by(response, F.struct("ts", "record_id")).alias("last"))
