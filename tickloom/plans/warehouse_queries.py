@@ -84,7 +84,7 @@ _TICKS = "SELECT event_type AS ticker, time_bucket(INTERVAL '15 minutes', ts) AS
 @query("y_live_bars", f"SELECT ticker, bar AS ts, {r('arg_min(price, row(ts, event_id, price))')} AS open, {r('max(price)')} AS high, {r('min(price)')} AS low, {r('arg_max(price, row(ts, event_id, price))')} AS close, count(*) AS volume FROM ({_TICKS}) GROUP BY ALL")
 def _(spark, d):
     """Bars built by a stream over the events, merged batch by batch into a table."""
-    events = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet")
+    events = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
     ticks = events.select(F.col("event_type").alias("ticker"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("value").alias("price"), F.lit(1).cast("long").alias("volume"))
     bars = live.live_bars(ticks, late="40 days")
     folder = work_folder(spark)
