@@ -551,3 +551,202 @@ def mama(x: np.ndarray, fast: float = 0.5, slow: float = 0.05):
     alpha = np.maximum(slow, np.minimum(fast, fast / change))
     mama_ = ama(x, alpha)
     return mama_, ama(mama_, alpha / 2)
+
+
+# -- more smoothed oscillators, bands, stops and event scans ------------------------------------
+def rsi_projection(x: np.ndarray, n: int, target: float, tick: float = 0.1) -> np.ndarray:
+    """Next close for a target RSI, rounded to the tick away from the present close."""
+    p = rsi_price(x, n, target)
+    return np.where(p >= x, np.ceil(p / tick - 1e-9), np.floor(p / tick + 1e-9)) * tick
+
+
+def adaptive_bands(x: np.ndarray, middle: float, n: int = 50, margin: float = 0.8):
+    """Overbought and oversold lines: a share of the extremes that the centred oscillator reached in n bars."""
+    c = x - middle
+    return middle + margin * hhv(c, n), middle + margin * llv(c, n)
+
+
+def macd_next_change(x: np.ndarray, fast: int = 12, slow: int = 26, n: int = 9) -> np.ndarray:
+    """Percentage change of the next close at which MACD meets its signal; both are linear in that close."""
+    f, s, sig = ema(x, fast), ema(x, slow), macd_signal(x, fast, slow, n)
+    af, as_, a = 2 / (fast + 1), 2 / (slow + 1), 2 / (n + 1)
+    # next MACD = k + g c; it meets its next signal where it meets the present one
+    k, g = (1 - af) * f - (1 - as_) * s, af - as_
+    return 100 * (div(sig - k, g * x) - 1) if a < 1 else np.full(len(x), np.nan)
+
+
+def macd_events(x: np.ndarray) -> np.ndarray:
+    """1 and -1 where MACD crosses its signal, 2 and -2 where it crosses zero, 3 and -3 where the histogram turns."""
+    m, s = macd(x), macd_signal(x)
+    h, m1, s1 = m - s, ref(m, -1), ref(s, -1)
+    h1, h2 = ref(h, -1), ref(h, -2)
+    return np.select([(m > s) & (m1 <= s1), (m < s) & (m1 >= s1), (m > 0) & (m1 <= 0), (m < 0) & (m1 >= 0), (h > h1) & (h1 <= h2), (h < h1) & (h1 >= h2)], [1, -1, 2, -2, 3, -3], 0).astype(float)
+
+
+def cycle_period(x: np.ndarray) -> np.ndarray:
+    """Dominant cycle from the phase change of the detrended price's quadrature, between 6 and 50 bars."""
+    smooth = (4 * x + 3 * ref(x, -1) + 2 * ref(x, -2) + ref(x, -3)) / 10
+    detrend = 0.0962 * smooth + 0.5769 * ref(smooth, -2) - 0.5769 * ref(smooth, -4) - 0.0962 * ref(smooth, -6)
+    q = 0.0962 * detrend + 0.5769 * ref(detrend, -2) - 0.5769 * ref(detrend, -4) - 0.0962 * ref(detrend, -6)
+    i = ref(detrend, -3)
+    re, im = i * ref(i, -1) + q * ref(q, -1), i * ref(q, -1) - q * ref(i, -1)
+    angle = np.abs(np.degrees(np.arctan(div(ama(im, 0.2), ama(re, 0.2)))))
+    return ama(np.clip(div(360.0, angle), 6, 50), 0.33)
+
+
+def adaptive_macd(x: np.ndarray) -> np.ndarray:
+    """MACD whose spans follow the dominant cycle: half a cycle and a whole one."""
+    period = np.nan_to_num(cycle_period(x), nan=20.0)
+    return ama(x, 2 / (period / 2 + 1)) - ama(x, 2 / (period + 1))
+
+
+def multiple_cci(b: Bars, lengths=(14, 25, 50)) -> np.ndarray:
+    t, out = (b.h + b.l + b.c) / 3, np.zeros(b.n)
+    for n in lengths:
+        w = np.lib.stride_tricks.sliding_window_view(t, n) if b.n >= n else np.empty((0, n))
+        mad = np.full(b.n, np.nan)
+        mad[b.n - len(w) :] = np.abs(w - w.mean(1, keepdims=True)).mean(1)
+        out = out + div(t - ma(t, n), 0.015 * mad) / len(lengths)
+    return ema(out, 5)
+
+
+def zero_lag_r(b: Bars, n: int = 14, smooth: int = 5) -> np.ndarray:
+    r = -100 * div(hhv(b.h, n) - b.c, hhv(b.h, n) - llv(b.l, n))
+    return zero_lag_ma(r, smooth)
+
+
+def flower(b: Bars, n: int = 20) -> np.ndarray:
+    m = (b.h + b.l + 2 * b.c) / 4
+    return ema(ema(div(m - ema(m, n), roll(m, n, "std")), 5), 3)
+
+
+def impulse(x: np.ndarray, n: int = 13) -> np.ndarray:
+    e, h = ema(x, n), macd(x) - macd_signal(x)
+    return np.where((e > ref(e, -1)) & (h > ref(h, -1)), 1.0, np.where((e < ref(e, -1)) & (h < ref(h, -1)), -1.0, 0.0))
+
+
+def regime(b: Bars, n: int = 21) -> np.ndarray:
+    """1 in a trend (deviation above mean true range), else 0."""
+    return (roll(b.c, n, "std") > atr(b, n)).astype(float)
+
+
+def divergence(price: np.ndarray, osc: np.ndarray, pct: float = 5.0) -> np.ndarray:
+    """1 where the price confirms a lower trough but the oscillator a higher one, -1 for peaks; raised on the confirming bar."""
+    out, last = np.zeros(len(price)), {}
+    for i, side, seen in pivots(price, pct):
+        if side in last:
+            j = last[side]
+            if side < 0 and price[i] < price[j] and osc[i] > osc[j]:
+                out[seen] = 1
+            if side > 0 and price[i] > price[j] and osc[i] < osc[j]:
+                out[seen] = -1
+        last[side] = i
+    return out
+
+
+def successive_lows(x: np.ndarray, below: float = 30, gap: int = 5) -> np.ndarray:
+    """Count of the oscillator's lows under a level, each at least ``gap`` bars after the last; back to 0 above 100 - level."""
+    out, count, last = np.zeros(len(x)), 0, -gap
+    for i in range(1, len(x) - 1):
+        if x[i] > 100 - below:
+            count = 0
+        if x[i] < below and x[i] <= x[i - 1] and x[i] < x[i + 1] and i - last >= gap:
+            count, last = count + 1, i
+        out[i] = count
+    return out
+
+
+def keltner(b: Bars, n: int = 20, k: float = 2.0):
+    m, a = ma(b.c, n), atr(b, n)
+    return m + k * a, m - k * a
+
+
+def fibonacci_bands(b: Bars, n: int = 20, ratios=(1.618, 2.618, 4.236)):
+    m, a = ma(b.c, n), wilders(true_range(b), n)
+    return [m + s * r * a for r in ratios for s in (1, -1)]
+
+
+def range_lines(b: Bars, smooth: int = 8, n: int = 60):
+    e = ema((b.h + b.l + 2 * b.c) / 4, smooth)
+    return hhv(e, n), llv(e, n)
+
+
+def atr_band_crossing(b: Bars, n: int = 14, over: int = 50) -> np.ndarray:
+    """1 above and -1 below the middle of the mean true range's extremes, by 20 percent of their distance."""
+    a = atr(b, n)
+    top, low = hhv(a, over), llv(a, over)
+    place = div(a - low, top - low)
+    return np.where(place > 0.7, 1.0, np.where(place < 0.3, -1.0, 0.0))
+
+
+def atr_stoploss(b: Bars, n: int = 14, k: float = 2.0, over: int = 10):
+    a = atr(b, n)
+    return hhv(b.h - k * a, over), llv(b.l + k * a, over)
+
+
+def jnsar(b: Bars, n: int = 5) -> np.ndarray:
+    return total(ema(b.h, n) + ema(b.l, n) + ema(b.c, n), n) / (3 * n)
+
+
+def t3_prediction(x: np.ndarray, fast: int = 3, slow: int = 5) -> np.ndarray:
+    """Sign of next bar's difference of two T3 lines, carried on by their last changes."""
+    d = t3(x, fast) - t3(x, slow)
+    return np.sign(2 * d - ref(d, -1))
+
+
+def percent_trail(x: np.ndarray, pct: float = 10.0) -> np.ndarray:
+    out, best = np.full(len(x), np.nan), None
+    for i, v in enumerate(x.tolist()):
+        best = v if best is None or v < best * (1 - pct / 100) else max(best, v)
+        out[i] = best * (1 - pct / 100)
+    return out
+
+
+def phase_trend(b: Bars, k: float = 1.5, n: int = 14) -> np.ndarray:
+    """A line that moves to the mid price less (or plus) k true ranges only in the direction of its phase."""
+    mid, a = ((b.h + b.l) / 2).tolist(), atr(b, n).tolist()
+    out, phase, line = np.full(b.n, np.nan), 1, None
+    for i in range(b.n):
+        target = mid[i] - phase * k * a[i]
+        line = target if line is None else (max if phase > 0 else min)(line, target)
+        if (b.c[i] - line) * phase < 0:
+            phase = -phase
+            line = mid[i] - phase * k * a[i]
+        out[i] = line
+    return out
+
+
+def volume_explosion(b: Bars, n: int = 13) -> np.ndarray:
+    signed = np.sign(np.nan_to_num(b.c - ref(b.c, -1))) * b.v
+    return 100 * div(ema(signed, n), ema(b.v, n))
+
+
+def bull_bear_volume(b: Bars, n: int = 9):
+    """Smoothed volume of bars that close up and of those that close down, split by the close's place in the range."""
+    share = np.nan_to_num(div(b.c - b.l, b.h - b.l), nan=0.5)
+    return tema(b.v * share, n), tema(b.v * (1 - share), n)
+
+
+def cointegration(y: np.ndarray, x: np.ndarray, lags: int = 1) -> tuple[float, float, float]:
+    """Hedge ratio and intercept of y on x by least squares, and the t-value of the residuals' unit-root regression."""
+    ok = ~(np.isnan(x) | np.isnan(y))
+    x, y = x[ok], y[ok]
+    if len(x) < 10 + lags or np.ptp(x) == 0:
+        return np.nan, np.nan, np.nan
+    ratio, cut = np.polyfit(x, y, 1)
+    e = y - ratio * x - cut
+    d = np.diff(e)
+    cols = [e[lags:-1]] + [d[lags - j - 1 : len(d) - j - 1] for j in range(lags)]
+    m, t = np.stack(cols, 1), d[lags:]
+    coef, *_ = np.linalg.lstsq(m, t, rcond=None)
+    left = t - m @ coef
+    var = left @ left / max(1, len(t) - m.shape[1]) * np.linalg.pinv(m.T @ m)[0, 0]
+    return float(ratio), float(cut), float(coef[0] / var**0.5) if var > 0 else np.nan
+
+
+SELECTOR = {"rsi": lambda b, n: rsi(b.c, n), "rmi": lambda b, n: rmi(b.c, n), "trix": lambda b, n: trix(b.c, n), "stoch_k": lambda b, n: stoch_k(b, n), "stoch_d": lambda b, n: stoch_d(b, n), "macd": lambda b, n: macd(b.c, n, 2 * n), "atr": lambda b, n: atr(b, n), "adx": lambda b, n: directional(b, n)[2], "plus_di": lambda b, n: directional(b, n)[0], "minus_di": lambda b, n: directional(b, n)[1], "vortex_adx": lambda b, n: vortex_adx(b, n), "mass": lambda b, n: mass_index(b, n), "force": lambda b, n: force_index(b, n), "eom": lambda b, n: ease_of_movement(b, n), "flower": lambda b, n: flower(b, n), "schaff": lambda b, n: schaff(b.c, n), "efficiency": lambda b, n: polarized_efficiency(b.c, n), "stoch_rsi": lambda b, n: stoch_rsi(b.c, n), "klinger": lambda b, n: klinger(b, n, 2 * n), "wave_trend": lambda b, n: wave_trend(b, n), "two_poles": lambda b, n: two_poles(b.c, n), "volume_explosion": lambda b, n: volume_explosion(b, n), **{f"average_{k_}": (lambda b, n, f=f: f(b.c, n)) for k_, f in AVERAGES.items()}}
+
+
+def indicator(name: str, b: Bars, n: int = 14) -> np.ndarray:
+    """An indicator by name."""
+    return SELECTOR[name](b, n)

@@ -290,3 +290,124 @@ def big_volume_levels(f: Frame, n: int = 20, times: float = 2.0, k: int = 3) ->
     big = f.hold(F.coalesce(F.col("volume") > times * f.ma("volume", n), F.lit(False)))
     rank = F.row_number().over(Window.partitionBy(f.by, big).orderBy(F.desc(f.order)))
     return F.when(big & (rank <= k), rank)
+
+
+# -- more levels, bands and events ---------------------------------------------------------------
+def regression_channel(f: Frame, n: int = 50, k: float = 2.0) -> dict[str, Column]:
+    """The line of a ticker's last n closes and k residual errors about it, drawn back over those bars (looks ahead)."""
+    i = f.hold(f.bar().cast("double"))
+    last = f.hold(F.max(i).over(f.whole))
+    inside = f.hold(F.when(i > last - n, F.col("close")))
+    slope, cut = (f.hold(g(inside, i).over(f.whole)) for g in (F.regr_slope, F.regr_intercept))
+    line = f.hold(F.when(inside.isNotNull(), cut + slope * i))
+    err = f.hold(F.sqrt(F.sum(F.pow(inside - line, 2)).over(f.whole) / (F.count(inside).over(f.whole) - 2)))
+    return {"channel": line, "channel_top": line + k * err, "channel_low": line - k * err}
+
+
+def td_points(f: Frame) -> dict[str, Column]:
+    """A high above those of both neighbours (looks ahead one bar), and a low below them."""
+    return {"td_supply": F.coalesce((F.col("high") > f.ref("high", -1)) & (F.col("high") > f.ref("high", 1)), F.lit(False)), "td_demand": F.coalesce((F.col("low") < f.ref("low", -1)) & (F.col("low") < f.ref("low", 1)), F.lit(False))}
+
+
+def rsi_zone(rsi) -> Column:
+    """Label of eight zones."""
+    out = F.lit("over 80")
+    for top in (80, 70, 60, 50, 40, 30, 20):
+        out = F.when(as_column(rsi) <= top, F.lit(f"to {top}")).otherwise(out)
+    return F.when(as_column(rsi).isNotNull(), out)
+
+
+def trend_strength(adx) -> Column:
+    x = as_column(adx)
+    return F.when(x < 20, "none").when(x < 25, "weak").when(x < 40, "trending").when(x < 60, "strong").otherwise(F.when(x.isNotNull(), "extreme"))
+
+
+def predicted_stoch(f: Frame, n: int = 14, change: float = 1.0) -> Column:
+    """%K (unsmoothed) of a next bar that closes ``change`` percent higher at its high."""
+    next_close = F.col("close") * (1 + change / 100)
+    high, low = F.greatest(f.hold(f.hhv("high", n - 1)), next_close), F.least(f.hold(f.llv("low", n - 1)), next_close)
+    return 100 * div(next_close - low, high - low)
+
+
+def fibonacci_levels(f: Frame, n: int = 120) -> dict[str, Column]:
+    high, low = f.hold(f.hhv("high", n)), f.hold(f.llv("low", n))
+    return {f"fib_{int(1000 * x)}": high - x * (high - low) for x in (0.236, 0.382, 0.5, 0.618, 0.786)}
+
+
+def first_bar_trigger(f: Frame, atr, k: float = 0.5, unit: str = "day") -> dict[str, Column]:
+    """Levels about the session's first open, k true ranges away."""
+    session = f.hold(F.date_trunc(unit, f.order))
+    first = F.first("open").over(Window.partitionBy(f.by, session).orderBy(f.order).rowsBetween(Window.unboundedPreceding, 0))
+    return {"trigger_up": first + k * as_column(atr), "trigger_down": first - k * as_column(atr)}
+
+
+def targets(entry, stop, steps=(1, 2, 3)) -> dict[str, Column]:
+    """Targets at whole multiples of the risk, and the risk in percent of the entry."""
+    e, s = as_column(entry), as_column(stop)
+    return {f"target_{n}": e + n * (e - s) for n in steps} | {"risk_percent": 100 * div(e - s, e)}
+
+
+def amplitude(pct: float = 7.0) -> dict[str, Column]:
+    return {"amp_top": F.col("close") * (1 + pct / 100), "amp_low": F.col("close") * (1 - pct / 100)}
+
+
+def three_day_break(f: Frame) -> dict[str, Column]:
+    """Close beyond the extremes of the three bars before, by an offset that grows with the price."""
+    offset = F.when(F.col("close") < 10, 0.05).when(F.col("close") < 50, 0.1).otherwise(0.002 * F.col("close"))
+    top, low = F.greatest(*[f.ref("high", -n) for n in (1, 2, 3)]), F.least(*[f.ref("low", -n) for n in (1, 2, 3)])
+    return {"three_up": F.coalesce(F.col("close") > top + offset, F.lit(False)), "three_down": F.coalesce(F.col("close") < low - offset, F.lit(False))}
+
+
+def ribbon(f: Frame, short=(3, 15), long=(30, 60)) -> dict[str, Column]:
+    """Mid prices over short and long spans: whether all short ones lie above all long ones."""
+    mid = lambda n: f.hold((f.hhv("high", n) + f.llv("low", n)) / 2)
+    a, b = [mid(n) for n in range(short[0], short[1] + 1, 3)], [mid(n) for n in range(long[0], long[1] + 1, 10)]
+    up = f.hold(F.least(*a) > F.greatest(*b))
+    return {"ribbon_up": F.coalesce(up, F.lit(False)), "ribbon_down": F.coalesce(F.greatest(*a) < F.least(*b), F.lit(False))}
+
+
+def swing_stop(f: Frame, n: int = 20) -> Column:
+    """The low before the last n-bar breakout upwards, or the high before the last one downwards."""
+    b = {k: f.hold(v) for k, v in breakout(f, n).items()}
+    low, high = f.hold(f.llv("low", 5)), f.hold(f.hhv("high", 5))
+    return F.last(F.when(b[f"break_up_{n}"] == 1, low).when(b[f"break_down_{n}"] == 1, high), ignorenulls=True).over(f.so_far)
+
+
+def average_range_stop(f: Frame, n: int = 22, k: float = 3.0) -> Column:
+    return f.hhv("high", n) - k * f.ma(f.hold(F.col("high") - F.col("low")), n)
+
+
+def latched_rise(f: Frame, n: int = 5) -> dict[str, Column]:
+    """1 since the close last rose above its n-bar high before, -1 since it fell below the low, and bars in that state."""
+    top, low = f.hold(f.ref(f.hold(f.hhv("high", n)), -1)), f.hold(f.ref(f.hold(f.llv("low", n)), -1))
+    state = f.hold(F.coalesce(F.last(F.when(F.col("close") > top, 1).when(F.col("close") < low, -1), ignorenulls=True).over(f.so_far), F.lit(0)))
+    return {"latched": state, "latched_bars": f.run_length(f.hold(state == f.ref(state, -1)))}
+
+
+def daily_volume(f: Frame, n: int = 10) -> Column:
+    """Running sum of volume, added above the mean close of n bars and taken off below it."""
+    return f.cum(f.hold(F.coalesce(F.signum(F.col("close") - f.ma("close", n)), F.lit(0.0)) * F.col("volume")))
+
+
+def accumulation_share(f: Frame, n: int = 20) -> Column:
+    """Volume of rising bars less that of falling ones over n bars, in percent of all."""
+    signed = f.hold(F.coalesce(F.signum(F.col("close") - f.ref("close", -1)), F.lit(0.0)) * F.col("volume"))
+    return 100 * div(f.sum(signed, n), f.sum("volume", n))
+
+
+def interest_label(f: Frame, interest) -> Column:
+    up, more = F.col("close") > f.ref("close", -1), as_column(interest) > f.ref(interest, -1)
+    return F.when(up & more, "long build-up").when(~up & more, "short build-up").when(up & ~more, "short covering").when(~up & ~more, "long unwinding").otherwise("")
+
+
+def session_minutes(ts, opens: str = "09:00", closes: str = "15:00", rest: tuple[str, str] = ("11:30", "13:00")) -> Column:
+    """Trading minutes that have passed at ``ts``, without the midday rest."""
+    of = lambda s: int(s[:2]) * 60 + int(s[3:])
+    now = F.hour(ts) * 60 + F.minute(ts)
+    clip = lambda a, b: F.greatest(F.lit(0), F.least(now, F.lit(of(b))) - of(a))
+    return clip(opens, rest[0]) + clip(rest[1], closes)
+
+
+def expected_volume(volume, ts, whole: int = 270) -> Column:
+    """Volume that the session would reach at its present pace."""
+    return div(as_column(volume) * whole, session_minutes(ts))

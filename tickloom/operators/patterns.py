@@ -106,3 +106,33 @@ def level_breaks(f: Frame, levels: DataFrame) -> DataFrame:
     up = (F.col("kind") == "up") & (F.col("before") <= F.col("level")) & (F.col("close") > F.col("level"))
     down = (F.col("kind") == "down") & (F.col("before") >= F.col("level")) & (F.col("close") < F.col("level"))
     return f.df.join(levels.withColumnRenamed("price", "level"), "ticker").where(up | down).select("ticker", "ts", "kind", "level", "close")
+
+
+def double_extremes(pivots: DataFrame, pct: float = 3.0) -> DataFrame:
+    """Tops (or bottoms) within ``pct`` percent of the last of their side, with a pivot between them."""
+    before = F.lag("price").over(Window.partitionBy("ticker", "side").orderBy("bar"))
+    rows = pivots.withColumn("before", before).where(F.abs(F.col("price") - F.col("before")) <= F.col("before") * pct / 100)
+    return rows.select("ticker", "ts", "bar", F.when(F.col("side") == 1, "double top").otherwise("double bottom").alias("pattern"), "price")
+
+
+def impulses(pivots: DataFrame) -> DataFrame:
+    """Six pivots that obey the impulse rules: wave 2 stays off the start, 3 is not the shortest, 4 does not reach 1."""
+    w = Window.partitionBy("ticker").orderBy("bar")
+    p = pivots.select("*", *[F.lag("price", k).over(w).alias(f"p{5 - k}") for k in range(1, 6)])
+    s = F.col("side")
+    one, three, five = (s * (F.col(b) - F.col(a)) for a, b in (("p0", "p1"), ("p2", "p3"), ("p4", "price")))
+    rules = (one > 0) & (s * (F.col("p2") - F.col("p0")) > 0) & (s * (F.col("p4") - F.col("p1")) > 0) & (three > F.least(one, five)) & (five > 0)
+    ratio = div(s * (F.col("p3") - F.col("p4")), three)
+    return p.where(rules).select("ticker", "ts", s.alias("side"), "price", ratio.alias("fourth_ratio"))
+
+
+def shifted_break(f: Frame, n: int = 20, shift: int = 5) -> dict[str, Column]:
+    """Close beyond the range of n bars that ended ``shift`` bars ago."""
+    top, low = f.hold(f.ref(f.hold(f.hhv("high", n)), -shift)), f.hold(f.ref(f.hold(f.llv("low", n)), -shift))
+    return {"shifted_up": F.coalesce(F.col("close") > top, F.lit(False)), "shifted_down": F.coalesce(F.col("close") < low, F.lit(False))}
+
+
+def first_breaks(f: Frame, n: int = 20) -> dict[str, Column]:
+    """Breakouts, each side only until the other comes."""
+    up, down = (f.hold(x) for x in shifted_break(f, n, 1).values())
+    return {"first_up": f.exrem(up, down), "first_down": f.exrem(down, up)}
