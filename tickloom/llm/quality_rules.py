@@ -112,3 +112,23 @@ def clean_lines(docs: DataFrame, text: str = "text", into: str = "cleaned", min_
 def digest_documents(docs: DataFrame) -> DataFrame:
     """doc_id, the measures, base_failed, kept and the share of text lost, of every document."""
     return clean_lines(docs.select("doc_id", "text")).select("doc_id", *[F.col(f"cleaned.{c}").alias(c) for c in (*MEASURES, "base_failed", "kept", "loss")])
+
+
+_WORDY = r"[^\x20\x09-\x0D]"
+SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORDY}+') AS w FROM documents),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (
+  SELECT doc_id, unnest(generate_series(i, i + 4)) AS p FROM (
+    SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i:i + 4]) AS times FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM d WHERE len(w) > 4)) WHERE times > 1) GROUP BY doc_id),
+l AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORDY}')) AS ls FROM d),
+g AS (SELECT *, list_filter(ls, lambda x: NOT (
+    len(regexp_extract_all(x, '{SYMBOL_CLASS}')) * 20 > length(x)
+    OR (len(regexp_extract_all(x, '{SEPARATOR_CLASS}')) >= 3 AND length(x) <= (len(regexp_extract_all(x, '{SEPARATOR_CLASS}')) + 1) * {ITEM_CHARS})
+    OR (length(x) > {LONG_LINE} AND NOT regexp_matches(x, '{SENTENCE_MARK_CLASS}'))
+    OR (length(x) >= 24 AND len(string_split(x, ' ')) >= 8 AND len(list_distinct(string_split(x, ' '))) * 4 < len(string_split(x, ' ')))
+    OR regexp_matches(x, '{BOILERPLATE}'))) AS good FROM l),
+m AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '{SYMBOL_CLASS}')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+  coalesce((length(array_to_string(ls, '')) - length(array_to_string(good, ''))) / nullif(length(array_to_string(ls, '')), 0), 0) AS loss
+  FROM g LEFT JOIN r USING (doc_id))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND loss <= 0.5 AS kept FROM m
+"""

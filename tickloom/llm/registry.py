@@ -35,4 +35,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_revisits": revisits.SQL}
+    return {"op4_line_cleaning": quality_rules.SQL, "op6_revisits": revisits.SQL, "op8_suffix_arrays": decontaminate.SQL}
