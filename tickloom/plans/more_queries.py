@@ -187,3 +187,138 @@ def _(spark, d):
     o2, top, low = y.o, F.greatest(x.h, y.h), F.least(x.l, y.l)
     v = {"rising_window": x.l > y.h, "falling_window": x.h < y.l, "big_body": x.body >= 0.67 * x.span, "long_shadow": (x.upper >= 0.67 * x.span) | (x.lower >= 0.67 * x.span), "gapping_tasuki": (y.l > z.h) & y.white & x.black & (x.c < y.o) & (x.c > z.h), "merged_hammer": (F.least(o2, x.c) - low >= 2 * F.abs(x.c - o2)) & (top - F.greatest(o2, x.c) <= 0.1 * (top - low))}
     return out(f, {n: F.coalesce(c, F.lit(False)) for n, c in v.items()} | {"merged_body": 100 * F.try_divide(x.c - o2, z.c)})
+
+
+@query(
+    "a_ribbons",
+    staged([{f"m{n}": ma("close", n) for n in range(10, 81, 10)}], KEYS | {f"ma{n}": r(f"m{n}") for n in range(10, 81, 10)} | {"stacked": "coalesce(" + " AND ".join(f"m{n} > m{n + 10}" for n in range(10, 80, 10)) + ", false)::BIGINT"}),
+)
+def _(spark, d):
+    """Rainbow of averages, and whether they lie in order."""
+    f = framed(spark, d)
+    m = {n: f.hold(f.ma("close", n)) for n in range(10, 81, 10)}
+    stacked = F.lit(True)
+    for n in range(10, 80, 10):
+        stacked &= m[n] > m[n + 10]
+    return out(f, {f"ma{n}": c for n, c in m.items()} | {"stacked": F.coalesce(stacked, F.lit(False))})
+
+
+@query("a_vegas_tunnel")
+def _(spark, d):
+    """Exponential stack of 13, 21, 34 and 55 bars against the tunnel of 144 and 169."""
+    f = Frame(scan(bars_eod(spark, d), {f"e{n}": (lambda b, n=n: k.ema(b.c, n)) for n in (13, 21, 34, 55, 144, 169)}))
+    top, low = F.greatest("e144", "e169"), F.least("e144", "e169")
+    return out(f, {"stack_up": F.expr("e13 > e21 and e21 > e34 and e34 > e55"), "above_tunnel": F.col("close") > top, "below_tunnel": F.col("close") < low, "tunnel_up": f.cross("close", f.hold(top)), "tunnel_down": f.cross(f.hold(low), "close")})
+
+
+@query("b_true_swings")
+def _(spark, d):
+    """Swings of highs and lows, rather than closes: last peak and trough on each bar, known from their confirming bars."""
+
+    def last(side):
+        def step(b):
+            y, events = np.full(b.n, np.nan), {seen: i for i, s, seen in k.pivots(b.h, 10, b.l) if s == side}
+            for i in range(b.n):
+                y[i] = (b.h if side > 0 else b.l)[events[i]] if i in events else y[i - 1] if i else np.nan
+            return y
+
+        return step
+
+    return tidy(scan(bars_eod(spark, d), {"last_peak": last(1), "last_trough": last(-1)}).select("ticker", "ts", "last_peak", "last_trough"))
+
+
+@query("i_directional_signals")
+def _(spark, d):
+    """Three ways to trade directional movement: crossing, crossing in a trend, and a turn of ADX; repeats within 5 bars are silent."""
+    steps = {"plus": lambda b: k.directional(b)[0], "minus": lambda b: k.directional(b)[1], "adx": lambda b: k.directional(b)[2], "spaced": lambda b: k.exrem_span((k.directional(b)[0] > k.directional(b)[1]) & (k.ref(k.directional(b)[0], -1) <= k.ref(k.directional(b)[1], -1)), 5)}
+    f = Frame(scan(bars_eod(spark, d), steps))
+    up = f.hold(f.cross("plus", "minus"))
+    return out(f, {"di_cross": up, "di_trend": up & (F.col("adx") > 25), "adx_turn": (F.col("adx") > f.ref("adx", -1)) & (f.ref("adx", -1) <= f.ref("adx", -2)), "spaced": F.col("spaced")})
+
+
+@query("i_stoch_signals")
+def _(spark, d):
+    f = Frame(scan(bars_eod(spark, d), {"k14": lambda b: k.stoch_k(b), "d14": lambda b: k.stoch_d(b)}))
+    return out(f, {"oversold_up": f.cross("k14", "d14") & (F.col("k14") < 20), "overbought_down": f.cross("d14", "k14") & (F.col("k14") > 80)})
+
+
+@query("r_fractal_breakouts")
+def _(spark, d):
+    """Close above the last confirmed fractal top (five bars old at least), out on a five-bar low; held state."""
+    f = framed(spark, d)
+    marks = {n: f.hold(c) for n, c in patterns.fractals(f).items()}
+    top = f.hold(f.ref(f.hold(f.value_when(marks["top"], "high")), -5))
+    buy, sell = f.hold(f.cross("close", top)), f.hold(F.coalesce(F.col("close") < f.ref(f.hold(f.llv("low", 5)), -1), F.lit(False)))
+    return out(f, {"level": top, "buy": buy, "sell": sell, "held": f.flip(buy, sell)})
+
+
+@query("r_simple_trails", staged([{"h5": hhv("high", 5), "l5": llv("low", 5), "h22": hhv("high", 22), "h3": hhv("high", 3), "l3": llv("low", 3)}, {"h5b": lag("h5"), "l5b": lag("l5"), "h3b": lag("h3"), "l3b": lag("l3")}], KEYS | {"fast_state": "CASE WHEN close > h3b THEN 1 WHEN close < l3b THEN -1 ELSE 0 END", "slow_state": "CASE WHEN close > h5b THEN 1 WHEN close < l5b THEN -1 ELSE 0 END", "under_high": r("100 * (h22 - close) / h22")}))
+def _(spark, d):
+    """Two trailing ranges and the distance under the 22-bar high."""
+    f = framed(spark, d)
+
+    def state(n):
+        top, low = f.hold(f.ref(f.hold(f.hhv("high", n)), -1)), f.hold(f.ref(f.hold(f.llv("low", n)), -1))
+        return F.when(F.col("close") > top, 1).when(F.col("close") < low, -1).otherwise(0)
+
+    h = f.hold(f.hhv("high", 22))
+    return out(f, {"fast_state": state(3), "slow_state": state(5), "under_high": 100 * (h - F.col("close")) / h})
+
+
+@query("x_index_overlay")
+def _(spark, d):
+    """State of the index against its weighted means, on every ticker's bars."""
+    from tickloom.operators.crosssection import with_index
+    from tickloom.plans.bars import index_series
+
+    bars = bars_eod(spark, d)
+    ix = index_series(bars)
+    f = Frame(ix.withColumn("ticker", F.lit("INDEX")).withColumnRenamed("index_close", "close"))
+    a, b, c = (f.hold(f.wma("close", n)) for n in (15, 50, 200))
+    state = F.when((a > b) & (b > c), "bull").when((a < b) & (b < c), "bear").otherwise("mixed")
+    return with_index(bars.select("ticker", "ts", "close"), f.add(index_state=state).df.select("ts", "index_state")).transform(tidy)
+
+
+@query("c_extreme_summary", staged([{f"h{n}": hhv("high", n) for n in (20, 50, 100)} | {f"l{n}": llv("low", n) for n in (20, 50, 100)}], KEYS | {f"at_high_{n}": f"coalesce(high = h{n}, false)::BIGINT" for n in (20, 50, 100)} | {f"at_low_{n}": f"coalesce(low = l{n}, false)::BIGINT" for n in (20, 50, 100)}))
+def _(spark, d):
+    f = framed(spark, d)
+    flags = {f"at_high_{n}": F.coalesce(F.col("high") == f.hhv("high", n), F.lit(False)) for n in (20, 50, 100)}
+    return out(f, flags | {f"at_low_{n}": F.coalesce(F.col("low") == f.llv("low", n), F.lit(False)) for n in (20, 50, 100)})
+
+
+@query("e29_average_strategies")
+def _(spark, d):
+    """Three entries: TEMA crossing, EMA with breakout and volume, and the 3 over 20 bar means."""
+    f = Frame(scan(bars_eod(spark, d), {"t9": lambda b: k.tema(b.c, 9), "t20": lambda b: k.tema(b.c, 20), "e20": lambda b: k.ema(b.c, 20)}))
+    top, mv = f.hold(f.ref(f.hold(f.hhv("high", 20)), -1)), f.hold(f.ma("volume", 20))
+    m3, m20 = f.hold(f.ma("close", 3)), f.hold(f.ma("close", 20))
+    f.add(tema_entry=f.cross("t9", "t20"), break_entry=F.coalesce((F.col("close") > F.col("e20")) & (F.col("close") > top) & (F.col("volume") > mv), F.lit(False)), mean_entry=f.cross(m3, m20))
+    return tidy(f.df.where("tema_entry or break_entry or mean_entry").select("ticker", "ts", "close", "tema_entry", "break_entry", "mean_entry"))
+
+
+@query("e30_intraday_systems")
+def _(spark, d):
+    """On 15-minute bars: break of the prior hour's range, pull-back to a rising mean, MACD and stochastic crossings."""
+    bars = timeframes.price_of(timeframes.price_of(bars_intraday(spark, d, "15 minutes"), "high", "1 hour", -1, "hour_high"), "low", "1 hour", -1, "hour_low")
+    f = Frame(scan(bars, {"macd": lambda b: k.macd(b.c), "signal": lambda b: k.macd_signal(b.c), "k14": lambda b: k.stoch_k(b), "d14": lambda b: k.stoch_d(b)}))
+    m = f.hold(f.ma("close", 20))
+    return out(f, {"hour_break": F.coalesce(F.col("close") > F.col("hour_high"), F.lit(False)), "hour_fall": F.coalesce(F.col("close") < F.col("hour_low"), F.lit(False)), "pull_back": F.coalesce((F.col("low") <= m) & (F.col("close") > m) & (m > f.ref(m, -1)), F.lit(False)), "macd_up": f.cross("macd", "signal"), "stoch_up": f.cross("k14", "d14")})
+
+
+@query("e32_pattern_scanner")
+def _(spark, d):
+    """Last bar of each ticker with its candle patterns, cloud state and divergence."""
+    f = Frame(scan(bars_eod(spark, d), {"divergence": lambda b: k.divergence(b.c, k.rsi(b.c))}))
+    cloud = ind.ichimoku_signals(f)
+    f.add(bull=candles.all_labels(candles.bullish(f)), bear=candles.all_labels(candles.bearish(f)), cloud=cloud["cloud"], grade=cloud["tk_grade"])
+    from tickloom.plans.screens import last_bars
+
+    return tidy(last_bars(f).select("ticker", "ts", "close", "bull", "bear", "cloud", "grade", "divergence"))
+
+
+@query("k_strict", staged([{"o1": lag("open"), "c1": lag("close"), "h1": lag("high"), "l1": lag("low")}], KEYS | {"engulfing_strict": "coalesce((c1 < o1 AND close > open AND open < c1 AND close > o1) OR (c1 > o1 AND close < open AND open > c1 AND close < o1), false)::BIGINT", "outside_bar": "coalesce(high > h1 AND low < l1, false)::BIGINT", "inside_bar": "coalesce(high < h1 AND low > l1, false)::BIGINT", "doji_strict": "coalesce(abs(close - open) <= 0.05 * (high - low), false)::BIGINT"}))
+def _(spark, d):
+    f = framed(spark, d)
+    x, y = candles.Candle(f, 0), candles.Candle(f, 1)
+    v = {"engulfing_strict": (y.black & x.white & (x.o < y.c) & (x.c > y.o)) | (y.white & x.black & (x.o > y.c) & (x.c < y.o)), "outside_bar": (x.h > y.h) & (x.l < y.l), "inside_bar": (x.h < y.h) & (x.l > y.l), "doji_strict": x.doji}
+    return out(f, {n: F.coalesce(c, F.lit(False)) for n, c in v.items()})
