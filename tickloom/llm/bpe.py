@@ -18,9 +18,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 #: Fixed value: how a byte-level vocabulary cuts text into words before merging.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -270,17 +272,26 @@ def decode_column(path: str):
     return decode
 
 
-def round_trip_column(path: str):
-    """Column function text -> (ids, decoded), the decoded text being made from the ids in the same pass."""
+#: Rows encoded and sent on at once by ``round_trip_documents``, so that a worker never holds a whole Arrow batch's results.
+ROWS_AT_ONCE = 512
 
-    @F.pandas_udf("ids array<int>, decoded string")
-    def round_trip(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        bpe = coder(path)
-        for texts in parts:
-            coded = list(bpe.encode(["" if t is None else t for t in texts]))
-            yield pd.DataFrame({"ids": pd.Series([np.frombuffer(x, "<i4") for x in coded], dtype=object), "decoded": pd.Series([bpe.decode(x) for x in coded], dtype=object)})
 
-    return round_trip
+def round_trip_documents(docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:
+    """``docs`` with the ids of each text and the text decoded from them (replacing columns of those names); edge cases as in ``encode_documents``."""
+    kept = docs.drop(ids, decoded)
+    schema = StructType([*kept.schema.fields, StructField(ids, ArrayType(IntegerType())), StructField(decoded, StringType())])
+
+    def round_trip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = coder(path)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(at, ROWS_AT_ONCE)
+                coded = list(bpe.encode([t or "" for t in batch.column(text).to_pylist()]))
+                ends = np.cumsum([0, *(len(x) // 4 for x in coded)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(coded), "<i4")))
+                yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array([bpe.decode(x) for x in coded], pa.string())], names=[*batch.schema.names, ids, decoded])
+
+    return kept.mapInArrow(round_trip, schema)
 
 
 def digest_column(path: str):
