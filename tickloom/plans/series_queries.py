@@ -195,7 +195,7 @@ def _(spark, d):
 @query("i_swing_and_runs")
 def _(spark, d):
     f = framed(spark, d)
-    return out(f, {"asi": ind.swing_index(f), **ind.trend_continuation(f), "percent_rank": f.percent_rank("close", 60)})
+    return out(f, {"asi": ind.swing_index(f), **ind.trend_continuation(f), "percent_rank": f.percent_rank("close", 60)}, asi=2, tcf_plus=2, tcf_minus=2)
 
 
 @query(
