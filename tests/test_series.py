@@ -161,3 +161,35 @@ def test_breadth_counts(spark):
     df = bars(spark, [1.0, 2.0]).union(bars(spark, [2.0, 1.0], "B")).union(bars(spark, [1.0, 1.0], "C"))
     r = crosssection.breadth(df).orderBy("ts").collect()[1]
     assert (r.advancing, r.declining, r.unchanged) == (1, 1, 1)
+
+
+def test_double_extremes_and_impulse(spark):
+    schema = "ticker string, ts date, bar int, side int, price double"
+    row = lambda b, s, p: ("A", datetime.date(2024, 1, 1) + datetime.timedelta(days=b), b, s, p)
+    twice = spark.createDataFrame([row(0, 1, 100.0), row(5, -1, 90.0), row(10, 1, 101.0)], schema)
+    assert [r.pattern for r in patterns.double_extremes(twice).collect()] == ["double top"]
+    wave = spark.createDataFrame([row(0, -1, 10.0), row(5, 1, 20.0), row(10, -1, 15.0), row(15, 1, 35.0), row(20, -1, 25.0), row(25, 1, 40.0)], schema)
+    found = patterns.impulses(wave).collect()
+    assert [(r.side, r.price, r.fourth_ratio) for r in found] == [(1, 40.0, 0.5)]
+
+
+def test_next_macd_change_meets_the_signal():
+    rng = np.random.default_rng(5)
+    x = 100 + rng.normal(size=80).cumsum()
+    change = k.macd_next_change(x)[-1]
+    y = np.append(x, x[-1] * (1 + change / 100))
+    assert abs(k.macd(y)[-1] - k.macd_signal(y)[-1]) < 1e-9
+
+
+def test_cointegrated_series_have_a_low_statistic():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=400).cumsum() + 50
+    ratio, _, t = k.cointegration(2 * x + rng.normal(size=400), x)
+    assert abs(ratio - 2) < 0.1 and t < -5
+    assert all(np.isnan(v) for v in k.cointegration(x[:5], x[:5]))
+
+
+def test_rounding_is_the_same_everywhere(spark):
+    from tickloom.plans.sqltext import rounded
+
+    assert [r[0] for r in spark.createDataFrame([(1867.84875,), (-0.00005,), (None,)], "x double").select(rounded(F.col("x"))).collect()] == [1867.8488, 0.0, None]
