@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 MARK = "▁"
 #: Texts up to CHUNK characters are encoded at once; longer ones in chunks that share OVERLAP characters at first.
 CHUNK, OVERLAP = 32_768, 256
+#: Texts whose ids are held at once.
+ROWS_AT_ONCE = 256
 
 
 class ChunkedCounter:
@@ -77,9 +79,13 @@ class ChunkedCounter:
         return total + sum(s >= begin for s in left)
 
     def count(self, texts: list[str]) -> list[int]:
-        huge = [self.proven and len(t) > self.chunk for t in texts]
-        short = iter(self.model.encode([t for t, h in zip(texts, huge) if not h], num_threads=1))
-        return [self.count_huge(t) if h else len(next(short)) for t, h in zip(texts, huge)]
+        out: list[int] = []
+        for at in range(0, len(texts), ROWS_AT_ONCE):
+            part = texts[at : at + ROWS_AT_ONCE]
+            huge = [self.proven and len(t) > self.chunk for t in part]
+            short = iter(self.model.encode([t for t, h in zip(part, huge) if not h], num_threads=1))
+            out += [self.count_huge(t) if h else len(next(short)) for t, h in zip(part, huge)]
+        return out
 
 
 _loaded: dict[tuple, ChunkedCounter] = {}
