@@ -193,3 +193,8 @@ def test_rounding_is_the_same_everywhere(spark):
     from tickloom.plans.sqltext import rounded
 
     assert [r[0] for r in spark.createDataFrame([(1867.84875,), (-0.00005,), (None,)], "x double").select(rounded(F.col("x"))).collect()] == [1867.8488, 0.0, None]
+
+
+def test_correlation_without_variance_is_null(spark):
+    f = Frame(bars(spark, [1.0, 2.0, 3.0]))
+    assert column(f, f.corr("close", "volume", 2)) == [None, None, None]

@@ -81,7 +81,9 @@ class Frame:
         return self._full(x, n, (F.stddev_pop if population else F.stddev_samp)(as_column(x)).over(self.back(n)))
 
     def corr(self, x, y, n: int) -> Column:
-        return self._full(x, n, F.corr(as_column(x), as_column(y)).over(self.back(n)))
+        """Correlation; null where either does not vary."""
+        x, y, w = as_column(x), as_column(y), self.back(n)
+        return self._full(x, n, F.try_divide(F.covar_pop(x, y).over(w), F.stddev_pop(x).over(w) * F.stddev_pop(y).over(w)))
 
     def slope(self, x, n: int) -> Column:
         i = self.hold(self.bar())

@@ -73,7 +73,7 @@ def correlations(bars: DataFrame, symbols: str) -> DataFrame:
     names = [s.strip() for s in symbols.split(",") if s.strip()]
     x = bars.where(F.col("ticker").isin(names)).select(F.col("ticker").alias("a"), "ts", F.col("close").alias("x"))
     y = x.select(F.col("a").alias("b"), "ts", F.col("x").alias("y"))
-    return x.join(y, "ts").where("a < b").groupBy("a", "b").agg(F.corr("x", "y").alias("corr"), F.count("*").alias("n"))
+    return x.join(y, "ts").where("a < b").groupBy("a", "b").agg(div(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("corr"), F.count("*").alias("n"))
 
 
 def risk_yield(bars: DataFrame) -> DataFrame:

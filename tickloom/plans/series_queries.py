@@ -105,7 +105,7 @@ _SLOPE, _CUT = "regr_slope(close, i) {w}", "regr_intercept(close, i) {w}"
     "b_statistics",
     staged(
         [_I, {"slope": _full2(_SLOPE, 20), "cut": _full2(_CUT, 20), "sxy": _full2("regr_sxy(close, i) {w}", 20), "syy": _full2("regr_syy(close, i) {w}", 20)}],
-        KEYS | {"sd": r(_full2("stddev_pop({x}) {w}", 20), 3), "sd_sample": r(_full2("stddev_samp({x}) {w}", 20), 3), "corr": r(_full2("corr(close, CAST(volume AS DOUBLE)) {w}", 20), 3), "slope": r("slope", 3), "linreg": r("cut + slope * i", 3), "forecast": r("cut + slope * (i + 1)", 3), "stderr": r("CASE WHEN syy IS NOT NULL THEN sqrt(greatest(0, syy - slope * sxy) / 18) END", 2), "angle": r("degrees(atan(slope))", 2)},
+        KEYS | {"sd": r(_full2("stddev_pop({x}) {w}", 20), 3), "sd_sample": r(_full2("stddev_samp({x}) {w}", 20), 3), "corr": r(_full2("covar_pop(close, CAST(volume AS DOUBLE)) {w} / nullif(stddev_pop(close) {w} * stddev_pop(CAST(volume AS DOUBLE)) {w}, 0)", 20), 3), "slope": r("slope", 3), "linreg": r("cut + slope * i", 3), "forecast": r("cut + slope * (i + 1)", 3), "stderr": r("CASE WHEN syy IS NOT NULL THEN sqrt(greatest(0, syy - slope * sxy) / 18) END", 2), "angle": r("degrees(atan(slope))", 2)},
     ),
 )
 def _(spark, d):
