@@ -184,7 +184,12 @@ def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
     Rows with a null key stay.  Of rows that share the least key of their
     component one stays, the first by all printable columns' hash.
     """
-    firsts = near_duplicates(docs, text, key).where(F.col(key) == F.col("component_id")).select(key).distinct()
+    return first_of_each(docs, near_duplicates(docs, text, key), key)
+
+
+def first_of_each(docs: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """The rows of ``docs`` whose key is the component_id of ``found``, one for each, and those with a null key."""
+    firsts = found.where(F.col(key) == F.col("component_id")).select(key).distinct()
     kept = docs.join(firsts, key, "left_semi")
     again = free_name(docs, "nth")
     once = Window.partitionBy(key).orderBy(F.xxhash64(*[F.col(c) for c in docs.columns]))
