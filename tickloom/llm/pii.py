@@ -12,7 +12,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -106,23 +106,25 @@ _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
 #: Last labels that let a bare " at " be read as part of an address.
 _ENDINGS = "com|org|net|edu|gov|info|io|co|uk|de|fr|es|eu|example|test"
 _LAST = rf"(?:{_ENDINGS})(?![A-Za-z0-9])"
-_BARE_AT = re.compile(rf" at +[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:{_ENDINGS})(?![a-z0-9])")
 _AT, _DOT = r"(?:at|arroba|@)", r"(?:dot|punkt|punto|point|\.)"
 _HIDDEN_DOT = rf"(?:\s*{_OPEN}{_DOT}{_CLOSE}\s*|\s+(?:dot|punkt|punto)\s+)"
 _DOT_MARK = re.compile(rf"(?<=[A-Za-z0-9])(?:{_HIDDEN_DOT})(?=[A-Za-z0-9])", re.IGNORECASE)
 _AT_MARK = re.compile(rf"(?<=[A-Za-z0-9._%+-])(?:\s*{_OPEN}{_AT}{_CLOSE}\s*(?={_LABEL})|\s+at\s+(?={_LABEL}(?:(?:{_HIDDEN_DOT}|\.){_LABEL})*(?:{_HIDDEN_DOT}|\.){_LAST}))", re.IGNORECASE)
-_MARK_SIGNS = ("dot", "punkt", "punto", "point", "arroba", "[at", "(at", "{at", "<at", "at]", "at)", "[.", "(.", "{.", "[@", "(@", "{@")
 
 
 class Aligned:
     """A rewritten text; character i of it stands for source characters first[i] to last[i], the end not included."""
 
     def __init__(self, text: str):
-        self.text, self.first, self.last = text, list(range(len(text))), list(range(1, len(text) + 1))
-        self.changed = [False] * len(text)
+        self.text, self.first, self.last, self.changed = text, [], [], []  # the lists stay empty up to the first edit
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
         """Put each (start, end, new) in place; edits are in order and apart.  A new text stands for all that it replaces."""
+        if not edits:
+            return
+        if not self.first:
+            n = len(self.text)
+            self.first, self.last, self.changed = list(range(n)), list(range(1, n + 1)), [False] * n
         text, first, last, changed, at = [], [], [], [], 0
         for start, end, new in [*edits, (len(self.text), len(self.text), "")]:
             text.append(self.text[at:start])
@@ -139,7 +141,8 @@ class Aligned:
 
 
 def undo_lookalikes(t: Aligned) -> None:
-    t.rewrite([(i, i + 1, LOOKALIKES[ord(c)]) for i, c in enumerate(t.text) if c in _ODD])
+    if not t.text.isascii() and not _ODD.isdisjoint(set(t.text)):
+        t.rewrite([(i, i + 1, LOOKALIKES[ord(c)]) for i, c in enumerate(t.text) if c in _ODD])
 
 
 def undo_spelling(t: Aligned) -> None:
@@ -158,6 +161,8 @@ def undo_spelling(t: Aligned) -> None:
             edits += [(start, after, new)] if next_is else []
         elif next_is or last_is:
             edits.append((start, end, new))
+    if not edits:
+        return
     t.rewrite(edits)
     # Commas and line breaks between single digits are no separators of any identifier: read them as spaces.
     t.rewrite([(m.start(), m.end(), " ") for m in re.finditer(r"(?<=[0-9])\s*[,\s]\s*(?=[0-9])", t.text) if m[0] != " " and t.changed[m.start() - 1]])
@@ -168,29 +173,16 @@ def undo_marks(t: Aligned) -> None:
     t.rewrite([(m.start(), m.end(), ".") for m in _DOT_MARK.finditer(t.text)])
 
 
-def transducers_for(text: str) -> list[Callable[[Aligned], None]]:
-    """The transducers with anything to do in this text, by cheap tests: a character, two different digit words, a piece of a mark."""
-    odd = not text.isascii() and not _ODD.isdisjoint(set(text))
-    low = text.lower()
-    chain = [undo_lookalikes] if odd else []
-    bare = low
-    for c in "().,-":
-        bare = bare.replace(c, " ")
-    if odd or len(DIGIT_WORDS.keys() & set(bare.split())) > 1:
-        chain.append(undo_spelling)
-    if odd or any(s in low for s in _MARK_SIGNS) or _BARE_AT.search(low):
-        chain.append(undo_marks)
-    return chain
+TRANSDUCERS = (undo_lookalikes, undo_spelling, undo_marks)
 
 
 def find_disguised(text: str, plain: list[Span]) -> list[Span]:
     """Identifiers that show only in the rewritten text, in source characters; those that lie in a plain one of their kind are left out."""
-    chain = transducers_for(text)
-    if not chain:
-        return []
     t = Aligned(text)
-    for step in chain:
+    for step in TRANSDUCERS:
         step(t)
+    if not t.first:  # nothing was rewritten
+        return []
     out = []
     for start, kind, end in find(t.text):
         span = (t.first[start], kind, t.last[end - 1])
