@@ -18,3 +18,14 @@ def test_one_sign_is_enough(text, gap):
     """A text with one kind of sign, whatever blanks it has, is read as if the text held signs of every kind."""
     text = text.replace(" at ", f"{gap}at{gap}")
     assert spans(text) and spans(text) == spans(text + " -- zero or nine [.] ѕ")
+
+
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ("jane at example dot ch", "email:0:22"), ("anna at firma punto it", "email:0:22"), ("jane at example dot nl", "email:0:22"), ("jane at mail dot example (dot) museum", "email:0:37"), ("192 dot 168 dot one dot one", "ip:0:27"), ("ten point 10 dot zero [.] 0 dot nine", "ip:10:36"),
+        ("look at the dot and go", ""), ("aim at each dot on it", ""), ("we met at noon.Then left", ""), ("one dot here", ""),
+    ],
+)
+def test_spelled_dots(text, found):
+    assert spans(text) == found

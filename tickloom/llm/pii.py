@@ -103,13 +103,17 @@ _GAP = re.compile(r"[\s().,-]{0,3}")
 
 _OPEN, _CLOSE = r"[\[({<]\s*", r"\s*[\])}>]"
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
-#: Last labels that let a bare " at " be read as part of an address.
+#: Last labels that let a bare " at " before a plain domain be read as part of an address; a spelled or bracketed dot before the last label needs none.
 _ENDINGS = "com|org|net|edu|gov|info|io|co|uk|de|fr|es|eu|example|test"
 _LAST = rf"(?:{_ENDINGS})(?![A-Za-z0-9])"
 _AT, _DOT = r"(?:at|arroba|@)", r"(?:dot|punkt|punto|point|\.)"
 _HIDDEN_DOT = rf"(?:\s*{_OPEN}{_DOT}{_CLOSE}\s*|\s+(?:dot|punkt|punto)\s+)"
 _DOT_MARK = re.compile(rf"(?<=[A-Za-z0-9])(?:{_HIDDEN_DOT})(?=[A-Za-z0-9])", re.IGNORECASE)
-_AT_MARK = re.compile(rf"(?<=[A-Za-z0-9._%+-])(?:\s*{_OPEN}{_AT}{_CLOSE}\s*(?={_LABEL})|\s+at\s+(?={_LABEL}(?:(?:{_HIDDEN_DOT}|\.){_LABEL})*(?:{_HIDDEN_DOT}|\.){_LAST}))", re.IGNORECASE)
+#: Words before "dot" that make it a noun; such a domain needs one of the last labels above.
+_NOUN = r"(?:the|an?|this|that|each|every|any|one|no|his|her|its|my|our|your|their|der|dem|den|einem|jedem|el|un|le|il|al)"
+_PLAIN_OR_LISTED = rf"{_LABEL}(?:(?:{_HIDDEN_DOT}|\.){_LABEL})*(?:{_HIDDEN_DOT}|\.){_LAST}"
+_SPELLED = rf"(?!{_NOUN}\s+(?:dot|punkt|punto)\s){_LABEL}(?:(?:{_HIDDEN_DOT}|\.){_LABEL})*{_HIDDEN_DOT}[A-Za-z]{{2,}}(?![A-Za-z0-9])"
+_AT_MARK = re.compile(rf"(?<=[A-Za-z0-9._%+-])(?:\s*{_OPEN}{_AT}{_CLOSE}\s*(?={_LABEL})|\s+at\s+(?={_PLAIN_OR_LISTED}|{_SPELLED}))", re.IGNORECASE)
 
 
 class Aligned:
@@ -146,8 +150,12 @@ def undo_lookalikes(t: Aligned) -> None:
 
 
 def undo_spelling(t: Aligned) -> None:
-    """Digit words become digits where another digit or digit word stands next to them; "plus" becomes a sign in front of one."""
+    """Digit words become digits where another digit or digit word stands next to them or beyond a mark for a dot; "plus" becomes a sign in front of one."""
     found = [(m.start(), m.end(), "+" if m[0].lower() == "plus" else DIGIT_WORDS[m[0].lower()]) for m in _DIGIT_WORD.finditer(t.text)]
+    if not found:
+        return
+    dots = [m.span() for m in _DOT_MARK.finditer(t.text)]
+    next_dot, last_dot = dict(dots), {end: start for start, end in dots}
     edits = []
     for i, (start, end, new) in enumerate(found):
         after = _GAP.match(t.text, end).end()
@@ -157,6 +165,12 @@ def undo_spelling(t: Aligned) -> None:
             gap += 1
         back = start - gap
         last_is = back > 0 and "0" <= t.text[back - 1] <= "9" or i > 0 and found[i - 1][1] == back
+        if new != "+" and end in next_dot:
+            after = next_dot[end]
+            next_is |= "0" <= t.text[after] <= "9" or i + 1 < len(found) and found[i + 1][0] == after
+        if new != "+" and start in last_dot:
+            back = last_dot[start]
+            last_is |= "0" <= t.text[back - 1] <= "9" or i > 0 and found[i - 1][1] == back
         if new == "+":
             edits += [(start, after, new)] if next_is else []
         elif next_is or last_is:
