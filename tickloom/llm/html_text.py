@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 # Kinds of elements in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head title script style template noscript iframe object svg math canvas audio video datalist select textarea map".split())
+UNSEEN = frozenset("head title script style template noscript iframe object svg math canvas audio video datalist".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table caption thead tbody tfoot tr td th ul".split()
 )
@@ -22,10 +22,12 @@ SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote article se
 _BLOCK_ENDS_P = BLOCK - {"body", "html", "caption", "thead", "tbody", "tfoot", "tr", "td", "th", "legend", "summary"}
 IMPLIED_END = {
     "p": _BLOCK_ENDS_P, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option", "optgroup"}, "tr": {"tr", "thead", "tbody", "tfoot"},
-    "td": {"td", "th", "tr", "thead", "tbody", "tfoot"}, "th": {"td", "th", "tr", "thead", "tbody", "tfoot"}, "thead": {"tbody", "tfoot"}, "tbody": {"tbody", "tfoot"}, "caption": {"thead", "tbody", "tfoot", "tr"}, "head": BLOCK - {"html"},
+    "td": {"td", "th", "tr", "thead", "tbody", "tfoot"}, "th": {"td", "th", "tr", "thead", "tbody", "tfoot"}, "thead": {"tbody", "tfoot"}, "tbody": {"tbody", "tfoot"}, "caption": {"thead", "tbody", "tfoot", "tr"},
 }
 #: Elements that an implied end does not reach through.
-WALLS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "thead": {"table"}, "tbody": {"table"}, "caption": {"table"}, "p": {"td", "th", "table", "button", "caption"}, "option": {"select"}, "head": set()}
+WALLS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "thead": {"table"}, "tbody": {"table"}, "caption": {"table"}, "p": {"td", "th", "table", "button", "caption"}, "option": {"select"}}
+#: Start tags that leave a head open; any other one, and text, ends it.
+HEAD = frozenset("base link meta title style script noscript template".split())
 _HIDDEN_STYLE = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.IGNORECASE)
 BULLET = "- "
 
@@ -56,6 +58,11 @@ class Tree(HTMLParser):
                 if name in WALLS[ended]:
                     break
 
+    def end_head(self, tag: str = "") -> None:
+        """A head without an end tag ends at a start tag or text of the body; what stands in a template or noscript is no part of it."""
+        if self.count.get("head") and tag not in HEAD and not self.count.get("template") and not self.count.get("noscript") and (self.open[-1].tag == "head" or tag in BLOCK):
+            self.cut(next(i for i, node in enumerate(self.open) if node.tag == "head"))
+
     def cut(self, i: int) -> None:
         for node in self.open[i:]:
             self.count[node.tag] -= 1
@@ -72,6 +79,7 @@ class Tree(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "html":
             return
+        self.end_head(tag)
         self.imply_ends(tag)
         top = self.open[-1].tag
         if tag in ("td", "th") and top in ("table", "thead", "tbody", "tfoot"):
@@ -97,6 +105,8 @@ class Tree(HTMLParser):
                 return  # a cell keeps stray end tags to itself
 
     def handle_data(self, data: str) -> None:
+        if self.open[-1].tag == "head" and data.strip():
+            self.end_head()
         self.open[-1].kids.append(data)
 
 
@@ -109,7 +119,7 @@ def parsed(html: str) -> Node:
 
 def seen(node: Node) -> bool:
     a = node.attrs
-    if node.tag in UNSEEN or "hidden" in a or (a.get("aria-hidden") or "").lower() == "true":
+    if node.tag in UNSEEN or "hidden" in a:
         return False
     if node.tag == "input":
         return False
@@ -217,8 +227,12 @@ def rendered(root: Node) -> str:
             stack.append((node, True))
             stack += [(kid, False) for kid in reversed(node.kids)]
         else:
-            if tag in ("button", "label"):
+            if tag in ("button", "label", "option", "optgroup", "textarea", "select"):
                 page.space = bool(page.now)
+            if tag in ("option", "optgroup", "textarea", "select"):
+                stack.append((" ", False))
+            if tag == "optgroup" and node.attrs.get("label"):
+                page.word(f"{node.attrs['label']} ")
             stack += [(kid, False) for kid in reversed(node.kids)]
     return page.text()
 
