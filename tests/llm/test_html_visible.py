@@ -1,5 +1,7 @@
 """Visible text of pages whose tags are left out or stand where they do not belong."""
 
+import random
+
 import pytest
 
 from tickloom.llm.html_text import html_to_text
@@ -14,3 +16,29 @@ from tickloom.llm.html_text import html_to_text
 )
 def test_visible(html, text):
     assert html_to_text(html) == text
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<table><tbody><form><tr><td>x<td>y</table>", "x | y"), ("<table><tr>stray<td>x</table>", "stray\nx"), ("<table><img alt=picture><tr><td>x</table>", "picture\nx"), ("<table><tbody>in <b>group</b><tr><td>x</tbody></table>", "in group\nx"), ("<table><colgroup><col><tr><td>x</table>", "x"),
+        ("<table><tr><form><td>a<td>b</form></table>", "a | b"), ("<table><tbody hidden><tr><td>no</tbody><tr><td>x</table>", "x"), ("<table><caption>cap</caption>s<tr><td><table><tr><td>in</table></table>", "cap\ns\nin"),
+    ],
+)
+def test_malformed_tables(html, text):
+    assert html_to_text(html) == text
+
+
+def test_no_word_of_a_malformed_table_is_lost():
+    rng = random.Random(7)
+    tags = ["table", "tbody", "thead", "tfoot", "tr", "tr", "td", "td", "th", "form", "div", "p", "b", "caption", "colgroup", "ul", "li"]
+    for _ in range(1500):
+        html, want = "<table>", []
+        for i in range(rng.randrange(1, 25)):
+            tag = rng.choice(tags)
+            html += rng.choice([f"<{tag}>", f"<{tag}>", f"</{tag}>", ""])
+            if rng.random() < 0.6:
+                want.append(f"w{i}x")
+                html += f" w{i}x " if rng.random() < 0.8 else f"<img alt=w{i}x>"
+        got = html_to_text(html)
+        assert sorted(w for w in got.split() if w[0] == "w") == sorted(want), html

@@ -237,15 +237,44 @@ def rendered(root: Node) -> str:
     return page.text()
 
 
-def table_rows(table: Node) -> Iterator[Node]:
-    stack = list(reversed(table.kids))
+def ancestors(top: Node, tags: tuple[str, ...]) -> set[int]:
+    """Identities of the elements under ``top`` that hold an element of ``tags``, tables within it left out."""
+    found, stack = set(), [(kid, (top, None)) for kid in top.kids]
+    while stack:
+        node, above = stack.pop()
+        if isinstance(node, str):
+            continue
+        if node.tag in tags:
+            while above and id(above[0]) not in found:
+                found.add(id(above[0]))
+                above = above[1]
+        elif node.tag != "table":
+            stack += [(kid, (node, above)) for kid in node.kids]
+    return found
+
+
+def parted(top: Node, tags: tuple[str, ...], groups: tuple[str, ...] = ()) -> tuple[list[Node], list[list[Node | str]]]:
+    """The visible elements of ``tags`` under ``top``, reached through groups and whatever else holds them; and the runs of all other visible nodes between."""
+    way, wanted, runs = ancestors(top, tags), [], [[]]
+    stack: list[Node | str | None] = list(reversed(top.kids))
     while stack:
         kid = stack.pop()
-        if isinstance(kid, Node) and seen(kid):
-            if kid.tag == "tr":
-                yield kid
-            elif kid.tag in ("thead", "tbody", "tfoot"):
-                stack += reversed(kid.kids)
+        if kid is None:
+            runs.append([])
+        elif isinstance(kid, str):
+            runs[-1].append(kid)
+        elif seen(kid):
+            if kid.tag in tags:
+                wanted.append(kid)
+                runs.append([])
+            elif kid.tag in groups or id(kid) in way:
+                runs.append([])
+                stack += [None, *reversed(kid.kids)]
+            elif kid.tag == "caption":
+                runs += [[kid], []]
+            else:
+                runs[-1].append(kid)
+    return wanted, runs
 
 
 def whole(value: str | None) -> int:
@@ -253,21 +282,21 @@ def whole(value: str | None) -> int:
 
 
 def table_lines(table: Node) -> list[str]:
-    """A table's caption and stray text, then its rows with cells padded to their columns' widths; cells of several lines keep them."""
+    """A table's caption and all text outside its cells, then its rows with cells padded to their columns' widths; cells of several lines keep them."""
+    table_rows, runs = parted(table, ("tr",), ("thead", "tbody", "tfoot"))
+    rows = [parted(row, ("td", "th")) for row in table_rows]
     out = []
-    for kid in table.kids:
-        if isinstance(kid, str) and kid.strip():
-            out.append(" ".join(kid.split()))
-        elif isinstance(kid, Node) and kid.tag not in ("tr", "thead", "tbody", "tfoot", "col", "colgroup") and seen(kid):
-            out += rendered_inside(kid).split("\n")
+    for run in [*runs, *(run for _, strays in rows for run in strays)]:
+        if text := rendered_inside(run):
+            out += text.split("\n")
     grid, down = [], {}
-    for row in table_rows(table):
+    for row, _ in rows:
         cells, at = {}, 0
-        for cell in (k for k in row.kids if isinstance(k, Node) and seen(k)):
+        for cell in row:
             while down.get(at, 0):
                 down[at] -= 1
                 at += 1
-            cells[at] = rendered_inside(cell).split("\n")
+            cells[at] = rendered_inside(cell.kids).split("\n")
             span, rows = whole(cell.attrs.get("colspan")), whole(cell.attrs.get("rowspan"))
             for c in range(at, at + span):
                 if rows > 1:
@@ -286,9 +315,9 @@ def table_lines(table: Node) -> list[str]:
     return out
 
 
-def rendered_inside(cell: Node) -> str:
+def rendered_inside(kids: list) -> str:
     holder = Node("div", {})
-    holder.kids = cell.kids
+    holder.kids = kids
     return rendered(holder)
 
 
