@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, decontaminate, html_text, pii, quality_model, quality_rules, revisits, sharding, simhash, token_counts
+from tickloom.llm import bpe, decontaminate, html_text, near_copies, pii, quality_model, quality_rules, revisits, sharding, simhash, token_counts
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 BPE_FILE, PIECE_FILE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -332,7 +332,31 @@ def test_simhash_query(docs, edge):
     assert kept.columns == edge.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [0, 3, 4, 5, 7, 8, 9]
 
 
-@pytest.mark.parametrize("bucket, distance", [(10_000, 2), (20, 2), (20, 1)])
+def test_keep_first_judges_rows_not_keys(spark):
+    """One key on rows of different texts, repeated rows, null keys, a map column: no text is lost, each stays once."""
+    one, two = "one text of some words", "another text that is quite different"
+    rows = [(1, one, {"a": 1}), (5, two, None), (5, one, None), (5, two, {"b": 2}), (None, one, None), (None, None, {})]
+    df = spark.createDataFrame(rows, "doc_id long, text string, text_hash map<string,int>")
+    for keep in (simhash.keep_first, near_copies.keep_first):
+        kept = keep(df)
+        assert kept.columns == df.columns
+        assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == sorted([("1", one), ("5", two), ("None", one), ("None", "None")])
+
+
+@pytest.mark.parametrize("segments, distance", [(16, 1), (16, 2), (16, 3), (8, 2)])
+def test_near_pairs_share_a_key_at_every_level(segments, distance):
+    rng = random.Random(6)
+    width = 64 // segments
+    for level in range(distance):
+        masks = simhash.ring_masks(segments, distance, level)
+        for _ in range(500):
+            x = sum(1 << b for b in rng.sample(range(64), rng.randrange(distance + 1)))
+            starts = [s for s in range(segments) if simhash.chains_hold(np.array([x], np.uint64), s, segments, distance)[0]]
+            turned = [(x << s * width | x >> (64 - s * width)) & ((1 << 64) - 1) for s in starts]
+            assert starts and all(any(not t & m for m in masks) for t in turned)
+
+
+@pytest.mark.parametrize("bucket, distance", [(10_000, 2), (20, 2), (20, 1), (5, 3)])
 def test_crowded_fingerprints(spark, bucket, distance):
     """A large near-copy group: whichever way it is linked, its components are those of all pairs."""
     rng = np.random.default_rng(0)

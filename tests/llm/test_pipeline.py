@@ -1,7 +1,8 @@
 """The pipeline against a plain version of each stage."""
 
 import corpus_pipeline
-from test_llm import BPE_FILE, plain_components, plain_hits, plain_pii, plain_print
+from test_llm import BPE_FILE, plain_hits, plain_pii
+from test_near_copies import all_pairs
 
 from tickloom.llm import bpe, pii, quality_model
 
@@ -15,7 +16,7 @@ def test_pipeline_against_plain(spark):
     rows = sorted(docs.collect(), key=lambda r: r.doc_id)
     scores = trees.score(np.array([quality_model.statistics(r.text) for r in rows]))
     rows = [r for r, s in zip(rows, scores) if s >= 0.5]
-    first = plain_components([plain_print(r.text) for r in rows])
+    first, _ = all_pairs([r.text for r in rows])
     rows = [r for i, r in enumerate(rows) if first[i] == i]
     hits = plain_hits([r.text for r in rows], [(i.item_id, i.text) for i in items.collect()])
     rows = [r for r, h in zip(rows, hits) if not h[1]]

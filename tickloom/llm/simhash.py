@@ -8,16 +8,19 @@ segments must agree, so the first ones of a chain are an equi-join key; the
 longer chains prune what the key lets through, and the full Hamming check
 follows.
 
-A key shared by more than ``BUCKET`` distinct fingerprints is not compared pair
-by pair.  Its fingerprints go another, equally exact way: two fingerprints
-within two bits have a common neighbour at one bit, so each is sent to its 64
-neighbours and itself, and those that meet there are linked.  At most 65 can
-meet at one place, however large the group is.
+A key shared by more than ``BUCKET`` distinct fingerprints is divided by further
+segments of the ring.  Behind the segments that must agree come those over which
+a chain may gain one bit, then two, and so on; so of the first of these blocks
+all segments but one agree, of the next all but two.  Each choice of the segments
+left out gives a longer key.  For two bits and sixteen segments such a key fixes
+56 of the 64 bits, so at most 256 fingerprints share one, however large the
+group is.  The chain test and the Hamming check decide at every level.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations, product
 
 import numpy as np
 import pandas as pd
@@ -65,11 +68,23 @@ def ring_shape(segments: int = SEGMENTS, distance: int = DISTANCE, bits: int = B
     return bits // segments, (segments - 1) // distance
 
 
-def ring_keys(fp: Column, segments: int = SEGMENTS, distance: int = DISTANCE) -> Column:
-    """Array of (start, key): for each start, the fingerprint turned so that the chain's first segments are its top bits, cut to those that must agree."""
+def ring_masks(segments: int = SEGMENTS, distance: int = DISTANCE, level: int = 0) -> list[int]:
+    """The bits, from a chain's first segment on, that a key of this level holds; near pairs agree in one of them at least."""
     width, agree = ring_shape(segments, distance)
+    one = lambda i: ((1 << width) - 1) << (BITS - (i + 1) * width)
+    masks = [sum(map(one, range(agree)))]
+    for extra in range(1, level + 1):  # a chain as long as one of this block may have gained ``extra`` bits
+        block = [i for i in range(segments) if (i + 1) * distance // segments == extra]
+        masks = [m + sum(one(i) for i in block if i not in out) for m, out in product(masks, combinations(block, min(extra, len(block))))]
+    return masks
+
+
+def ring_keys(fp: Column, segments: int = SEGMENTS, distance: int = DISTANCE, level: int = 0) -> Column:
+    """Array of (start, choice, key): for each start the fingerprint turned so that the chain comes first, cut to the bits of each of the level's masks."""
+    width, _ = ring_shape(segments, distance)
     turned = [fp if not i else F.shiftleft(fp, i * width).bitwiseOR(F.shiftrightunsigned(fp, BITS - i * width)) for i in range(segments)]
-    return F.array(*[F.struct(F.lit(i).alias("start"), F.shiftrightunsigned(t, BITS - agree * width).alias("key")) for i, t in enumerate(turned)])
+    masks = [m - (1 << BITS) if m >> (BITS - 1) else m for m in ring_masks(segments, distance, level)]
+    return F.array(*[F.struct(F.lit(i).alias("start"), F.lit(c).alias("choice"), t.bitwiseAND(F.lit(m)).alias("key")) for i, t in enumerate(turned) for c, m in enumerate(masks)])
 
 
 def chains_hold(differ: np.ndarray, start: int, segments: int, distance: int) -> np.ndarray:
@@ -118,38 +133,51 @@ def ring_links(segments: int, distance: int):
 
 
 def near_links(fps: DataFrame, segments: int = SEGMENTS, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
-    """Links (a > b) between the distinct fingerprints of ``fps`` (column fp): their components are those of all pairs within ``distance`` bits."""
-    if distance > 2:
-        raise ValueError("full buckets are linked exactly for a distance of 2 or less only")
-    keyed = fps.select("fp", F.inline(ring_keys(F.col("fp"), segments, distance)))
-    ordered = Window.partitionBy("start", "key").orderBy("fp")
-    few = keyed.withColumn("nth", F.row_number().over(ordered)).where(F.col("nth") <= bucket + 1)
-    buckets = few.groupBy("start", "key").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1)
-    buckets = settle(buckets)
-    small = buckets.where(F.size("members") <= bucket).mapInPandas(ring_links(segments, distance), "a long, b long")
-    full = buckets.where(F.size("members") > bucket).select("start", "key")
-    crowded = keyed.join(full, ["start", "key"]).select("fp").distinct()
-    reach = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(BITS)])
-    if distance == 2:
-        met = crowded.select("fp", F.explode(reach).alias("place")).groupBy("place").agg(F.min("fp").alias("least"), F.collect_list("fp").alias("members")).where(F.size("members") > 1)
-        pairs = met.select("least", F.explode("members").alias("fp"))
-    else:  # a and b within one bit: one is among the places of the other
-        pairs = crowded.select(F.col("fp").alias("least"), F.explode(reach).alias("fp")).join(crowded, "fp", "left_semi")
-    large = pairs.where("fp <> least").select(F.greatest("fp", "least").alias("a"), F.least("fp", "least").alias("b"))
-    turned = small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    return turned.union(large).distinct()
-
-
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+    """Links (a > b) between the distinct fingerprints of ``fps`` (column fp): their components are those of all pairs within ``distance`` bits.
+
+    Buckets of more than ``bucket`` fingerprints are divided, level by level; what
+    the last level holds together is compared whatever its size, which the bits
+    left free by its masks bound.
+    """
+    place, found = ["start", "choice", "key"], []
+    for level in range(distance):
+        keyed = fps.select("fp", F.inline(ring_keys(F.col("fp"), segments, distance, level)))
+        if level:  # only the members of crowded buckets come this far, each where it was crowded
+            keyed = keyed.join(crowded, (keyed["start"] == crowded["in_start"]) & (keyed["fp"] == crowded["in_fp"]), "left_semi")
+        last = level == distance - 1
+        if last:
+            buckets = settle(keyed.groupBy(*place).agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1))
+            small = buckets
+        else:
+            ordered = Window.partitionBy(*place).orderBy("fp")
+            few = keyed.withColumn("nth", F.row_number().over(ordered)).where(F.col("nth") <= bucket + 1)
+            buckets = settle(few.groupBy(*place).agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1))
+            small = buckets.where(F.size("members") <= bucket)
+        found.append(small.mapInPandas(ring_links(segments, distance), "a long, b long"))
+        if last:
+            break
+        full = buckets.where(F.size("members") > bucket).select(*place)
+        crowded = settle(keyed.join(full, place, "left_semi").select(F.col("fp").alias("in_fp"), F.col("start").alias("in_start")).distinct())
+        if crowded.isEmpty():
+            break
+        fps = crowded.select(F.col("in_fp").alias("fp")).distinct()
+    links = found[0]
+    for more in found[1:]:
+        links = links.union(more)
+    return links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node in ``links`` (a > b), the root being the least node it reaches.
 
     Alternates two steps until nothing changes: each node hangs its larger
     neighbours on its least neighbour, then each node hangs its smaller
-    neighbours, and itself, on the least of them.  What is left are stars.
+    neighbours, and itself, on the least of them.  What is left are stars.  The
+    number of rounds grows with the logarithm of the longest chain.
     """
     links = settle(links)
     seen = None
-    for _ in range(rounds):
+    while True:
         least = links.groupBy("a").agg(F.min("b").alias("m"))
         big = links.join(least.withColumnRenamed("a", "b"), "b", "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
         least = big.groupBy("a").agg(F.min("b").alias("m"))
@@ -159,41 +187,52 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if now == seen:
             return links.select(F.col("a").alias("node"), F.col("b").alias("root")).union(links.select("b", "b").distinct())
         seen = now
-    raise RuntimeError("components did not settle")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", segments: int = SEGMENTS, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
-    """One row per row of ``docs``: the key, ``fp`` (signed 64-bit fingerprint) and ``component_id``, the least key its fingerprint reaches.
+    """One row per row of ``docs``: the key, ``text_hash``, ``fp`` (signed 64-bit fingerprint) and ``component_id``, the least key its fingerprint reaches.
 
     Texts without words, null texts among them, have fingerprint 0 and link like
     any other.  Rows with a null key stay, but name no component (a component of
     such rows only has a null id).  Repeated rows and equal texts share a
     component; other columns are not read.  An empty table gives an empty result.
+    A fingerprint shared by very many rows is one row of the link search; the
+    joins that carry its component back leave its rows to adaptive skew splitting.
     """
-    prints = settle(docs.select(F.col(key).alias("key"), fingerprint_column(F.col(text)).alias("fp")))
+    prints = settle(docs.select(F.col(key).alias("key"), text_hash(text).alias("text_hash"), fingerprint_column(F.col(text)).alias("fp")))
     first = prints.groupBy("fp").agg(F.min("key").alias("first"))
     roots = components(near_links(first.select("fp"), segments, distance, bucket))
     placed = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = placed.join(placed.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
-    return prints.join(named, "fp").select(F.col("key").alias(key), "fp", "component_id")
+    return prints.join(named, "fp").select(F.col("key").alias(key), "text_hash", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``docs`` without near duplicates: of each component the row of the least key stays, with all its columns.
+def text_hash(text: str) -> Column:
+    """Tells the texts of rows with one key apart."""
+    return F.xxhash64(F.col(text).isNull(), F.col(text))
 
-    Rows with a null key stay.  Of rows that share the least key of their
-    component one stays, the first by all printable columns' hash.
-    """
-    return first_of_each(docs, near_duplicates(docs, text, key), key)
 
+def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``docs`` without near duplicates: of each component one row stays, with all its columns.
 
-def first_of_each(docs: DataFrame, found: DataFrame, key: str) -> DataFrame:
-    """The rows of ``docs`` whose key is the component_id of ``found``, one for each, and those with a null key."""
-    firsts = found.where(F.col(key) == F.col("component_id")).select(key).distinct()
-    kept = docs.join(firsts, key, "left_semi")
-    again = free_name(docs, "nth")
-    once = Window.partitionBy(key).orderBy(F.xxhash64(*[F.col(c) for c in docs.columns]))
-    kept = kept.withColumn(again, F.row_number().over(once)).where(F.col(again) == 1).drop(again)
+    It is the row of the least key; of rows with that key in the component, the
+    one of the least text hash, then of the least hash over all columns that can
+    be hashed.  Rows with a null key all stay.  A key may stand on several rows
+    with different texts; each is judged by its own text.
+    """
+    return first_of_each(docs, near_duplicates(docs, text, key), text, key)
+
+
+def first_of_each(docs: DataFrame, found: DataFrame, text: str, key: str) -> DataFrame:
+    """The row of ``docs`` with the least (key, text hash) of each component in ``found`` (key, text_hash, component_id), and the rows with a null key."""
+    firsts = found.where(F.col(key).isNotNull()).groupBy("component_id").agg(F.min(F.struct(F.col(key).alias("k"), F.col("text_hash").alias("h"))).alias("f"))
+    firsts = firsts.select("f.k", "f.h").distinct()
+    name, again = free_name(docs, "text_hash"), free_name(docs, "nth")
+    hashed = docs.withColumn(name, text_hash(text))
+    kept = hashed.join(firsts, (F.col(key) == firsts["k"]) & (F.col(name) == firsts["h"]), "left_semi")
+    sortable = [F.col(f"`{f.name}`") for f in docs.schema.fields if not any(kind in f.dataType.simpleString() for kind in ("map<", "variant"))]
+    once = Window.partitionBy(key, name).orderBy(F.xxhash64(*sortable))
+    kept = kept.withColumn(again, F.row_number().over(once)).where(F.col(again) == 1).drop(again, name)
     return kept.union(docs.where(F.col(key).isNull()))
 
 
