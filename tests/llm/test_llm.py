@@ -275,6 +275,39 @@ def test_decontamination_against_plain(spark, shard_bytes, item_bytes):
     found = decontaminate.find_matches(df, spark.createDataFrame(items, "item_id long, text string"), shard_bytes=shard_bytes, item_bytes=item_bytes)
     got = {r.doc_id: (r.hits["n_words"], r.n, r.hits["items"]) for r in found.withColumn("n", decontaminate.n_hit()).collect()}
     assert [got[i] for i in range(len(texts))] == plain_hits(texts, items)
+    cut = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lowered(t))
+    for r in found.collect():  # the longest match of a window that goes on is the longest common run of words
+        w, runs = cut(texts[r.doc_id]), [0]
+        for v in (cut(t) for _, t in items):
+            for i in range(len(w)):
+                for j in range(len(v)):
+                    n = 0
+                    while i + n < len(w) and j + n < len(v) and w[i + n] == v[j + n]:
+                        n += 1
+                    runs.append(n if n >= min(10, len(v)) else 0)
+        assert max(runs) == (r.hits.longest.words if r.hits.longest else 0)
+        if r.hits.longest:
+            ours = " ".join(w[r.hits.longest.start : r.hits.longest.start + r.hits.longest.words])
+            assert f" {ours} " in f" {' '.join(cut(dict((str(k), t) for k, t in items)[r.hits.longest.item]))} "
+
+
+def test_blocks_of_items_keep_the_columns(spark):
+    """Columns named like helpers stay, however many blocks the items fill; and a hash alone makes no hit."""
+    df = spark.createDataFrame([(1, "a b c", "mine", "too"), (2, None, None, None)], "doc_id long, text string, hits_more string, hits_found string")
+    items = spark.createDataFrame([(i, f"a b {'x' * i}") for i in range(20)] + [(99, "b c")], "item_id long, text string")
+    for size in (1 << 24, 300):
+        out = decontaminate.find_matches(df, items, item_bytes=size)
+        assert out.columns == [*df.columns, "hits"]
+        assert [(r.hits_more, r.hits_found, r.hits["items"]) for r in out.orderBy("doc_id").collect()] == [("mine", "too", ["0", "99"]), (None, None, [])]
+
+
+def test_words_are_compared_byte_by_byte(monkeypatch):
+    monkeypatch.setattr(decontaminate, "word_hashes", lambda low, starts, ends: np.full(len(starts), 5, np.uint64) + (low[starts] == ord("z")))
+    items = decontaminate.Items(["i", "j"], ["a b c", "aa bb"])
+    raw = b"q a b c z aa bb a"
+    shard = decontaminate.Shard(np.frombuffer(raw, np.uint8), np.array([0, len(raw) + 1]), items.longest)
+    spans, named, longest = shard.hits(items, shard.search(items))
+    assert spans == [[{"start": 1, "end": 4}, {"start": 5, "end": 7}]] and named == [["i", "j"]] and longest == [{"words": 3, "start": 1, "item": "i"}]
 
 
 def test_decontamination_query(spark, docs, edge):

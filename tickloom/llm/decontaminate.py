@@ -4,8 +4,13 @@ Every task turns the documents it holds into shards of bounded size.  A shard's
 words become numbers, and the suffixes that start at each word are sorted.  All
 suffixes of the test items are then located in the shard by binary search, one
 word deeper at a time, which yields for each test suffix the longest verbatim
-match in the shard and the places of every match that is long enough.  A
-document lies whole in one shard, so nothing is shuffled.
+match in the shard and the places of every match that is long enough.  Words are
+told apart by hashes in the search; the words of what it finds are then compared
+byte by byte.  A document lies whole in one shard, so nothing is shuffled.
+
+Test items are held in blocks of bounded size, one at a time on the driver and in
+the tasks.  The usual benchmark is one block.  Of a larger one each further block
+is a pass over the documents, whose hits so far are written to the shared folder.
 """
 
 from __future__ import annotations
@@ -19,6 +24,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.llm.common import free_name, settle
+
 WINDOW = 10
 #: Bytes of text in a shard (one document may exceed it), and of test items held by a task at once.
 SHARD_BYTES, ITEM_BYTES = 4 << 20, 16 << 20
@@ -89,12 +96,21 @@ class Items:
 
     def __init__(self, ids: list, texts: list):
         numbers, first, item, self.ids = [], [], [], ids
+        bytes_, starts, ends, at = [], [], [], 0
         for i, text in enumerate(texts):
             raw = np.frombuffer((text or "").encode(), np.uint8)
-            hashes = word_hashes(*words_of(raw))
+            low, start, end = words_of(raw)
+            hashes = word_hashes(low, start, end)
             item.append(np.full(len(hashes), i))
             numbers.append(hashes)
             first.append(len(hashes))
+            bytes_.append(low)
+            starts.append(start + at)
+            ends.append(end + at)
+            at += len(low)
+        #: The items' lower-cased bytes, and where each word lies in them.
+        self.low = np.concatenate([*bytes_, np.zeros(0, np.uint8)])
+        self.starts, self.ends = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (starts, ends))
         self.words = np.concatenate([*numbers, np.zeros(0, np.uint64)])
         self.item = np.concatenate([*item, np.zeros(0, np.int64)]).astype(np.int64)
         self.size = np.array(first, np.int64)
@@ -109,13 +125,13 @@ class Items:
 
 @dataclass
 class Matches:
-    """Per test suffix: words of its longest match in the shard and one place of it; and every (place, words, item) of a window."""
+    """Per test suffix: words of its longest match in the shard and one place of it; and every (place, words, test suffix) of a window."""
 
     length: np.ndarray
     place: np.ndarray
     at: np.ndarray
     words: np.ndarray
-    item: np.ndarray
+    suffix: np.ndarray
 
 
 class Shard:
@@ -206,34 +222,67 @@ class Shard:
             if done.any():
                 sizes = (high - low)[done]
                 step = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                out.append((self.order[np.repeat(low[done], sizes) + step], np.full(len(step), depth), np.repeat(items.item[live[done]], sizes)))
+                out.append((self.order[np.repeat(low[done], sizes) + step], np.full(len(step), depth), np.repeat(live[done], sizes)))
             on = items.left[live] > depth
             live, low, high = live[on], low[on], high[on]
-        at, words, item = (np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.int64) for i in range(3))
-        return Matches(length, place, at, words, item)
+        at, words, suffix = (np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.int64) for i in range(3))
+        return Matches(length, place, at, words, suffix)
+
+    def same_words(self, items: Items, at: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Whether the words at these places of the shard are, byte by byte, these words of the items."""
+        mine = at - np.searchsorted(self.doc_end, at)  # the marks in front are no words
+        start, size = self.starts[mine], self.ends[mine] - self.starts[mine]
+        same = size == items.ends[word] - items.starts[word]
+        alike = np.flatnonzero(same)
+        if len(alike):
+            size = size[alike]
+            within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            bytes_ = self.low[np.repeat(start[alike], size) + within] == items.low[np.repeat(items.starts[word[alike]], size) + within]
+            same[alike] = np.logical_and.reduceat(bytes_, np.cumsum(size) - size)
+        return same
+
+    def proven(self, items: Items, found: Matches) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(place, words, test suffix, longest) of the windows that agree byte by byte; ``longest`` counts the words over which the match goes on."""
+        at, words, suffix = found.at, found.words, found.suffix
+        for lead in range(int(words.max(initial=0))):
+            on = np.flatnonzero(words > lead)
+            ok = np.ones(len(at), bool)
+            ok[on] = self.same_words(items, at[on] + lead, suffix[on] + lead)
+            at, words, suffix = at[ok], words[ok], suffix[ok]
+        longest, live = words.copy(), np.arange(len(at))
+        while len(live):
+            live = live[(longest[live] < items.left[suffix[live]]) & (self.text[np.minimum(at[live] + longest[live], len(self.text) - 1)] >= self.first)]
+            live = live[self.same_words(items, at[live] + longest[live], suffix[live] + longest[live])]
+            longest[live] += 1
+        return at, words, suffix, longest
 
-    def hits(self, items: Items, found: Matches) -> tuple[list[list[dict]], list[list[int]]]:
-        """For each document: the merged spans of hit words [start, end), and its items."""
+    def hits(self, items: Items, found: Matches) -> tuple[list[list[dict]], list[list[int]], list[dict | None]]:
+        """For each document: the merged spans of hit words [start, end), its items, and its longest match."""
         docs = len(self.count)
         spans: list[list[dict]] = [[] for _ in range(docs)]
         named: list[list[int]] = [[] for _ in range(docs)]
-        if len(found.at):
+        longest: list[dict | None] = [None] * docs
+        at, words, suffix, most = self.proven(items, found)
+        if len(at):
             cover = np.zeros(len(self.text) + 1, np.int64)
-            np.add.at(cover, found.at, 1)
-            np.add.at(cover, found.at + found.words, -1)
+            np.add.at(cover, at, 1)
+            np.add.at(cover, at + words, -1)
             hit = np.concatenate(([0], (np.cumsum(cover[:-1]) > 0).astype(np.int8), [0]))
             edges = np.flatnonzero(hit[1:] != hit[:-1])
             begins = np.concatenate(([0], self.doc_end[:-1] + 1))
             for s, e, d in zip(edges[::2].tolist(), edges[1::2].tolist(), np.searchsorted(self.doc_end, edges[::2]).tolist()):
                 spans[d].append({"start": s - int(begins[d]), "end": e - int(begins[d])})
-            pairs = np.unique(np.searchsorted(self.doc_end, found.at) * len(items.ids) + found.item)
-            for p in pairs.tolist():
+            doc, item = np.searchsorted(self.doc_end, at), items.item[suffix]
+            for p in np.unique(doc * len(items.ids) + item).tolist():
                 named[p // len(items.ids)].append(items.ids[p % len(items.ids)])
-        return spans, named
+            for i in np.lexsort((item, at, -most)).tolist():
+                if longest[d := int(doc[i])] is None:
+                    longest[d] = {"words": int(most[i]), "start": int(at[i] - begins[d]), "item": items.ids[item[i]]}
+        return spans, named, longest
 
 
-HITS = "n_words long, spans array<struct<start: long, end: long>>, items array<string>"
-_HITS_ARROW = [pa.field("n_words", pa.int64()), pa.field("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.field("items", pa.list_(pa.string()))]
+HITS = "n_words long, spans array<struct<start: long, end: long>>, items array<string>, longest struct<words: long, start: long, item: string>"
+_HITS_ARROW = [pa.field("n_words", pa.int64()), pa.field("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.field("items", pa.list_(pa.string())), pa.field("longest", pa.struct([("words", pa.int64()), ("start", pa.int64()), ("item", pa.string())]))]
 
 
 def _shards(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
@@ -249,19 +298,19 @@ def _shards(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
 
 
 def search_column(items: Items, shard_bytes: int):
-    """Column function text -> (n_words, spans, items)."""
+    """Column function text -> (n_words, spans, items, longest)."""
+
     @F.arrow_udf(HITS)
     def search(texts: pa.Array) -> pa.Array:
-        rows: list[list] = [[], [], []]
+        rows: list[list] = [[], [], [], []]
         for low, high in _shards(texts, shard_bytes):
-            part = [(t or "").encode() for t in texts.slice(low, high - low).to_pylist()]
-            raw = np.frombuffer(b" ".join(part), np.uint8)
-            offsets = np.cumsum([0, *(len(p) + 1 for p in part)])
+            encoded = [(t or "").encode() for t in texts.slice(low, high - low).to_pylist()]
+            raw = np.frombuffer(b" ".join(encoded), np.uint8)
+            offsets = np.cumsum([0, *(len(t) + 1 for t in encoded)])
             shard = Shard(raw, offsets, items.longest)
-            spans, named = shard.hits(items, shard.search(items))
-            rows[0] += shard.count.tolist()
-            rows[1] += spans
-            rows[2] += named
+            spans, named, longest = shard.hits(items, shard.search(items))
+            for kept, part in zip(rows, (shard.count.tolist(), spans, named, longest)):
+                kept += part
         return pa.StructArray.from_arrays([pa.array(r, f.type) for r, f in zip(rows, _HITS_ARROW)], fields=_HITS_ARROW)
 
     return search
@@ -285,7 +334,10 @@ def _merge(spans):
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", into: str = "hits", shard_bytes: int = SHARD_BYTES, item_bytes: int = ITEM_BYTES) -> DataFrame:
-    """``docs`` with ``into``: n_words, merged spans of hit words [start, end) and the ids (as text) of the items with a window in the document.
+    """``docs`` with ``into``: n_words, merged spans of hit words [start, end), the ids (as text) of the items with a window in the document, and ``longest``.
+
+    ``longest`` (words, start, item) is the document's longest verbatim match with
+    an item, of equal ones the first; it is null where no window matches.
 
     Null texts have no words; so do empty ones.  Items without words match
     nothing; items with one id or text may repeat (an id is named once).  Null
@@ -293,20 +345,21 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", into
     through; a column named ``into`` is replaced.  Repeated documents are judged
     alike; no documents or no items give no hits.
     """
-    out, single = docs, None
-    blocks = list(item_blocks(benchmark, item_bytes)) or [Items([], [])]
-    for items in blocks:
+    out, name = docs, free_name(docs, f"{into}_found")
+    for k, items in enumerate(item_blocks(benchmark, item_bytes)):
         got = search_column(items, shard_bytes)(F.col(text))
-        if single is None:
-            single = got
-            out = out.withColumn(into, got)
-        else:
-            part = f"{into}_more"
-            out = out.withColumn(part, got)
-            merged = F.struct(F.col(f"{into}.n_words").alias("n_words"), _merge(F.concat(f"{into}.spans", f"{part}.spans")).alias("spans"), F.concat(f"{into}.items", f"{part}.items").alias("items"))
-            out = out.withColumn(into, merged).drop(part)
-    names = F.array_sort(F.array_distinct(F.filter(f"{into}.items", lambda x: x.isNotNull())))
-    return out.withColumn(into, F.struct(F.col(f"{into}.n_words").alias("n_words"), F.col(f"{into}.spans").alias("spans"), names.alias("items")))
+        if not k:
+            out = out.withColumn(name, got)
+            continue
+        out, part = settle(out), free_name(out, f"{into}_more")  # one block at a time is held
+        out = out.withColumn(part, got)
+        had, more = F.col(name), F.col(part)
+        best = F.when(more["longest"]["words"] > F.coalesce(had["longest"]["words"], F.lit(0)), more["longest"]).otherwise(had["longest"])
+        merged = F.struct(had["n_words"].alias("n_words"), _merge(F.concat(had["spans"], more["spans"])).alias("spans"), F.concat(had["items"], more["items"]).alias("items"), best.alias("longest"))
+        out = out.withColumn(name, merged).drop(part)
+    hits = F.col(name)
+    names = F.array_sort(F.array_distinct(F.filter(hits["items"], lambda x: x.isNotNull())))
+    return out.withColumn(into, F.struct(hits["n_words"].alias("n_words"), hits["spans"].alias("spans"), names.alias("items"), hits["longest"].alias("longest"))).drop(name)
 
 
 def n_hit(hits: str = "hits"):
@@ -315,8 +368,6 @@ def n_hit(hits: str = "hits"):
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The documents without a window of any item, with their columns as they were."""
-    from tickloom.llm.common import free_name
-
     name = free_name(docs, "hits")
     return find_matches(docs, benchmark, text, name).where(F.size(f"{name}.spans") == 0).drop(name)
 
