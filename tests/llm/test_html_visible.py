@@ -29,6 +29,22 @@ def test_malformed_tables(html, text):
     assert html_to_text(html) == text
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b>no</div>", "yes"), ("<svg><title>no</title><desc>no</desc><text>drawn</text><text>too</text></svg>", "drawn too"), ("<dialog>no</dialog><dialog open>yes</dialog>", "yes"),
+        ("<style>.a, p#b {display:none} i{visibility:hidden} @media print {u{display:none}}</style><p class='x a'>no<p id=b>no<p>y<i>no</i><u>es</u>", "yes"), ("<style>.a{display:none}</style><p class=a style='display:block'>shown", "shown"),
+        ("<table style='visibility:hidden'><tr><td>no<td><b style='visibility:visible'>yes</b></table>", "| yes"), ("<table><tr><td colspan=1000>wide<tr><td>a<td>b</table>", "wide |\na    | b"), ("<table><tr><td rowspan=70000>x<td>1<tr><td>2<tr><td>3</table>", "x | 1\n  | 2\n  | 3"), ("<table><tr><td colspan=0>a<td colspan=x>b</table>", "a | b"),
+    ],
+)
+def test_visibility_and_spans(html, text):
+    assert html_to_text(html).strip() == text
+
+
+def test_deep_tables_keep_their_layout():
+    assert html_to_text("<table><tr><td>a<td>" * 3000 + "x").endswith("x") and html_to_text("<table><tr><td>a<td>" * 3 + "x") == "a | a | a | x"
+
+
 def test_no_word_of_a_malformed_table_is_lost():
     rng = random.Random(7)
     tags = ["table", "tbody", "thead", "tfoot", "tr", "tr", "td", "td", "th", "form", "div", "p", "b", "caption", "colgroup", "ul", "li"]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 # Kinds of elements in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head title script style template noscript iframe object svg math canvas audio video datalist".split())
+UNSEEN = frozenset("head title script style template noscript iframe object canvas audio video datalist input".split())
+#: Parts of a drawing that are not drawn.
+UNDRAWN = frozenset("desc defs metadata symbol clippath mask marker pattern".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table caption thead tbody tfoot tr td th ul".split()
 )
@@ -28,15 +30,27 @@ IMPLIED_END = {
 WALLS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "thead": {"table"}, "tbody": {"table"}, "caption": {"table"}, "p": {"td", "th", "table", "button", "caption"}, "option": {"select"}}
 #: Start tags that leave a head open; any other one, and text, ends it.
 HEAD = frozenset("base link meta title style script noscript template".split())
-_HIDDEN_STYLE = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.IGNORECASE)
+_DISPLAY = re.compile(r"(?:^|[;\s])display\s*:\s*([a-z-]+)", re.IGNORECASE)
+_VISIBILITY = re.compile(r"(?:^|[;\s])visibility\s*:\s*([a-z]+)", re.IGNORECASE)
+_COMMENT, _AT_RULE = re.compile(r"/\*.*?\*/", re.DOTALL), re.compile(r"@[^{};]*(?:;|\{(?:[^{}]*\{[^{}]*\})*[^{}]*\})")
+_RULE, _SIMPLE = re.compile(r"([^{}]+)\{([^{}]*)\}"), re.compile(r"\s*([A-Za-z][\w-]*)?([.#][\w-]+)?\s*$")
+#: HTML's own bounds on the columns and rows of a cell.
+MOST_COLUMNS, MOST_ROWS = 1000, 65_534
 BULLET = "- "
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids")
+    """An element; ``shown`` is whether it has a box at all, ``visible`` whether its own text can be seen."""
+
+    __slots__ = ("tag", "attrs", "kids", "shown", "visible")
 
     def __init__(self, tag: str, attrs: dict):
-        self.tag, self.attrs, self.kids = tag, attrs, []
+        self.tag, self.attrs, self.kids, self.shown, self.visible = tag, attrs, [], True, True
+
+    @property
+    def contents(self) -> list:
+        """Elements, and the text if it can be seen; the elements may be visible where their parent is not."""
+        return self.kids if self.visible else [kid for kid in self.kids if not isinstance(kid, str)]
 
 
 class Tree(HTMLParser):
@@ -47,6 +61,7 @@ class Tree(HTMLParser):
         self.root = Node("html", {})
         self.open = [self.root]
         self.count: dict[str, int] = {"html": 1}
+        self.styles: list[str] = []
 
     def imply_ends(self, tag: str) -> None:
         for ended in [t for t, starts in IMPLIED_END.items() if tag in starts and self.count.get(t)]:
@@ -105,6 +120,8 @@ class Tree(HTMLParser):
                 return  # a cell keeps stray end tags to itself
 
     def handle_data(self, data: str) -> None:
+        if self.open[-1].tag == "style":
+            self.styles.append(data)
         if self.open[-1].tag == "head" and data.strip():
             self.end_head()
         self.open[-1].kids.append(data)
@@ -114,16 +131,39 @@ def parsed(html: str) -> Node:
     tree = Tree()
     tree.feed(html)
     tree.close()
+    decide_visibility(tree.root, style_rules("".join(tree.styles)))
     return tree.root
 
 
-def seen(node: Node) -> bool:
-    a = node.attrs
-    if node.tag in UNSEEN or "hidden" in a:
-        return False
-    if node.tag == "input":
-        return False
-    return not (a.get("style") and _HIDDEN_STYLE.search(a["style"]))
+def style_rules(css: str) -> dict[str, list[tuple[str, str]]]:
+    """Declarations that bear on visibility, by simple selector (name, .class, #id, or a name with one of these); others and at-rules are left out."""
+    rules: dict[str, list[tuple[str, str]]] = {}
+    for selectors, body in _RULE.findall(_AT_RULE.sub("", _COMMENT.sub("", css))):
+        found = [(name, m[1].lower()) for name, pattern in (("display", _DISPLAY), ("visibility", _VISIBILITY)) if (m := pattern.search(body))]
+        for selector in selectors.split(",") if found else ():
+            if (m := _SIMPLE.match(selector)) and (m[1] or m[2]):
+                rules.setdefault((m[1] or "").lower() + (m[2] or ""), []).extend(found)
+    return rules
+
+
+def decide_visibility(root: Node, rules: dict[str, list[tuple[str, str]]]) -> None:
+    """Sets ``shown`` and ``visible`` of all elements: rules by name, class and id, then the element's own style; visibility is inherited."""
+    stack = [(root, True)]
+    while stack:
+        node, visible = stack.pop()
+        a, style = node.attrs, {}
+        node.shown = not (node.tag in UNSEEN or node.tag in UNDRAWN or "hidden" in a or node.tag == "dialog" and "open" not in a)
+        if rules:
+            marks = ["", *(f".{c}" for c in (a.get("class") or "").split()), *([f"#{a['id']}"] if a.get("id") else [])]
+            for mark in marks:
+                style |= dict(rules.get(mark, ())) if mark else {}
+                style |= dict(rules.get(node.tag + mark, ()))
+        own = a.get("style") or ""
+        style |= {name: m[1].lower() for name, pattern in (("display", _DISPLAY), ("visibility", _VISIBILITY)) if (m := pattern.search(own))}
+        if style.get("display") == "none":
+            node.shown = False
+        node.visible = {"visible": True, "hidden": False, "collapse": False}.get(style.get("visibility", ""), visible)
+        stack += [(kid, node.visible) for kid in node.kids if not isinstance(kid, str)]
 
 
 class Page:
@@ -172,8 +212,24 @@ class Page:
         return "\n".join(self.lines).strip("\n")
 
 
-def rendered(root: Node) -> str:
-    """Text of the visible part of a tree; a stack stands in for recursion, so nesting may be as deep as a page makes it."""
+Render = Generator["Render", "str | list[str]", "str | list[str]"]
+
+
+def run(render: Render):
+    """The result of a render whose yields are renders it waits for; a stack stands in for recursion, so tables may be nested as deep as a page makes them."""
+    waiting, value = [render], None
+    while waiting:
+        try:
+            waiting.append(waiting[-1].send(value))
+            value = None
+        except StopIteration as done:
+            waiting.pop()
+            value = done.value
+    return value
+
+
+def rendered(root: Node) -> Render:
+    """Text of the visible part of a tree."""
     page, stack, lists, pre = Page(), [(root, False)], [], 0
     while stack:
         node, leaving = stack.pop()
@@ -192,7 +248,7 @@ def rendered(root: Node) -> str:
             elif tag == "pre":
                 pre -= 1
             continue
-        if not seen(node):
+        if not node.shown:
             continue
         if tag == "br":
             page.end_line(keep_empty=True)
@@ -200,11 +256,11 @@ def rendered(root: Node) -> str:
             page.end_line()
             page.gap = True
         elif tag == "img":
-            page.word(f" {node.attrs['alt']} ") if node.attrs.get("alt") else None
+            page.word(f" {node.attrs['alt']} ") if node.visible and node.attrs.get("alt") else None
         elif tag == "table":
             page.end_line()
             page.gap = True
-            for line in table_lines(node):
+            for line in (yield table_lines(node)):
                 page.now = [line]
                 page.end_line(keep_empty=True)
             page.gap = True
@@ -225,15 +281,15 @@ def rendered(root: Node) -> str:
             elif tag == "pre":
                 pre += 1
             stack.append((node, True))
-            stack += [(kid, False) for kid in reversed(node.kids)]
+            stack += [(kid, False) for kid in reversed(node.contents)]
         else:
-            if tag in ("button", "label", "option", "optgroup", "textarea", "select"):
+            if tag in ("button", "label", "option", "optgroup", "textarea", "select", "text"):
                 page.space = bool(page.now)
-            if tag in ("option", "optgroup", "textarea", "select"):
+            if tag in ("option", "optgroup", "textarea", "select", "text"):
                 stack.append((" ", False))
-            if tag == "optgroup" and node.attrs.get("label"):
+            if tag == "optgroup" and node.visible and node.attrs.get("label"):
                 page.word(f"{node.attrs['label']} ")
-            stack += [(kid, False) for kid in reversed(node.kids)]
+            stack += [(kid, False) for kid in reversed(node.contents)]
     return page.text()
 
 
@@ -256,20 +312,20 @@ def ancestors(top: Node, tags: tuple[str, ...]) -> set[int]:
 def parted(top: Node, tags: tuple[str, ...], groups: tuple[str, ...] = ()) -> tuple[list[Node], list[list[Node | str]]]:
     """The visible elements of ``tags`` under ``top``, reached through groups and whatever else holds them; and the runs of all other visible nodes between."""
     way, wanted, runs = ancestors(top, tags), [], [[]]
-    stack: list[Node | str | None] = list(reversed(top.kids))
+    stack: list[Node | str | None] = list(reversed(top.contents))
     while stack:
         kid = stack.pop()
         if kid is None:
             runs.append([])
         elif isinstance(kid, str):
             runs[-1].append(kid)
-        elif seen(kid):
+        elif kid.shown:
             if kid.tag in tags:
                 wanted.append(kid)
                 runs.append([])
             elif kid.tag in groups or id(kid) in way:
                 runs.append([])
-                stack += [None, *reversed(kid.kids)]
+                stack += [None, *reversed(kid.contents)]
             elif kid.tag == "caption":
                 runs += [[kid], []]
             else:
@@ -277,17 +333,21 @@ def parted(top: Node, tags: tuple[str, ...], groups: tuple[str, ...] = ()) -> tu
     return wanted, runs
 
 
-def whole(value: str | None) -> int:
-    return int(value) if value and value.isdecimal() and len(value) < 4 and int(value) > 0 else 1
+def whole(value: str | None, most: int) -> int:
+    """A span as browsers read it: 1 if it is no positive number, and no more than ``most``."""
+    return min(int(value[:9]), most) if value and value.isascii() and value.isdecimal() and int(value[:9]) > 0 else 1
+
 
+def table_lines(table: Node) -> Render:
+    """A table's caption and all text outside its cells, then its rows with cells padded to their columns' widths; cells of several lines keep them.
 
-def table_lines(table: Node) -> list[str]:
-    """A table's caption and all text outside its cells, then its rows with cells padded to their columns' widths; cells of several lines keep them."""
+    Columns in which no cell starts take no room, however wide the cells across them.
+    """
     table_rows, runs = parted(table, ("tr",), ("thead", "tbody", "tfoot"))
     rows = [parted(row, ("td", "th")) for row in table_rows]
     out = []
-    for run in [*runs, *(run for _, strays in rows for run in strays)]:
-        if text := rendered_inside(run):
+    for strays in [*runs, *(x for _, in_row in rows for x in in_row)]:
+        if text := (yield rendered_inside(strays)):
             out += text.split("\n")
     grid, down = [], {}
     for row, _ in rows:
@@ -296,48 +356,33 @@ def table_lines(table: Node) -> list[str]:
             while down.get(at, 0):
                 down[at] -= 1
                 at += 1
-            cells[at] = rendered_inside(cell.kids).split("\n")
-            span, rows = whole(cell.attrs.get("colspan")), whole(cell.attrs.get("rowspan"))
-            for c in range(at, at + span):
-                if rows > 1:
-                    down[c] = rows - 1
-            at += span
+            cells[at] = (yield rendered_inside(cell.contents)).split("\n")
+            across, deep = whole(cell.attrs.get("colspan"), MOST_COLUMNS), whole(cell.attrs.get("rowspan"), MOST_ROWS)
+            for c in range(at, at + across):
+                if deep > 1:
+                    down[c] = deep - 1
+            at += across
         for c in [c for c in down if c >= at and down[c]]:
             down[c] -= 1
         if any(any(x) for x in cells.values()):
-            grid.append((cells, at))
-    columns = max((w for _, w in grid), default=0)
-    widths = [max((len(x) for cells, _ in grid for x in cells.get(c, [""])), default=0) for c in range(columns)]
-    for cells, _ in grid:
+            grid.append(cells)
+    columns = sorted({c for cells in grid for c in cells})
+    widths = [max((len(x) for cells in grid for x in cells.get(c, [""])), default=0) for c in columns]
+    for cells in grid:
         for i in range(max(len(x) for x in cells.values())):
-            line = [(cells[c][i] if c in cells and i < len(cells[c]) else "").ljust(widths[c]) for c in range(columns)]
+            line = [(cells[c][i] if c in cells and i < len(cells[c]) else "").ljust(w) for c, w in zip(columns, widths)]
             out.append(" | ".join(line).rstrip())
     return out
 
 
-def rendered_inside(kids: list) -> str:
+def rendered_inside(kids: list) -> Render:
     holder = Node("div", {})
     holder.kids = kids
     return rendered(holder)
 
 
 def html_to_text(html: str | None) -> str:
-    if not html:
-        return ""
-    try:
-        return rendered(parsed(html))
-    except RecursionError:  # tables nested in tables by the hundred: their text without layout
-        return " ".join(bare_text(parsed(html)))
-
-
-def bare_text(root: Node) -> Iterator[str]:
-    stack = [root]
-    while stack:
-        node = stack.pop()
-        if isinstance(node, str):
-            yield from node.split()
-        elif seen(node):
-            stack += reversed(node.kids)
+    return run(rendered(parsed(html))) if html else ""
 
 
 def text_column():
