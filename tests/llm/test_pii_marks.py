@@ -1,5 +1,7 @@
 """Disguised identifiers that cheap tests of the whole text used to hide."""
 
+import random
+
 import pytest
 
 from tickloom.llm import pii
@@ -29,3 +31,39 @@ def test_one_sign_is_enough(text, gap):
 )
 def test_spelled_dots(text, found):
     assert spans(text) == found
+
+
+@pytest.mark.parametrize(
+    "text, found",
+    [("plus nine nine nine nine nine nine nine nine nine nine", "phone:0:54"), ("call plus; four: nine: one: two three four five six seven eight", "phone:5:63"), ("juan arroba ejemplo punto es", "email:0:28"), ("one nine two dot one six eight dot zero dot one", "ip:0:47"), ("two arroba of salt", ""), ("one two dot", "")],
+)
+def test_signs_that_once_hid_them(text, found):
+    assert spans(text) == found
+
+
+def test_random_disguises():
+    """Plain identifiers, disguised sign by sign, are found where they stand in a text around them."""
+    rng = random.Random(4)
+    words = {str(i): w for i, w in enumerate("zero one two three four five six seven eight nine".split())}
+    alike = {"a": "\u0430", "e": "\u0435", "o": "\u043e", "c": "\u0441", "1": "\uff11", "2": "\u0662"}
+    for _ in range(3000):
+        kind = rng.choice(["email", "ip", "phone"])
+        if kind == "email":
+            name = f"{rng.choice(['jane', 'a.cook', 'x_1'])}"
+            made = name + rng.choice([" at ", " [at] ", " (at) ", "@", " { at } "]) + "mail" + rng.choice([" dot ", " [dot] ", ".", " ( . ) "]) + "example" + rng.choice([" dot ", ".", "[dot]"]) + rng.choice(["com", "org"])
+        elif kind == "ip":
+            parts = [str(rng.randrange(256)) for _ in range(4)]
+            made = rng.choice([" dot ", ".", " [.] ", "(dot)"]).join(parts)
+            if rng.random() < 0.3:
+                made = " dot ".join(" ".join(words[d] for d in p) for p in parts)
+        else:
+            digits = [str(rng.randrange(10)) for _ in range(rng.randrange(10, 16))]
+            made = rng.choice(["plus ", "+"])
+            spell = rng.random() < 0.5
+            made += (" " if spell else rng.choice(["", " ", "-"])).join(words[d] if spell else d for d in digits)
+        made = "".join(alike[c] if c in alike and rng.random() < 0.2 and not any(w in made for w in words.values()) and "at" not in made and "dot" not in made and "plus" not in made else c for c in made)
+        lead = rng.choice(["", "see: ", "Write to ", "x\n"])
+        text = lead + made + rng.choice(["", " - thanks", "\nbye"])
+        base = pii.find(text)
+        got = pii.write(sorted(base + pii.find_disguised(text, base)))
+        assert f"{kind}:{len(lead)}:{len(lead) + len(made)}" in got.split(","), (text, got)

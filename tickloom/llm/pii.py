@@ -75,8 +75,7 @@ def _lookalikes() -> dict[int, str]:
         plain = unicodedata.normalize("NFKC", chr(c))
         if len(plain) == 1 and "!" <= plain <= "~":
             table[c] = plain
-    for c in range(0x110000):  # digits of other scripts
-        if 0x80 <= c < 0x20000 and unicodedata.category(chr(c)) == "Nd":
+        if unicodedata.category(chr(c)) == "Nd":  # digits of other scripts
             table[c] = str(unicodedata.digit(chr(c)))
     # Cyrillic and Greek letters and the Latin ones they look like.
     table |= dict(zip(map(ord, "авеіјкмнорсԁѕтухһԛԝАВЕІЈКМНОРСЅТУХ"), "abeijkmhopcdstyxhqwABEIJKMHOPCSTYX"))
@@ -99,7 +98,10 @@ DIGIT_WORDS = {
     for i, w in enumerate(names.split())
 }
 _DIGIT_WORD = re.compile(r"(?<![^\W_])(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + r"|plus)(?![^\W_])", re.IGNORECASE)
-_GAP = re.compile(r"[\s().,-]{0,3}")
+#: Single digits with a space between each.
+_SPELLED_RUN = re.compile(r"(?<![0-9] )(?<![0-9])[0-9](?: [0-9])+(?![0-9]| [0-9])")
+_GAP_CHARS = " \t\n().,;:-"
+_GAP = re.compile(r"[\s().,;:-]{0,3}")
 
 _OPEN, _CLOSE = r"[\[({<]\s*", r"\s*[\])}>]"
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
@@ -113,7 +115,7 @@ _DOT_MARK = re.compile(rf"(?<=[A-Za-z0-9])(?:{_HIDDEN_DOT})(?=[A-Za-z0-9])", re.
 _NOUN = r"(?:the|an?|this|that|each|every|any|one|no|his|her|its|my|our|your|their|der|dem|den|einem|jedem|el|un|le|il|al)"
 _PLAIN_OR_LISTED = rf"{_LABEL}(?:(?:{_HIDDEN_DOT}|\.){_LABEL})*(?:{_HIDDEN_DOT}|\.){_LAST}"
 _SPELLED = rf"(?!{_NOUN}\s+(?:dot|punkt|punto)\s){_LABEL}(?:(?:{_HIDDEN_DOT}|\.){_LABEL})*{_HIDDEN_DOT}[A-Za-z]{{2,}}(?![A-Za-z0-9])"
-_AT_MARK = re.compile(rf"(?<=[A-Za-z0-9._%+-])(?:\s*{_OPEN}{_AT}{_CLOSE}\s*(?={_LABEL})|\s+at\s+(?={_PLAIN_OR_LISTED}|{_SPELLED}))", re.IGNORECASE)
+_AT_MARK = re.compile(rf"(?<=[A-Za-z0-9._%+-])(?:\s*{_OPEN}{_AT}{_CLOSE}\s*(?={_LABEL})|\s+(?:at|arroba)\s+(?={_PLAIN_OR_LISTED}|{_SPELLED}))", re.IGNORECASE)
 
 
 class Aligned:
@@ -161,7 +163,7 @@ def undo_spelling(t: Aligned) -> None:
         after = _GAP.match(t.text, end).end()
         next_is = after < len(t.text) and "0" <= t.text[after] <= "9" or i + 1 < len(found) and found[i + 1][0] == after
         gap = 0
-        while gap < 3 and start - gap > 0 and t.text[start - gap - 1] in " \t\n().,-":
+        while gap < 3 and start - gap > 0 and t.text[start - gap - 1] in _GAP_CHARS:
             gap += 1
         back = start - gap
         last_is = back > 0 and "0" <= t.text[back - 1] <= "9" or i > 0 and found[i - 1][1] == back
@@ -179,7 +181,12 @@ def undo_spelling(t: Aligned) -> None:
         return
     t.rewrite(edits)
     # Commas and line breaks between single digits are no separators of any identifier: read them as spaces.
-    t.rewrite([(m.start(), m.end(), " ") for m in re.finditer(r"(?<=[0-9])\s*[,\s]\s*(?=[0-9])", t.text) if m[0] != " " and t.changed[m.start() - 1]])
+    t.rewrite([(m.start(), m.end(), " ") for m in re.finditer(r"(?<=[0-9])\s*[,;:\s]\s*(?=[0-9])", t.text) if m[0] != " " and t.changed[m.start() - 1]])
+    # Single digits beside a mark for a dot are one number.
+    dots = [m.span() for m in _DOT_MARK.finditer(t.text)]
+    beside = {start for start, _ in dots} | {end for _, end in dots}
+    runs = [m for m in _SPELLED_RUN.finditer(t.text) if (m.start() in beside or m.end() in beside) and all(t.changed[m.start() : m.end() : 2])]
+    t.rewrite([(i, i + 1, "") for m in runs for i in range(m.start() + 1, m.end(), 2)])
 
 
 def undo_marks(t: Aligned) -> None:
