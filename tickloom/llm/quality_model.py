@@ -143,16 +143,19 @@ def statistics_column():
 
 
 def fit_documents(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, **settings) -> Trees:
-    """Trees fitted to ``labels.quality`` of at most about ``fit_rows`` labelled documents that are not held out.
+    """Trees fitted to ``labels.quality`` of at most ``fit_rows`` labelled documents that are not held out.
 
-    Rows without id, quality or document are not used; an id labelled twice counts twice.
+    Rows without id, quality or document are not used.  An id labelled more than
+    once counts once, by most of its labels; of several documents with one id the
+    one with the least statistics does.
     """
-    usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (remainder() != 1)).select("doc_id", "quality")
-    chance = min(1.0, fit_rows / max(1, usable.count()))
-    drawn = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(chance * 1_000_000))
-    # At most fit_rows rows of two numbers: a proven bound for the broadcast.
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "quality", statistics_column()(F.col("text")).alias("x")).collect()
-    rows.sort(key=lambda r: (r.doc_id, r.quality, list(r.x)))
+    usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (remainder() != 1))
+    one_each = usable.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
+    # Both the ids that are broadcast and the rows that are collected are at most fit_rows.
+    drawn = one_each.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    measured = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "quality", statistics_column()(F.col("text")).alias("x"))
+    rows = measured.groupBy("doc_id").agg(F.min(F.struct("quality", "x")).alias("one")).select("doc_id", "one.*").collect()
+    rows.sort(key=lambda r: r.doc_id)
     return fit(np.array([r.x for r in rows]).reshape(len(rows), len(FEATURES)), np.array([r.quality for r in rows]), **settings)
 
 

@@ -5,9 +5,12 @@ is joined, as of its time, to the latest earlier full response of its canonical
 URL; the validators of both are compared, and the headers that such a reply may
 update are merged into the response's.
 
-The as-of join works in time slices: within a slice a window carries the last
-response forward, and a second window carries the last response of each slice
-over to later slices.  A URL with a third of all captures is so divided by time.
+Captures of one URL and time are first drawn together to one point, so that many
+at once are one row.  The as-of join then works in time slices: within a slice a
+window carries the last response forward, and a second window carries the last
+response of each slice over to later slices.  A URL with a third of all captures
+is so divided by time; web archives keep whole seconds, so a slice of a URL holds
+no more points than it has seconds.
 """
 
 from __future__ import annotations
@@ -52,16 +55,21 @@ def resolve_revisits(captures: DataFrame, slice_seconds: int = SLICE_SECONDS) ->
     """
     named = F.coalesce("headers", F.create_map().cast("map<string,string>"))
     rows = captures.where(F.col("kind").isin("response", "revisit")).select("record_id", canonical_url(F.col("url")).alias("canonical_url"), "ts", "kind", _lower_keys(named).alias("headers"))
-    rows = rows.withColumn("slice", F.floor(F.unix_timestamp("ts") / slice_seconds)).withColumn("is_response", (F.col("kind") == "response") & F.col("ts").isNotNull() & F.col("canonical_url").isNotNull())
-    response = F.when(F.col("is_response"), F.struct("ts", "record_id", validator(F.col("headers")["etag"]).alias("etag"), F.nullif(F.col("headers")["last-modified"], F.lit("")).alias("modified"), "headers"))
-    inside = Window.partitionBy("canonical_url", "slice").orderBy("ts", F.col("is_response").cast("int"), "record_id").rowsBetween(Window.unboundedPreceding, -1)
-    near = rows.withColumn("found", F.last(response, ignorenulls=True).over(inside)).where("kind = 'revisit'")
-    of_slice = rows.where("is_response").groupBy("canonical_url", "slice").agg(F.max_by(response, F.struct("ts", "record_id")).alias("last"))
-    wanted = near.where("found is null and canonical_url is not null and ts is not null").select("canonical_url", "slice").distinct().withColumn("last", F.lit(None).cast(of_slice.schema["last"].dataType))
+    placed = F.col("canonical_url").isNotNull() & F.col("ts").isNotNull()
+    response = F.struct("ts", "record_id", validator(F.col("headers")["etag"]).alias("etag"), F.nullif(F.col("headers")["last-modified"], F.lit("")).alias("modified"), "headers")
+    is_response, point, slice_ = F.col("kind") == "response", ["canonical_url", "ts"], ["canonical_url", "slice"]
+    points = rows.where(placed).groupBy(*point).agg(F.max_by(F.when(is_response, response), F.when(is_response, F.struct("record_id"))).alias("own"), F.max(~is_response).alias("asked"))
+    points = points.withColumn("slice", F.floor(F.unix_timestamp("ts") / slice_seconds))
+    inside = Window.partitionBy(*slice_).orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
+    near = points.withColumn("near", F.last("own", ignorenulls=True).over(inside))
+    # A slice's last response, and whether it asks for one from before it.
+    slices = near.groupBy(*slice_).agg(F.max_by("own", F.when(F.col("own").isNotNull(), F.col("ts"))).alias("last"), F.max(F.col("asked") & F.col("near").isNull()).alias("asks"))
     over = Window.partitionBy("canonical_url").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = of_slice.union(wanted).groupBy("canonical_url", "slice").agg(F.first("last", ignorenulls=True).alias("last"))
-    carried = slices.withColumn("earlier", F.last("last", ignorenulls=True).over(over)).where("earlier is not null").select("canonical_url", "slice", "earlier")
-    joined = near.join(carried, ["canonical_url", "slice"], "left").withColumn("found", F.when(F.col("canonical_url").isNotNull() & F.col("ts").isNotNull(), F.coalesce("found", "earlier")))
+    carried = slices.withColumn("earlier", F.last("last", ignorenulls=True).over(over)).where("asks and earlier is not null").select(*slice_, "earlier")
+    answers = near.where("asked").join(carried, slice_, "left").select(*point, F.coalesce("near", "earlier").alias("found"))
+    revisits = rows.where("kind = 'revisit'")
+    joined = revisits.where(placed).join(answers, point, "left")
+    joined = joined.unionByName(revisits.where(~placed).withColumn("found", F.lit(None).cast(joined.schema["found"].dataType)))
     etag, modified = validator(F.col("headers")["etag"]), F.nullif(F.col("headers")["last-modified"], F.lit(""))
     agrees = F.when(etag.isNotNull() & F.col("found.etag").isNotNull(), etag == F.col("found.etag")).when(modified.isNotNull() & F.col("found.modified").isNotNull(), modified == F.col("found.modified"))
     status = F.when(F.col("found").isNull(), "no_earlier_response").when(agrees.isNull(), "no_validator").when(agrees, "resolved").otherwise("validator_mismatch")

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.common import free_name, settle
 
-#: Ranges for each shard, samples for each boundary, and how far over its share a range may be before it is divided.
-RANGES_PER_SHARD, SAMPLES_PER_RANGE, OVERFULL, ROUNDS = 8, 24, 2.0, 4
+#: Ranges for each shard at least, rows of a range at most about, samples for each boundary, and how far over its share a range may be before it is divided.
+RANGES_PER_SHARD, ROWS_PER_RANGE, SAMPLES_PER_RANGE, OVERFULL = 8, 4_000_000, 24, 2.0
 SEED = 20240229
 
 
@@ -57,8 +57,13 @@ def _nulls_first(bound) -> tuple:
     return tuple((v is not None, v) for v in bound)
 
 
-def find_ranges(slim: DataFrame, pieces: int, seed: int = SEED) -> tuple[list, list[tuple[int, int]]]:
-    """Boundaries that cut ``slim`` (columns k, size) into about ``pieces`` ranges of like size, and each range's (size, rows)."""
+def find_ranges(slim: DataFrame, pieces: int, seed: int = SEED, rows_per_range: int = ROWS_PER_RANGE) -> tuple[list, list[tuple[int, int]]]:
+    """Boundaries that cut ``slim`` (columns k, size) into ranges of like size, and each range's (size, rows).
+
+    There are about ``pieces`` of them, or as many more as keep the mean range at
+    ``rows_per_range`` rows.  Overfull ranges, by size or by rows, are divided
+    until none is left that a new boundary can divide.
+    """
 
     def held(bounds: list) -> tuple[DataFrame, list[tuple[int, int]]]:
         ranged = with_range(slim, "k", bounds, "r")
@@ -67,15 +72,17 @@ def find_ranges(slim: DataFrame, pieces: int, seed: int = SEED) -> tuple[list, l
 
     bounds: list = []
     ranged, sums = held(bounds)
-    for turn in range(ROUNDS):
-        share = max(1, sums[0][0]) / pieces if not turn else share
-        parts = {r: -(-size // int(max(1, share))) for r, (size, n) in enumerate(sums) if size > OVERFULL * share and n > 1}
+    pieces = max(pieces, -(-sums[0][1] // rows_per_range))
+    share = max(1, sums[0][0] // pieces)
+    turn = 0
+    while True:
+        parts = {r: max(-(-size // share), -(-n // rows_per_range)) for r, (size, n) in enumerate(sums) if n > 1 and (size > OVERFULL * share or n > OVERFULL * rows_per_range)}
         more = splitters(ranged, parts, {r: sums[r][0] for r in parts}, seed=seed + turn)
-        if not any(more.values()):
-            break
-        bounds = sorted({*map(tuple, bounds), *(tuple(b) for x in more.values() for b in x)}, key=_nulls_first)
+        grown = sorted({*map(tuple, bounds), *(tuple(b) for x in more.values() for b in x)}, key=_nulls_first)
+        if len(grown) == len(bounds):
+            return bounds, sums
+        bounds, turn = grown, turn + 1
         ranged, sums = held(bounds)
-    return bounds, sums
 
 
 def shard_by_size(df: DataFrame, shards: int, key: list[str], size: str, shard: str = "shard", slot: str = "slot", seed: int = SEED) -> DataFrame:
