@@ -166,7 +166,7 @@ def test_rules_against_plain(spark, docs, edge):
 
 def test_line_rules(spark):
     good = "This is a plain sentence about nothing much, which ends well."
-    bad = ["Home | About | Contact | Help", "$$$ *** ### %%% &&& ###", "Read our privacy policy here.", "go go go go go go go go go go", "word " * 60]
+    bad = ["Home | About | Contact | Help", "$$$ *** ### %%% &&& ###", "Read our privacy policy here.", "go go go go go go go go go go", "word " * 60, "A long line of prose that goes on and on, and then it just stops for no", "Tous droits réservés 2024.", "ALLE RECHTE VORBEHALTEN."]
     df = spark.createDataFrame([(0, "\n".join([good, *bad]))], "doc_id long, text string")
     assert quality_rules.clean_lines(df).first().cleaned.text == good
 

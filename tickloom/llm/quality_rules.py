@@ -14,10 +14,15 @@ from pyspark.sql import functions as F
 BLANKS, BLANK_CLASS, SYMBOL_CLASS = " \t\n\x0b\x0c\r", r"[\x20\x09-\x0D]", r"[#*$%&|<>]"
 #: Separators of navigation items; a line with three or more, and short items between them, is navigation.
 SEPARATOR_CLASS, ITEM_CHARS = r"[|>»·•]", 60
-#: Phrases that pages carry on every page.
-BOILERPLATE = r"(?i)\b(?:lorem ipsum|cookie policy|privacy policy|terms of (?:use|service)|all rights reserved|enable javascript|skip to (?:main )?content|sign in|log in|subscribe to our|share on (?:facebook|twitter))\b"
-#: Marks of which a long line of prose has at least one.
-SENTENCE_MARK_CLASS, LONG_LINE = r"[.!?…。！？]", 200
+#: Phrases that pages carry on every page, in English, German, French and Spanish.
+BOILERPLATE = (
+    r"(?i)\b(?:lorem ipsum|cookie policy|privacy policy|terms of (?:use|service)|all rights reserved|enable javascript|skip to (?:main )?content|sign in|log in|subscribe to our|share on (?:facebook|twitter)"
+    r"|alle rechte vorbehalten|datenschutzerkl[äÄ]rung|allgemeine gesch[äÄ]ftsbedingungen|zum inhalt springen|jetzt anmelden|newsletter abonnieren"
+    r"|tous droits r[éÉ]serv[éÉ]s|politique de confidentialit[éÉ]|mentions l[éÉ]gales|aller au contenu|se connecter|abonnez-vous"
+    r"|todos los derechos reservados|pol[íÍ]tica de (?:privacidad|cookies)|aviso legal|saltar al contenido|iniciar sesi[óÓ]n|suscr[íÍ]bete)"
+)
+#: What a line of prose of LONG_LINE characters or more ends with.
+SENTENCE_END, LONG_LINE = r"[.!?…。！？:;\x22\x27)\]»”’][\x20\x09-\x0D]*\z", 60
 WINDOW = 5
 
 
@@ -54,11 +59,11 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
 
 
 def line_fails(line: Column) -> Column:
-    """Whether a line (with a word) breaks a rule: navigation, boilerplate, symbols, few words over and over, or no sentence mark in a long line."""
+    """Whether a line (with a word) breaks a rule: navigation, boilerplate, symbols, few words over and over, or a long line that ends like no sentence."""
     size = F.length(line)
     symbols = F.regexp_count(line, F.lit(SYMBOL_CLASS)) * 20 > size
     navigation = let(F.regexp_count(line, F.lit(SEPARATOR_CLASS)), lambda n: (n >= 3) & (size <= (n + 1) * ITEM_CHARS))
-    unpunctuated = (size > LONG_LINE) & ~F.rlike(line, F.lit(SENTENCE_MARK_CLASS))
+    unpunctuated = (size >= LONG_LINE) & ~F.rlike(line, F.lit(SENTENCE_END))
     stutters = (size >= 24) & let(F.split(line, " "), lambda w: (F.size(w) >= 8) & (F.size(F.array_distinct(w)) * 4 < F.size(w)))
     return symbols | navigation | unpunctuated | stutters | F.rlike(line, F.lit(BOILERPLATE))
 
@@ -124,7 +129,7 @@ l AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x
 g AS (SELECT *, list_filter(ls, lambda x: NOT (
     len(regexp_extract_all(x, '{SYMBOL_CLASS}')) * 20 > length(x)
     OR (len(regexp_extract_all(x, '{SEPARATOR_CLASS}')) >= 3 AND length(x) <= (len(regexp_extract_all(x, '{SEPARATOR_CLASS}')) + 1) * {ITEM_CHARS})
-    OR (length(x) > {LONG_LINE} AND NOT regexp_matches(x, '{SENTENCE_MARK_CLASS}'))
+    OR (length(x) >= {LONG_LINE} AND NOT regexp_matches(x, '{SENTENCE_END}'))
     OR (length(x) >= 24 AND len(string_split(x, ' ')) >= 8 AND len(list_distinct(string_split(x, ' '))) * 4 < len(string_split(x, ' ')))
     OR regexp_matches(x, '{BOILERPLATE}'))) AS good FROM l),
 m AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '{SYMBOL_CLASS}')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
