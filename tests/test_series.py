@@ -153,7 +153,7 @@ def test_ledger_pairs_signals(spark):
 
 
 def test_vpa_sheet_runs_on_short_series(spark):
-    f = Frame(bars(spark, [1.0, 2.0, 3.0]))
+    f = vpa.scanned(bars(spark, [1.0, 2.0, 3.0]))
     assert f.add(**vpa.sheet(f)).df.count() == 3
 
 

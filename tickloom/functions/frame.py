@@ -45,9 +45,17 @@ class Frame:
         self.df = self.df.withColumn(name, value)
         return F.col(name)
 
+    def hold_all(self, values: dict[str, Column]) -> dict[str, Column]:
+        """Helper columns that are added at once, so that their windows share a step."""
+        names = {}
+        for name in values:
+            self._n += 1
+            names[name] = f"_h{self._n}"
+        self.df = self.df.withColumns({names[n]: v for n, v in values.items()})
+        return {n: F.col(held) for n, held in names.items()}
+
     def add(self, **columns: Column) -> "Frame":
-        for name, value in columns.items():
-            self.df = self.df.withColumn(name, value)
+        self.df = self.df.withColumns(columns)
         return self
 
     def select(self, *columns) -> DataFrame:

@@ -11,6 +11,7 @@ from tickloom.functions import recur as k
 from tickloom.functions.frame import Frame
 from tickloom.operators import candles, crosssection, indicators as ind, patterns, timeframes, vpa
 from tickloom.operators.scan import scan
+from tickloom.plans import vpa_sql
 from tickloom.plans.bars import BARS_SQL, INTRADAY_SQL, bars_eod, bars_intraday, dimension, flows, index_series
 from tickloom.plans.series_queries import framed, out, tidy
 from tickloom.plans.sqltext import KEYS, SO_FAR, SPEC, W, div, full, hhv, lag, llv, ma, over, r, staged, total
@@ -262,21 +263,16 @@ def _(spark, d):
     return out(f, {"wt": F.col("wt"), "wt_line": line, "wt_up": f.cross("wt", line), "wt_down": f.cross(line, "wt")})
 
 
-@query("q_volume_price_sheet")
+@query("q_volume_price_sheet", vpa_sql.SHEET)
 def _(spark, d):
-    f = framed(spark, d)
+    f = vpa.scanned(bars_eod(spark, d))
     return out(f, {**vpa.sheet(f), **vpa.forces(f)}, 3)
 
 
-@query(
-    "q_classes",
-    staged([{"span": "high - low", "mean": ma("volume", 30), "sd": full("stddev_pop({x}) {w}", "volume", 30)}, {"wide": ma("span", 30), "place": "coalesce((close - low) / nullif(span, 0), 0.5)"}],
-           KEYS | {"volume_class": "CASE WHEN volume > mean + 2 * sd THEN 'very high' WHEN volume > mean + sd THEN 'high' WHEN volume > mean THEN 'above average' WHEN volume < mean - sd THEN 'low' WHEN mean IS NOT NULL THEN 'average' END", "close_class": "CASE WHEN place >= 0.8 THEN 'very high' WHEN place >= 0.6 THEN 'high' WHEN place >= 0.4 THEN 'middle' WHEN place >= 0.2 THEN 'low' ELSE 'very low' END", "spread_class": "CASE WHEN span > 2 * wide THEN 'wide' WHEN span > wide THEN 'above average' WHEN span < 0.7 * wide THEN 'narrow' WHEN wide IS NOT NULL THEN 'average' END"}),
-)
+@query("q_classes", vpa_sql.CLASS_SQL)
 def _(spark, d):
-    f = framed(spark, d)
-    b = vpa.base(f)
-    return out(f, {"volume_class": vpa.volume_class(b), "close_class": vpa.close_class(b), "spread_class": vpa.spread_class(b)})
+    f = vpa.scanned(bars_eod(spark, d))
+    return out(f, vpa.texts(vpa.base(f)))
 
 
 _AHEAD = f"OVER ({SPEC} ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)"
