@@ -16,6 +16,7 @@ class Bars:
     def __init__(self, g: pd.DataFrame):
         self.o, self.h, self.l, self.c, self.v = (g[x].to_numpy(float) for x in ("open", "high", "low", "close", "volume"))
         self.n = len(g)
+        self.t = g["ts"] if "ts" in g else None
 
 
 def ref(x: np.ndarray, n: int) -> np.ndarray:

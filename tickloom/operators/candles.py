@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.frame import Frame
 
+div = F.try_divide
+
 
 class Candle:
     """One bar's parts, ``k`` bars back."""
@@ -33,29 +35,104 @@ def all_of(*parts: Column) -> Column:
     return reduce(lambda a, b: a & b, parts)
 
 
-def vocabulary(f: Frame) -> dict[str, Column]:
-    """Bodies, shadows and context of the current bar."""
-    x, y = Candle(f, 0), Candle(f, 1)
-    high5, low5 = f.hold(f.hhv("high", 5)), f.hold(f.llv("low", 5))
+#: A small body is below a quarter of a percent, a large one above one percent.
+SMALL_BODY, LARGE_BODY = 0.0025, 0.01
+
+
+def said(hits: dict[str, Column]) -> dict[str, Column]:
+    """A test with a missing value does not hold."""
+    return {n: F.coalesce(x, F.lit(False)) for n, x in hits.items()}
+
+
+def lags(f: Frame, bars: int = 2) -> dict[str, Column]:
+    """Open, high, low and close 1 to ``bars`` bars back, added at once."""
+    return f.hold_all({f"{x[0]}{i}": F.lag(x, i).over(f.w) for i in range(1, bars + 1) for x in ("open", "high", "low", "close")})
+
+
+def bodies(o: Column, h: Column, l: Column, c: Column) -> dict[str, Column]:
+    """Colour, size and shadows of a candle, in shares of its price; a level candle is white here."""
+    white, black = c >= o, o > c
+    top, foot = F.greatest(o, c), F.least(o, c)
     return {
-        "white": x.white, "black": x.black, "small_body": x.small, "large_body": x.large, "medium_body": ~x.small & ~x.large, "identical_bodies": near(x.body, y.body, 5), "small_upper": x.upper <= 0.1 * x.span, "small_lower": x.lower <= 0.1 * x.span,
-        "large_upper": x.upper >= 0.4 * x.span, "large_lower": x.lower >= 0.4 * x.span, "body_gap_up": x.low_body > y.top, "body_gap_down": x.top < y.low_body, "high_today": x.h == high5, "low_today": x.l == low5, "high_yesterday": y.h == f.ref(high5, -1),
-        "low_yesterday": y.l == f.ref(low5, -1), "doji_today": x.doji, "doji_yesterday": y.doji, "gap_up": x.l > y.h, "gap_down": x.h < y.l, "big_gap_up": x.l > 1.01 * y.h, "big_gap_down": x.h < 0.99 * y.l, "huge_gap_up": x.l > 1.02 * y.h, "huge_gap_down": x.h < 0.98 * y.l,
+        "white": white, "black": black, "small_body": foot >= top * (1 - SMALL_BODY), "large_body": (white & (c >= o * (1 + LARGE_BODY))) | (black & (c <= o * (1 - LARGE_BODY))),
+        "small_upper": h <= top * (1 + SMALL_BODY), "small_lower": l >= foot * (1 - SMALL_BODY), "large_upper": h >= top * (1 + LARGE_BODY), "large_lower": l <= foot * (1 - LARGE_BODY),
     }
 
 
+def vocabulary(f: Frame) -> dict[str, Column]:
+    """Bodies, shadows, gaps and context of the current bar."""
+    x, b = [F.col(n) for n in ("open", "high", "low", "close")], lags(f)
+    o, h, l, c = x
+    now, was = bodies(*x), bodies(*(b[n] for n in ("o1", "h1", "l1", "c1")))
+    body, body1 = F.abs(o - c), F.abs(b["o1"] - b["c1"])
+    five = f.hold_all({"high": f.hhv("high", 5), "low": f.llv("low", 5), "gap_up": f.gap_up(), "gap_down": f.gap_down()})
+    # The body lies beyond the one before: which ends are compared depends on both colours.
+    above = F.when(was["black"] & now["white"], o > b["o1"]).when(was["black"] & now["black"], c > b["o1"]).when(was["white"] & now["white"], o > b["c1"]).when(was["white"] & now["black"], c > b["c1"])
+    under = F.when(was["black"] & now["white"], c < b["c1"]).when(was["black"] & now["black"], o < b["c1"]).when(was["white"] & now["white"], c < b["o1"]).when(was["white"] & now["black"], o < b["o1"])
+    doji = lambda o, h, l, c: (F.abs(c - o) <= c * SMALL_BODY) | (F.abs(o - c) <= (h - l) * 0.1)
+    return said({
+        **now, "medium_body": ~now["large_body"] & ~now["small_body"], "identical_bodies": F.abs(body1 - body) < body * SMALL_BODY, "body_gap_up": above, "body_gap_down": under,
+        "high_today": five["high"] == h, "high_yesterday": five["high"] == b["h1"], "low_today": five["low"] == l, "low_yesterday": five["low"] == b["l1"], "doji_today": doji(*x), "doji_yesterday": doji(b["o1"], b["h1"], b["l1"], b["c1"]),
+        "gap_up": five["gap_up"], "gap_down": five["gap_down"], "big_gap_up": l > 1.01 * b["h1"], "big_gap_down": h < 0.99 * b["l1"], "huge_gap_up": l > 1.02 * b["h1"], "huge_gap_down": h < 0.98 * b["l1"],
+        "double_gap_up": five["gap_up"] & F.lag(five["gap_up"]).over(f.w), "double_gap_down": five["gap_down"] & F.lag(five["gap_down"]).over(f.w),
+    })
+
+
 def single(f: Frame) -> dict[str, Column]:
     """Patterns of one bar."""
-    x = Candle(f, 0)
-    down, up = f.hold(F.coalesce(F.col("close") < f.ref("close", -5), F.lit(False))), f.hold(F.coalesce(F.col("close") > f.ref("close", -5), F.lit(False)))
-    hanging = all_of(x.lower >= 2 * x.body, x.upper <= 0.1 * x.span, x.span > 0)
-    inverted = all_of(x.upper >= 2 * x.body, x.lower <= 0.1 * x.span, x.span > 0)
-    return {
-        "near_doji": x.body <= 0.1 * x.span, "long_white": x.white & x.large, "long_black": x.black & x.large, "small_white": x.white & x.small, "small_black": x.black & x.small,
-        "marubozu_white": all_of(x.white, x.upper == 0, x.lower == 0), "marubozu_black": all_of(x.black, x.upper == 0, x.lower == 0), "closing_marubozu_white": all_of(x.white, x.upper == 0, x.lower > 0), "closing_marubozu_black": all_of(x.black, x.lower == 0, x.upper > 0),
-        "opening_marubozu_white": all_of(x.white, x.lower == 0, x.upper > 0), "opening_marubozu_black": all_of(x.black, x.upper == 0, x.lower > 0), "hammer": hanging & down, "hanging_man": hanging & up, "inverted_hammer": inverted & down, "shooting_star": inverted & up,
-        "spinning_top": all_of(x.body <= 0.3 * x.span, x.upper > x.body, x.lower > x.body), "dragonfly": all_of(x.doji, x.lower >= 0.6 * x.span, x.upper <= 0.1 * x.span), "gravestone": all_of(x.doji, x.upper >= 0.6 * x.span, x.lower <= 0.1 * x.span),
-    }
+    o, h, l, c = (F.col(n) for n in ("open", "high", "low", "close"))
+    span, up = h - l, c > o
+    share = lambda part: part / (0.001 + h - l)
+    return said({
+        "near_doji": F.abs(o - c) <= span * 0.1, "long_black": (o > c) & (share(o - c) > 0.6), "small_black": (o > c) & (span > 3 * (o - c)), "long_white": up & (share(c - o) > 0.6), "small_white": up & (span > 3 * (c - o)),
+        "marubozu_black": all_of(o > c, h == o, c == l), "marubozu_white": all_of(up, h == c, o == l), "closing_marubozu_black": (o > c) & (c == l), "closing_marubozu_white": up & (c == h), "opening_marubozu_black": (o > c) & (o == h), "opening_marubozu_white": up & (o == l),
+        "hanging_man": all_of(span > 4 * (o - c), share(c - l) >= 0.75, share(o - l) >= 0.75), "hammer": all_of(span > 3 * (o - c), share(c - l) > 0.6, share(o - l) > 0.6), "inverted_hammer": all_of(span > 3 * (o - c), share(h - c) > 0.6, share(h - o) > 0.6), "shooting_star": all_of(span > 4 * (o - c), share(h - c) >= 0.75, share(h - o) >= 0.75),
+        "spinning_top_black": all_of(o > c, span > 3 * (o - c), share(h - o) < 0.4, share(c - l) < 0.4), "spinning_top_white": all_of(up, span > 3 * (c - o), share(h - c) < 0.4, share(o - l) < 0.4), "doji": o == c,
+    })
+
+
+def simple(f: Frame) -> dict[str, Column]:
+    """Patterns of two and three bars, by open, close and range alone."""
+    o, h, l, c = (F.col(n) for n in ("open", "high", "low", "close"))
+    b = lags(f)
+    o1, h1, l1, c1, o2, h2, l2, c2 = (b[n] for n in ("o1", "h1", "l1", "c1", "o2", "h2", "l2", "c2"))
+    v = f.hold_all({n: x for n, x in vocabulary(f).items() if n in ("large_body", "white", "black", "small_body", "body_gap_up", "body_gap_down", "high_today", "high_yesterday", "low_yesterday")} | {"ma13": f.ma("close", 13), "low8": f.llv("low", 8), "low2": f.llv("low", 2)})
+    was = f.hold_all({f"{n}{i}": F.lag(v[n], i).over(f.w) for n in ("large_body", "white", "black", "body_gap_up", "body_gap_down") for i in (1, 2)} | {"ma13": F.lag(v["ma13"], 4).over(f.w)})
+    up, up1, up2, down, down1, down2 = c > o, c1 > o1, c2 > o2, o > c, o1 > c1, o2 > c2
+    thin = lambda part, span: div(part, span) < 0.2
+    return said({
+        "bear_abandoned_baby": all_of(c1 == o1, up2, down, l1 > h2, l1 > h), "evening_doji_star": all_of(up2, div(c2 - o2, 0.001 + h2 - l2) > 0.6, c2 < o1, up1, h1 - l1 > 3 * (c1 - o1), down, o < o1), "dark_cloud": all_of(c1 > o1 * 1.01, down, o > h1, c > o1, (c1 + o1) / 2 > c, v["ma13"] - was["ma13"] > 0),
+        "bear_engulfing": all_of(up1, down, o >= c1, o1 >= c, o - c > c1 - o1), "three_outside_down": all_of(up2, down1, o1 >= c2, o2 >= c1, o1 - c1 > c2 - o2, down, c < c1), "bull_abandoned_baby": all_of(c1 == o1, down2, up, l2 > h1, l > h1),
+        "morning_doji_star": all_of(down2, div(o2 - c2, 0.001 + h2 - l2) > 0.6, c2 > o1, down1, h1 - l1 > 3 * (c1 - o1), up, o > o1), "bull_engulfing": all_of(down1, up, c >= o1, c1 >= o, c - o > o1 - c1), "three_outside_up": all_of(down2, up1, c1 >= o2, c2 >= o1, c1 - o1 > o2 - c2, up, c > c1),
+        "bull_harami": all_of(down1, up, c <= o1, c1 <= o, c - o < o1 - c1), "three_inside_up": all_of(down2, up1, c1 <= o2, c2 <= o1, c1 - o1 < o2 - c2, up, c > c1, o > o1), "piercing_line": all_of(c1 < o1, (o1 + c1) / 2 < c, o < c, o < c1, c < o1, (c - o) / (0.001 + h - l) > 0.6),
+        "bear_harami": all_of(up1, down, o <= c1, o1 <= c, o - c < c1 - o1), "three_inside_down": all_of(up2, down1, o1 <= c2, o2 <= c1, o1 - c1 < c2 - o2, down, c < c1, o < o1),
+        "three_white_soldiers": all_of(c > o * 1.01, c1 > o1 * 1.01, c2 > o2 * 1.01, c > c1, c1 > c2, o < c1, o > o1, o1 < c2, o1 > o2, thin(h - c, h - l), thin(h1 - c1, h1 - l1), thin(h2 - c2, h2 - l2)), "three_black_crows": all_of(o > c * 1.01, o1 > c1 * 1.01, o2 > c2 * 1.01, c < c1, c1 < c2, o > c1, o < o1, o1 > c2, o1 < o2, thin(c - l, h - l), thin(c1 - l1, h1 - l1), thin(c2 - l2, h2 - l2)),
+        "evening_star": all_of(was["large_body2"], was["white2"], was["body_gap_up1"], ~was["large_body1"], v["black"], ~v["small_body"], v["high_today"] | v["high_yesterday"]), "morning_star": all_of(was["large_body2"], was["black2"], was["body_gap_down1"], v["white"], v["large_body"], c > c2, v["low_yesterday"]),
+        "matching_low": all_of(v["low8"] == v["low2"], c1 <= o1 * 0.99, F.abs(c - c1) <= c * SMALL_BODY, o > c1, o <= h - (h - l) * 0.5),
+    })
+
+
+#: The labels of a candle, a price move and a pair, the first that holds.
+CANDLE_LABELS = {
+    "hanging_man": "Hanging Man", "shooting_star": "Shooting Star", "dark_cloud": "Dark Cloud Cover", "bear_engulfing": "Bearish Engulfing", "bear_harami": "Bearish Harami", "evening_star": "Evening Star", "hammer": "Hammer", "inverted_hammer": "Inverted Hammer", "piercing_line": "Piercing Line",
+    "bull_engulfing": "Bullish Engulfing", "bull_harami": "Bullish Harami", "morning_star": "Morning Star", "near_doji": "Near Doji", "doji": "Doji", "matching_low": "MATCHING LOW",
+}
+PRICE_LABELS = {"gap_up": "Gap Up", "gap_down": "Gap Down", "big_gap_up": "Big Gap Up", "big_gap_down": "Big Gap Down", "huge_gap_up": "Huge Gap Up", "huge_gap_down": "Huge Gap Down", "double_gap_up": "Double Gap Up", "double_gap_down": "DoubleGapDown"}
+
+
+def tweezers(f: Frame) -> dict[str, Column]:
+    b, v = lags(f), f.hold_all({n: x for n, x in vocabulary(f).items() if n in ("high_today", "high_yesterday", "low_today", "low_yesterday")})
+    o, h, l, c = (F.col(n) for n in ("open", "high", "low", "close"))
+    close_by = lambda x: F.abs(l - x) / l < SMALL_BODY
+    return said({"tweezer_top": all_of(F.abs(h - b["h1"]) <= h * SMALL_BODY, o > c, b["c1"] > b["o1"], v["high_today"] | v["high_yesterday"]), "tweezer_bottom": all_of(close_by(b["l1"]) | F.coalesce(close_by(b["l2"]), F.lit(False)), o < c, b["o1"] > b["c1"], v["low_today"] | v["low_yesterday"])})
+
+
+def labels(f: Frame) -> dict[str, Column]:
+    """The candle, price and tweezer labels; "Zilch" where none holds."""
+    hits = f.hold_all({**single(f), **simple(f)})
+    moves, pairs = vocabulary(f), tweezers(f)
+    named = lambda hits, names: first_label({names[n]: hits[n] for n in names}, "Zilch")
+    return {"candle": named(hits, CANDLE_LABELS), "price_move": named(moves, PRICE_LABELS), "pair": named(pairs, {"tweezer_top": "Tweezer Top", "tweezer_bottom": "Tweezer Bottom"})}
 
 
 def bullish(f: Frame) -> dict[str, Column]:

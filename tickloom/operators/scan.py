@@ -14,12 +14,13 @@ from tickloom.functions.recur import Bars
 Step = Callable[[Bars], np.ndarray]
 
 
-def scan(df: DataFrame, steps: dict[str, Step], by: str = "ticker", order: str = "ts") -> DataFrame:
+def scan(df: DataFrame, steps: dict[str, Step], by: str = "ticker", order: str = "ts", last: int | None = None) -> DataFrame:
     """``df`` (ticker, ts, OHLCV and any other columns) with a double column for each step.
 
     All steps of a query go into one call, so the bars are shuffled and sent to
     Python once.  Tickers run in parallel; one ticker's bars are one group, whose
-    size is bounded by its calendar.  NaN and infinity come back as null.
+    size is bounded by its calendar.  NaN and infinity come back as null.  With
+    ``last`` only that many of a ticker's bars come back.
     """
     names = list(df.columns)
     schema = StructType([*df.schema.fields, *(StructField(n, DoubleType()) for n in steps)])
@@ -29,6 +30,8 @@ def scan(df: DataFrame, steps: dict[str, Step], by: str = "ticker", order: str =
         bars = Bars(g)
         with np.errstate(all="ignore"):
             made = {n: np.asarray(f(bars), float) for n, f in steps.items()}
+        if last is not None:
+            g, made = g.tail(last).reset_index(drop=True), {n: x[-last:] for n, x in made.items()}
         return g[names].assign(**{n: pd.Series(np.where(np.isfinite(x), x, np.nan)).astype(object).where(np.isfinite(x), None) for n, x in made.items()})
 
     return df.groupBy(by).applyInPandas(run, schema)

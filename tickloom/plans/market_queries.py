@@ -232,27 +232,76 @@ def _(spark, d):
 
 
 # -- candles ---------------------------------------------------------------------------------
-_C = {f"{c}{n}": lag(c, n) for n in (1, 2) for c in ("open", "high", "low", "close")}
-_B = {"body": "abs(close - open)", "body1": "abs(close1 - open1)", "span": "high - low", "top1": "greatest(open1, close1)", "low1b": "least(open1, close1)", "up": "high - greatest(open, close)", "dn": "least(open, close) - low"}
+def _flag(x: str) -> str:
+    return f"CAST(coalesce({x}, false) AS BIGINT)"
+
+
+_CANDLE_STEPS = [
+    {f"{x[0]}{i}": lag(x, i) for x in ("open", "high", "low", "close") for i in (1, 2)} | {"hh5": hhv("high", 5), "ll5": llv("low", 5), "m13": ma("close", 13), "ll8": llv("low", 8), "ll2": llv("low", 2), "wb": "close >= open", "bb": "open > close", "gu": f"low > {lag('high')}", "gd": f"high < {lag('low')}"},
+    {"wb1": lag("wb"), "bb1": lag("bb"), "m13b": lag("m13", 4), "small": "(open >= close * (1 - 0.0025) AND wb) OR (close >= open * (1 - 0.0025) AND bb)", "large": "(close >= open * (1 + 0.01) AND wb) OR (close <= open * (1 - 0.01) AND bb)"},
+    {"ugap": "CASE WHEN bb1 AND wb AND open > o1 THEN 1 WHEN bb1 AND bb AND close > o1 THEN 1 WHEN wb1 AND wb AND open > c1 THEN 1 WHEN wb1 AND bb AND close > c1 THEN 1 ELSE 0 END = 1", "dgap": "CASE WHEN bb1 AND wb AND close < c1 THEN 1 WHEN bb1 AND bb AND open < c1 THEN 1 WHEN wb1 AND wb AND close < o1 THEN 1 WHEN wb1 AND bb AND open < o1 THEN 1 ELSE 0 END = 1",
+     "mht": "hh5 = high", "mhy": "hh5 = h1", "mlt": "ll5 = low", "mly": "ll5 = l1"},
+]
+_LONG = "({}) / (0.001 + high - low)"
+_VOCABULARY = {
+    "white": "wb", "black": "bb", "small_body": "small", "large_body": "large", "small_upper": "(wb AND high <= close * (1 + 0.0025)) OR (bb AND high <= open * (1 + 0.0025))", "small_lower": "(wb AND low >= open * (1 - 0.0025)) OR (bb AND low >= close * (1 - 0.0025))", "large_upper": "(wb AND high >= close * (1 + 0.01)) OR (bb AND high >= open * (1 + 0.01))",
+    "large_lower": "(wb AND low <= open * (1 - 0.01)) OR (bb AND low <= close * (1 - 0.01))", "medium_body": "NOT large AND NOT small", "identical_bodies": "abs(abs(o1 - c1) - abs(open - close)) < abs(open - close) * 0.0025", "body_gap_up": "ugap", "body_gap_down": "dgap", "high_today": "mht", "high_yesterday": "mhy", "low_today": "mlt", "low_yesterday": "mly",
+    "doji_today": "abs(close - open) <= close * 0.0025 OR abs(open - close) <= (high - low) * 0.1", "doji_yesterday": "abs(c1 - o1) <= c1 * 0.0025 OR abs(o1 - c1) <= (h1 - l1) * 0.1", "gap_up": "gu", "gap_down": "gd", "big_gap_up": "low > 1.01 * h1", "big_gap_down": "high < 0.99 * l1", "huge_gap_up": "low > 1.02 * h1", "huge_gap_down": "high < 0.98 * l1",
+    "double_gap_up": f"gu AND {lag('gu')}", "double_gap_down": f"gd AND {lag('gd')}",
+}
+_SINGLE = {
+    "near_doji": "abs(open - close) <= (high - low) * 0.1", "long_black": f"open > close AND {_LONG.format('open - close')} > 0.6", "small_black": "open > close AND high - low > 3 * (open - close)", "long_white": f"close > open AND {_LONG.format('close - open')} > 0.6", "small_white": "close > open AND high - low > 3 * (close - open)",
+    "marubozu_black": "open > close AND high = open AND close = low", "marubozu_white": "close > open AND high = close AND open = low", "closing_marubozu_black": "open > close AND close = low", "closing_marubozu_white": "close > open AND close = high", "opening_marubozu_black": "open > close AND open = high", "opening_marubozu_white": "close > open AND open = low",
+    "hanging_man": f"high - low > 4 * (open - close) AND {_LONG.format('close - low')} >= 0.75 AND {_LONG.format('open - low')} >= 0.75", "hammer": f"high - low > 3 * (open - close) AND {_LONG.format('close - low')} > 0.6 AND {_LONG.format('open - low')} > 0.6", "inverted_hammer": f"high - low > 3 * (open - close) AND {_LONG.format('high - close')} > 0.6 AND {_LONG.format('high - open')} > 0.6",
+    "shooting_star": f"high - low > 4 * (open - close) AND {_LONG.format('high - close')} >= 0.75 AND {_LONG.format('high - open')} >= 0.75", "spinning_top_black": f"open > close AND high - low > 3 * (open - close) AND {_LONG.format('high - open')} < 0.4 AND {_LONG.format('close - low')} < 0.4", "spinning_top_white": f"close > open AND high - low > 3 * (close - open) AND {_LONG.format('high - close')} < 0.4 AND {_LONG.format('open - low')} < 0.4", "doji": "open = close",
+}
+_SIMPLE = {
+    "bear_abandoned_baby": "c1 = o1 AND c2 > o2 AND open > close AND l1 > h2 AND l1 > high", "evening_doji_star": "c2 > o2 AND (c2 - o2) / (0.001 + h2 - l2) > 0.6 AND c2 < o1 AND c1 > o1 AND h1 - l1 > 3 * (c1 - o1) AND open > close AND open < o1", "dark_cloud": "c1 > o1 * 1.01 AND open > close AND open > h1 AND close > o1 AND (c1 + o1) / 2 > close AND m13 - m13b > 0",
+    "bear_engulfing": "c1 > o1 AND open > close AND open >= c1 AND o1 >= close AND open - close > c1 - o1", "three_outside_down": "c2 > o2 AND o1 > c1 AND o1 >= c2 AND o2 >= c1 AND o1 - c1 > c2 - o2 AND open > close AND close < c1", "bull_abandoned_baby": "c1 = o1 AND o2 > c2 AND close > open AND l2 > h1 AND low > h1",
+    "morning_doji_star": "o2 > c2 AND (o2 - c2) / (0.001 + h2 - l2) > 0.6 AND c2 > o1 AND o1 > c1 AND h1 - l1 > 3 * (c1 - o1) AND close > open AND open > o1", "bull_engulfing": "o1 > c1 AND close > open AND close >= o1 AND c1 >= open AND close - open > o1 - c1", "three_outside_up": "o2 > c2 AND c1 > o1 AND c1 >= o2 AND c2 >= o1 AND c1 - o1 > o2 - c2 AND close > open AND close > c1",
+    "bull_harami": "o1 > c1 AND close > open AND close <= o1 AND c1 <= open AND close - open < o1 - c1", "three_inside_up": "o2 > c2 AND c1 > o1 AND c1 <= o2 AND c2 <= o1 AND c1 - o1 < o2 - c2 AND close > open AND close > c1 AND open > o1", "piercing_line": "c1 < o1 AND (o1 + c1) / 2 < close AND open < close AND open < c1 AND close < o1 AND (close - open) / (0.001 + (high - low)) > 0.6",
+    "bear_harami": "c1 > o1 AND open > close AND open <= c1 AND o1 <= close AND open - close < c1 - o1", "three_inside_down": "c2 > o2 AND o1 > c1 AND o1 <= c2 AND o2 <= c1 AND o1 - c1 < c2 - o2 AND open > close AND close < c1 AND open < o1",
+    "three_white_soldiers": "close > open * 1.01 AND c1 > o1 * 1.01 AND c2 > o2 * 1.01 AND close > c1 AND c1 > c2 AND open < c1 AND open > o1 AND o1 < c2 AND o1 > o2 AND (high - close) / nullif(high - low, 0) < 0.2 AND (h1 - c1) / nullif(h1 - l1, 0) < 0.2 AND (h2 - c2) / nullif(h2 - l2, 0) < 0.2",
+    "three_black_crows": "open > close * 1.01 AND o1 > c1 * 1.01 AND o2 > c2 * 1.01 AND close < c1 AND c1 < c2 AND open > c1 AND open < o1 AND o1 > c2 AND o1 < o2 AND (close - low) / nullif(high - low, 0) < 0.2 AND (c1 - l1) / nullif(h1 - l1, 0) < 0.2 AND (c2 - l2) / nullif(h2 - l2, 0) < 0.2",
+    "evening_star": f"{lag('large', 2)} AND {lag('wb', 2)} AND {lag('ugap')} AND NOT {lag('large')} AND bb AND NOT small AND (mht OR mhy)", "morning_star": f"{lag('large', 2)} AND {lag('bb', 2)} AND {lag('dgap')} AND wb AND large AND close > c2 AND mly",
+    "matching_low": "ll8 = ll2 AND c1 <= o1 * 0.99 AND abs(close - c1) <= close * 0.0025 AND open > c1 AND open <= high - (high - low) * 0.5",
+}
+_TWEEZERS = {"tweezer_top": "abs(high - h1) <= high * 0.0025 AND open > close AND c1 > o1 AND (mht OR mhy)", "tweezer_bottom": "(abs(low - l1) / low < 0.0025 OR abs(low - l2) / low < 0.0025) AND open < close AND o1 > c1 AND (mlt OR mly)"}
+_ALL_CANDLES = _VOCABULARY | _SINGLE | _SIMPLE | _TWEEZERS
 
 
-@query(
-    "k_candles",
-    staged(
-        [{f"{c}{n}": lag(c, n) for n in (1, 2) for c in ("open", "high", "low", "close")}, _B],
-        KEYS | {n: f"coalesce({e}, false)::BIGINT" for n, e in {
-            "white": "close > open", "small_body": "body <= 0.0025 * open", "body_gap_up": "least(open, close) > top1", "gap_down": "high < low1", "big_gap_up": "low > 1.01 * high1", "doji_today": "body <= 0.05 * span", "marubozu_white": "close > open AND up = 0 AND dn = 0", "gravestone": "body <= 0.05 * span AND up >= 0.6 * span AND dn <= 0.1 * span",
-            "bull_engulfing": "close1 < open1 AND close > open AND open <= close1 AND close >= open1 AND body > body1", "bear_engulfing": "close1 > open1 AND close < open AND open >= close1 AND close <= open1 AND body > body1", "dark_cloud": "close1 > open1 AND body1 >= 0.01 * open1 AND close < open AND open > high1 AND close < (open1 + close1) / 2 AND close > open1",
-            "piercing_line": "close1 < open1 AND body1 >= 0.01 * open1 AND close > open AND open < low1 AND close > (open1 + close1) / 2 AND close < open1", "three_white_soldiers": "close2 > open2 AND close1 > open1 AND close > open AND close1 > close2 AND close > close1 AND open1 > open2 AND open1 < close2 AND open > open1 AND open < close1",
-            "three_black_crows": "close2 < open2 AND close1 < open1 AND close < open AND close1 < close2 AND close < close1 AND open1 < open2 AND open1 > close2 AND open < open1 AND open > close1", "key_buy": "open < close1 AND low < low1 AND close > high1", "island_sell": "low1 > high2 AND high < low1",
-        }.items()},
-    ),
-)
+def _first(names: dict[str, str]) -> str:
+    return "CASE " + " ".join(f"WHEN p_{n} = 1 THEN '{label}'" for n, label in names.items()) + " ELSE 'Zilch' END"
+
+
+_LABELS = {
+    "candle": _first({"hanging_man": "Hanging Man", "shooting_star": "Shooting Star", "dark_cloud": "Dark Cloud Cover", "bear_engulfing": "Bearish Engulfing", "bear_harami": "Bearish Harami", "evening_star": "Evening Star", "hammer": "Hammer", "inverted_hammer": "Inverted Hammer", "piercing_line": "Piercing Line", "bull_engulfing": "Bullish Engulfing", "bull_harami": "Bullish Harami", "morning_star": "Morning Star", "near_doji": "Near Doji", "doji": "Doji", "matching_low": "MATCHING LOW"}),
+    "price_move": _first({"gap_up": "Gap Up", "gap_down": "Gap Down", "big_gap_up": "Big Gap Up", "big_gap_down": "Big Gap Down", "huge_gap_up": "Huge Gap Up", "huge_gap_down": "Huge Gap Down", "double_gap_up": "Double Gap Up", "double_gap_down": "DoubleGapDown"}), "pair": _first({"tweezer_top": "Tweezer Top", "tweezer_bottom": "Tweezer Bottom"}),
+}
+CANDLE_SQL = staged([*_CANDLE_STEPS, {f"p_{n}": _flag(x) for n, x in _ALL_CANDLES.items()}], KEYS | _LABELS)
+
+
+@query("k_candles", staged(_CANDLE_STEPS, KEYS | {n: _flag(x) for n, x in (_VOCABULARY | _SINGLE | _SIMPLE).items()}))
+def _(spark, d):
+    """The candle vocabulary: bodies, shadows, gaps and context, patterns of one bar, simple patterns of two and three."""
+    f = framed(spark, d)
+    return out(f, candles.vocabulary(f) | candles.single(f) | candles.simple(f))
+
+
+@query("k_named_candles", CANDLE_SQL)
+def _(spark, d):
+    """The first candle, price and tweezer label of each bar."""
+    f = framed(spark, d)
+    return out(f, candles.labels(f))
+
+
+@query("k_reversals", staged([{f"{x[0]}{i}": lag(x, i) for x in ("high", "low", "close") for i in (1, 2)}], KEYS | {n: _flag(x) for n, x in {
+    "closing_price_buy": "low < l1 AND close > c1", "closing_price_sell": "high > h1 AND close < c1", "hook_buy": "open <= low + 0.2 * (high - low) AND close >= high - 0.2 * (high - low) AND low > l1 AND high < h1", "hook_sell": "open >= high - 0.2 * (high - low) AND close <= low + 0.2 * (high - low) AND low > l1 AND high < h1",
+    "island_buy": "h1 < l2 AND low > h1", "island_sell": "l1 > h2 AND high < l1", "key_buy": "open < c1 AND low < l1 AND close > h1", "key_sell": "open > c1 AND high > h1 AND close < l1", "open_close_buy": "abs(open - low) <= abs(low) * 0.1 / 100 AND close > h1", "open_close_sell": "abs(open - high) <= abs(high) * 0.1 / 100 AND close < l1",
+    "pivot_buy": "l1 < l2 AND low > l1 AND close > h1", "pivot_sell": "h1 > h2 AND high < h1 AND close < l1"}.items()}))
 def _(spark, d):
     f = framed(spark, d)
-    v = candles.vocabulary(f) | candles.single(f) | candles.bullish(f) | candles.bearish(f) | candles.reversals(f)
-    names = ("white", "small_body", "body_gap_up", "gap_down", "big_gap_up", "doji_today", "marubozu_white", "gravestone", "bull_engulfing", "bear_engulfing", "dark_cloud", "piercing_line", "three_white_soldiers", "three_black_crows", "key_buy", "island_sell")
-    return out(f, {n: F.coalesce(v[n], F.lit(False)) for n in names})
+    return out(f, {n: F.coalesce(x, F.lit(False)) for n, x in candles.reversals(f).items()})
 
 
 @query("k_labels")

@@ -172,13 +172,6 @@ def _(spark, d):
     return tidy(f.df.where("ratio > 2 and close > open").select("ticker", "ts", "close", "ratio", F.col("rank_").alias("volume_rank"), "buy_volume"))
 
 
-@query("e14_contraction", staged([{"r5": f"({hhv('high', 5)}) - ({llv('low', 5)})", "r60": f"({hhv('high', 60)}) - ({llv('low', 60)})"}], KEYS | {"share": r("r5 / nullif(r60, 0)")}, tail="WHERE r5 < 0.5 * r60"))
-def _(spark, d):
-    f = framed(spark, d)
-    near, far = (f.hold(f.hhv("high", n) - f.llv("low", n)) for n in (5, 60))
-    return tidy(f.add(share=F.try_divide(near, far)).df.where(near < 0.5 * far).select("ticker", "ts", "share"))
-
-
 @query("k_more_candles")
 def _(spark, d):
     """Windows and tasuki of real bodies, and candles merged over two bars."""

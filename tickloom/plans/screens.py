@@ -65,23 +65,6 @@ def _(spark, d):
     return tidy(rows.select("ticker", "ts", "close", "full_name", "industry", "market", "capital", "pe"), capital=0)
 
 
-@query("e03_technical_sheet")
-def _(spark, d):
-    """Last 15 bars of liquid tickers: averages, extremes, weekly and monthly RSI of the last completed period, volume-price and candle labels."""
-    bars = bars_eod(spark, d)
-    daily = scan(bars, {"rsi14": lambda b: k.rsi(b.c, 14), "macd": lambda b: k.macd(b.c), "macd_signal": lambda b: k.macd_signal(b.c), "atr14": lambda b: k.atr(b, 14), "adx14": lambda b: k.directional(b)[2]})
-    for frame, name in (("W", "rsi_14_w"), ("M", "rsi_14_m")):
-        coarse = scan(timeframes.compress(bars, frame), {name: lambda b: k.rsi(b.c, 12)})
-        daily = timeframes.expand(daily, coarse, frame, [name])
-    f = Frame(daily)
-    i = f.hold(f.bar().cast("double"))
-    columns = {f"ma{n}": f.ma("close", n) for n in (10, 20, 50, 100, 200)} | {f"roc{n}": f.roc("close", n) for n in (1, 5, 20, 60)} | {"tsi_12": f.corr("close", i, 14), "slope20": f.slope("close", 20), "volume_ma20": f.ma("volume", 20), **ind.period_extremes(f, (5, 20, 60, 120, 250))}
-    columns |= {"atr_percent": 100 * F.col("atr14") / F.col("close"), **vpa.sheet(f), "candle": candles.first_label(candles.single(f), "Zilch")}
-    f.add(**columns, keep=liquid(f, LEAST_VOLUME))
-    rows = last_bars(f, 15).where("keep")
-    return tidy(rows.select("ticker", "ts", "close", "volume", "rsi14", "macd", "macd_signal", "atr14", "adx14", "rsi_14_w", "rsi_14_m", *columns))
-
-
 @query("e05_intraday_sheet", f"WITH {INTRADAY_SQL.format(width='1 hour')}, s AS (SELECT *, lag(low, 5) {W} AS l5, lag(low, 20) {W} AS l20, CASE WHEN count(volume) {over(20)} >= 20 THEN avg(volume) {over(20)} END AS mv FROM intraday), t AS (SELECT *, lag(mv) {W} AS mv1 FROM s) SELECT ticker, ts, {r('close')} AS close, volume, {r('100 * (close / nullif(l5, 0) - 1)')} AS week_change, {r('100 * (close / nullif(l20, 0) - 1)')} AS month_change, {r('volume / mv1')} AS volume_ratio FROM t WHERE ts >= TIMESTAMP '2024-01-10'")
 def _(spark, d):
     f = Frame(bars_intraday(spark, d))
@@ -116,33 +99,6 @@ def _(spark, d):
     return spark.read.parquet(f"{d}/orders.parquet").where("o_orderdate >= date '1996-01-01'").select(F.to_date("o_orderdate").alias("ts")).distinct()
 
 
-_FLAGS = {"f1": "close > m5", "f2": "close > m20", "f3": "close > m50", "f4": "m5 > m20", "f5": "m20 > m50", "f6": "m20 > m20b", "f7": "volume > mv", "f8": "close > c10", "f9": "position > 50"}
-
-
-@query(
-    "e10_trend_score",
-    staged([{"m5": ma("close", 5), "m20": ma("close", 20), "m50": ma("close", 50), "mv": ma("volume", 20), "c10": lag("close", 10), "h14": hhv("high", 14), "l14": llv("low", 14)}, {"m20b": lag("m20"), "position": "100 * (close - l14) / nullif(h14 - l14, 0)"}, {"score": " + ".join(f"coalesce({e}, false)::BIGINT" for e in _FLAGS.values())}],
-           KEYS | {"score": "score", "status": "CASE WHEN score >= 7 THEN 'strong up' WHEN score >= 5 THEN 'up' WHEN score >= 3 THEN 'sideways' ELSE 'down' END"}),
-)
-def _(spark, d):
-    f = framed(spark, d)
-    m5, m20, m50, mv = (f.hold(f.ma(x, n)) for x, n in (("close", 5), ("close", 20), ("close", 50), ("volume", 20)))
-    c = F.col("close")
-    flags = [c > m5, c > m20, c > m50, m5 > m20, m20 > m50, m20 > f.ref(m20, -1), F.col("volume") > mv, c > f.ref("close", -10), ind.range_position(f, 14) > 50]
-    score = f.hold(sum((F.coalesce(x, F.lit(False)).cast("long") for x in flags), F.lit(0).cast("long")))
-    return out(f, {"score": score, "status": F.when(score >= 7, "strong up").when(score >= 5, "up").when(score >= 3, "sideways").otherwise("down")})
-
-
-@query("e11_bollinger_trend", staged([{f"m{n}": ma("close", n) for n in (10, 20, 30)} | {f"s{n}": full("stddev_pop({x}) {w}", "close", n) for n in (10, 20, 30)}], KEYS | {"rank": " + ".join(f"CASE WHEN close > m{n} + s{n} THEN 1 WHEN close < m{n} - s{n} THEN -1 ELSE 0 END" for n in (10, 20, 30))}))
-def _(spark, d):
-    f = framed(spark, d)
-    parts = []
-    for n in (10, 20, 30):
-        m, s = f.hold(f.ma("close", n)), f.hold(f.stdev("close", n))
-        parts.append(F.when(F.col("close") > m + s, 1).when(F.col("close") < m - s, -1).otherwise(0))
-    return out(f, {"rank": parts[0] + parts[1] + parts[2]})
-
-
 @query("e15_gap_scanner", staged([{"h1": lag("high"), "l1": lag("low")}], KEYS | {"gap": "CASE WHEN open > h1 THEN 'up' ELSE 'down' END", "percent": r("CASE WHEN open > h1 THEN 100 * (open / h1 - 1) ELSE 100 * (open / l1 - 1) END")}, tail="WHERE open > h1 OR open < l1"))
 def _(spark, d):
     f = framed(spark, d)
@@ -158,26 +114,12 @@ def _(spark, d):
     return tidy(f.add(beta=crosssection.beta(f, "index_close")).df.where("beta >= 1.2").select("ticker", "ts", "beta"), beta=3)
 
 
-@query("e20_volume_spike", staged([{"mv": ma("volume", 20), "c1": lag("close")}, {"mvb": lag("mv")}], KEYS | {"times": r("volume / mvb")}, tail="WHERE volume > 2 * mvb AND close > open AND close > c1 AND close > 100"))
-def _(spark, d):
-    f = framed(spark, d)
-    before = f.hold(f.ref(f.hold(f.ma("volume", 20)), -1))
-    f.add(times=F.col("volume") / before, c1=f.ref("close", -1))
-    return tidy(f.df.where((F.col("volume") > 2 * before) & (F.col("close") > F.col("open")) & (F.col("close") > F.col("c1")) & (F.col("close") > 100)).select("ticker", "ts", "times"))
-
-
 @query("e21_all_returns", staged([], KEYS | {f"roc{n}": r(f"100 * (close / {lag('close', n)} - 1)") for n in (1, 5, 10, 20, 60, 120, 250)} | {f"position{n}": r(f"100 * (close - ({llv('low', n)})) / nullif(({hhv('high', n)}) - ({llv('low', n)}), 0)") for n in (20, 60, 250)}))
 def _(spark, d):
     f = framed(spark, d)
     return out(f, {f"roc{n}": f.roc("close", n) for n in (1, 5, 10, 20, 60, 120, 250)} | {f"position{n}": ind.range_position(f, n) for n in (20, 60, 250)})
 
 
-@query("e22_break_signals", staged([{"h20": hhv("high", 20), "l20": llv("low", 20), "m20": ma("close", 20), "m50": ma("close", 50)}], KEYS | {"below_high_20": r("100 * (close - h20) / h20"), "above_low_20": r("100 * (close - l20) / l20"), "gap20": r("100 * (close - m20) / m20"), "gap50": r("100 * (close - m50) / m50")}, tail="WHERE m50 IS NOT NULL"))
-def _(spark, d):
-    f = framed(spark, d)
-    return out(f, {**ind.distances(f, (20,)), "gap20": ind.distance_from_ma(f, 20), "gap50": ind.distance_from_ma(f, 50)}).where("gap50 is not null")
-
-
 @query("e26_slope_angles", staged([{"i": f"CAST(row_number() {W} - 1 AS DOUBLE)"}, {f"s{n}": full("regr_slope(close, i) {w}", "close", n) for n in (5, 20, 60)}], KEYS | {f"angle{n}": r(f"degrees(atan(s{n}))", 2) for n in (5, 20, 60)}))
 def _(spark, d):
     f = framed(spark, d)
@@ -208,22 +150,6 @@ def _(spark, d):
     return tidy(f.df.where("ema20 > ema50 and ma100 > ma200 and close < ema20 and k14 < 20").select("ticker", "ts", "close", "ema20", "ema50", "k14"))
 
 
-@query("e12_early_trading")
-def _(spark, d):
-    f = Frame(scan(bars_eod(spark, d), {"rsi": lambda b: k.rsi(b.c, 14), "macd": lambda b: k.macd(b.c), "signal": lambda b: k.macd_signal(b.c), "adx": lambda b: k.directional(b)[2], "plus": lambda b: k.directional(b)[0], "minus": lambda b: k.directional(b)[1], "k14": lambda b: k.stoch_k(b), "d14": lambda b: k.stoch_d(b)}))
-    m = f.hold(f.ma("close", 20))
-    f.add(buy=(F.col("close") > m) & F.expr("rsi > 50 and macd > signal and plus > minus and k14 > d14 and close > open"), sell=(F.col("close") < m) & F.expr("rsi < 50 and macd < signal and plus < minus and k14 < d14 and close < open"))
-    return tidy(f.df.where("buy or sell").select("ticker", "ts", "close", F.when(F.col("buy"), "buy").otherwise("sell").alias("verdict")))
-
-
-@query("e13_reversal_screen")
-def _(spark, d):
-    f = Frame(scan(bars_eod(spark, d), {"rsi": lambda b: k.rsi(b.c, 14)}))
-    one = candles.single(f)
-    f.add(hammer=one["hammer"], doji=one["near_doji"], value=F.col("close") * F.col("volume"))
-    return tidy(f.df.where("(hammer or doji) and rsi < 40 and value > 1000").select("ticker", "ts", "close", "rsi", "hammer", "doji"))
-
-
 @query("e18_rsi_targets")
 def _(spark, d):
     return tidy(scan(bars_eod(spark, d), {"rsi": lambda b: k.rsi(b.c, 14), **{f"price_{t}": (lambda b, t=t: k.rsi_price(b.c, 14, t)) for t in (30, 50, 70)}}).select("ticker", "ts", "close", "rsi", "price_30", "price_50", "price_70"))
@@ -235,14 +161,6 @@ def _(spark, d):
     return out(f, {"atr_rank": f.percent_rank(f.hold(f.linreg("atr", 10)), 100)})
 
 
-@query("e23_strong_up_trend")
-def _(spark, d):
-    f = framed(spark, d)
-    i = {n: f.hold(c) for n, c in ind.ichimoku(f).items()}
-    ok = f.hold((F.col("close") > i["tenkan"]) & (i["tenkan"] >= i["kijun"]) & (F.col("close") > F.greatest(i["span_a"], i["span_b"])))
-    return out(f, {"strong_up": F.coalesce(f.sum(ok.cast("int"), 5) == 5, F.lit(False))}).where("strong_up = 1")
-
-
 @query("e24_rsi_ema_cross")
 def _(spark, d):
     f = Frame(scan(bars_eod(spark, d), {"rsi": lambda b: k.rsi(b.c, 14), "e5": lambda b: k.ema(b.c, 5), "e20": lambda b: k.ema(b.c, 20), "tema9": lambda b: k.tema(b.c, 9), "tema20": lambda b: k.tema(b.c, 20)}))
