@@ -17,6 +17,14 @@ class Bars:
         self.o, self.h, self.l, self.c, self.v = (g[x].to_numpy(float) for x in ("open", "high", "low", "close", "volume"))
         self.n = len(g)
         self.t = g["ts"] if "ts" in g else None
+        self._made: dict = {}
+
+    def once(self, make, *args):
+        """``make(self, *args)``, computed once however many steps of a scan ask for it."""
+        key = (make, *args)
+        if key not in self._made:
+            self._made[key] = make(self, *args)
+        return self._made[key]
 
 
 def ref(x: np.ndarray, n: int) -> np.ndarray:

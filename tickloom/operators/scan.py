@@ -32,6 +32,7 @@ def scan(df: DataFrame, steps: dict[str, Step], by: str = "ticker", order: str =
             made = {n: np.asarray(f(bars), float) for n, f in steps.items()}
         if last is not None:
             g, made = g.tail(last).reset_index(drop=True), {n: x[-last:] for n, x in made.items()}
-        return g[names].assign(**{n: pd.Series(np.where(np.isfinite(x), x, np.nan)).astype(object).where(np.isfinite(x), None) for n, x in made.items()})
+        # Missing values leave as NaN and arrive as null.
+        return pd.concat([g[names], pd.DataFrame({n: np.where(np.isfinite(x), x, np.nan) for n, x in made.items()})], axis=1)
 
     return df.groupBy(by).applyInPandas(run, schema)

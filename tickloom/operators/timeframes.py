@@ -37,17 +37,23 @@ def expand(bars: DataFrame, coarse: DataFrame, frame: str, columns: list[str], l
     return bars.withColumn("p", period("ts", frame)).join(right, ["ticker", "p"], "left").drop("p")
 
 
+def _compressed(b: Bars, unit: str) -> tuple[Bars, np.ndarray]:
+    """One ticker's bars of a period, and the period of each bar."""
+    days = pd.to_datetime(b.t).to_numpy().astype("datetime64[D]")
+    start = (days.astype(np.int64) + 3) // 7 if unit == "W" else days.astype("datetime64[M]").astype(np.int64)  # day 0 was a Thursday
+    first = np.flatnonzero(np.append(True, start[1:] != start[:-1]))
+    last = np.append(first[1:], b.n) - 1
+    p = Bars(pd.DataFrame({"open": b.o[first], "high": np.maximum.reduceat(b.h, first), "low": np.minimum.reduceat(b.l, first), "close": b.c[last], "volume": np.add.reduceat(b.v, first)}))
+    return p, np.searchsorted(first, np.arange(b.n), "right") - 1
+
+
 def on_periods(b: Bars, unit: str, of: Callable[[Bars], np.ndarray]) -> np.ndarray:
     """``of`` computed on one ticker's bars compressed to periods ("W" or "M"), on every bar the value of the last period that was complete before it.
 
     For grouped scans: the ticker's bars hold all its periods, so no second shuffle is needed.
     """
-    t = pd.to_datetime(b.t)
-    start = (t.dt.to_period("W-SUN" if unit == "W" else unit)).astype("int64").to_numpy()
-    first = np.flatnonzero(np.append(True, start[1:] != start[:-1]))
-    last = np.append(first[1:], b.n) - 1
-    p = Bars(pd.DataFrame({"open": b.o[first], "high": np.maximum.reduceat(b.h, first), "low": np.minimum.reduceat(b.l, first), "close": b.c[last], "volume": np.add.reduceat(b.v, first)}))
-    return ref(of(p), -1)[np.searchsorted(first, np.arange(b.n), "right") - 1]
+    p, period_of = b.once(_compressed, unit)
+    return ref(of(p), -1)[period_of]
 
 
 def price_of(bars: DataFrame, field: str, frame: str, shift: int = -1, name: str = "value") -> DataFrame:

@@ -29,7 +29,7 @@ def random_walk(b: k.Bars, low: int, high: int) -> tuple[np.ndarray, np.ndarray]
 
 
 STEPS = {
-    "avg_spread": lambda b: k.ema(b.h - b.l, 40), "avg_move": lambda b: k.ema(np.abs(b.c - b.o), 40), "up_now": lambda b: random_walk(b, 2, 7)[0], "down_now": lambda b: random_walk(b, 2, 7)[1], "up_long": lambda b: random_walk(b, 8, 40)[0], "down_long": lambda b: random_walk(b, 8, 40)[1],
+    "avg_spread": lambda b: k.ema(b.h - b.l, 40), "avg_move": lambda b: k.ema(np.abs(b.c - b.o), 40), "up_now": lambda b: b.once(random_walk, 2, 7)[0], "down_now": lambda b: b.once(random_walk, 2, 7)[1], "up_long": lambda b: b.once(random_walk, 8, 40)[0], "down_long": lambda b: b.once(random_walk, 8, 40)[1],
     "mean_spread": lambda b: k.wilders(b.h - b.l, 40), "mean_result": lambda b: k.wilders(np.abs(b.c - k.ref(b.c, -1)), 40),
 }
 

@@ -58,7 +58,7 @@ def macd_events(b: k.Bars) -> np.ndarray:
     """The events of a bar as bits, in the order of EVENT_TEXTS."""
     m = k.macd(b.c)
     s = k.ema(m, 9)
-    plus, minus, adx = k.directional(b)
+    plus, minus, adx = b.once(k.directional)
     up = crossed(m, 0.0)
     down, above, under = crossed(-m, 0.0), crossed(m, s) & (m > 0), crossed(s, m) & (m > 0)
     gap = m - s
