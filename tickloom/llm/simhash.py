@@ -33,7 +33,7 @@ from tickloom.llm.common import free_name, settle
 
 BITS, DISTANCE, SEGMENTS, BUCKET = 64, 2, 16, 128
 SHINGLE, SEED = 3, 42
-ROWS_AT_ONCE = 16_384
+ROWS_AT_ONCE, LINKS_PER_PARTITION = 16_384, 10_000
 
 
 def fingerprint(text: str | None) -> int:
@@ -175,18 +175,18 @@ def components(links: DataFrame) -> DataFrame:
     neighbours, and itself, on the least of them.  What is left are stars.  The
     number of rounds grows with the logarithm of the longest chain.
     """
-    links = settle(links)
-    seen = None
+    links, seen = settle(links), None
     while True:
+        now = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("all")).first()
+        if now == seen:
+            return links.select(F.col("a").alias("node"), F.col("b").alias("root")).union(links.select("b", "b").distinct())
+        # Partitions follow the number of links, so that a few of them are not dealt over many files again and again.
+        seen, links = now, links.coalesce(1 + now["n"] // LINKS_PER_PARTITION)
         least = links.groupBy("a").agg(F.min("b").alias("m"))
         big = links.join(least.withColumnRenamed("a", "b"), "b", "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
         least = big.groupBy("a").agg(F.min("b").alias("m"))
         moved = big.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         links = settle(moved.union(least.select("a", F.col("m").alias("b"))).distinct())
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen:
-            return links.select(F.col("a").alias("node"), F.col("b").alias("root")).union(links.select("b", "b").distinct())
-        seen = now
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", segments: int = SEGMENTS, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
