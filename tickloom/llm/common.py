@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,16 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of steps whose results have been settled.
+
+    It does so once the driver's garbage is collected, which a driver with little
+    to do puts off while files pile up.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, lengthened until no column of ``df`` has that name in any letter case."""
     taken = {c.lower() for c in df.columns}
