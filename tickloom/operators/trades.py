@@ -21,10 +21,18 @@ def ledger(f: Frame, buy: Column, sell: Column) -> DataFrame:
 
 
 def excursions(trades: DataFrame, bars: DataFrame) -> DataFrame:
-    """Bars, worst and best excursion of each closed trade, in percent of its entry."""
-    inside = trades.where("exit_ts is not null").join(bars, "ticker").where((F.col("ts") >= F.col("entry_ts")) & (F.col("ts") < F.col("exit_ts")))
-    rate = lambda x: 100 * (x / F.col("entry_price") - 1)
-    return inside.groupBy("ticker", "entry_ts", "entry_price", "exit_ts", "profit").agg(F.count("*").alias("length"), F.min(rate(F.col("low"))).alias("mae"), F.max(rate(F.col("high"))).alias("mfe"))
+    """Bars, worst and best excursion of each closed trade, in percent of its entry.
+
+    A trade starts on a bar, and a ticker's trades follow one another, so each bar
+    carries the last trade that has started: one window over the bars, whatever
+    the number of trades.
+    """
+    starts = trades.select("ticker", F.col("entry_ts").alias("ts"), F.struct("entry_ts", "entry_price", "exit_ts", "profit").alias("trade"))
+    w = Window.partitionBy("ticker").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    inside = bars.join(starts, ["ticker", "ts"], "left").withColumn("trade", F.last("trade", ignorenulls=True).over(w)).where(F.col("ts") < F.col("trade.exit_ts"))
+    rate = lambda x: 100 * (x / F.col("trade.entry_price") - 1)
+    found = inside.groupBy("ticker", "trade").agg(F.count("*").alias("length"), F.min(rate(F.col("low"))).alias("mae"), F.max(rate(F.col("high"))).alias("mfe"))
+    return found.select("ticker", "trade.*", "length", "mae", "mfe")
 
 
 def equity(trades: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,13 +56,15 @@ def file_inventory(spark: SparkSession, path: str, suffix: str | None = None) ->
 
 
 def read_table_file(spark: SparkSession, paths: list[str], key: str = "Ticker") -> DataFrame:
-    """The first of ``paths`` that can be read, as CSV with a header or as Parquet; its first column becomes ``key`` if there is none."""
+    """The first of ``paths`` that exists, as CSV with a header or as Parquet; its first column becomes ``key`` if there is none."""
     failure: Exception | None = None
     for path in paths:
         try:
             df = spark.read.parquet(path) if path.endswith(".parquet") else spark.read.csv(path, header=True, inferSchema=True)
             return df if key in df.columns else df.withColumnRenamed(df.columns[0], key)
-        except Exception as e:  # the next path is the fallback
+        except AnalysisException as e:  # the next path is the fallback for one that is not there, not for one that is broken
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             failure = e
     raise failure or ValueError("no paths")
 

@@ -43,15 +43,21 @@ def merged(target: DataFrame, updates: DataFrame, keys: list[str], evolve: bool
 
 
 def swap(spark: SparkSession, df: DataFrame, path: str) -> None:
-    """Write beside ``path`` and rename, so that readers see the old table or the new one."""
+    """Write beside ``path`` and put the new table in the place of the old one by two renames.
+
+    A reader that comes between the two finds no table; whoever needs more keeps a
+    catalogue.  If a rename fails the old table is back in its place.
+    """
     staged, old = f"{path}.{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
     df.write.parquet(staged)
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
     fs = at(path).getFileSystem(conf)
-    if fs.exists(at(path)):
-        fs.rename(at(path), at(old))
+    if fs.exists(at(path)) and not fs.rename(at(path), at(old)):  # a rename into a folder that exists would move the table inside it
+        raise OSError(f"could not move {path} away; the new table is in {staged}")
     if not fs.rename(at(staged), at(path)):
+        if fs.exists(at(old)):
+            fs.rename(at(old), at(path))
         raise OSError(f"could not put {staged} in place of {path}")
     if fs.exists(at(old)):
         fs.delete(at(old), True)
