@@ -198,3 +198,63 @@ def test_rounding_is_the_same_everywhere(spark):
 def test_correlation_without_variance_is_null(spark):
     f = Frame(bars(spark, [1.0, 2.0, 3.0]))
     assert column(f, f.corr("close", "volume", 2)) == [None, None, None]
+
+
+def test_backward_reads_from_the_end(spark):
+    g = Frame(bars(spark, [1.0, 2.0, 3.0])).backward()
+    assert column(g, g.bar()) == [2, 1, 0]
+    assert column(g, g.ref("close", -1)) == [2.0, 3.0, None]
+
+
+def test_line_between_two_bars(spark):
+    f = Frame(bars(spark, [5.0, 1.0, 7.0, 3.0, 9.0]))
+    assert column(f, f.line_between(("close", 3), ("close", 1))) == [None, 1.0, 2.0, 3.0, 4.0]
+
+
+def test_rotation_keeps_its_places_with_slack(spark):
+    days = [{"A": 9.0, "B": 8.0, "C": 7.0}, {"A": 7.0, "B": 9.0, "C": 8.0}, {"A": None, "B": 1.0, "C": 2.0}]
+    rows = [(t, datetime.date(2024, 1, 1 + i), s) for i, day in enumerate(days) for t, s in day.items()]
+    held = crosssection.rotation(spark.createDataFrame(rows, "ticker string, ts date, score double"), "score", 1, slack=1)
+    got = {(x.ticker, x.ts.day): x.held for x in held.collect()}
+    assert got == {("A", 1): True, ("B", 1): False, ("C", 1): False, ("A", 2): False, ("B", 2): True, ("C", 2): False, ("B", 3): True, ("C", 3): True}
+
+
+def test_targets_are_passed_in_order(spark):
+    f = Frame(bars(spark, [10.0, 11.0, 12.0, 14.0, 13.0, 9.0, 7.0]))
+    buy, short = F.col("close") == 11, F.col("close") == 9
+    made = trades.targets(f, buy, short, F.col("close") - 2, F.col("close") + 1)
+    assert column(f, made["long_1"]) == [False, False, False, True, True, False, False]
+    assert column(f, made["long_2"]) == [False] * 7
+    assert column(f, made["short_1"]) == [False] * 6 + [True]
+    assert column(f, made["short_2"]) == [False] * 6 + [True]
+
+
+def test_correlations_keep_every_ticker_and_fill_the_list(spark):
+    a, b = bars(spark, [1.0, 2.0, 4.0, 8.0]), bars(spark, [8.0, 4.0, 2.0, 1.0], "B")
+    late = bars(spark, [5.0, 6.0], "C", start=datetime.date(2024, 1, 3))
+    gap = a.where("close != 2.0")  # the listed symbol lacks a day and keeps its last close
+    got = {(x.a, x.b): (None if x["corr"] is None else round(x["corr"], 6), x.n) for x in crosssection.correlations(gap.union(b).union(late), "A", 4).collect()}
+    want = float(np.corrcoef([8, 4, 2, 1], [1, 1, 4, 8])[0, 1])
+    assert got == {("A", "A"): (None, 3), ("B", "A"): (round(want, 6), 4), ("C", "A"): (None, 2)}
+
+
+def test_sheet_is_sorted_and_has_totals(spark):
+    rows = spark.createDataFrame([("A", 1.0), ("B", 3.0), ("C", 3.0)], "ticker string, v double")
+    got = crosssection.sorted_by(crosssection.with_summary(rows, "TOTAL", v="sum"), "-v", "ticker").collect()
+    assert [(x.ticker, x.v) for x in got] == [("TOTAL", 7.0), ("B", 3.0), ("C", 3.0), ("A", 1.0)]
+
+
+def test_strength_signs_need_later_bars_only_where_stated(spark):
+    closes = (50 + np.cumsum(np.random.default_rng(3).normal(0, 1, 160))).round(2).tolist()
+    volume = np.random.default_rng(4).integers(10, 400, 160).tolist()
+
+    def signs(n):
+        f = Frame(bars(spark, closes[:n], volume=volume[:n]))
+        return f.add(**vpa.strength_and_weakness(f, F.lit(1.5))).df.orderBy("ts").toPandas()
+
+    whole, part = signs(160), signs(140)
+    names = [c for c in part if c[:3] in ("sos", "sow")]
+    assert len(names) == 16
+    ahead = ("sos7", "sow7")
+    causal = [c for c in names if c not in ahead]
+    assert whole[causal][:140].equals(part[causal]) and whole[list(ahead)][:139].equals(part[list(ahead)][:139])

@@ -21,6 +21,10 @@ class Frame:
         self.df, self.by, self.order, self._n = df, by, order, 0
         self.given = list(df.columns)
 
+    def backward(self) -> "Frame":
+        """The same rows read from the last bar to the first (looks ahead)."""
+        return Frame(self.df, self.by, F.desc(self.order))
+
     # -- windows -------------------------------------------------------------
     @property
     def w(self) -> WindowSpec:
@@ -206,6 +210,13 @@ class Frame:
         weighted = F.sum(x * i).over(self.back(n)) - (i - n) * F.sum(x).over(self.back(n))
         return self._full(x, n, weighted / (n * (n + 1) / 2))
 
+    def line_between(self, start: tuple[str, int], end: tuple[str, int]) -> Column:
+        """Line through two bars, each a field and a number of bars before the ticker's last; null before the first (looks ahead)."""
+        left = self.hold(F.count(F.lit(1)).over(self.w.rowsBetween(0, Window.unboundedFollowing)) - 1)
+        back, later = start[1], end[1]
+        first, second = (self.hold(F.max(F.when(left == n, F.col(v))).over(self.whole)) for v, n in (start, end))
+        return F.when(left <= back, first + (second - first) * (back - left) / (back - later))
+
     def gap_up(self) -> Column:
         return F.coalesce(F.col("low") > F.lag("high").over(self.w), F.lit(False))
 
@@ -223,4 +234,4 @@ class Frame:
 
 
 #: Builders that read bars after the current one.
-LOOK_AHEAD = frozenset({"future", "last_value", "value_when(n=0)", "ref(n>0)", "peaks", "zig", "fractals"})
+LOOK_AHEAD = frozenset({"future", "last_value", "value_when(n=0)", "ref(n>0)", "backward", "line_between", "fractals"})

@@ -15,7 +15,7 @@ class Bars:
 
     def __init__(self, g: pd.DataFrame):
         self.o, self.h, self.l, self.c, self.v = (g[x].to_numpy(float) for x in ("open", "high", "low", "close", "volume"))
-        self.n = len(g)
+        self.n, self.g = len(g), g
         self.t = g["ts"] if "ts" in g else None
         self._made: dict = {}
 
@@ -471,6 +471,16 @@ def smoothed_heikin_ashi(b: Bars, n: int = 10, smooth=dema):
     return heikin_ashi(s)
 
 
+def middle(b: Bars, n: int) -> np.ndarray:
+    """Middle of the range of the last n bars."""
+    return (hhv(b.h, n) + llv(b.l, n)) / 2
+
+
+def weekly_macd_signal(b: Bars) -> np.ndarray:
+    """Smoothed difference of two means of the ``weekly`` column, in bars: 30 and 65, smoothed by 25."""
+    return ema(ema(b.g["weekly"].to_numpy(float), 30) - ema(b.g["weekly"].to_numpy(float), 65), 25)
+
+
 def exrem_span(signal: np.ndarray, n: int) -> np.ndarray:
     """Each signal that passes silences those of the next n bars."""
     out, last = np.zeros(len(signal), bool), -n - 1

@@ -68,12 +68,25 @@ def basket(bars: DataFrame, symbols: str) -> DataFrame:
     return bars.where(F.col("ticker").isin(names)).groupBy("ts").agg(*sums, F.sum("volume").alias("volume"))
 
 
-def correlations(bars: DataFrame, symbols: str) -> DataFrame:
-    """Correlation of closes between each pair of a stated list of symbols, on common dates."""
+def correlations(bars: DataFrame, symbols: str, n: int = 252) -> DataFrame:
+    """Correlation of every ticker's closes with those of each listed symbol, over the ticker's last n bars.
+
+    A listed symbol has its last known close on each date.  The list becomes one
+    row a date (a calendar, whatever the number of tickers), so the bars are
+    joined by date once.  ``corr`` is null where fewer than n bars have both
+    closes, or one of them does not vary; ``n`` tells how many bars have both.
+    """
     names = [s.strip() for s in symbols.split(",") if s.strip()]
-    x = bars.where(F.col("ticker").isin(names)).select(F.col("ticker").alias("a"), "ts", F.col("close").alias("x"))
-    y = x.select(F.col("a").alias("b"), "ts", F.col("x").alias("y"))
-    return x.join(y, "ts").where("a < b").groupBy("a", "b").agg(div(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("corr"), F.count("*").alias("n"))
+    by_date = bars.groupBy("ts").agg(*[F.max(F.when(F.col("ticker") == s, F.col("close"))).alias(s) for s in names])
+    so_far = Window.orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    listed = by_date.select("ts", *[F.last(s, ignorenulls=True).over(so_far).alias(f"listed_{i}") for i, s in enumerate(names)])
+    nth = F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("ts")))
+    last = bars.select("ticker", "ts", "close").withColumn("nth", nth).where(F.col("nth") <= n).join(listed, "ts")
+    both = F.explode(F.array(*[F.struct(F.lit(s).alias("b"), F.col(f"listed_{i}").alias("y")) for i, s in enumerate(names)]))
+    pairs = last.select(F.col("ticker").alias("a"), F.col("close").alias("x"), both.alias("l")).select("a", "l.b", "x", "l.y")
+    filled = F.count(F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), 1))
+    corr = div(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))
+    return pairs.groupBy("a", "b").agg(F.when(filled >= n, corr).alias("corr"), filled.alias("n"))
 
 
 def risk_yield(bars: DataFrame) -> DataFrame:
@@ -85,3 +98,33 @@ def risk_yield(bars: DataFrame) -> DataFrame:
 def top_k(scored: DataFrame, score: str, k: int) -> DataFrame:
     """The k best tickers of each date; ties by ticker."""
     return scored.where(F.col(score).isNotNull()).withColumn("place", F.row_number().over(Window.partitionBy("ts").orderBy(F.desc(score), "ticker"))).where(F.col("place") <= k)
+
+
+def rotation(scored: DataFrame, score: str, k: int, slack: int = 2) -> DataFrame:
+    """``held``: from a bar on which the ticker is among the k best of its date until it is no longer among k + ``slack``."""
+    place = F.row_number().over(Window.partitionBy("ts").orderBy(F.desc(score), "ticker"))
+    f = Frame(scored.where(F.col(score).isNotNull()).withColumn("place", place))
+    return f.add(held=f.flip(F.col("place") <= k, F.col("place") > k + slack)).df
+
+
+def liquid(f: Frame, least: float, n: int = 20):
+    """Whether mean volume times mean close over n bars exceeds ``least``."""
+    return F.coalesce(f.ma("volume", n) * f.ma("close", n) > least, F.lit(False))
+
+
+def sorted_by(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` in the order of its columns; a leading minus sign sorts downwards."""
+    return df.orderBy(*[F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in columns])
+
+
+def with_summary(df: DataFrame, label: str, **totals: str) -> DataFrame:
+    """``df`` and a last row that holds ``label`` in its first column and the named aggregate (sum, avg, min, max, count) of others."""
+    first = df.columns[0]
+    row = df.agg(*[F.expr(f"{how}({c})").alias(c) for c, how in totals.items()]).withColumn(first, F.lit(label))
+    return df.unionByName(row, allowMissingColumns=True)
+
+
+def stix(by_date: DataFrame) -> DataFrame:
+    """Share of advancing issues of each date, as a series to be smoothed."""
+    share = 100 * div(F.col("advancing"), F.col("advancing") + F.col("declining"))
+    return by_date.select(F.lit("INDEX").alias("ticker"), "ts", share.alias("close"))

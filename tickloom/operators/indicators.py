@@ -411,3 +411,34 @@ def session_minutes(ts, opens: str = "09:00", closes: str = "15:00", rest: tuple
 def expected_volume(volume, ts, whole: int = 270) -> Column:
     """Volume that the session would reach at its present pace."""
     return div(as_column(volume) * whole, session_minutes(ts))
+
+
+def transaction_speed(f: Frame, ts, whole: int = 270) -> Column:
+    """Volume a minute: of the whole session, on a ticker's last bar of the minutes that have passed."""
+    last = F.lead(F.lit(1)).over(f.w).isNull()
+    return F.when(last, div(F.col("volume"), session_minutes(ts))).otherwise(F.col("volume") / whole)
+
+
+def taichi(f: Frame, lengths: tuple[int, int, int] = (9, 26, 52)) -> dict[str, Column]:
+    """Mean of the cloud's four lines, the mean of its spans, and two weighted means of the first."""
+    a, b, c = lengths
+    middle = f.hold_all({str(n): (f.hhv("high", n) + f.llv("low", n)) / 2 for n in lengths})
+    fast, slow, wide = (middle[str(n)] for n in lengths)
+    spans = f.hold_all({"a": f.ref((slow + fast) / 2, -b), "b": f.ref(wide, -b)})
+    line = f.hold((fast + slow + spans["a"] + spans["b"]) / 4)
+    return {"taichi": line, "taichi_ahead": (spans["a"] + spans["b"]) / 2, "signal": f.wma(line, b), "slow_signal": f.wma(line, c)}
+
+
+def pressure(f: Frame, bought, sold, n: int = 20, smooth: int = 5) -> dict[str, Column]:
+    """Buying and selling pressure: the close's distance from low and high against its mean, weighted by volume and order flow."""
+    share = 1 - 1 / (1 + as_column(bought) / (as_column(sold) + 0.001))
+    h = f.hold_all({"up": F.col("close") - F.col("low"), "down": F.col("high") - F.col("close"), "share": share})
+    m = f.hold_all({k: f.ma(v, n) for k, v in h.items()} | {"volume": f.ma("volume", n)})
+    busy = div(F.col("volume"), m["volume"])
+    known = as_column(bought).isNotNull() | as_column(sold).isNotNull()
+    raw = {
+        "buying": div(h["up"], m["up"]) * (busy + F.when(known, m["share"]).otherwise(0)),
+        "selling": div(h["down"], m["down"]) * (busy + F.when(known, 1 - m["share"]).otherwise(0)),
+    }
+    smoothed = f.hold_all({k: f.ma(v, smooth) for k, v in f.hold_all(raw).items()})
+    return smoothed | {"pressure": smoothed["buying"] - smoothed["selling"]}

@@ -63,6 +63,13 @@ def price_of(bars: DataFrame, field: str, frame: str, shift: int = -1, name: str
     return bars.withColumn("p", period("ts", frame)).join(right, ["ticker", "p"], "left").drop("p")
 
 
+def week_end_value(f: Frame, x) -> Column:
+    """The value on the last bar of each week, held until the next week's end; a bar ends its week if the next one's weekday is less (looks ahead by a bar)."""
+    day = F.weekday(F.col(f.order))
+    ends = f.hold(day > F.lead(day).over(f.w))
+    return f.value_when(ends, x)
+
+
 def session_flags(f: Frame) -> dict[str, Column]:
     day = f.hold(F.to_date(F.col(f.order)))
     return {"new_session": F.coalesce(day != f.ref(day, -1), F.lit(True)), "last_of_session": F.coalesce(day != f.ref(day, 1), F.lit(True))}

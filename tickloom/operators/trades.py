@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.frame import Frame
+from tickloom.functions.frame import Frame, as_column
 
 
 def ledger(f: Frame, buy: Column, sell: Column) -> DataFrame:
@@ -62,3 +62,20 @@ def range_statistics(bars: DataFrame, begin, end) -> DataFrame:
     """Days, bars and gain of each ticker between two dates."""
     rows = bars.where((F.col("ts") >= begin) & (F.col("ts") <= end))
     return rows.groupBy("ticker").agg(F.datediff(F.max("ts"), F.min("ts")).alias("days"), F.count("*").alias("n_bars"), (100 * (F.try_divide(F.max_by("close", "ts"), F.min_by("close", "ts")) - 1)).alias("gain"))
+
+
+def targets(f: Frame, buy, short, long_stop, short_stop, multiples: tuple[float, ...] = (1, 2, 4)) -> dict[str, Column]:
+    """While a long or short position runs, whether the bar passed the entry plus so many times the first risk."""
+    buy, short = (F.coalesce(as_column(x), F.lit(False)) for x in (buy, short))
+    long = f.hold(f.flip(buy, short))
+    down = f.hold(f.flip(short, buy))
+    at = f.hold_all({
+        "buy": f.value_when(buy, "close"), "stop": f.value_when(buy, long_stop),
+        "short": f.value_when(short, "close"), "cover": f.value_when(short, short_stop),
+    })
+    out = {}
+    for i, m in enumerate(multiples, 1):
+        up = long & (F.col("high") > at["buy"] + m * (at["buy"] - at["stop"]))
+        low = down & (F.col("low") < at["short"] - m * (at["cover"] - at["short"]))
+        out |= {f"long_{i}": F.coalesce(up, F.lit(False)), f"short_{i}": F.coalesce(low, F.lit(False))}
+    return out

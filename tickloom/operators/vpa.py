@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions import recur as k
-from tickloom.functions.frame import Frame
+from tickloom.functions.frame import Frame, as_column
 from tickloom.operators.candles import all_labels, all_of
 from tickloom.operators.scan import scan
 
@@ -181,3 +181,50 @@ def forces(f: Frame, n: int = 20, over: int = 40) -> dict[str, Column]:
     top, low = F.greatest(ends["top_buy"], ends["top_sell"]), F.least(ends["low_buy"], ends["low_sell"])
     scaled = {f"{name}_norm": 100 * (ratios[name] - ends[f"low_{name}"]) / (ends[f"top_{name}"] - ends[f"low_{name}"] + 1e-9) for name in ("spread", "volume", "result")}
     return {"buy_force": 100 * div(ratios["buy"] - low, top - low), "sell_force": 100 * div(ratios["sell"] - low, top - low), **scaled}
+
+
+def strength_and_weakness(f: Frame, mean_range) -> dict[str, Column]:
+    """Eight signs of strength and eight of weakness, by classes of volume, range and close position.
+
+    ``mean_range`` is the smoothed bar range.  ``sos7`` and ``sow7`` ask for the
+    next bar's close and so look ahead.
+    """
+    v, c, high, low = (F.col(x) for x in ("volume", "close", "high", "low"))
+    span, mean = f.hold(high - low), as_column(mean_range)
+    h = f.hold_all({
+        "v": f.ma("volume", 30), "v3": f.hhv("volume", 3), "v5": f.hhv("volume", 5),
+        **{f"h{n}": f.hhv("high", n) for n in (5, 20, 100)}, **{f"l{n}": f.llv("low", n) for n in (5, 20, 100)},
+    })
+    b = f.hold_all({n: f.ref(x, -1) for n, x in h.items() if n != "v"} | {
+        "c": f.ref("close", -1), "high": f.ref("high", -1), "low": f.ref("low", -1), "v1": f.ref("volume", -1), "v2": f.ref("volume", -2),
+        "s1": f.ref(span, -1), "s2": f.ref(span, -2), "next": f.ref("close", 1),
+    })
+    ultra_volume, high_volume = v > 2 * h["v"], (v > 1.1 * h["v"]) & (v < 2 * h["v"])
+    ultra_wide, wide = span > 2 * mean, (span > 1.33 * mean) & (span < 2 * mean)
+    normal, small, tiny = (span > 0.67 * mean) & (span < 1.33 * mean), span < 0.67 * mean, span < 0.5 * mean
+    upper, lower = c > high - span / 3, c < low + span / 3
+    middle = (c < high - span / 3) & (c > low + span / 3)
+    broad, narrow = ultra_wide | wide, small | tiny
+    drying = ((span < b["s1"]) & (span < b["s2"]) | narrow) & (v < b["v1"]) & (v < b["v2"])
+    top = {n: high > b[f"h{n}"] for n in (5, 20, 100)}
+    bottom = {n: low < b[f"l{n}"] for n in (5, 20, 100)}
+    strong = high_volume | (v > b["v5"])
+    out = {}
+    for name, turn, far, near, edge, other, follow in (
+        ("sos", c < b["c"], upper, lower, bottom, low < b["low"], b["next"] > c),
+        ("sow", c > b["c"], lower, upper, top, high > b["high"], b["next"] < c),
+    ):
+        trap = c > b["high"] if name == "sos" else c < b["low"]
+        hold_gap = high < b["low"] if name == "sos" else F.lit(True)
+        signs = (
+            turn & ((v > b["v3"]) & edge[20] | ultra_volume) & broad & (middle | far),
+            turn & (high_volume & edge[20] | ultra_volume) & broad & (middle | far),
+            turn & (middle | far) & (normal | small) & (edge[20] | ultra_volume),
+            turn & ultra_volume & hold_gap & (normal | narrow) & edge[100],
+            (broad | (span > mean)) & far & edge[5],
+            turn & drying,
+            turn & near & (ultra_volume | strong & edge[5]) & follow,
+            other & trap & (strong | ultra_volume),
+        )
+        out |= {f"{name}{i}": F.coalesce(s, F.lit(False)) for i, s in enumerate(signs, 1)}
+    return out

@@ -92,8 +92,15 @@ def _(spark, d):
     return tidy(crosssection.basket(bars_eod(spark, d), LIST))
 
 
-@query("x_correlations", f"WITH {BARS_SQL} SELECT x.ticker AS a, y.ticker AS b, {r('corr(x.close, y.close)', 3)} AS corr, count(*) AS n FROM bars x JOIN bars y ON x.ts = y.ts AND x.ticker < y.ticker WHERE x.ticker IN {_IN} AND y.ticker IN {_IN} GROUP BY ALL")
+_LISTED = f"""{BARS_SQL}, listed(b) AS (VALUES {", ".join(f"('{s}')" for s in LIST.split(","))}),
+l AS (SELECT d.ts, b, last_value(bars.close IGNORE NULLS) OVER (PARTITION BY b ORDER BY d.ts ROWS UNBOUNDED PRECEDING) AS y
+ FROM (SELECT DISTINCT ts FROM bars) d CROSS JOIN listed LEFT JOIN bars ON bars.ts = d.ts AND bars.ticker = b),
+p AS (SELECT ticker, ts, close, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC) AS nth FROM bars)"""
+
+
+@query("x_correlations", f"WITH {_LISTED} SELECT ticker AS a, b, {r('CASE WHEN count(y) >= 252 THEN covar_pop(close, y) / nullif(stddev_pop(close) * stddev_pop(y), 0) END', 3)} AS corr, count(y) AS n FROM p JOIN l USING (ts) WHERE nth <= 252 GROUP BY ticker, b")
 def _(spark, d):
+    """Every ticker against each symbol of the list, over its last 252 bars."""
     return tidy(crosssection.correlations(bars_eod(spark, d), LIST), 3)
 
 
