@@ -359,3 +359,37 @@ _SIGNS = {
 def _(spark, d):
     f = Frame(scan(bars_eod(spark, d), {"mean_range": lambda b: k.ema(b.h - b.l, 30)}))
     return out(f, vpa.strength_and_weakness(f, "mean_range"))
+
+
+_MONTHS = f"""{walks.NUMBERED}, m AS (SELECT ticker, date_trunc('month', ts) AS ts, arg_max(close, ts) AS close, max(high) AS high, min(low) AS low
+ FROM bars GROUP BY ticker, date_trunc('month', ts)), mb AS (SELECT *, row_number() {W} AS i, lag(close) {W} AS c1 FROM m),
+mn AS MATERIALIZED (SELECT *, greatest(high, coalesce(c1, high)) - least(low, coalesce(c1, low)) AS tr FROM mb)"""
+_LEVELS = f"""{walks.walk({"monthly": walks.wilders("tr", 2)}, ctes=_MONTHS, source="mn", into="mw")},
+mp AS (SELECT ticker, ts AS p, lag(close) {W} AS mid, lag(monthly) {W} AS a FROM mw),
+lv AS MATERIALIZED (SELECT b.*, mid, mid - 0.75 * a AS low_level, mid + 0.75 * a AS top_level
+ FROM b JOIN mp ON b.ticker = mp.ticker AND date_trunc('month', b.ts) = p)"""
+
+
+@query(
+    "v_monthly_levels",
+    staged(
+        [],
+        KEYS | {
+            "middle": r("y"), "support": r("s1"), "resistance": r("r1"), "buy": flag(f"close > s1 AND {lag('close')} <= {lag('s1')}"),
+            "sell": flag(f"r1 > close AND {lag('r1')} <= {lag('close')}"),
+        },
+        source="w",
+        ctes=walks.walk({"y": walks.ema("mid", 2), "s1": walks.ema("low_level", 2), "r1": walks.ema("top_level", 2)}, ctes=_LEVELS, source="lv"),
+        recursive=True,
+    ),
+)
+def _(spark, d):
+    """Last completed month's close with levels 0.75 of its average range away, smoothed, and the bars that cross them."""
+
+    def level(times):
+        return lambda b: k.ema(timeframes.on_periods(b, "M", lambda p: p.c + times * k.atr(p, 2)), 2)
+
+    steps = {"middle": level(0), "support": level(-0.75), "resistance": level(0.75)}
+    f = Frame(scan(bars_eod(spark, d), steps))
+    lines = {n: F.col(n) for n in steps}
+    return out(f, lines | {"buy": f.cross("close", "support"), "sell": f.cross("resistance", "close")})

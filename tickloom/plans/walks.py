@@ -9,8 +9,8 @@ from tickloom.plans.sqltext import W, over
 NUMBERED = f"{BARS_SQL}, b AS MATERIALIZED (SELECT *, row_number() {W} AS i, lag(close) {W} AS c1, greatest(high, coalesce(lag(close) {W}, high)) - least(low, coalesce(lag(close) {W}, low)) AS tr FROM bars)"
 
 
-def walk(smooths: dict[str, tuple[str, str]], ctes: str = NUMBERED, source: str = "b") -> str:
-    """Tables up to ``w``: ``source`` (ticker, ts, i, ...) with y = y + (x - y) * a for each name: (x, a).
+def walk(smooths: dict[str, tuple[str, str]], ctes: str = NUMBERED, source: str = "b", into: str = "w") -> str:
+    """Tables up to ``into``: ``source`` (ticker, ts, i, ...) with y = y + (x - y) * a for each name: (x, a).
 
     An x may name columns of ``source`` and smooths before it.  A null x leaves y
     as it is; the first x that is not null starts it.
@@ -18,10 +18,11 @@ def walk(smooths: dict[str, tuple[str, str]], ctes: str = NUMBERED, source: str
     first = ", ".join(f"CAST({x} AS DOUBLE) AS {n}" for n, (x, _) in smooths.items())
     step = ", ".join(f"CASE WHEN ({x}) IS NULL THEN p_{n} WHEN p_{n} IS NULL THEN ({x}) ELSE p_{n} + (({x}) - p_{n}) * {a} END AS {n}" for n, (x, a) in smooths.items())
     before = ", ".join(f"{n} AS p_{n}" for n in smooths)
+    e = "e" if into == "w" else f"{into}_e"
     return f"""{ctes},
-e AS (SELECT ticker, i, {first} FROM {source} WHERE i = 1
- UNION ALL SELECT src.ticker, src.i, {step} FROM (SELECT ticker AS p_ticker, i AS p_i, {before} FROM e) JOIN {source} src ON src.ticker = p_ticker AND src.i = p_i + 1),
-w AS MATERIALIZED (SELECT {source}.*, {", ".join(f"e.{n}" for n in smooths)} FROM {source} JOIN e USING (ticker, i))"""
+{e} AS (SELECT ticker, i, {first} FROM {source} WHERE i = 1
+ UNION ALL SELECT src.ticker, src.i, {step} FROM (SELECT ticker AS p_ticker, i AS p_i, {before} FROM {e}) JOIN {source} src ON src.ticker = p_ticker AND src.i = p_i + 1),
+{into} AS MATERIALIZED (SELECT {source}.*, {", ".join(f"{e}.{n}" for n in smooths)} FROM {source} JOIN {e} USING (ticker, i))"""
 
 
 def ema(x: str, n: float) -> tuple[str, str]:
