@@ -5,6 +5,7 @@ from __future__ import annotations
 from tickloom.plans.bars import BARS_SQL
 from tickloom.plans.screens import _PIVOT_ROWS
 from tickloom.plans.sqltext import KEYS, SO_FAR, SPEC, W, full, hhv, lag, llv, ma, over, r, staged, total
+from tickloom.plans import walks
 
 _P = "PARTITION BY ticker ORDER BY bar"
 _WOLFE = ", ".join(f"lag({c}, {k}) OVER ({_P}) AS {c[0]}{5 - k}" for k in range(1, 5) for c in ("price", "bar"))
@@ -39,3 +40,25 @@ SQL = {
     ),
     "x_index_overlay": f"WITH {BARS_SQL}, ix AS (SELECT ts, sum(close * volume) / sum(volume) AS c FROM bars GROUP BY ts), n AS (SELECT *, row_number() OVER (ORDER BY ts) AS i FROM ix), s AS (SELECT ts, " + ", ".join(f"CASE WHEN i >= {n} THEN (sum(c * i) OVER w{n} - (i - {n}) * sum(c) OVER w{n}) / {n * (n + 1) / 2} END AS m{n}" for n in (15, 50, 200)) + " FROM n WINDOW " + ", ".join(f"w{n} AS (ORDER BY ts ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in (15, 50, 200)) + f") SELECT b.ticker, b.ts, {r('b.close')} AS close, CASE WHEN m15 > m50 AND m50 > m200 THEN 'bull' WHEN m15 < m50 AND m50 < m200 THEN 'bear' ELSE 'mixed' END AS index_state FROM bars b LEFT JOIN s USING (ts)",
 }
+
+
+_TUNNEL = (13, 21, 34, 55, 144, 169)
+SQL["a_vegas_tunnel"] = staged(
+    [{"top": "greatest(e144, e169)", "low_": "least(e144, e169)"}],
+    KEYS | {
+        "stack_up": "(e13 > e21 AND e21 > e34 AND e34 > e55)::BIGINT", "above_tunnel": "(close > top)::BIGINT", "below_tunnel": "(close < low_)::BIGINT",
+        "tunnel_up": f"coalesce(close > top AND {lag('close')} <= {lag('top')}, false)::BIGINT",
+        "tunnel_down": f"coalesce(low_ > close AND {lag('low_')} <= {lag('close')}, false)::BIGINT",
+    },
+    source="w",
+    ctes=walks.walk({f"e{n}": walks.ema("close", n) for n in _TUNNEL}),
+    recursive=True,
+)
+
+_GRID = [(a, b) for a in (5, 10, 20) for b in (30, 50, 100)]
+_EARNED = {f"x{a}_{b}": f"CASE WHEN coalesce(m{a} > m{b}, false) THEN lead(close) {W} / close - 1 ELSE 0 END" for a, b in _GRID}
+SQL["g_parameter_sweep"] = staged(
+    [{f"m{n}": ma("close", n) for n in (5, 10, 20, 30, 50, 100)}, _EARNED],
+    {"ticker": "ticker"} | {f"profit_{a}_{b}": r(f"sum(x{a}_{b})") for a, b in _GRID},
+    tail="GROUP BY ticker",
+)
