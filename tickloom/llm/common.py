@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import gc
 import tempfile
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,3 +50,25 @@ def free_name(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in taken:
         wanted += "_"
     return wanted
+
+
+#: A key that holds more than one in so many of all rows is frequent; so there are fewer such keys than this.
+FREQUENT_SHARE = 100_000
+
+
+def shared_frequent(rows: DataFrame, totals: DataFrame, keys: list[str], weight: str, share: int = FREQUENT_SHARE) -> DataFrame:
+    """``rows`` joined (nulls equal) to ``totals``, which has one row for each key and the key's number of rows in ``weight``.
+
+    Keys with more than a ``share``-th of the summed weight number fewer than
+    ``share`` whatever the data: these are broadcast, and their rows stay where
+    they are.  No key of the rest is frequent, so the shuffle that joins them has
+    no hot partition.
+    """
+    least = (totals.agg(F.sum(weight)).first()[0] or 0) // share
+    names = [f"_{i}_of_total" for i in range(len(keys))]
+    other = totals.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], *[c for c in totals.columns if c not in keys])
+    same = reduce(Column.__and__, [rows[k].eqNullSafe(F.col(n)) for k, n in zip(keys, names)])
+    often, rare = other.where(F.col(weight) > least), other.where(F.col(weight) <= least)
+    near = rows.join(F.broadcast(often), same)
+    far = rows.join(F.broadcast(often.select(*names)), same, "left_anti").join(rare, same)
+    return near.union(far).drop(*names)
