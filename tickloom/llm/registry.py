@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import alignment, bpe, decontaminate, html_text, pii, quality_model, quality_rules, revisits, sharding, simhash, token_counts
+from tickloom.llm import alignment, bpe, decontaminate, html_text, pii, quality_model, quality_rules, revisits, sharding, simhash, token_counts, vector_codes
 from tickloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,9 +31,10 @@ def queries() -> dict[str, Query]:
         "op8_suffix_arrays": lambda spark, d: decontaminate.digest_documents(docs(spark, d), table(spark, d, "benchmark")),
         "op9_simhash": lambda spark, d: simhash.digest_documents(docs(spark, d)),
         "op10_trie_bpe": lambda spark, d: bpe.digest_documents(docs(spark, d), tokenizer_file("byte_bpe_50k.json")),
+        "op11_norm_of_sum_codes": lambda spark, d: vector_codes.digest_vectors(table(spark, d, "embeddings")),
         "op12_interval_groups": lambda spark, d: alignment.digest_documents(docs(spark, d), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_cleaning": quality_rules.SQL, "op6_revisits": revisits.SQL, "op8_suffix_arrays": decontaminate.SQL}
+    return {"op4_line_cleaning": quality_rules.SQL, "op6_revisits": revisits.SQL, "op8_suffix_arrays": decontaminate.SQL, "op11_norm_of_sum_codes": vector_codes.SQL}
