@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import alignment, bpe, decontaminate, html_text, pii, quality_model, quality_rules, revisits, sharding, simhash, token_counts, vector_codes
+from tickloom.llm import alignment, bpe, decontaminate, html_text, neighbours, pii, quality_model, quality_rules, revisits, sharding, simhash, token_counts, vector_codes
 from tickloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,7 @@ def queries() -> dict[str, Query]:
         "op10_trie_bpe": lambda spark, d: bpe.digest_documents(docs(spark, d), tokenizer_file("byte_bpe_50k.json")),
         "op11_norm_of_sum_codes": lambda spark, d: vector_codes.digest_vectors(table(spark, d, "embeddings")),
         "op12_interval_groups": lambda spark, d: alignment.digest_documents(docs(spark, d), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model")),
+        "op13_learned_partitions": lambda spark, d: neighbours.digest_neighbours(table(spark, d, "embeddings")),
     }
 
 
