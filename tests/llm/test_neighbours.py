@@ -73,7 +73,7 @@ def test_recall_over_levels_and_blocks(spark, monkeypatch):
     got = found(nn.digest_neighbours(frame(spark, rows)))
     assert all(len(x) == 20 for x in got.values()) and recall(got, brute(rows, asked)) >= 0.9
     classes = nn.vector_classes(nn.usable(frame(spark, rows), "vec_id", "embedding"), 20)
-    placed, levels = nn.build_index(classes)
+    placed, levels = nn.build_index(nn.settle(classes))
     assert len(levels) >= 2 and sorted(x for r in placed.collect() for x in r.ids) == list(range(3000))
 
 

@@ -214,17 +214,17 @@ def routed(rows: DataFrame, routers: DataFrame, route, schema: str) -> DataFrame
 
 
 def vector_classes(vectors: DataFrame, nearest: int) -> DataFrame:
-    """(cls, vector, ids): different vectors with the ``nearest`` + 1 smallest of their ids; no query can have more of them among its nearest."""
+    """(cls, vector, ids, node), all at node 0: different vectors with the ``nearest`` + 1 smallest of their ids; no query can have more of them among its nearest."""
     by_id = Window.partitionBy("vector").orderBy("id")
     few = vectors.distinct().withColumn("nth", F.row_number().over(by_id)).where(F.col("nth") <= nearest + 1)
     grouped = few.groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    return grouped.select(F.concat_ws(":", F.element_at("ids", 1), F.hex(F.xxhash64("vector"))).alias("cls"), "vector", "ids")
+    return grouped.select(F.concat_ws(":", F.element_at("ids", 1), F.hex(F.xxhash64("vector"))).alias("cls"), "vector", "ids", F.lit(0).cast("long").alias("node"))
 
 
 def build_index(classes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """(cls, vector, ids, node) with each row in its leaf, and the (node, router) tables of the levels."""
+    """(cls, vector, ids, node) with each row of ``classes`` (all at node 0) in its leaf, and the (node, router) tables of the levels."""
     kind = dict(classes.dtypes)["vector"]
-    rows, levels = with_sizes(classes.withColumn("node", F.lit(0).cast("long"))), []
+    rows, levels = with_sizes(classes), []
     large, done = rows, None
     while True:
         chance = F.pmod(F.xxhash64("cls", F.lit(7)), F.lit(1 << 30)) / (1 << 30)
@@ -311,9 +311,9 @@ def nearest_neighbours(vectors: DataFrame, queries: Column | None = None, key: s
     asked = fit.where(queries if queries is not None else F.lit(True)).distinct()
     classes = settle(vector_classes(fit, nearest))
     rows, levels = build_index(classes)
-    asked = settle(asked.join(classes.select("vector", "cls"), "vector").select(F.col("id").alias("query_id"), "cls", "vector"))
+    asked = settle(asked.join(classes.select("vector", "cls", "node"), "vector").select(F.col("id").alias("query_id"), "cls", "vector", "node"))
     kind = dict(classes.dtypes)["vector"]
-    going = asked.select("cls", "vector").distinct().withColumn("node", F.lit(0).cast("long"))
+    going = asked.select("cls", "vector", "node").distinct()
     arrived = None
     for routers in levels:
         sized = with_sizes(going)
