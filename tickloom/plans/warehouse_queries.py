@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.plans.bars import BARS_SQL, bars_eod, table
 from tickloom.plans.series_queries import tidy
 from tickloom.plans.sqltext import r
 from tickloom.sources import merge
+from tickloom.sources.folders import work_folder
+from tickloom.sources.parts import PartTable
 from tickloom.streaming import live
 
 QUERIES, SQL = {}, {}
@@ -27,14 +25,6 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A new folder in the shared checkpoint folder, or for a local session without one a temporary folder."""
-    shared = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{shared or tempfile.mkdtemp(prefix='tickloom-')}/work-{uuid.uuid4().hex}"
-
-
 @query("m_upsert", f"WITH {BARS_SQL} SELECT ticker, ts, CASE WHEN ts >= DATE '2001-01-01' THEN {r('close * 2')} ELSE {r('close')} END AS close, volume FROM bars UNION ALL SELECT 'NEW', ts, {r('close')}, volume FROM bars WHERE ticker = 'S1' AND ts >= DATE '2001-01-01'")
 def _(spark, d):
     """Bars, merged with corrected bars of the last year and a new ticker."""
@@ -44,6 +34,42 @@ def _(spark, d):
     return tidy(merge.merged(bars, updates, ["ticker", "ts"]))
 
 
+@query("m_upsert_buckets", SQL["m_upsert"])
+def _(spark, d):
+    """The same merge written: a bucketed table, the corrected year merged into the buckets it touches, and the table read again."""
+    bars = bars_eod(spark, d).select("ticker", "ts", "close", "volume")
+    late = bars.where("ts >= date '2001-01-01'")
+    stored = PartTable(spark, f"{work_folder(spark)}/bars")
+    stored.create(bars, ["ticker", "ts"], ["ticker"])
+    stored.upsert(late.withColumn("close", F.col("close") * 2).unionByName(late.where("ticker = 'S1'").withColumn("ticker", F.lit("NEW"))))
+    return tidy(stored.read())
+
+
+_YEAR_END = "ts >= DATE '2000-06-01'"
+
+
+@query("m_replace_keys", f"WITH {BARS_SQL}, n AS (SELECT ticker, ts, close / 2 AS close, volume FROM bars WHERE ticker LIKE 'S1%' AND {_YEAR_END}) SELECT ticker, ts, {r('close')} AS close, volume FROM (SELECT ticker, ts, close, volume FROM bars WHERE ticker NOT IN (SELECT ticker FROM n) UNION ALL SELECT * FROM n)")
+def _(spark, d):
+    """All bars of some tickers deleted and newer, corrected ones inserted, as one change."""
+    bars = bars_eod(spark, d).select("ticker", "ts", "close", "volume")
+    stored = PartTable(spark, f"{work_folder(spark)}/bars")
+    stored.create(bars, ["ticker", "ts"], ["ticker"])
+    stored.replace_keys(bars.where(f"ticker LIKE 'S1%' AND {_YEAR_END}").withColumn("close", F.col("close") / 2))
+    return tidy(stored.read())
+
+
+@query("m_reload_days", f"WITH {BARS_SQL}, l AS (SELECT max(ts) AS last FROM bars) SELECT ticker, ts, CASE WHEN ts >= last - 90 THEN {r('close * 3')} ELSE {r('close')} END AS close, volume FROM bars, l WHERE ts < last - 90 OR volume > 20")
+def _(spark, d):
+    """The last 90 days loaded anew from a source that has other rows; older days stay."""
+    bars = bars_eod(spark, d).select("ticker", "ts", "close", "volume")
+    stored = PartTable(spark, f"{work_folder(spark)}/bars")
+    stored.create(bars, ["ticker", "ts"], ["ticker"])
+    last = stored.read().agg(F.max("ts")).first()[0]
+    source = bars.where("volume > 20").withColumn("close", F.col("close") * 3)
+    stored.reload(source, merge.last_days("ts", 90, last))
+    return tidy(stored.read())
+
+
 @query("m_keep_last", "SELECT user_id, ts::DATE AS ts, arg_max(event_id, row(ts, event_id)) AS event_id FROM events GROUP BY ALL")
 def _(spark, d):
     """Of a user's events on a day the last: intraday rows collapsed to one a day."""
@@ -88,6 +114,5 @@ def _(spark, d):
     ticks = events.select(F.col("event_type").alias("ticker"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("value").alias("price"), F.lit(1).cast("long").alias("volume"))
     bars = live.live_bars(ticks, late="40 days")
     folder = work_folder(spark)
-    q = bars.writeStream.outputMode("update").foreachBatch(lambda b, _: merge.upsert(b.sparkSession, f"{folder}/bars", b, ["ticker", "ts"])).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return tidy(spark.read.parquet(f"{folder}/bars").withColumn("ts", F.col("ts").cast("timestamp_ntz")))
+    live.upsert_stream(bars, f"{folder}/bars", ["ticker", "ts"], ["volume"], f"{folder}/state").awaitTermination()
+    return tidy(PartTable(spark, f"{folder}/bars").read().withColumn("ts", F.col("ts").cast("timestamp_ntz")))

@@ -72,6 +72,11 @@ def upsert(spark: SparkSession, path: str, updates: DataFrame, keys: list[str],
         swap(spark, merged(spark.read.parquet(path), updates, keys, evolve), path)
 
 
+def last_days(ts: str, days: int, now=None) -> Column:
+    """Whether ``ts`` is no older than ``days`` before ``now`` (a date; the current one by default)."""
+    return F.col(ts) >= F.date_sub(F.current_date() if now is None else F.lit(now).cast("date"), days)
+
+
 def replace_partitions(df: DataFrame, path: str, by: str) -> None:
     """Replace the partitions whose values of ``by`` occur in ``df``, leaving the others."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)

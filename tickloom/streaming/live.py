@@ -1,15 +1,12 @@
-"""Streams of ticks and bars: bar building, running VWAP, incremental averages, alerts and incremental reloads."""
+"""Streams of ticks and bars: bar building, running VWAP and expected volume, alerts and incremental reloads."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tickloom.sources.merge import keep_last, merged, swap
+from tickloom.sources.merge import keep_last
+from tickloom.sources.parts import put
 
 
 def tick_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1) -> DataFrame:
@@ -29,43 +26,21 @@ def live_vwap(ticks: DataFrame, late: str = "1 hour") -> DataFrame:
     return made.select("ticker", F.col("w.start").alias("session"), "vwap", "volume")
 
 
-def live_averages(bars: DataFrame, n: int = 14) -> DataFrame:
-    """EMA and RSI of each ticker's closes, carried from batch to batch; within a batch bars are taken in time order."""
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ema, gain, loss, last, seen = state.get if state.exists else (None, 0.0, 0.0, None, 0)
-        rows = []
-        for ts, c in pd.concat(list(parts)).sort_values("ts")[["ts", "close"]].itertuples(index=False):
-            ema = c if ema is None else ema + (c - ema) * 2 / (n + 1)
-            if last is not None:
-                up, down = max(c - last, 0.0), max(last - c, 0.0)
-                seen += 1
-                if seen <= n:  # the first n changes give the mean that starts the smoothing
-                    gain, loss = gain + up / n, loss + down / n
-                else:
-                    gain, loss = gain + (up - gain) / n, loss + (down - loss) / n
-            last = c
-            rows.append((key[0], ts, c, ema, 100 * gain / (gain + loss) if seen >= n and gain + loss else None))
-        state.update((ema, gain, loss, last, seen))
-        yield pd.DataFrame(rows, columns=["ticker", "ts", "close", "ema", "rsi"])
-
-    return bars.groupBy("ticker").applyInPandasWithState(step, "ticker string, ts timestamp, close double, ema double, rsi double", "ema double, gain double, loss double, last double, seen long", "append", GroupStateTimeout.NoTimeout)
-
-
 def alerts(averages: DataFrame, low: float = 30, high: float = 70) -> DataFrame:
     """Rows whose RSI is beyond a threshold, with the alert's text."""
     return averages.where((F.col("rsi") < low) | (F.col("rsi") > high)).withColumn("alert", F.when(F.col("rsi") < low, "oversold").otherwise("overbought"))
 
 
-def upsert_stream(stream: DataFrame, path: str, keys: list[str], order: list[str], checkpoint: str, available_now: bool = True):
-    """Merge each batch into the table at ``path``: of rows of one key the last counts, and a later batch wins over the table."""
+def upsert_stream(stream: DataFrame, path: str, keys: list[str], order: list[str], checkpoint: str, available_now: bool = True, mode: str = "update", by: list[str] | None = None, buckets: int = 64):
+    """Merge each batch into the bucketed table at ``path``: of rows of one key the last counts, and a later batch wins over the table.
+
+    Only the buckets that a batch touches are written.  The table remembers the
+    last batch of this ``checkpoint``, so one that is repeated after a failure
+    changes nothing.
+    """
 
-    def merge(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        latest = keep_last(batch, keys, order)
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-        swap(spark, merged(spark.read.parquet(path), latest, keys) if there else latest, path)
+    def merge(batch: DataFrame, number: int) -> None:
+        put(batch.sparkSession, path, keep_last(batch, keys, order), keys, by, buckets, tag=[checkpoint, number])
 
-    writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.outputMode(mode).foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
