@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from tickloom.plans.bars import BARS_SQL, bars_eod, table
 from tickloom.plans.series_queries import tidy
-from tickloom.plans.sqltext import r
-from tickloom.sources import merge
+from tickloom.plans.sqltext import r, rounded
+from tickloom.sources import barfiles, barsource, merge
 from tickloom.sources.folders import work_folder
 from tickloom.sources.parts import PartTable
 from tickloom.streaming import live
@@ -104,6 +104,42 @@ def _(spark, d):
     return merge.aligned(rows, like)
 
 
+_CENTS = ", ".join(f"{r(f'round(CAST(CAST({c} AS FLOAT) AS DOUBLE), 2)')} AS {c}" for c in ("open", "high", "low", "close"))
+
+
+@query("s_bar_files", f"WITH {BARS_SQL} SELECT 'stock' AS asset_class, ticker, ts, {_CENTS}, volume FROM bars")
+def _(spark, d):
+    """Daily bars written as 32-byte records, a file for each ticker, and read again by ranges of records."""
+    folder = work_folder(spark)
+    barsource.write_bars(bars_eod(spark, d), folder)
+    return tidy(barsource.read_bars(spark, folder, split_bytes=1 << 16).drop("open_int"))
+
+
+@query("s_screen_files", f"WITH {BARS_SQL}, x AS (SELECT ticker, max(ts) AS last, sum(volume) AS volume, {r('max(high)')} AS top FROM bars GROUP BY ticker) SELECT x.ticker AS Ticker, replace(s_comment, ',', '') AS note, CAST(last AS VARCHAR) AS last, volume, top FROM x JOIN (SELECT 'S' || s_suppkey AS ticker, 'Room ' || s_suppkey || ', Hall ' || s_nationkey AS s_comment FROM supplier) s ON s.ticker = x.ticker")
+def _(spark, d):
+    """A screen written as CSV without commas in its texts, and read from the first of two paths that exists; its first column becomes the key."""
+    names = table(spark, d, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("symbol"), F.concat(F.lit("Room "), "s_suppkey", F.lit(", Hall "), "s_nationkey").alias("note"))
+    last = bars_eod(spark, d).groupBy("ticker").agg(F.max("ts").cast("string").alias("last"), F.sum("volume").alias("volume"), rounded(F.max("high")).alias("top"))
+    folder = work_folder(spark)
+    barfiles.write_screen(names.join(last, names["symbol"] == last["ticker"]).drop("ticker"), f"{folder}/screen")
+    found = barfiles.read_table_file(spark, [f"{folder}/none.parquet", f"{folder}/screen"])
+    return found.select("Ticker", "note", F.col("last").cast("string").alias("last"), F.col("volume").cast("long").alias("volume"), "top")
+
+
+@query("m_clean_texts", "SELECT upper(trim(c_name)) AS key, nullif(trim(CASE WHEN c_custkey % 3 = 0 THEN '  ' ELSE c_mktsegment END), '') AS segment, c_acctbal AS balance, CASE WHEN c_custkey % 5 > 0 THEN c_custkey * 1000 END AS number FROM customer WHERE c_custkey % 7 > 0")
+def _(spark, d):
+    """Keys trimmed and in upper case, rows without one dropped, control characters and blanks taken out, numbers read from texts with thousands separators."""
+    id_ = F.col("c_custkey")
+    dirty = table(spark, d, "customer").select(
+        F.when(id_ % 7 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" \t"), F.lower("c_name"), F.lit("\u0007 "))).alias("key"),
+        F.when(id_ % 3 == 0, "  ").otherwise(F.concat(F.col("c_mktsegment"), F.lit("\u0001"))).alias("segment"),
+        F.col("c_acctbal").alias("balance"),
+        F.when(id_ % 5 == 0, "n/a").otherwise(F.format_number(id_ * 1000, 0)).alias("number"),
+    )
+    clean = merge.blank_to_null(merge.normalise_key(merge.scrub(dirty), "key"))
+    return clean.select("key", "segment", "balance", merge.number("number").cast("long").alias("number"))
+
+
 _TICKS = "SELECT event_type AS ticker, time_bucket(INTERVAL '15 minutes', ts) AS bar, ts, event_id, value AS price FROM events"
 
 

@@ -10,6 +10,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.sources.merge import keep_last
+
 #: Fixed value: a record is 32 bytes in native order: date as yyyymmdd, time, open, high, low, close, volume, open interest.
 RECORD = np.dtype([("d", "<i4"), ("t", "<i4"), ("open", "<f4"), ("high", "<f4"), ("low", "<f4"), ("close", "<f4"), ("volume", "<f4"), ("open_int", "<f4")])
 SCHEMA = "path string, record long, d int, t int, open double, high double, low double, close double, volume double, open_int double"
@@ -34,17 +36,27 @@ def read_bar_files(spark: SparkSession, path: str, since: str | None = None, suf
     several bars of a ticker and time the last record counts.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{suffix}").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    rows = files.mapInPandas(decode, SCHEMA).where(F.col("d").between(19900101, 20501231))
+    return bars_of_records(files.mapInPandas(decode, SCHEMA), since, suffix, intraday)
+
+
+def bars_of_records(rows: DataFrame, since: str | None, suffix: str, intraday: bool, last: bool = True) -> DataFrame:
+    """Bars of decoded records (``SCHEMA``); with ``last`` one for each ticker and time, else all with their ``record``."""
     date = F.try_to_date(F.col("d").cast("string"), "yyyyMMdd")
     clock = F.make_interval(hours=F.floor(F.col("t") / 10000).cast("int"), mins=F.floor(F.col("t") / 100).cast("int") % 100, secs=(F.col("t") % 100).cast("decimal(18,6)"))
-    rows = rows.withColumn("date", date).where("date is not null")
+    rows = rows.where(F.col("d").between(19900101, 20501231)).withColumn("date", date).where("date is not null")
     if since:
         rows = rows.where(F.col("date") >= F.lit(since).cast("date"))
     money = lambda c: F.round(c, 2).alias(c)
-    out = rows.select(F.upper(F.trim(ticker_of("path", suffix))).alias("ticker"), (F.col("date").cast("timestamp") + clock if intraday else F.col("date")).alias("ts"), *map(money, ("open", "high", "low", "close")), F.floor("volume").cast("long").alias("volume"), "open_int", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("asset_class"), "record")
-    from tickloom.sources.merge import keep_last
-
-    return keep_last(out, ["asset_class", "ticker", "ts"], ["record"]).drop("record")
+    out = rows.select(
+        F.upper(F.trim(ticker_of("path", suffix))).alias("ticker"),
+        (F.col("date").cast("timestamp") + clock if intraday else F.col("date")).alias("ts"),
+        *map(money, ("open", "high", "low", "close")),
+        F.floor("volume").cast("long").alias("volume"),
+        "open_int",
+        F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("asset_class"),
+        "record",
+    )
+    return keep_last(out, ["asset_class", "ticker", "ts"], ["record"]).drop("record") if last else out
 
 
 def file_inventory(spark: SparkSession, path: str, suffix: str | None = None) -> DataFrame:
