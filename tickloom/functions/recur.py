@@ -556,22 +556,6 @@ def darvas(b: Bars, n: int = 5):
     return top, bottom
 
 
-def mama(x: np.ndarray, fast: float = 0.5, slow: float = 0.05):
-    """Phase-adaptive average and its follower: alpha is ``fast`` over the change of phase, at least ``slow``."""
-    n = len(x)
-    mama_, fama = np.full(n, np.nan), np.full(n, np.nan)
-    i1, q1, phase = np.zeros(n), np.zeros(n), np.zeros(n)
-    smooth = (4 * x + 3 * ref(x, -1) + 2 * ref(x, -2) + ref(x, -3)) / 10
-    detrend = 0.0962 * smooth + 0.5769 * ref(smooth, -2) - 0.5769 * ref(smooth, -4) - 0.0962 * ref(smooth, -6)
-    q1 = np.nan_to_num(0.0962 * detrend + 0.5769 * ref(detrend, -2) - 0.5769 * ref(detrend, -4) - 0.0962 * ref(detrend, -6))
-    i1 = np.nan_to_num(ref(detrend, -3))
-    phase = np.degrees(np.arctan(np.nan_to_num(div(q1, i1))))
-    change = np.maximum(1.0, np.concatenate(([0.0], phase[:-1])) - phase)
-    alpha = np.maximum(slow, np.minimum(fast, fast / change))
-    mama_ = ama(x, alpha)
-    return mama_, ama(mama_, alpha / 2)
-
-
 # -- more smoothed oscillators, bands, stops and event scans ------------------------------------
 def rsi_projection(x: np.ndarray, n: int, target: float, tick: float = 0.1) -> np.ndarray:
     """Next close for a target RSI, rounded to the tick away from the present close."""
@@ -602,23 +586,6 @@ def macd_events(x: np.ndarray) -> np.ndarray:
     return np.select([(m > s) & (m1 <= s1), (m < s) & (m1 >= s1), (m > 0) & (m1 <= 0), (m < 0) & (m1 >= 0), (h > h1) & (h1 <= h2), (h < h1) & (h1 >= h2)], [1, -1, 2, -2, 3, -3], 0).astype(float)
 
 
-def cycle_period(x: np.ndarray) -> np.ndarray:
-    """Dominant cycle from the phase change of the detrended price's quadrature, between 6 and 50 bars."""
-    smooth = (4 * x + 3 * ref(x, -1) + 2 * ref(x, -2) + ref(x, -3)) / 10
-    detrend = 0.0962 * smooth + 0.5769 * ref(smooth, -2) - 0.5769 * ref(smooth, -4) - 0.0962 * ref(smooth, -6)
-    q = 0.0962 * detrend + 0.5769 * ref(detrend, -2) - 0.5769 * ref(detrend, -4) - 0.0962 * ref(detrend, -6)
-    i = ref(detrend, -3)
-    re, im = i * ref(i, -1) + q * ref(q, -1), i * ref(q, -1) - q * ref(i, -1)
-    angle = np.abs(np.degrees(np.arctan(div(ama(im, 0.2), ama(re, 0.2)))))
-    return ama(np.clip(div(360.0, angle), 6, 50), 0.33)
-
-
-def adaptive_macd(x: np.ndarray) -> np.ndarray:
-    """MACD whose spans follow the dominant cycle: half a cycle and a whole one."""
-    period = np.nan_to_num(cycle_period(x), nan=20.0)
-    return ama(x, 2 / (period / 2 + 1)) - ama(x, 2 / (period + 1))
-
-
 def multiple_cci(b: Bars, lengths=(14, 25, 50)) -> np.ndarray:
     t, out = (b.h + b.l + b.c) / 3, np.zeros(b.n)
     for n in lengths:

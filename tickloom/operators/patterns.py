@@ -1,4 +1,4 @@
-"""Chart patterns on pivots: fractals, swing labels, double tops, harmonics, Wolfe waves, breakouts, trend lines."""
+"""Chart patterns on pivots: fractals, swing labels, double tops, harmonics, Wolfe waves, breakouts."""
 
 from __future__ import annotations
 
@@ -74,20 +74,6 @@ def wolfe_waves(pivots: DataFrame) -> DataFrame:
     return p.where(ordered & beyond & converge).select("ticker", "ts", (-s).alias("side"), "price", target.alias("target"))
 
 
-def trend_breaks(f: Frame, pivots: DataFrame) -> DataFrame:
-    """On each bar the line through the last two tops and through the last two bottoms before it, and whether the close crosses them."""
-    w = Window.partitionBy("ticker", "side").orderBy("bar")
-    lines = pivots.withColumn("p0", F.lag("price").over(w)).withColumn("b0", F.lag("bar").over(w)).where("b0 is not null")
-    lines = lines.select("ticker", F.col("bar").alias("at"), "side", div(F.col("price") - F.col("p0"), F.col("bar") - F.col("b0")).alias("slope"), "price")
-    f.add(bar=f.bar())
-    line = F.struct("slope", "price", F.col("at"))
-    held = lines.groupBy("ticker", F.col("at").alias("bar")).agg(*[F.max(F.when(F.col("side") == s, line)).alias(n) for s, n in ((1, "over"), (-1, "under"))])
-    g = Frame(f.df.join(held, ["ticker", "bar"], "left"), order="bar")
-    value = lambda c: g.hold(c["price"] + c["slope"] * (F.col("bar") - c["at"]))
-    top, low = (value(g.hold(F.last(n, ignorenulls=True).over(g.w.rowsBetween(Window.unboundedPreceding, -1)))) for n in ("over", "under"))
-    return g.add(line_top=top, line_low=low, break_top=g.cross("close", top), break_low=g.cross(low, "close")).df.select("ticker", "ts", "line_top", "line_low", "break_top", "break_low")
-
-
 def range_break(f: Frame, n: int = 20, volume: float = 1.5) -> dict[str, Column]:
     """Close beyond the range of the n bars before, on more than ``volume`` times their mean volume, and not within 3 bars of the last such."""
     top, low, mean = (f.hold(f.ref(f.hold(x), -1)) for x in (f.hhv("high", n), f.llv("low", n), f.ma("volume", n)))

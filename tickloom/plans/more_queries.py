@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tickloom.functions import recur as k
+from tickloom.functions import recur as k, swings
 from tickloom.functions.frame import Frame
 from tickloom.operators import candles, indicators as ind, patterns, timeframes
 from tickloom.operators.scan import scan
@@ -29,7 +29,7 @@ def query(name: str, sql: str | None = None):
 
 MORE = {
     "events": {"macd_event": lambda b: k.macd_events(b.c), "macd_next": lambda b: k.macd_next_change(b.c), "impulse": lambda b: k.impulse(b.c), "regime": lambda b: k.regime(b), "divergence": lambda b: k.divergence(b.c, k.rsi(b.c)), "lows": lambda b: k.successive_lows(k.rsi(b.c)), "t3_prediction": lambda b: k.t3_prediction(b.c), "atr_crossing": lambda b: k.atr_band_crossing(b)},
-    "smoothed": {"adaptive_macd": lambda b: k.adaptive_macd(b.c), "cycle": lambda b: k.cycle_period(b.c), "multiple_cci": lambda b: k.multiple_cci(b), "zero_lag_r": lambda b: k.zero_lag_r(b), "flower": lambda b: k.flower(b), "rsi_top": lambda b: k.adaptive_bands(k.rsi(b.c), 50)[0], "rsi_low": lambda b: k.adaptive_bands(k.rsi(b.c), 50)[1], "projection_70": lambda b: k.rsi_projection(b.c, 14, 70), "volume_explosion": lambda b: k.volume_explosion(b), "bull_volume": lambda b: k.bull_bear_volume(b)[0], "bear_volume": lambda b: k.bull_bear_volume(b)[1]},
+    "smoothed": {"cycle": lambda b: swings.dominant_cycle((b.h + b.l) / 2)["smooth_period"], "multiple_cci": lambda b: k.multiple_cci(b), "zero_lag_r": lambda b: k.zero_lag_r(b), "flower": lambda b: k.flower(b), "rsi_top": lambda b: k.adaptive_bands(k.rsi(b.c), 50)[0], "rsi_low": lambda b: k.adaptive_bands(k.rsi(b.c), 50)[1], "projection_70": lambda b: k.rsi_projection(b.c, 14, 70), "volume_explosion": lambda b: k.volume_explosion(b), "bull_volume": lambda b: k.bull_bear_volume(b)[0], "bear_volume": lambda b: k.bull_bear_volume(b)[1]},
     "bands": {"keltner_top": lambda b: k.keltner(b)[0], "keltner_low": lambda b: k.keltner(b)[1], "fib_top1": lambda b: k.fibonacci_bands(b)[0], "fib_low3": lambda b: k.fibonacci_bands(b)[5], "range_top": lambda b: k.range_lines(b)[0], "range_low": lambda b: k.range_lines(b)[1], "stoploss_long": lambda b: k.atr_stoploss(b)[0], "stoploss_short": lambda b: k.atr_stoploss(b)[1], "jnsar": lambda b: k.jnsar(b), "percent_trail": lambda b: k.percent_trail(b.c), "phase_line": lambda b: k.phase_trend(b), "jaw": lambda b: k.ref(k.wilders((b.h + b.l) / 2, 13), -8), "teeth": lambda b: k.ref(k.wilders((b.h + b.l) / 2, 8), -5), "lips": lambda b: k.ref(k.wilders((b.h + b.l) / 2, 5), -3), "asymmetric_stop": lambda b: k.volatility_stop(b, 3.0, 10, bear=2.0)},
     "selected": {n: (lambda b, n=n: k.indicator(n, b, 14)) for n in k.SELECTOR},
 }
@@ -76,18 +76,6 @@ def _(spark, d):
     return tidy(patterns.impulses(patterns.pivot_rows(framed(spark, d))))
 
 
-@query("c_harmonics_on_stops")
-def _(spark, d):
-    """Harmonic patterns on the swings of 10 percent, known from the bars that confirm them."""
-    schema = "ticker string, ts date, bar int, side int, price double"
-
-    def swings(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("ts").reset_index(drop=True)
-        return pd.DataFrame([(g.ticker[0], g.ts[i], i, s, float(g.close[i])) for i, s, _ in k.pivots(g.close.to_numpy(float), 10)], columns=["ticker", "ts", "bar", "side", "price"])
-
-    return tidy(patterns.harmonics(bars_eod(spark, d).groupBy("ticker").applyInPandas(swings, schema)))
-
-
 @query("f_volume_at_price", f"WITH {BARS_SQL}, m AS (SELECT ticker, min(low) AS lo, max(high) AS hi FROM bars GROUP BY ticker) SELECT ticker, CAST(least(29, floor((close - lo) / (hi - lo) * 30)) AS BIGINT) AS bucket, CAST(sum(volume) AS BIGINT) AS volume FROM bars JOIN m USING (ticker) WHERE hi > lo GROUP BY ALL")
 def _(spark, d):
     """Volume by 30 equal price bins of each ticker."""
@@ -204,22 +192,6 @@ def _(spark, d):
     return out(f, {"stack_up": F.expr("e13 > e21 and e21 > e34 and e34 > e55"), "above_tunnel": F.col("close") > top, "below_tunnel": F.col("close") < low, "tunnel_up": f.cross("close", f.hold(top)), "tunnel_down": f.cross(f.hold(low), "close")})
 
 
-@query("b_true_swings")
-def _(spark, d):
-    """Swings of highs and lows, rather than closes: last peak and trough on each bar, known from their confirming bars."""
-
-    def last(side):
-        def step(b):
-            y, events = np.full(b.n, np.nan), {seen: i for i, s, seen in k.pivots(b.h, 10, b.l) if s == side}
-            for i in range(b.n):
-                y[i] = (b.h if side > 0 else b.l)[events[i]] if i in events else y[i - 1] if i else np.nan
-            return y
-
-        return step
-
-    return tidy(scan(bars_eod(spark, d), {"last_peak": last(1), "last_trough": last(-1)}).select("ticker", "ts", "last_peak", "last_trough"))
-
-
 @query("i_directional_signals")
 def _(spark, d):
     """Three ways to trade directional movement: crossing, crossing in a trend, and a turn of ADX; repeats within 5 bars are silent."""

@@ -218,11 +218,6 @@ def _(spark, d):
     return tidy(patterns.wolfe_waves(patterns.pivot_rows(framed(spark, d))))
 
 
-@query("c_trend_breaks")
-def _(spark, d):
-    return tidy(patterns.trend_breaks(framed(spark, d), patterns.pivot_rows(framed(spark, d))))
-
-
 @query(
     "c_range_breaks",
     staged([{"hh": hhv("high", 20), "ll": llv("low", 20), "mv": ma("volume", 20)}, {"u": f"coalesce(close > {lag('hh')}, false) AND coalesce(volume > 1.5 * {lag('mv')}, false)", "dn": f"coalesce(close < {lag('ll')}, false) AND coalesce(volume > 1.5 * {lag('mv')}, false)"}],
