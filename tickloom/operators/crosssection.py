@@ -128,3 +128,20 @@ def stix(by_date: DataFrame) -> DataFrame:
     """Share of advancing issues of each date, as a series to be smoothed."""
     share = 100 * div(F.col("advancing"), F.col("advancing") + F.col("declining"))
     return by_date.select(F.lit("INDEX").alias("ticker"), "ts", share.alias("close"))
+
+
+def volume_by_price(bars: DataFrame, unit: str = "month", bins: int = 24) -> DataFrame:
+    """Volume of each ticker and segment (``unit`` of time) by ``bins`` equal steps of the segment's own price range.
+
+    A bar's volume is spread evenly over its range; a bar without range counts
+    in the step of its price, a segment without range has one step.
+    """
+    cut = bars.withColumn("segment", F.date_trunc(unit, "ts").cast("date"))
+    own = Window.partitionBy("ticker", "segment")
+    ends = cut.withColumns({"lo": F.min("low").over(own), "width": (F.max("high").over(own) - F.min("low").over(own)) / bins})
+    step = lambda x: F.least(F.lit(bins - 1), F.floor(F.try_divide(F.col(x) - F.col("lo"), F.col("width")))).cast("int")
+    touched = ends.withColumn("bin", F.explode(F.when(F.col("width") > 0, F.sequence(step("low"), step("high"))).otherwise(F.array(F.lit(0)))))
+    floor, top = F.col("lo") + F.col("bin") * F.col("width"), F.col("lo") + (F.col("bin") + 1) * F.col("width")
+    share = F.when(F.col("high") > F.col("low"), F.greatest(F.lit(0.0), F.least("high", top) - F.greatest("low", floor)) / (F.col("high") - F.col("low"))).otherwise(1.0)
+    summed = touched.groupBy("ticker", "segment", "bin").agg(F.min(floor).alias("price"), F.sum(F.col("volume") * share).alias("volume"))
+    return summed.where(F.col("volume") > 1e-6)

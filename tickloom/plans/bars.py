@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -32,6 +32,13 @@ def bars_intraday(spark: SparkSession, sf_dir: str, width: str = "1 hour") -> Da
     return from_ticks(ticks, F.window("ts", width)["start"], "price", F.count("*"), ["ts", "event_id"])
 
 
+def smooth_bars(spark: SparkSession, sf_dir: str, n: int = 60) -> DataFrame:
+    """Daily bars whose prices are means of the last ``n`` bars, so that they move as little from day to day as those of a market; volume is as traded."""
+    w = Window.partitionBy("ticker").orderBy("ts")
+    mean = {c: F.avg(c).over(w.rowsBetween(-(n - 1), 0)).alias(c) for c in ("open", "high", "low", "close")}
+    return bars_eod(spark, sf_dir).select("ticker", "ts", *mean.values(), "volume", F.row_number().over(w).alias("_nth")).where(F.col("_nth") >= n).drop("_nth")
+
+
 def index_series(bars: DataFrame) -> DataFrame:
     """Volume-weighted mean close of each date."""
     return bars.groupBy("ts").agg((F.sum(F.col("close") * F.col("volume")) / F.sum("volume")).alias("index_close"), F.sum("volume").alias("index_volume"))
@@ -64,3 +71,12 @@ INTRADAY_SQL = """ticks AS (
 intraday AS (
   SELECT ticker, bar AS ts, arg_min(price, row(ts, event_id, price)) AS open, max(price) AS high, min(price) AS low, arg_max(price, row(ts, event_id, price)) AS close, count(*) AS volume
   FROM ticks GROUP BY ticker, bar)"""
+#: The same of ``smooth_bars``; the smooth table is named bars, so SQL over bars serves both.
+SMOOTH_SQL = (
+    BARS_SQL.replace("bars AS", "rough AS", 1)
+    + """, bars AS (
+  SELECT ticker, ts, """
+    + ", ".join(f"avg({c}) OVER m AS {c}" for c in ("open", "high", "low", "close"))
+    + """, volume FROM rough WINDOW m AS (PARTITION BY ticker ORDER BY ts ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)
+  QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY ts) >= 60)"""
+)

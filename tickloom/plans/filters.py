@@ -9,7 +9,7 @@ from tickloom.functions.frame import Frame
 from tickloom.operators import indicators as ind
 from tickloom.operators.scan import scan
 from tickloom.operators.vpa import said
-from tickloom.plans.bars import bars_eod
+from tickloom.plans.bars import BARS_SQL, SMOOTH_SQL, bars_eod, smooth_bars
 from tickloom.plans.series_queries import framed, tidy
 from tickloom.plans.sqltext import KEYS, W, full, hhv, lag, llv, ma, r, staged, total
 from tickloom.plans.walks import MACD, RICH, RSI, ema, walk
@@ -30,6 +30,11 @@ def flag(x: str) -> str:
     return f"CAST(coalesce({x}, false) AS BIGINT)"
 
 
+def smooth(ctes: str) -> str:
+    """The same tables over prices that are means of 60 bars."""
+    return ctes.replace(BARS_SQL, SMOOTH_SQL, 1)
+
+
 def status(hit, yes: str, no: str, missing):
     return F.when(said(hit), yes).when(missing.isNull(), "N/A").otherwise(no)
 
@@ -110,24 +115,33 @@ def bollinger_trend(spark, d, least: int = LEAST_VOLUME):
     "e12_early_trading",
     staged([*_MFI, {"m21": ma("close", 21), "v5": ma("volume", 5), "macd1": lag("macd"), "mfi1": lag("mfi"), "volume1": lag("volume"), "h10": hhv("c1", 10), "l10": llv("c1", 10), "h21": hhv("c1", 21), "l21": llv("c1", 21), "mm": ma("close", 15), "sd": full("stddev_pop({x}) {w}", "close", 15), "change": "100 * (close / c1 - 1)"},
             {"top": "mm + 2 * sd"}, {"top1": lag("top")},
-            {"shared": f"coalesce(h10 < 2.5 * l10 AND volume > {LEAST_VOLUME} AND volume > v5 * 1.15, false)"},
-            {"buy": f"shared AND coalesce(close > m21 AND macd > signal AND macd > macd1 AND change > 1 AND l21 * 2.5 > close AND mfi > mfi1 AND top > top1 AND close > {LEAST_PRICE}, false)", "sell": "shared AND coalesce(close < m21 AND macd < signal AND macd < macd1 AND change < -1 AND h21 * -0.5 < close AND mfi < mfi1 AND top < top1, false)"}],
+            {"shared": f"coalesce(h10 < 1.05 * l10 AND volume > {LEAST_VOLUME} AND volume > v5 * 1.15, false)"},
+            {"buy": f"shared AND coalesce(close > m21 AND macd > signal AND macd > macd1 AND change > 1 AND l21 * 1.15 > close AND mfi > mfi1 AND top > top1 AND close > {LEAST_PRICE}, false)", "sell": "shared AND coalesce(close < m21 AND macd < signal AND macd < macd1 AND change < -1 AND h21 * 0.85 < close AND mfi < mfi1 AND top < top1, false)"}],
            KEYS | {"previous_price": r("c1"), "price": r("close"), "price_change": r("change"), "previous_volume": "volume1", "volume": "volume", "volume_change": r("100 * (volume / volume1 - 1)"), "volume_ma5": r("v5"), "volume_over_ma5": r("(volume - v5) * 100 / v5"), "verdict": "CASE WHEN buy THEN 'Buy' ELSE 'Sell' END"},
-           source="w", ctes=walk(MACD), recursive=True, tail="WHERE buy OR sell"),
+           source="w", ctes=smooth(walk(MACD)), recursive=True, tail="WHERE buy OR sell"),
 )
-def early_trading(spark, d, span: float = 1.5, rise: float = 15.0, least: int = LEAST_VOLUME, least_price: float = LEAST_PRICE):
-    """Nine conditions for buying, eight for selling; ``span`` bounds the range of the 10 bars before and the distance from the extreme of 21."""
-    f = Frame(scan(bars_eod(spark, d), {n: _SCAN[n] for n in ("macd", "signal")}))
+def early_trading(spark, d):
+    return tidy(early_trades(smooth_bars(spark, d))).orderBy(F.desc("price_change"), "ticker")
+
+
+def early_trades(bars, span: float = 1.05, above: float = 1.15, below: float = 0.85, rise: float = 15.0, least: int = LEAST_VOLUME, least_price: float = LEAST_PRICE):
+    """Nine conditions for buying, eight for selling; the greatest day change comes first.
+
+    The 10 bars before lie within ``span`` times their lowest close; the close is
+    under ``above`` times the lowest of 21 (to buy), over ``below`` times the
+    highest (to sell).
+    """
+    f = Frame(scan(bars, {n: _SCAN[n] for n in ("macd", "signal")}))
     c, v = F.col("close"), F.col("volume")
     before = f.hold_all({"c1": F.lag(c).over(f.w), "mfi": ind.mfi(f, 14), "mm": f.ma("close", 15), "sd": f.stdev("close", 15), "m21": f.ma("close", 21), "v5": f.ma("volume", 5), "change": f.roc("close", 1), "volume_change": f.roc("volume", 1), "v1": F.lag(v).over(f.w), "macd1": F.lag("macd").over(f.w)})
     top = before["mm"] + 2 * before["sd"]
     m = before | f.hold_all({"h10": f.hhv(before["c1"], 10), "l10": f.llv(before["c1"], 10), "h21": f.hhv(before["c1"], 21), "l21": f.llv(before["c1"], 21), "mfi1": F.lag(before["mfi"]).over(f.w), "top1": F.lag(top).over(f.w)})
-    shared = (m["h10"] < (1 + span) * m["l10"]) & (v > least) & (v > m["v5"] * (1 + rise / 100))
-    buy = shared & (c > m["m21"]) & (F.col("macd") > F.col("signal")) & (F.col("macd") > m["macd1"]) & (m["change"] > 1) & (m["l21"] * (1 + span) > c) & (m["mfi"] > m["mfi1"]) & (top > m["top1"]) & (c > least_price)
-    sell = shared & (c < m["m21"]) & (F.col("macd") < F.col("signal")) & (F.col("macd") < m["macd1"]) & (m["change"] < -1) & (m["h21"] * (1 - span) < c) & (m["mfi"] < m["mfi1"]) & (top < m["top1"])
+    shared = (m["h10"] < span * m["l10"]) & (v > least) & (v > m["v5"] * (1 + rise / 100))
+    buy = shared & (c > m["m21"]) & (F.col("macd") > F.col("signal")) & (F.col("macd") > m["macd1"]) & (m["change"] > 1) & (m["l21"] * above > c) & (m["mfi"] > m["mfi1"]) & (top > m["top1"]) & (c > least_price)
+    sell = shared & (c < m["m21"]) & (F.col("macd") < F.col("signal")) & (F.col("macd") < m["macd1"]) & (m["change"] < -1) & (m["h21"] * below < c) & (m["mfi"] < m["mfi1"]) & (top < m["top1"])
     f.add(buy_=said(buy), sell_=said(sell))
     rows = f.df.where("buy_ or sell_").select("ticker", "ts", m["c1"].alias("previous_price"), c.alias("price"), m["change"].alias("price_change"), m["v1"].alias("previous_volume"), "volume", m["volume_change"].alias("volume_change"), m["v5"].alias("volume_ma5"), ((v - m["v5"]) * 100 / m["v5"]).alias("volume_over_ma5"), F.when(F.col("buy_"), "Buy").otherwise("Sell").alias("verdict"))
-    return tidy(rows).orderBy("volume", "ticker", "ts")
+    return rows.orderBy(F.desc("price_change"), "ticker")
 
 
 # -- reversal -----------------------------------------------------------------------------------------
@@ -206,7 +220,7 @@ _SPANS = (20, 50, 100, 200)
            tail=f"LEFT JOIN (SELECT 'S' || s_suppkey AS t, n_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey) ON t = ticker WHERE v5 >= {LEAST_VOLUME} AND close >= 2.5"),
 )
 def break_signals(spark, d, least: int = LEAST_VOLUME, least_price: float = 2.5):
-    """Distance from the extremes of the high (both of them, as published) and from the averages, with the industry; sorted by day change and then by distance from the 20-bar low."""
+    """Distance from the extremes of the high (both of them, as published) and from the averages, with the industry; sorted by industry and then by distance from the 20-bar high."""
     from tickloom.plans.bars import dimension
 
     f = framed(spark, d)
@@ -216,7 +230,7 @@ def break_signals(spark, d, least: int = LEAST_VOLUME, least_price: float = 2.5)
     share = lambda x: ((c - x) * 100 / x)
     rows = kept.select("ticker", "ts", share(m["c1"]).alias("c_1"), *[share(m[f"h{n}"]).alias(f"hhv_{n}") for n in _SPANS], *[share(m[f"l{n}"]).alias(f"llv_{n}") for n in _SPANS], *[(c - m[f"m{n}"]).alias(f"ma_{n}") for n in _SPANS])
     named = tidy(rows).join(dimension(spark, d).select("ticker", "industry"), "ticker", "left")
-    return named.orderBy("c_1", "llv_20")
+    return named.orderBy("industry", "hhv_20")
 
 
 _CL, _BL = f"(({hhv('high', 9)}) + ({llv('low', 9)})) / 2", f"(({hhv('high', 26)}) + ({llv('low', 26)})) / 2"
@@ -225,12 +239,16 @@ _CL, _BL = f"(({hhv('high', 9)}) + ({llv('low', 9)})) / 2", f"(({hhv('high', 26)
 @query(
     "e23_strong_up_trend",
     staged([{"cl": _CL, "bl": _BL, "h5": hhv("high", 5), "l5": llv("low", 5), "v15": ma("volume", 15)}, {"tl": "abs((cl - bl) / cl)", "raw": "(close - l5) / nullif(h5 - l5, 0)"}, {"kk": "100 * " + f"({ma('raw', 3)})"}, {"dd": ma("kk", 3)} | {f"t{i}": lag("tl", i) for i in range(1, 5)} | {f"{x}{i}": lag(x, i) for x in ("cl", "bl") for i in (1, 2, 3)}],
-           KEYS | {"close": r("close"), "volume": "volume", "mean_volume": r("v15"), "rsi": r("rsi"), "stoch_d": r("dd")}, source="w", ctes=walk(RSI, RICH, "c"), recursive=True,
-           tail="WHERE " + " AND ".join(["tl < 0.1", *(f"t{i} < 0.1" for i in range(1, 5)), *(f"{x} > {x}1 AND {x}1 >= {x}2 AND {x}2 >= {x}3" for x in ("cl", "bl"))])),
+           KEYS | {"close": r("close"), "volume": "volume", "mean_volume": r("v15"), "rsi": r("rsi"), "stoch_d": r("dd")}, source="w", ctes=smooth(walk(RSI, RICH, "c")), recursive=True,
+           tail="WHERE " + " AND ".join(["tl < 0.01", *(f"t{i} < 0.01" for i in range(1, 5)), *(f"{x} > {x}1 AND {x}1 > {x}2 AND {x}2 > {x}3" for x in ("cl", "bl"))])),
 )
-def strong_up_trend(spark, d, within: float = 0.1):
-    """Both middle lines rising and within ``within`` of each other for five bars; a level step counts as rising but for the last, since the test prices are rough."""
-    f = Frame(scan(bars_eod(spark, d), {"rsi": _SCAN["rsi"], "stoch_d": lambda b: k.stoch_d(b, 5, 3, 3)}))
+def strong_up_trend(spark, d):
+    return tidy(rising_lines(smooth_bars(spark, d)))
+
+
+def rising_lines(bars, within: float = 0.01):
+    """Both middle lines rising for three bars and within ``within`` of each other for five."""
+    f = Frame(scan(bars, {"rsi": _SCAN["rsi"], "stoch_d": lambda b: k.stoch_d(b, 5, 3, 3)}))
     line = f.hold_all({"cl": (f.hhv("high", 9) + f.llv("low", 9)) / 2, "bl": (f.hhv("high", 26) + f.llv("low", 26)) / 2, "mean_volume": f.ma("volume", 15)})
     apart = F.abs((line["cl"] - line["bl"]) / line["cl"])
     m = f.hold_all({f"t{i}": F.lag(apart, i).over(f.w) for i in range(1, 5)} | {f"{x}{i}": F.lag(line[x], i).over(f.w) for x in ("cl", "bl") for i in (1, 2, 3)})
@@ -238,8 +256,8 @@ def strong_up_trend(spark, d, within: float = 0.1):
     for i in range(1, 5):
         kept = kept & (m[f"t{i}"] < within)
     for x in ("cl", "bl"):
-        kept = kept & (line[x] > m[f"{x}1"]) & (m[f"{x}1"] >= m[f"{x}2"]) & (m[f"{x}2"] >= m[f"{x}3"])
-    return tidy(f.df.where(kept).select("ticker", "ts", "close", "volume", line["mean_volume"].alias("mean_volume"), "rsi", "stoch_d"))
+        kept = kept & (line[x] > m[f"{x}1"]) & (m[f"{x}1"] > m[f"{x}2"]) & (m[f"{x}2"] > m[f"{x}3"])
+    return f.df.where(kept).select("ticker", "ts", "close", "volume", line["mean_volume"].alias("mean_volume"), "rsi", "stoch_d")
 
 
 @query("p_mean_liquidity", staged([{"v20": ma("volume", 20), "cv20": ma("close * volume", 20)}], KEYS | {"mean_volume": r("v20"), "mean_value": r("cv20", 2)}, tail="WHERE v20 >= 30 AND cv20 >= 40000"))

@@ -219,7 +219,7 @@ def _(spark, d):
 
 
 RECURRENCES = {
-    "averages": {"wilders": lambda b: k.wilders(b.c, 14), "smma": lambda b: k.smma(b.c, 14), "dema": lambda b: k.dema(b.c, 10), "tema": lambda b: k.tema(b.c, 10), "t3": lambda b: k.t3(b.c, 5), "zlma": lambda b: k.zero_lag_ma(b.c, 10), "zltema": lambda b: k.zero_lag_tema(b.c, 10), "alma": lambda b: k.alma(b.c), "hma": lambda b: k.hma(b.c, 9), "fama": lambda b: k.mama(b.c)[1], "displaced": lambda b: k.average("ema", b.c, 10, -3), **{f"guppy{n}": (lambda b, n=n: k.ema(b.c, n)) for n in (3, 5, 8, 10, 12, 15, 30, 35, 40, 45, 50, 60)}},
+    "averages": {"wilders": lambda b: k.wilders(b.c, 14), "smma": lambda b: k.smma(b.c, 14), "dema": lambda b: k.dema(b.c, 10), "tema": lambda b: k.tema(b.c, 10), "t3": lambda b: k.t3(b.c, 5), "zlma": lambda b: k.zero_lag_ma(b.c, 10), "zltema": lambda b: k.zero_lag_tema(b.c, 10), "alma": lambda b: k.alma(b.c), "hma": lambda b: k.hma(b.c, 9), "displaced": lambda b: k.average("ema", b.c, 10, -3), **{f"guppy{n}": (lambda b, n=n: k.ema(b.c, n)) for n in (3, 5, 8, 10, 12, 15, 30, 35, 40, 45, 50, 60)}},
     "oscillators": {"stoch_rsi": lambda b: k.stoch_rsi(b.c), "zero_lag_rsi": lambda b: k.zero_lag_rsi(b.c), "zone_top": lambda b: k.dynamic_zones(b.c)[0], "zone_low": lambda b: k.dynamic_zones(b.c)[1], "sentimental": lambda b: k.sentimental_rsi(b), "hull_rsi": lambda b: k.hull_rsi(b), "rmi": lambda b: k.rmi(b.c), "trix": lambda b: k.trix(b.c), "tsi": lambda b: k.tsi(b.c), "smi": lambda b: k.stoch_momentum(b), "dss": lambda b: k.double_stoch(b), "plus_di": lambda b: k.directional(b)[0], "minus_di": lambda b: k.directional(b)[1], "adx": lambda b: k.directional(b)[2], "vortex_plus": lambda b: k.vortex(b)[0], "vortex_minus": lambda b: k.vortex(b)[1], "vortex_adx": lambda b: k.vortex_adx(b), "mass": lambda b: k.mass_index(b), "oscp": lambda b: k.price_oscillator(b.c), "wave_trend": lambda b: k.wave_trend(b), "rahul": lambda b: k.rahul_mohindar(b.c)[0], "bull": lambda b: k.bull_bear(b)[0], "bear": lambda b: k.bull_bear(b)[1], "banker": lambda b: k.mcdx(b.c, 50, 1.5, 50), "hot_money": lambda b: k.mcdx(b.c, 30, 0.7, 40), "schaff": lambda b: k.schaff(b.c), "efficiency": lambda b: k.polarized_efficiency(b.c), "two_poles": lambda b: k.two_poles(b.c), "rsi_70": lambda b: k.rsi_price(b.c, 14, 70), "rsi_30": lambda b: k.rsi_price(b.c, 14, 30)},
     "volume": {"chaikin": lambda b: k.chaikin(b), "chaikin_volatility": lambda b: k.chaikin_volatility(b), "eom": lambda b: k.ease_of_movement(b), "klinger": lambda b: k.klinger(b), "force": lambda b: k.force_index(b), "herrick": lambda b: k.herrick(b, b.v + 1)},
     "stops": {"supertrend": lambda b: k.supertrend(b)[0], "supertrend_side": lambda b: k.supertrend(b)[1], "volatility_stop": lambda b: k.volatility_stop(b), "chandelier": lambda b: k.chandelier(b), "chandelier_close": lambda b: k.chandelier(b, close_only=True), "atr_trail": lambda b: k.atr_trail(b), "sar": lambda b: k.parabolic_sar(b), "ha_open": lambda b: k.heikin_ashi(b)[0], "ha_close": lambda b: k.heikin_ashi(b)[3], "smooth_ha_open": lambda b: k.smoothed_heikin_ashi(b)[0], "darvas_top": lambda b: k.darvas(b)[0], "darvas_low": lambda b: k.darvas(b)[1], "jaw": lambda b: k.smma((b.h + b.l) / 2, 13), "teeth": lambda b: k.smma((b.h + b.l) / 2, 8), "lips": lambda b: k.smma((b.h + b.l) / 2, 5)},
