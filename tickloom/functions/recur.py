@@ -350,7 +350,8 @@ def ease_of_movement(b: Bars, n: int = 14):
 
 def klinger(b: Bars, fast: int = 34, slow: int = 55):
     hlc = b.h + b.l + b.c
-    trend = np.where(hlc > ref(hlc, -1), 1.0, -1.0)
+    turn = pd.Series(np.sign(hlc - ref(hlc, -1))).replace(0.0, np.nan)
+    trend = turn.ffill().fillna(-1.0).to_numpy()  # an unchanged bar keeps the trend
     dm, cm = b.h - b.l, np.zeros(b.n)
     for i in range(1, b.n):
         cm[i] = cm[i - 1] + dm[i] if trend[i] == trend[i - 1] else dm[i - 1] + dm[i]

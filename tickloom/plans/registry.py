@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickloom.plans import filters, further, market_queries, more_queries, more_sql, parameter_queries, screens, series_queries, sheet, stream_queries, swing_queries, warehouse_queries
+from tickloom.plans import filters, further, market_queries, more_queries, more_sql, parameter_queries, recurrence_sql, screens, series_queries, sheet, stream_queries, swing_queries, warehouse_queries
 
 PARTS = (series_queries, market_queries, screens, filters, sheet, more_queries, further, warehouse_queries, stream_queries, swing_queries, parameter_queries)
 
@@ -12,4 +12,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: s for part in (*PARTS, more_sql) for n, s in part.SQL.items()}
+    return {n: s for part in (*PARTS, more_sql, recurrence_sql) for n, s in part.SQL.items()}
