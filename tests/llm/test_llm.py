@@ -329,6 +329,53 @@ def test_longest_matches():
     assert shard.search(items).length.tolist() == [0, 3, 2, 1]
 
 
+def hits_of(raw, items):
+    shard = decontaminate.Shard(np.frombuffer(raw, np.uint8), np.array([0, len(raw) + 1]), items.longest)
+    return shard.hits(items, shard.search(items))
+
+
+def test_repetitive_texts_take_no_longer():
+    """20,000 equal words against an item of 2,000, and two words in turn."""
+    import time
+    import tracemalloc
+
+    for word, n in ((b"ha ", 1), (b"ha ho ", 2)):
+        items = decontaminate.Items(["i", "j"], [(word * (2000 // n)).decode(), "one two"])
+        raw = word * (20_000 // n)
+        tracemalloc.start()
+        began = time.process_time()
+        spans, named, longest = hits_of(raw, items)
+        took, most = time.process_time() - began, tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert spans == [[{"start": 0, "end": 20_000}]] and named == [["i"]] and longest == [{"words": 2000, "start": 0, "item": "i"}]
+        assert took < 5 and most < 200e6
+
+
+def test_longest_by_brute_force(spark):
+    """The longest match, its first place and its least item, whatever the blocks and shards."""
+    rng = random.Random(11)
+    for letters in ("ab", "abcd"):
+        items = [(f"i{k:02}", " ".join(rng.choice(letters) for _ in range(rng.randrange(1, 40)))) for k in range(12)]
+        texts = [" ".join(rng.choice(letters) for _ in range(rng.randrange(80))) for _ in range(25)]
+        want = []
+        for t in texts:
+            w, best = t.split(), None
+            for name, v in ((n, x.split()) for n, x in items):
+                for i in range(len(w)):
+                    for j in range(len(v)):
+                        n = 0
+                        while i + n < len(w) and j + n < len(v) and w[i + n] == v[j + n]:
+                            n += 1
+                        if n >= min(10, len(v)) and (best is None or (-n, i, name) < best):
+                            best = (-n, i, name)
+            want.append(best and (-best[0], best[1], best[2]))
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+        bench = spark.createDataFrame(items + items[:3], "item_id string, text string")
+        for shard_bytes, item_bytes in ((1 << 22, 1 << 24), (300, 400)):
+            found = decontaminate.find_matches(df, bench, shard_bytes=shard_bytes, item_bytes=item_bytes).orderBy("doc_id").collect()
+            assert [r.hits.longest and tuple(r.hits.longest) for r in found] == want
+
+
 # -- 9 ---------------------------------------------------------------------------------
 def plain_print(text):
     w = words(lowered(text))

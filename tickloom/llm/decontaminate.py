@@ -2,15 +2,14 @@
 
 Every task turns the documents it holds into shards of bounded size.  A shard's
 words become numbers, and the suffixes that start at each word are sorted.  All
-suffixes of the test items are then located in the shard by binary search, one
-word deeper at a time, which yields for each test suffix the longest verbatim
-match in the shard and the places of every match that is long enough.  Words are
-told apart by hashes in the search; the words of what it finds are then compared
-byte by byte.  A document lies whole in one shard, so nothing is shuffled.
-
-Test items are held in blocks of bounded size, one at a time on the driver and in
-the tasks.  The usual benchmark is one block.  Of a larger one each further block
-is a pass over the documents, whose hits so far are written to the shared folder.
+suffixes of the test items are then located in the shard by binary search, which
+yields for each test suffix the longest verbatim match in the shard and the range
+of places of its window.  Ranks by 1, 2, 4, ... words carry the search forward, and
+equal windows are one class, so texts that repeat a few words cost no more than
+others.  A document lies whole in one shard, so nothing is shuffled.
+
+Test items are broadcast in blocks of bounded size; a task holds one at a time
+against the shard it has built, so a large benchmark is one pass as well.
 """
 
 from __future__ import annotations
@@ -21,10 +20,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import free_name, settle
+from tickloom.llm.common import free_name
 
 WINDOW = 10
 #: Bytes of text in a shard (one document may exceed it), and of test items held by a task at once.
@@ -123,19 +123,57 @@ class Items:
         self.longest = int(self.size.max(initial=0))
 
 
+def equal_words(a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Whether words (buffer, starts, ends) are byte by byte those of another list of the same length."""
+    (low_a, start_a, end_a), (low_b, start_b, end_b) = a, b
+    size = end_a - start_a
+    same = size == end_b - start_b
+    alike, at = np.flatnonzero(same), 0
+    total = np.concatenate(([0], np.cumsum(size[alike])))
+    while at < len(alike):
+        until = max(at + 1, int(np.searchsorted(total, total[at] + COMPARED_AT_ONCE, "right")) - 1)
+        part = alike[at:until]
+        n = size[part]
+        first = np.cumsum(n) - n
+        within = np.arange(n.sum()) - np.repeat(first, n)
+        bytes_ = low_a[np.repeat(start_a[part], n) + within] == low_b[np.repeat(start_b[part], n) + within]
+        same[part] = np.logical_and.reduceat(bytes_, first)
+        at = until
+    return same
+
+
+COMPARED_AT_ONCE = 1 << 20
+#: Pairs of a document and an item that are told apart at once.
+PAIRS_AT_ONCE = 1 << 22
+
+
 @dataclass
 class Matches:
-    """Per test suffix: words of its longest match in the shard and one place of it; and every (place, words, test suffix) of a window."""
+    """Per test suffix: words of its longest match in the shard, and one place of it; and the windows found.
+
+    A window is a range [low, high) of the suffix array and the test suffix that
+    starts with it.
+    """
 
     length: np.ndarray
     place: np.ndarray
-    at: np.ndarray
-    words: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
     suffix: np.ndarray
+    #: First place in the suffix array of each test suffix's longest match.
+    where: np.ndarray
+    #: For each power of two, the rank of the test suffix's first so many words among those of the shard, or -1.
+    numbers: list[np.ndarray]
 
 
 class Shard:
-    """Suffix array over the words of some documents, each ended by a mark that no test word equals."""
+    """Suffix array over the words of some documents, each ended by a mark that no test word equals.
+
+    Equal words have one number and different words have two: hashes tell most of
+    them apart, and words of one hash are compared byte by byte.  The ranks of all
+    suffixes by their first 1, 2, 4, ... words are kept, so that a search goes
+    forward by powers of two, however repetitive the texts are.
+    """
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray, depth: int):
         self.low, self.starts, self.ends = words_of(raw)
@@ -144,19 +182,25 @@ class Shard:
         self.count = np.diff(np.searchsorted(self.starts, offsets))
         self.doc_end = np.cumsum(self.count + 1) - 1  # place of each document's mark
         total = len(hashes) + docs
-        self.hash_of, word = np.unique(hashes, return_inverse=True)
+        self.hash_of, self.model, word = np.unique(hashes, return_index=True, return_inverse=True)
+        #: Words that are not the first of their hash, by their bytes; hardly ever any.
+        self.other: dict[bytes, int] = {}
+        like = self.model[word]
+        for i in np.flatnonzero(~equal_words((self.low, self.starts, self.ends), (self.low, self.starts[like], self.ends[like]))).tolist():
+            word[i] = self.other.setdefault(self.low[self.starts[i] : self.ends[i]].tobytes(), len(self.hash_of) + len(self.other))
         self.text = np.empty(total, np.int64)
         marks = np.zeros(total, bool)
         marks[self.doc_end] = True
         self.text[~marks] = word + docs
         self.text[marks] = np.arange(docs)  # each mark is its own number: no match runs past it
         self.first = docs
-        self.order = self.sorted_suffixes(depth)
+        self.order, self.ranks = self.sorted_suffixes(depth)
 
-    def sorted_suffixes(self, depth: int) -> np.ndarray:
-        """Suffix order by at least the first ``depth`` words, which no test suffix exceeds.
+    def sorted_suffixes(self, depth: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Suffix order by at least the first ``depth`` words, which no test suffix exceeds, and the ranks by 1, 2, 4, ... words.
 
-        Ranks by 1, 2, 4, ... words; only suffixes that still tie are sorted again.
+        A rank is the place in the order of the first suffix that starts alike.
+        Only suffixes that still tie are sorted again.
         """
         n, text = len(self.text), self.text
         order = np.argsort(text, kind="stable") if n else np.zeros(0, np.int64)
@@ -165,7 +209,7 @@ class Shard:
         rank = np.empty(n, np.int64)
         group = np.flatnonzero(fresh)
         rank[order] = np.repeat(group, np.diff(np.append(group, n)))
-        width = 1
+        width, ranks = 1, [rank.astype(np.int32)]
         while width < depth:
             alone = fresh & np.append(fresh[1:], True)
             tied = np.flatnonzero(~alone)
@@ -173,113 +217,224 @@ class Shard:
                 break
             suffix = order[tied]
             after = np.where(suffix + width < n, rank[np.minimum(suffix + width, n - 1)], -1)
-            ranks = rank[suffix]
-            again = np.argsort(ranks * (n + 1) + after + 1)
-            suffix, ranks, after = suffix[again], ranks[again], after[again]
+            own = rank[suffix]
+            again = np.argsort(own * (n + 1) + after + 1)
+            suffix, own, after = suffix[again], own[again], after[again]
             order[tied] = suffix
             new = np.ones(len(tied), bool)
-            new[1:] = (ranks[1:] != ranks[:-1]) | (after[1:] != after[:-1])
+            new[1:] = (own[1:] != own[:-1]) | (after[1:] != after[:-1])
             fresh[tied] = new
             group = np.flatnonzero(new)
             rank[suffix] = np.repeat(tied[group], np.diff(np.append(group, len(tied))))
             width *= 2
-        return order
+            ranks.append(rank.astype(np.int32))
+        return order, ranks
 
-    def bound(self, low: np.ndarray, high: np.ndarray, depth: int, number: np.ndarray, right: bool) -> np.ndarray:
-        """First place in [low, high) of the suffix array whose word at ``depth`` is not below ``number`` (``right``: is above it)."""
+    def rank_at(self, level: int, place: np.ndarray) -> np.ndarray:
+        """Ranks by 2**level words of the suffixes at these places, -1 behind the end."""
+        ranks = self.ranks[min(level, len(self.ranks) - 1)]  # once no suffixes tie, ranks stay as they are
+        return np.where(place < len(ranks), ranks[np.minimum(place, len(ranks) - 1)], -1)
+
+    def bound(self, low: np.ndarray, high: np.ndarray, depth: np.ndarray, level: int, number: np.ndarray, right: bool) -> np.ndarray:
+        """First place in [low, high) of the suffix array whose rank by 2**level words behind ``depth`` is not below ``number`` (``right``: is above it)."""
         low, high = low.copy(), high.copy()
         while (open_ := low < high).any():
             mid = (low + high) >> 1
-            at = self.order[np.minimum(mid, len(self.order) - 1)] + depth
-            value = np.where(at < len(self.text), self.text[np.minimum(at, len(self.text) - 1)], -1)
+            value = self.rank_at(level, self.order[np.minimum(mid, len(self.order) - 1)] + depth)
             goes = open_ & ((value <= number) if right else (value < number))
             low = np.where(goes, mid + 1, low)
             high = np.where(open_ & ~goes, mid, high)
         return low
 
-    def search(self, items: Items) -> Matches:
-        """Binary search of every test suffix, narrowed word by word."""
-        n = len(items.words)
-        length, place = np.zeros(n, np.int64), np.full(n, -1, np.int64)
-        out: list[tuple] = []
+    def number_words(self, items: Items) -> np.ndarray:
+        """The shard's rank of each word of the items, -1 for words that it doesn't hold."""
         slot = np.minimum(np.searchsorted(self.hash_of, items.words), max(0, len(self.hash_of) - 1))
-        known = self.hash_of[slot] == items.words if len(self.hash_of) else np.zeros(n, bool)
-        number = np.where(known, slot + self.first, -1)
-        live = np.flatnonzero(known)
+        known = self.hash_of[slot] == items.words if len(self.hash_of) else np.zeros(len(items.words), bool)
+        number, hit = np.full(len(items.words), -1, np.int64), np.flatnonzero(known)
+        like = self.model[slot[hit]] if len(hit) else hit
+        same = equal_words((items.low, items.starts[hit], items.ends[hit]), (self.low, self.starts[like], self.ends[like]))
+        number[hit[same]] = slot[hit[same]]
+        if self.other:
+            for i in hit[~same].tolist():
+                number[i] = self.other.get(items.low[items.starts[i] : items.ends[i]].tobytes(), -1)
+        found = np.flatnonzero(number >= 0)
+        number[found] = np.searchsorted(self.text[self.order], number[found] + self.first)
+        return number
+
+    def numbered(self, items: Items) -> list[np.ndarray]:
+        """For each power of two the rank that the shard gives to so many words from each place of the items, or -1."""
+        out, half = [self.number_words(items)], 1
+        while half * 2 <= items.longest:
+            last, level = out[-1], len(out) - 1
+            whole = np.flatnonzero((items.left >= 2 * half) & (last >= 0))
+            whole = whole[last[whole + half] >= 0]
+            number = np.full(len(last), -1, np.int64)
+            if len(whole):
+                low, wanted = last[whole], last[whole + half]
+                high = np.searchsorted(self.rank_at(level, self.order), low, "right")
+                at = self.bound(low, high, half, level, wanted, False)
+                ok = (at < high) & (self.rank_at(level, self.order[np.minimum(at, len(self.order) - 1)] + half) == wanted)
+                number[whole[ok]] = at[ok]
+            out.append(number)
+            half *= 2
+        return out
+
+    def forward(self, level: int, test: np.ndarray, low: np.ndarray, high: np.ndarray, depth: np.ndarray, numbers: list[np.ndarray]):
+        """Ranges of the suffix array that match 2**level more words of the test suffixes, and whether they hold any."""
+        wanted = numbers[level][test + depth]
+        start = self.bound(low, high, depth, level, wanted, False)
+        stop = self.bound(start, high, depth, level, wanted, True)
+        return start, stop, (wanted >= 0) & (start < stop)
+
+    def search(self, items: Items) -> Matches:
+        """Binary search of every test suffix, forward by powers of two."""
+        n, numbers = len(items.words), self.numbered(items)
+        length, where = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        live = np.flatnonzero(numbers[0] >= 0) if n else np.zeros(0, np.int64)
         low, high = np.zeros(len(live), np.int64), np.full(len(live), len(self.order), np.int64)
-        depth = 0
-        while len(live):
-            wanted = number[live + depth]
-            ok = wanted >= 0
-            live, low, high, wanted = live[ok], low[ok], high[ok], wanted[ok]
-            start = self.bound(low, high, depth, wanted, False)
-            stop = self.bound(start, high, depth, wanted, True)
-            ok = start < stop
-            live, low, high = live[ok], start[ok], stop[ok]
-            depth += 1
-            length[live], place[live] = depth, self.order[low]
-            done = items.need[live] == depth
-            if done.any():
-                sizes = (high - low)[done]
-                step = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                out.append((self.order[np.repeat(low[done], sizes) + step], np.full(len(step), depth), np.repeat(live[done], sizes)))
-            on = items.left[live] > depth
-            live, low, high = live[on], low[on], high[on]
-        at, words, suffix = (np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.int64) for i in range(3))
-        return Matches(length, place, at, words, suffix)
-
-    def same_words(self, items: Items, at: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Whether the words at these places of the shard are, byte by byte, these words of the items."""
-        mine = at - np.searchsorted(self.doc_end, at)  # the marks in front are no words
-        start, size = self.starts[mine], self.ends[mine] - self.starts[mine]
-        same = size == items.ends[word] - items.starts[word]
-        alike = np.flatnonzero(same)
-        if len(alike):
-            size = size[alike]
-            within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            bytes_ = self.low[np.repeat(start[alike], size) + within] == items.low[np.repeat(items.starts[word[alike]], size) + within]
-            same[alike] = np.logical_and.reduceat(bytes_, np.cumsum(size) - size)
-        return same
-
-    def proven(self, items: Items, found: Matches) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(place, words, test suffix, longest) of the windows that agree byte by byte; ``longest`` counts the words over which the match goes on."""
-        at, words, suffix = found.at, found.words, found.suffix
-        for lead in range(int(words.max(initial=0))):
-            on = np.flatnonzero(words > lead)
-            ok = np.ones(len(at), bool)
-            ok[on] = self.same_words(items, at[on] + lead, suffix[on] + lead)
-            at, words, suffix = at[ok], words[ok], suffix[ok]
-        longest, live = words.copy(), np.arange(len(at))
-        while len(live):
-            live = live[(longest[live] < items.left[suffix[live]]) & (self.text[np.minimum(at[live] + longest[live], len(self.text) - 1)] >= self.first)]
-            live = live[self.same_words(items, at[live] + longest[live], suffix[live] + longest[live])]
-            longest[live] += 1
-        return at, words, suffix, longest
+        for level in reversed(range(len(numbers))):  # the longest match
+            on = np.flatnonzero(items.left[live] - length[live] >= 1 << level)
+            start, stop, ok = self.forward(level, live[on], low[on], high[on], length[live[on]], numbers)
+            on, start, stop = on[ok], start[ok], stop[ok]
+            low[on], high[on] = start, stop
+            length[live[on]] += 1 << level
+        where[live] = low
+        place = np.where(length > 0, self.order[np.minimum(where, max(0, len(self.order) - 1))], -1) if n and len(self.order) else np.full(n, -1)
+        test = np.flatnonzero((items.need > 0) & (length >= items.need))
+        low, high = self.ranges(test, items.need[test], numbers)
+        return Matches(length, place, low, high, test, where, numbers)
+
+    def ranges(self, test: np.ndarray, words: np.ndarray, numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The range of the suffix array that starts with the first ``words`` words of each test suffix; it holds some."""
+        low, high, depth = np.zeros(len(test), np.int64), np.full(len(test), len(self.order), np.int64), np.zeros(len(test), np.int64)
+        for level in reversed(range(len(numbers))):
+            on = np.flatnonzero(words - depth >= 1 << level)
+            low[on], high[on], _ = self.forward(level, test[on], low[on], high[on], depth[on], numbers)
+            depth[on] += 1 << level
+        return low, high
+
+    def common(self, place: np.ndarray, test: np.ndarray, items: Items, numbers: list[np.ndarray]) -> np.ndarray:
+        """Words that the suffix at each place and a test suffix have in common at their start."""
+        depth = np.zeros(len(place), np.int64)
+        for level in reversed(range(len(numbers))):
+            on = np.flatnonzero(items.left[test] - depth >= 1 << level)
+            number = numbers[level][test[on] + depth[on]]
+            same = (number >= 0) & (self.rank_at(level, place[on] + depth[on]) == number)
+            depth[on[same]] += 1 << level
+        return depth
+
+    def longest_at(self, spot: np.ndarray, items: Items, found: Matches) -> tuple[np.ndarray, np.ndarray]:
+        """For places of the suffix array, the test suffix with the longest match there, and its words.
+
+        Test suffixes have their places between the shard's.  Of all in front of a
+        spot the nearest match longest, and so do the nearest behind it; of those
+        between the same two suffixes, the one with the longest match on that side.
+        Windows of each size are looked at by themselves, for less than a window is
+        no match.
+        """
+        best, words = np.zeros(len(spot), np.int64), np.full(len(spot), -1, np.int64)
+        for need in np.unique(items.need[found.suffix]).tolist():
+            test = found.suffix[items.need[found.suffix] == need]
+            gap = found.where[test]
+            before = np.where(gap > 0, self.common(self.order[np.maximum(gap - 1, 0)], test, items, found.numbers), 0)
+            for length, front in ((found.length[test], True), (before, False)):
+                by = np.lexsort((-length, gap))
+                gaps, first = np.unique(gap[by], return_index=True)
+                at = np.searchsorted(gaps, spot, "right") - front
+                ok = np.flatnonzero((at >= 0) & (at < len(gaps)))
+                chosen = test[by[first[at[ok]]]]
+                n = self.common(self.order[spot[ok]], chosen, items, found.numbers)
+                better = (n >= need) & (n > words[ok])
+                best[ok[better]], words[ok[better]] = chosen[better], n[better]
+        return best, words
 
     def hits(self, items: Items, found: Matches) -> tuple[list[list[dict]], list[list[int]], list[dict | None]]:
-        """For each document: the merged spans of hit words [start, end), its items, and its longest match."""
+        """For each document: the merged spans of hit words [start, end), its items, and its longest match.
+
+        A window that many test suffixes share, or that stands at many places, is
+        one class: its places are listed once, and its items once.
+        """
         docs = len(self.count)
         spans: list[list[dict]] = [[] for _ in range(docs)]
         named: list[list[int]] = [[] for _ in range(docs)]
         longest: list[dict | None] = [None] * docs
-        at, words, suffix, most = self.proven(items, found)
-        if len(at):
-            cover = np.zeros(len(self.text) + 1, np.int64)
-            np.add.at(cover, at, 1)
-            np.add.at(cover, at + words, -1)
-            hit = np.concatenate(([0], (np.cumsum(cover[:-1]) > 0).astype(np.int8), [0]))
-            edges = np.flatnonzero(hit[1:] != hit[:-1])
-            begins = np.concatenate(([0], self.doc_end[:-1] + 1))
-            for s, e, d in zip(edges[::2].tolist(), edges[1::2].tolist(), np.searchsorted(self.doc_end, edges[::2]).tolist()):
-                spans[d].append({"start": s - int(begins[d]), "end": e - int(begins[d])})
-            doc, item = np.searchsorted(self.doc_end, at), items.item[suffix]
-            for p in np.unique(doc * len(items.ids) + item).tolist():
-                named[p // len(items.ids)].append(items.ids[p % len(items.ids)])
-            for i in np.lexsort((item, at, -most)).tolist():
-                if longest[d := int(doc[i])] is None:
-                    longest[d] = {"words": int(most[i]), "start": int(at[i] - begins[d]), "item": items.ids[item[i]]}
+        if not len(found.suffix):
+            return spans, named, longest
+        kind, one, of = np.unique(found.low * (WINDOW + 1) + items.need[found.suffix], return_index=True, return_inverse=True)
+        low, sizes, words = found.low[one], (found.high - found.low)[one], items.need[found.suffix[one]]
+        spot = np.repeat(low - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        at, cls = self.order[spot], np.repeat(np.arange(len(kind)), sizes)
+        cover = np.zeros(len(self.text) + 1, np.int64)
+        np.add.at(cover, at, 1)
+        np.add.at(cover, at + words[cls], -1)
+        hit = np.concatenate(([0], (np.cumsum(cover[:-1]) > 0).astype(np.int8), [0]))
+        edges = np.flatnonzero(hit[1:] != hit[:-1])
+        begins = np.concatenate(([0], self.doc_end[:-1] + 1))
+        for s, e, d in zip(edges[::2].tolist(), edges[1::2].tolist(), np.searchsorted(self.doc_end, edges[::2]).tolist()):
+            spans[d].append({"start": s - int(begins[d]), "end": e - int(begins[d])})
+        doc = np.searchsorted(self.doc_end, at)
+        for p in self.pairs(np.unique(cls * docs + doc), np.unique(of * len(items.ids) + items.item[found.suffix]), docs, len(items.ids)).tolist():
+            named[p // len(items.ids)].append(items.ids[p % len(items.ids)])
+        spot = np.unique(spot)
+        at = self.order[spot]
+        doc = np.searchsorted(self.doc_end, at)
+        best, most = self.longest_at(spot, items, found)
+        by = np.lexsort((at, -most, doc))
+        _, first = np.unique(doc[by], return_index=True)
+        top = by[first]
+        for d, start, n, item in zip(doc[top].tolist(), at[top].tolist(), most[top].tolist(), self.first_item(best[top], most[top], items, found)):
+            longest[d] = {"words": n, "start": start - int(begins[d]), "item": item}
         return spans, named, longest
 
+    def pairs(self, of_doc: np.ndarray, of_item: np.ndarray, docs: int, items: int) -> np.ndarray:
+        """Different (document * items + item) of the documents and items that share a class, both given as class * number + own number."""
+        cls, item = of_item // items, of_item % items
+        low, high = np.searchsorted(cls, of_doc // docs, "left"), np.searchsorted(cls, of_doc // docs, "right")
+        n, out, at = high - low, np.zeros(0, np.int64), 0
+        total = np.concatenate(([0], np.cumsum(n)))
+        while at < len(n):
+            until = max(at + 1, int(np.searchsorted(total, total[at] + PAIRS_AT_ONCE, "right")) - 1)
+            part = slice(at, until)
+            step = np.arange(n[part].sum()) - np.repeat(np.cumsum(n[part]) - n[part], n[part])
+            out = np.unique(np.concatenate((out, np.repeat(of_doc[part] % docs, n[part]) * items + item[np.repeat(low[part], n[part]) + step])))
+            at = until
+        return out
+
+    def first_item(self, test: np.ndarray, words: np.ndarray, items: Items, found: Matches) -> list:
+        """The least item id (as text) that has the first ``words`` words of each test suffix."""
+        keys, back = np.unique(test * (items.longest + 1) + words, return_inverse=True)
+        one, n = keys // (items.longest + 1), keys % (items.longest + 1)
+        low, high = self.ranges(one, n, found.numbers)
+        by = np.argsort(found.where[found.suffix], kind="stable")
+        suffix = found.suffix[by]
+        a, b = np.searchsorted(found.where[suffix], low, "left"), np.searchsorted(found.where[suffix], high, "left")
+        out, known = [], {}
+        for i, j, m in zip(a.tolist(), b.tolist(), n.tolist()):
+            if (i, j, m) not in known:
+                own = suffix[i:j]
+                ids = [items.ids[k] for k in np.unique(items.item[own[(found.length[own] >= m) & (items.need[own] <= m)]]).tolist()]
+                known[i, j, m] = min((x for x in ids if x is not None), key=str, default=None)
+            out.append(known[i, j, m])
+        return [out[i] for i in back.tolist()]
+
+
+def united(one: list[dict], two: list[dict]) -> list[dict]:
+    """Union of two lists of sorted spans that don't touch."""
+    if not one or not two:
+        return one or two
+    out: list[dict] = []
+    for s in sorted([*one, *two], key=lambda s: s["start"]):
+        if out and s["start"] <= out[-1]["end"]:
+            out[-1] = {"start": out[-1]["start"], "end": max(out[-1]["end"], s["end"])}
+        else:
+            out.append(s)
+    return out
+
+
+def longer(one: dict | None, two: dict | None) -> dict | None:
+    """Of two matches the one of more words, then the earlier, then that of the least item."""
+    return min((m for m in (one, two) if m), key=lambda m: (-m["words"], m["start"], m["item"] is None, str(m["item"])), default=None)
+
 
 HITS = "n_words long, spans array<struct<start: long, end: long>>, items array<string>, longest struct<words: long, start: long, item: string>"
 _HITS_ARROW = [pa.field("n_words", pa.int64()), pa.field("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.field("items", pa.list_(pa.string())), pa.field("longest", pa.struct([("words", pa.int64()), ("start", pa.int64()), ("item", pa.string())]))]
@@ -297,8 +452,8 @@ def _shards(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
-def search_column(items: Items, shard_bytes: int):
-    """Column function text -> (n_words, spans, items, longest)."""
+def search_column(blocks: list[Broadcast], shard_bytes: int):
+    """Column function text -> (n_words, spans, items, longest); one block of items is held at a time."""
 
     @F.arrow_udf(HITS)
     def search(texts: pa.Array) -> pa.Array:
@@ -307,9 +462,17 @@ def search_column(items: Items, shard_bytes: int):
             encoded = [(t or "").encode() for t in texts.slice(low, high - low).to_pylist()]
             raw = np.frombuffer(b" ".join(encoded), np.uint8)
             offsets = np.cumsum([0, *(len(t) + 1 for t in encoded)])
-            shard = Shard(raw, offsets, items.longest)
-            spans, named, longest = shard.hits(items, shard.search(items))
-            for kept, part in zip(rows, (shard.count.tolist(), spans, named, longest)):
+            shard, found = None, None
+            for block in blocks:
+                items = block.value
+                if shard is None:
+                    shard = Shard(raw, offsets, items.deepest)
+                got = shard.hits(items, shard.search(items))
+                if len(blocks) > 1:
+                    items = None
+                    block.__dict__.pop("_value", None)  # it is read again from this machine's copy for the next shard
+                found = got if found is None else tuple([join(x, y) for x, y in zip(a, b)] for join, a, b in zip((united, lambda x, y: x + y, longer), found, got))
+            for kept, part in zip(rows, (shard.count.tolist(), *found)):
                 kept += part
         return pa.StructArray.from_arrays([pa.array(r, f.type) for r, f in zip(rows, _HITS_ARROW)], fields=_HITS_ARROW)
 
@@ -318,7 +481,7 @@ def search_column(items: Items, shard_bytes: int):
 
 def item_blocks(benchmark: DataFrame, most: int = ITEM_BYTES) -> Iterator[Items]:
     """The items in blocks of about ``most`` bytes of text, each small enough to be held by every task (a longer item stands alone)."""
-    sized = benchmark.select(F.col("item_id").cast("string").alias("id"), "text", (F.coalesce(F.octet_length("text"), F.lit(0)) + 64).alias("n"))
+    sized = benchmark.select(F.col("item_id").cast("string").alias("id"), "text").distinct().withColumn("n", F.coalesce(F.octet_length("text"), F.lit(0)) + 64)
     total = sized.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-total // most))
     for k in range(blocks):
@@ -326,18 +489,12 @@ def item_blocks(benchmark: DataFrame, most: int = ITEM_BYTES) -> Iterator[Items]
         yield Items([r.id for r in rows], [r.text for r in rows])
 
 
-def _merge(spans):
-    """Union of spans, sorted and merged (an SQL fold)."""
-    last = lambda a: F.element_at(a, -1)
-    grow = lambda a, s: F.when((F.size(a) > 0) & (s["start"] <= last(a)["end"]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last(a)["start"].alias("start"), F.greatest(last(a)["end"], s["end"]).alias("end"))))).otherwise(F.concat(a, F.array(s)))
-    return F.aggregate(F.array_sort(spans), F.slice(spans, 1, 0), grow)
-
-
 def find_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", into: str = "hits", shard_bytes: int = SHARD_BYTES, item_bytes: int = ITEM_BYTES) -> DataFrame:
     """``docs`` with ``into``: n_words, merged spans of hit words [start, end), the ids (as text) of the items with a window in the document, and ``longest``.
 
     ``longest`` (words, start, item) is the document's longest verbatim match with
-    an item, of equal ones the first; it is null where no window matches.
+    an item, of equal ones the first, of items there that with the least id; it is
+    null where no window matches.  The blocks that the items fill don't show.
 
     Null texts have no words; so do empty ones.  Items without words match
     nothing; items with one id or text may repeat (an id is named once).  Null
@@ -345,21 +502,15 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", into
     through; a column named ``into`` is replaced.  Repeated documents are judged
     alike; no documents or no items give no hits.
     """
-    out, name = docs, free_name(docs, f"{into}_found")
-    for k, items in enumerate(item_blocks(benchmark, item_bytes)):
-        got = search_column(items, shard_bytes)(F.col(text))
-        if not k:
-            out = out.withColumn(name, got)
-            continue
-        out, part = settle(out), free_name(out, f"{into}_more")  # one block at a time is held
-        out = out.withColumn(part, got)
-        had, more = F.col(name), F.col(part)
-        best = F.when(more["longest"]["words"] > F.coalesce(had["longest"]["words"], F.lit(0)), more["longest"]).otherwise(had["longest"])
-        merged = F.struct(had["n_words"].alias("n_words"), _merge(F.concat(had["spans"], more["spans"])).alias("spans"), F.concat(had["items"], more["items"]).alias("items"), best.alias("longest"))
-        out = out.withColumn(name, merged).drop(part)
+    name, blocks, deepest = free_name(docs, f"{into}_found"), [], 0
+    deepest = benchmark.agg(F.max(F.octet_length("text"))).first()[0] or 0
+    for items in item_blocks(benchmark, item_bytes):
+        items.deepest = deepest // 2 + 1  # no item has more words
+        blocks.append(docs.sparkSession.sparkContext.broadcast(items))  # the driver keeps one block, and files of the others
     hits = F.col(name)
     names = F.array_sort(F.array_distinct(F.filter(hits["items"], lambda x: x.isNotNull())))
-    return out.withColumn(into, F.struct(hits["n_words"].alias("n_words"), hits["spans"].alias("spans"), names.alias("items"), hits["longest"].alias("longest"))).drop(name)
+    found = docs.withColumn(name, search_column(blocks, shard_bytes)(F.col(text)))
+    return found.withColumn(into, F.struct(hits["n_words"].alias("n_words"), hits["spans"].alias("spans"), names.alias("items"), hits["longest"].alias("longest"))).drop(name)
 
 
 def n_hit(hits: str = "hits"):
