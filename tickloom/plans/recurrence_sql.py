@@ -199,3 +199,141 @@ FROM b JOIN sp USING (ticker, i) ASOF LEFT JOIN ev l ON b.ticker = l.ticker AND
  ASOF LEFT JOIN (SELECT * FROM ev WHERE e_side = -1) u ON b.ticker = u.ticker AND b.i >= u.e_i
  ASOF LEFT JOIN (SELECT * FROM ev WHERE e_side = 1) c ON b.ticker = c.ticker AND b.i >= c.seen"""
 )
+
+_SPACED = """{into} AS (SELECT ticker, i, CASE WHEN {hit} THEN i ELSE -99 END AS last, {hit} AS pass FROM {source} WHERE i = 1
+ UNION ALL SELECT s.ticker, s.i, CASE WHEN s.{hit} AND s.i - last > {n} THEN s.i ELSE last END, s.{hit} AND s.i - last > {n} FROM {into} p JOIN {source} s ON s.ticker = p.ticker AND s.i = p.i + 1)"""
+_DI = walks.walk(walks.DIRECTIONAL, ctes=walks.RICH, source="c")
+SQL["i_directional_signals"] = (
+    f"WITH RECURSIVE {_DI}, x AS MATERIALIZED (SELECT *, coalesce(plus > minus AND {lag('plus')} <= {lag('minus')}, false) AS up, {lag('adx')} AS a1, {lag('adx', 2)} AS a2 FROM w),"
+    + f" {_SPACED.format(into='sp', hit='up', source='x', n=5)}"
+    + " SELECT x.ticker, x.ts, up::BIGINT AS di_cross, CASE WHEN up THEN (adx > 25)::BIGINT ELSE 0 END AS di_trend, (adx > a1 AND a1 <= a2)::BIGINT AS adx_turn, CAST(pass AS DOUBLE) AS spaced FROM x JOIN sp USING (ticker, i)"
+)
+_STOCH = [{"raw": f"(close - ({llv('low', 14)})) / nullif(({hhv('high', 14)}) - ({llv('low', 14)}), 0)"}, {"k14": f"100 * ({ma('raw', 3)})"}, {"d14": ma("k14", 3)}]
+SQL["i_stoch_signals"] = layered(_STOCH, KEYS | {"oversold_up": f"({cross('k14', 'd14')} = 1 AND k14 < 20)::BIGINT", "overbought_down": f"({cross('d14', 'k14')} = 1 AND k14 > 80)::BIGINT"})
+_AFTER = f"OVER ({SPEC} ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)"
+SQL["r_fractal_breakouts"] = layered(
+    [
+        {"top": f"coalesce(high = ({hhv('high', 10)}) AND count(high) {_AFTER} = 5 AND max(high) {_AFTER} < high, false)", "l5": llv("low", 5)},
+        {"seen": f"last_value(CASE WHEN top THEN high END IGNORE NULLS) {SO_FAR}"},
+        {"level": lag("seen", 5), "l5b": lag("l5")},
+        {"buy": cross("close", "level"), "sell": "coalesce(close < l5b, false)::BIGINT"},
+        {"state": f"last_value(CASE WHEN buy = 1 THEN 1 WHEN sell = 1 THEN 0 END IGNORE NULLS) {SO_FAR}"},
+    ],
+    KEYS | {"level": r("level"), "buy": "buy", "sell": "sell", "held": "coalesce(state, 0)"},
+)
+_LABEL = "CASE WHEN {a} > {b} AND {a1} <= {b1} THEN 'buy' WHEN {b} > {a} AND {b1} <= {a1} THEN 'sell' WHEN {a} > {b} THEN 'up' WHEN {a} < {b} THEN 'down' END"
+_T3_OF = lambda p: "(" + " + ".join(f"{v!r} * {p}{c[1]}" for c, v in _T3.items()) + ")"
+_PAIRS = {
+    "rsi": ("rsi", "rsi9"), "t3": (_T3_OF("ca"), _T3_OF("cb")), "williams": ("wr", "wr9"), "double_ema": ("e5", "e20"),
+    "zltema": (f"(2 * t9 - {tema_of('u')})", f"(2 * t20 - {tema_of('v')})"), "t3_rsi": (_T3_OF("ra"), _T3_OF("rb")),
+}
+SQL["e37_signal_labels"] = layered(
+    [
+        *rsi_layers({"rsi": ("close", 14)}),
+        {"r14": f"-100 * (({hhv('high', 14)}) - close) / nullif(({hhv('high', 14)}) - ({llv('low', 14)}), 0)"},
+        {"rsi9": ema("rsi", 9), "e5": ema("close", 5), "e20": ema("close", 20)}
+        | chain("ca", "close", 3, 6) | chain("cb", "close", 5, 6) | chain("ra", "rsi", 3, 6) | chain("rb", "rsi", 8, 6) | chain("wq", "r14", 5, 2) | {"wr": same("2 * wq1 - wq2"), "wr9": ema("wr", 9)}
+        | chain("s", "close", 9, 3) | {"t9": same(tema_of("s"))} | chain("u", "t9", 9, 3) | chain("y", "close", 20, 3) | {"t20": same(tema_of("y"))} | chain("v", "t20", 20, 3),
+        {f"{n}_{i}": x for n, pair in _PAIRS.items() for i, x in enumerate(pair)},
+        {f"{n}_{i}b": lag(f"{n}_{i}") for n in _PAIRS for i in (0, 1)},
+    ],
+    KEYS | {f"label_{n}": _LABEL.format(a=f"{n}_0", b=f"{n}_1", a1=f"{n}_0b", b1=f"{n}_1b") for n in _PAIRS},
+)
+SQL["e31_boom_volume"] = layered(
+    [{"m": ma("volume", 20), "before": f"list(volume) OVER ({SPEC} ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING)"}, {"ratio": f"volume / nullif({lag('m')}, 0)"}],
+    KEYS | {"close": r("close"), "ratio": r("ratio"), "volume_rank": r("CASE WHEN len(before) = 50 THEN 100.0 * len(list_filter(before, lambda v: v < volume)) / 50 END"), "buy_volume": r("coalesce(volume * (close - low) / nullif(high - low, 0), volume / 2)")},
+    tail="WHERE ratio > 2 AND close > open",
+)
+_ONE = {f"{c}{i}": lag(x, i) for c, x in (("o", "open"), ("h", "high"), ("l", "low"), ("c", "close")) for i in (1, 2)}
+_flag = lambda x: f"coalesce({x}, false)::BIGINT"
+SQL["k_more_candles"] = layered(
+    [_ONE, {"top": "greatest(high, h1)", "bot": "least(low, l1)", "span": "high - low", "body": "abs(close - open)", "upper_": "high - greatest(open, close)", "lower_": "least(open, close) - low"}],
+    KEYS
+    | {"rising_window": _flag("low > h1"), "falling_window": _flag("high < l1"), "big_body": _flag("body >= 0.67 * span"), "long_shadow": _flag("upper_ >= 0.67 * span OR lower_ >= 0.67 * span")}
+    | {"gapping_tasuki": _flag("l1 > h2 AND c1 > o1 AND close < open AND close < o1 AND close > h2"), "merged_hammer": "CASE WHEN o1 IS NULL THEN 0 ELSE " + _flag("least(o1, close) - bot >= 2 * abs(close - o1) AND top - greatest(o1, close) <= 0.1 * (top - bot)") + " END", "merged_body": r("100 * (close - o1) / nullif(c2, 0)")},
+)
+
+
+def compressed(unit: str, into: str, ctes: str = BARS_SQL) -> str:
+    """``ctes`` and the bars of each week or month."""
+    return f"{ctes}, {into} AS (SELECT ticker, CAST(date_trunc('{unit}', ts) AS DATE) AS ts, arg_min(open, bars.ts) AS open, max(high) AS high, min(low) AS low, arg_max(close, bars.ts) AS close, sum(volume) AS volume FROM bars GROUP BY ticker, date_trunc('{unit}', ts))"
+
+
+def _mfi_sql(source: str, n: int, into: str) -> str:
+    return f"""{into}_1 AS (SELECT *, (high + low + close) / 3 AS tp FROM {source}), {into}_2 AS (SELECT *, {lag('tp')} AS tp1 FROM {into}_1),
+{into}_3 AS (SELECT *, CASE WHEN tp1 IS NOT NULL THEN CASE WHEN tp > tp1 THEN tp * volume ELSE 0 END END AS up, CASE WHEN tp1 IS NOT NULL THEN CASE WHEN tp < tp1 THEN tp * volume ELSE 0 END END AS dn FROM {into}_2),
+{into}_4 AS (SELECT ticker, ts, {total('up', n)} AS up, {total('dn', n)} AS dn FROM {into}_3), {into} AS (SELECT ticker, ts, 100 * up / nullif(up + dn, 0) AS mfi FROM {into}_4)"""
+
+
+_FRAMES = compressed("month", "months", compressed("week", "weeks"))
+SQL["t_mfi_frames"] = f"""WITH {_FRAMES}, {_mfi_sql('bars', 14, 'd')}, {_mfi_sql('weeks', 6, 'w')}, {_mfi_sql('months', 6, 'm')},
+j AS (SELECT d.ticker, d.ts, d.mfi AS mfi_d, w.mfi AS mfi_w, m.mfi AS mfi_m FROM d
+ LEFT JOIN (SELECT ticker, ts, {lag('mfi')} AS mfi FROM w) w ON w.ticker = d.ticker AND w.ts = CAST(date_trunc('week', d.ts) AS DATE)
+ LEFT JOIN (SELECT ticker, ts, {lag('mfi')} AS mfi FROM m) m ON m.ticker = d.ticker AND m.ts = CAST(date_trunc('month', d.ts) AS DATE))
+SELECT ticker, ts, {r('mfi_d')} AS mfi_d, {r('mfi_w')} AS mfi_w, {r('mfi_m')} AS mfi_m, coalesce(mfi_d > 50 AND mfi_w > 50 AND mfi_m > 50, false)::BIGINT AS all_up FROM j"""
+
+
+def _sentiment(unit: str, source: str) -> str:
+    ctes = f"{compressed(unit, source)}, n AS MATERIALIZED (SELECT *, row_number() {W} AS i, (open + high + low + close) / 4 AS x4 FROM {source})"
+    return layered([*rsi_layers({"rsi": ("x4", 8)}), *hma_layers("sent", "rsi", 4)], {"ticker": "ticker", "ts": "ts", "value": lag("sent")}, ctes=ctes, source="n")
+
+
+SQL["t_sentiment_matrix"] = f"""WITH {BARS_SQL}, w AS ({_sentiment('week', 'weeks')}), m AS ({_sentiment('month', 'months')})
+SELECT bars.ticker, bars.ts, {r('w.value')} AS sentiment_w, {r('m.value')} AS sentiment_m FROM bars
+ LEFT JOIN w ON w.ticker = bars.ticker AND w.ts = CAST(date_trunc('week', bars.ts) AS DATE) LEFT JOIN m ON m.ticker = bars.ticker AND m.ts = CAST(date_trunc('month', bars.ts) AS DATE)"""
+
+_HOURS = f"{INTRADAY}, hours AS (SELECT ticker, date_trunc('hour', ts) AS hour, max(high) AS high, min(low) AS low FROM intraday GROUP BY ALL), before AS (SELECT ticker, hour, lag(high) OVER o AS hour_high, lag(low) OVER o AS hour_low FROM hours WINDOW o AS (PARTITION BY ticker ORDER BY hour)), bh AS MATERIALIZED (SELECT b.*, hour_high, hour_low FROM b LEFT JOIN before ON before.ticker = b.ticker AND before.hour = date_trunc('hour', b.ts))"
+SQL["e30_intraday_systems"] = layered(
+    [walks.MACD, {"raw": f"(close - ({llv('low', 14)})) / nullif(({hhv('high', 14)}) - ({llv('low', 14)}), 0)", "m": ma("close", 20)}, {"k14": f"100 * ({ma('raw', 3)})"}, {"d14": ma("k14", 3)}],
+    KEYS | {"hour_break": _flag("close > hour_high"), "hour_fall": _flag("close < hour_low"), "pull_back": f"coalesce(low <= m AND close > m AND m > {lag('m')}, false)::BIGINT", "macd_up": cross("macd", "signal"), "stoch_up": cross("k14", "d14")},
+    ctes=_HOURS,
+    source="bh",
+)
+
+# -- trailing stops: one walk with the state of all ------------------------------------------
+_SEEDED = ", ".join(f"CASE WHEN i = {n} THEN avg((high + low) / 2) {over(n)} WHEN i > {n} THEN (high + low) / 2 END AS j{n}" for n in (13, 8, 5))
+_BODIES = f"{walks.NUMBERED}, c AS MATERIALIZED (SELECT *, (open + high + low + close) / 4 AS hc, CASE WHEN i = 1 THEN open ELSE lag((open + high + low + close) / 4) {W} END AS hb, {_SEEDED} FROM b)"
+_SMOOTHED = {"atr10": wilders("tr", 10), "atr22": wilders("tr", 22), "ho": ("hb", "0.5"), "jaw": wilders("j13", 13), "teeth": wilders("j8", 8), "lips": wilders("j5", 5)}
+for _x in ("open", "high", "low", "close"):
+    _SMOOTHED |= chain(f"s_{_x}", _x, 10, 2)
+_DEMAS = {x: f"(2 * s_{x}1 - s_{x}2)" for x in ("open", "high", "low", "close")}
+_BODIES2 = f"""{walks.walk(_SMOOTHED, ctes=_BODIES, source='c')},
+d0 AS MATERIALIZED (SELECT *, {_DEMAS['open']} AS d_o, ({' + '.join(_DEMAS.values())}) / 4 AS d_c FROM w), d1 AS MATERIALIZED (SELECT *, CASE WHEN i = 1 THEN d_o ELSE {lag('d_c')} END AS hb2 FROM d0)"""
+_STOPS_IN = f"""{walks.walk({'sho': ('hb2', '0.5')}, ctes=_BODIES2, source='d1', into='d2')},
+k AS MATERIALIZED (SELECT *, (high + low) / 2 - 3 * atr10 AS st_up, (high + low) / 2 + 3 * atr10 AS st_dn, ({hhv('high', 22)}) - 3 * atr22 AS ch_l, ({llv('low', 22)}) + 3 * atr22 AS ch_s,
+  ({hhv('close', 22)}) - 3 * atr22 AS cc_l, ({llv('close', 22)}) + 3 * atr22 AS cc_s, {lag('low')} AS low1, {lag('low', 2)} AS low2, {lag('high')} AS high1, {lag('high', 2)} AS high2 FROM d2)"""
+
+
+def _exit(p: str) -> dict[str, str]:
+    """State of a two-sided exit: both lines and the side, ``p_l`` and ``p_s`` being the lines of the bar itself."""
+    long = f"CASE WHEN c1 > e.{p}_long THEN greatest({p}_l, e.{p}_long) ELSE {p}_l END"
+    short = f"CASE WHEN c1 < e.{p}_short THEN least({p}_s, e.{p}_short) ELSE {p}_s END"
+    return {f"{p}_long": long, f"{p}_short": short, f"{p}_side": f"CASE WHEN close > e.{p}_short THEN 1 WHEN close < e.{p}_long THEN -1 ELSE e.{p}_side END"}
+
+
+_BEST = "CASE WHEN e.vs_side > 0 THEN greatest(e.vs_best, close) ELSE least(e.vs_best, close) END"
+_TURN = f"(close - (({_BEST}) - e.vs_side * 3 * atr10)) * e.vs_side < 0"
+_SAR = "e.sar + e.af * (e.ep - e.sar)"
+_SAR_L, _SAR_S = f"least({_SAR}, low1, coalesce(low2, low1))", f"greatest({_SAR}, high1, coalesce(high2, high1))"
+_STATE = {
+    "up": ("st_up", "CASE WHEN c1 > e.up THEN greatest(st_up, e.up) ELSE st_up END"), "dn": ("st_dn", "CASE WHEN c1 < e.dn THEN least(st_dn, e.dn) ELSE st_dn END"),
+    "st_side": ("1", "CASE WHEN close > e.dn THEN 1 WHEN close < e.up THEN -1 ELSE e.st_side END"),
+    **{n: (n.split("_")[0] + {"long": "_l", "short": "_s"}[n.split("_")[1]] if not n.endswith("side") else "1", x) for p in ("ch", "cc") for n, x in _exit(p).items()},
+    "vs_side": ("1", f"CASE WHEN {_TURN} THEN -e.vs_side ELSE e.vs_side END"), "vs_best": ("close", f"CASE WHEN {_TURN} THEN close ELSE {_BEST} END"),
+    "trail": ("close - 3 * atr10", "CASE WHEN close > e.trail AND c1 > e.trail THEN greatest(e.trail, close - 3 * atr10) WHEN close < e.trail AND c1 < e.trail THEN least(e.trail, close + 3 * atr10) WHEN close > e.trail THEN close - 3 * atr10 ELSE close + 3 * atr10 END"),
+    "sar_long": ("1", f"CASE WHEN e.sar_long = 1 THEN CASE WHEN low < {_SAR_L} THEN 0 ELSE 1 END ELSE CASE WHEN high > {_SAR_S} THEN 1 ELSE 0 END END"),
+    "sar": ("low", f"CASE WHEN e.sar_long = 1 THEN CASE WHEN low < {_SAR_L} THEN e.ep ELSE {_SAR_L} END ELSE CASE WHEN high > {_SAR_S} THEN e.ep ELSE {_SAR_S} END END"),
+    "af": ("0.02", f"CASE WHEN e.sar_long = 1 THEN CASE WHEN low < {_SAR_L} THEN 0.02 WHEN high > e.ep THEN least(0.2, e.af + 0.02) ELSE e.af END ELSE CASE WHEN high > {_SAR_S} THEN 0.02 WHEN low < e.ep THEN least(0.2, e.af + 0.02) ELSE e.af END END"),
+    "ep": ("high", f"CASE WHEN e.sar_long = 1 THEN CASE WHEN low < {_SAR_L} THEN low ELSE greatest(e.ep, high) END ELSE CASE WHEN high > {_SAR_S} THEN high ELSE least(e.ep, low) END END"),
+}
+_DARVAS = """dv AS (SELECT ticker, i, 1 AS state, CAST(high AS DOUBLE) AS t, CAST(NULL AS DOUBLE) AS d, CAST(NULL AS DOUBLE) AS top, CAST(NULL AS DOUBLE) AS bot FROM k WHERE i = 1
+ UNION ALL SELECT ticker, i, state, t, d, CASE WHEN state = 5 THEN t ELSE top END, CASE WHEN state = 5 THEN d ELSE bot END
+ FROM (SELECT k.ticker, k.i, v.top, v.bot, CASE WHEN v.state = 5 THEN CASE WHEN high > t OR low < d THEN 1 ELSE 5 END WHEN high > t THEN 1 WHEN v.state < 3 THEN v.state + 1 WHEN low < d THEN 3 ELSE v.state + 1 END AS state,
+   CASE WHEN v.state = 5 THEN CASE WHEN high > t OR low < d THEN high ELSE t END WHEN high > t THEN high ELSE t END AS t,
+   CASE WHEN v.state = 5 THEN CASE WHEN high > t OR low < d THEN NULL ELSE d END WHEN high > t THEN NULL WHEN v.state < 3 THEN low WHEN low < d THEN low ELSE d END AS d FROM dv v JOIN k ON k.ticker = v.ticker AND k.i = v.i + 1))"""
+SQL["r_stops"] = f"""WITH RECURSIVE {_STOPS_IN},
+held AS (SELECT ticker, i, {', '.join(f'CAST({first} AS DOUBLE) AS {n}' for n, (first, _) in _STATE.items())} FROM k WHERE i = 1
+ UNION ALL SELECT k.ticker, k.i, {', '.join(f'{x} AS {n}' for n, (_, x) in _STATE.items())} FROM held e JOIN k ON k.ticker = e.ticker AND k.i = e.i + 1), {_DARVAS}
+SELECT k.ticker, k.ts, {r('CASE WHEN st_side > 0 THEN up ELSE dn END')} AS supertrend, {r('st_side')} AS supertrend_side, {r('vs_best - vs_side * 3 * atr10')} AS volatility_stop, {r('CASE WHEN ch_side > 0 THEN ch_long ELSE ch_short END')} AS chandelier,
+ {r('CASE WHEN cc_side > 0 THEN cc_long ELSE cc_short END')} AS chandelier_close, {r('trail')} AS atr_trail, {r('sar')} AS sar, {r('ho')} AS ha_open, {r('hc')} AS ha_close, {r('sho')} AS smooth_ha_open, {r('dv.top')} AS darvas_top, {r('dv.bot')} AS darvas_low, {r('jaw')} AS jaw, {r('teeth')} AS teeth, {r('lips')} AS lips
+FROM k JOIN held USING (ticker, i) JOIN (SELECT ticker, i, top, bot FROM dv) dv USING (ticker, i)"""
