@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.operators.indicators import expected_volume
 from tickloom.sources.merge import keep_last
 from tickloom.sources.parts import put
 
@@ -21,9 +22,9 @@ def live_bars(ticks: DataFrame, width: str = "15 minutes", late: str = "1 hour")
 
 
 def live_vwap(ticks: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Volume-weighted price of each ticker's running day."""
-    made = ticks.withWatermark("ts", late).groupBy("ticker", F.window("ts", "1 day").alias("w")).agg((F.sum(F.col("price") * F.col("volume")) / F.sum("volume")).alias("vwap"), F.sum("volume").alias("volume"))
-    return made.select("ticker", F.col("w.start").alias("session"), "vwap", "volume")
+    """Each ticker's running day: volume-weighted price, volume, its last tick, and the volume to expect of the whole day at this pace."""
+    made = ticks.withWatermark("ts", late).groupBy("ticker", F.window("ts", "1 day").alias("w")).agg((F.sum(F.col("price") * F.col("volume")) / F.sum("volume")).alias("vwap"), F.sum("volume").alias("volume"), F.max("ts").alias("last_ts"))
+    return made.select("ticker", F.col("w.start").alias("session"), "vwap", "volume", "last_ts", expected_volume("volume", "last_ts").alias("expected"))
 
 
 def alerts(averages: DataFrame, low: float = 30, high: float = 70) -> DataFrame:
