@@ -41,6 +41,28 @@ def test_signs_that_once_hid_them(text, found):
     assert spans(text) == found
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "find it at www.example.com", "we arrived at example.com", "Visit us at shop.example.de today", "The meeting at noon dot com was long", "We stayed at home dot net of fees", "look at the dot com bubble", "more at example.org/news",
+        "He laughed at two dot com jokes", "names like look_at_me and dot_dot_com stay", "meet me at example.io", "oh dear, 5 of them", "jane at www.example.com",
+    ],
+)
+def test_prose_is_left_alone(text):
+    assert spans(text) == ""
+
+
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ("jane (a) example.com", "email:0:20"), ("jane [ät] example.com", "email:0:21"), ("jane_at_example_dot_com", "email:0:23"), ("jane_doe_at_mail_dot_example_dot_org now", "email:0:36"), ("jean arobase exemple punto fr", "email:0:29"), ("max klammeraffe beispiel punkt de", "email:0:33"),
+        ("j.meeting at example.com", "email:0:24"), ("meeting [at] example.com", "email:0:24"), ("plus four four oh two oh seven one two three four five", "phone:0:54"),
+    ],
+)
+def test_further_disguises(text, found):
+    assert spans(text) == found
+
+
 def test_random_disguises():
     """Plain identifiers, disguised sign by sign, are found where they stand in a text around them."""
     rng = random.Random(4)

@@ -91,6 +91,7 @@ DIGIT_WORDS = {
     w: str(i % 10)
     for names in (
         "zero one two three four five six seven eight nine",
+        "oh",
         "null eins zwei drei vier fünf sechs sieben acht neun",
         "zéro un deux trois quatre cinq six sept huit neuf",
         "cero uno dos tres cuatro cinco seis siete ocho nueve",
@@ -108,14 +109,36 @@ _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
 #: Last labels that let a bare " at " before a plain domain be read as part of an address; a spelled or bracketed dot before the last label needs none.
 _ENDINGS = "com|org|net|edu|gov|info|io|co|uk|de|fr|es|eu|example|test"
 _LAST = rf"(?:{_ENDINGS})(?![A-Za-z0-9])"
-_AT, _DOT = r"(?:at|arroba|@)", r"(?:dot|punkt|punto|point|\.)"
+_AT, _DOT = r"(?:at|arroba|arobase|klammeraffe|ät|a|@)", r"(?:dot|punkt|punto|point|\.)"
+_BARE_AT = r"(?:at|arroba|arobase|klammeraffe)"
 _HIDDEN_DOT = rf"(?:\s*{_OPEN}{_DOT}{_CLOSE}\s*|\s+(?:dot|punkt|punto)\s+)"
 _DOT_MARK = re.compile(rf"(?<=[A-Za-z0-9])(?:{_HIDDEN_DOT})(?=[A-Za-z0-9])", re.IGNORECASE)
 #: Words before "dot" that make it a noun; such a domain needs one of the last labels above.
 _NOUN = r"(?:the|an?|this|that|each|every|any|one|no|his|her|its|my|our|your|their|der|dem|den|einem|jedem|el|un|le|il|al)"
-_PLAIN_OR_LISTED = rf"{_LABEL}(?:(?:{_HIDDEN_DOT}|\.){_LABEL})*(?:{_HIDDEN_DOT}|\.){_LAST}"
-_SPELLED = rf"(?!{_NOUN}\s+(?:dot|punkt|punto)\s){_LABEL}(?:(?:{_HIDDEN_DOT}|\.){_LABEL})*{_HIDDEN_DOT}[A-Za-z]{{2,}}(?![A-Za-z0-9])"
-_AT_MARK = re.compile(rf"(?<=[A-Za-z0-9._%+-])(?:\s*{_OPEN}{_AT}{_CLOSE}\s*(?={_LABEL})|\s+(?:at|arroba)\s+(?={_PLAIN_OR_LISTED}|{_SPELLED}))", re.IGNORECASE)
+_NOT_NOUN = rf"(?!{_NOUN}\s+(?:dot|punkt|punto)\s)"
+_PLAIN_OR_LISTED = rf"{_NOT_NOUN}(?!www\.){_LABEL}(?:(?:{_HIDDEN_DOT}|\.){_LABEL})*(?:{_HIDDEN_DOT}|\.){_LAST}"
+_SPELLED = rf"{_NOT_NOUN}{_LABEL}(?:(?:{_HIDDEN_DOT}|\.){_LABEL})*{_HIDDEN_DOT}[A-Za-z]{{2,}}(?![A-Za-z0-9])"
+_AT_MARK = re.compile(rf"(?<=[A-Za-z0-9._%+-])(?:\s*{_OPEN}{_AT}{_CLOSE}\s*(?={_LABEL})|\s+{_BARE_AT}\s+(?={_PLAIN_OR_LISTED}|{_SPELLED}))", re.IGNORECASE)
+#: Signs written between underscores, as in jane_at_example_dot_com.
+_UNDERSCORED = re.compile(r"(?<=[A-Za-z0-9])_at_(?=[A-Za-z0-9-]+(?:(?:_dot_|\.)[A-Za-z0-9-]+)*_dot_[A-Za-z]{2,}(?![A-Za-z0-9]))|(?<=[A-Za-z0-9])_dot_(?=[A-Za-z0-9])", re.IGNORECASE)
+#: Words that go with "at" in prose; as the whole name before a bare "at" they make no address.
+_BEFORE_AT = frozenset(
+    "it us me them him her you we they i he she this that these those one all more less most first last best worst least only just not now here there then again back up down out in on off over around away home"
+    " is are was were be been being am look looks looked looking arrive arrives arrived arriving stay stays stayed staying meet meets met meeting meetings visit visits visited find finds found see sees saw seen"
+    " live lives lived living work works worked working start starts started starting begin begins began end ends ended stop stops stopped aim aims aimed point points pointed laugh laughed smile smiled shout shouted"
+    " wait waits waited sit sat stand stood sell sells sold buy bought buying available located based hosted held online news article articles page pages site website sites shop store event events conference"
+    " read reads more posted published listed shown apply register registered sign join joined contact good bad better expert students people team staff open opens opened sale sales dinner lunch party night day noon".split()
+)
+
+
+def _named(text: str, mark: re.Match) -> bool:
+    """Whether what stands before an at mark can be an address's name: before a bare word it is no word that prose puts there."""
+    if not mark[0].strip().isalpha():
+        return True
+    start = mark.start()
+    while start and (text[start - 1].isascii() and text[start - 1].isalnum() or text[start - 1] in "._%+-"):
+        start -= 1
+    return text[start : mark.start()].lower() not in _BEFORE_AT
 
 
 class Aligned:
@@ -190,7 +213,15 @@ def undo_spelling(t: Aligned) -> None:
 
 
 def undo_marks(t: Aligned) -> None:
-    t.rewrite([(m.start(), m.end(), "@") for m in _AT_MARK.finditer(t.text)])
+    t.rewrite([(m.start(), m.end(), "@") for m in _AT_MARK.finditer(t.text) if _named(t.text, m)])
+    if _UNDERSCORED.search(t.text):
+        found, ends = [], -1
+        for m in _UNDERSCORED.finditer(t.text):  # a spelled dot counts only behind an at of the same run
+            if m[0].lower() == "_at_":
+                ends = re.compile(r"[A-Za-z0-9._-]*").match(t.text, m.end()).end()
+            if m.start() < ends:
+                found.append((m.start(), m.end(), "@" if m[0].lower() == "_at_" else "."))
+        t.rewrite(found)
     t.rewrite([(m.start(), m.end(), ".") for m in _DOT_MARK.finditer(t.text)])
 
 
