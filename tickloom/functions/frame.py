@@ -233,5 +233,13 @@ class Frame:
         return F.greatest("high", F.coalesce(before, F.col("high"))) - F.least("low", F.coalesce(before, F.col("low")))
 
 
-#: Builders that read bars after the current one.
-LOOK_AHEAD = frozenset({"future", "last_value", "value_when(n=0)", "ref(n>0)", "backward", "line_between", "fractals"})
+#: Builders that read bars after the current one, and how far: a number of bars, "end" (up to the ticker's last bar), or
+#: "next" (up to the next event of their kind).  A test tries every builder and expects these, and no other, to change
+#: when later bars are taken away.  Functions of arrays (``recur``) stand here under their own names.
+LOOK_AHEAD = {
+    "future": "n bars", "last_value": "end", "value_when(n=0)": "next", "ref(n>0)": "n bars", "backward": "end", "line_between": "end",
+    "fractals": "n bars", "pivot_rows": "next", "swing_labels": "next", "harmonics": "next", "wolfe_waves": "next", "double_extremes": "next", "impulses": "next",
+    "td_points": "1 bar", "regression_channel": "end", "big_volume_levels": "end", "week_end_value": "1 bar", "session_flags": "1 bar", "transaction_speed": "1 bar", "hit_rates": "3 bars",
+    "strength_and_weakness": "1 bar", "reversal_screen": "1 bar", "at_end": "end", "zigzag": "next", "swing": "next",
+    "major_levels": "next", "expand(look_ahead=True)": "period",
+}
