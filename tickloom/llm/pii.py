@@ -214,7 +214,7 @@ def undo_spelling(t: Aligned) -> None:
 
 def undo_marks(t: Aligned) -> None:
     t.rewrite([(m.start(), m.end(), "@") for m in _AT_MARK.finditer(t.text) if _named(t.text, m)])
-    if _UNDERSCORED.search(t.text):
+    if "_" in t.text and _UNDERSCORED.search(t.text):
         found, ends = [], -1
         for m in _UNDERSCORED.finditer(t.text):  # a spelled dot counts only behind an at of the same run
             if m[0].lower() == "_at_":
