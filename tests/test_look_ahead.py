@@ -124,7 +124,7 @@ def test_functions_of_arrays():
 def test_pivots_are_known_later(spark):
     def rows(n):
         p = patterns.pivot_rows(Frame(spark.createDataFrame(frame_of(spark, n))), 3)
-        out = {"pivot_rows": p, "swing_labels": patterns.swing_labels(p), "double_extremes": patterns.double_extremes(p, 30.0)}
+        out = {"pivot_rows": p, "swing_labels": patterns.swing_labels(p), "double_extremes": patterns.double_extremes(p, F.lit(8.0))}
         return {c: sorted(map(str, df.where(F.col("bar") < PART).collect())) for c, df in out.items()}
 
     one, two = rows(ALL), rows(PART)

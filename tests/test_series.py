@@ -167,7 +167,7 @@ def test_double_extremes_and_impulse(spark):
     schema = "ticker string, ts date, bar int, side int, price double"
     row = lambda b, s, p: ("A", datetime.date(2024, 1, 1) + datetime.timedelta(days=b), b, s, p)
     twice = spark.createDataFrame([row(0, 1, 100.0), row(5, -1, 90.0), row(10, 1, 101.0)], schema)
-    assert [r.pattern for r in patterns.double_extremes(twice).collect()] == ["double top"]
+    assert [r.pattern for r in patterns.double_extremes(twice, F.col("before") * 0.03).collect()] == ["double top"]
     wave = spark.createDataFrame([row(0, -1, 10.0), row(5, 1, 20.0), row(10, -1, 15.0), row(15, 1, 35.0), row(20, -1, 25.0), row(25, 1, 40.0)], schema)
     found = patterns.impulses(wave).collect()
     assert [(r.side, r.price, r.fourth_ratio) for r in found] == [(1, 40.0, 0.5)]

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import swings as sw
 from tickloom.functions.recur import Bars
-from tickloom.operators import swings
+from tickloom.functions.frame import Frame
+from tickloom.operators import setups, swings
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -160,3 +161,32 @@ def test_pivot_box_by_definition():
             last, value = i, hh[i]
         want.append(value)
     assert np.array_equal(top, want, equal_nan=True) and (low[20:] <= hh[20:].max()).all() and (ll.min() <= low[20:]).all()
+
+
+def test_pin_bars(spark):
+    """A falling bar, then one that sticks out below it and closes near its top; and the mirror image."""
+    rows = [("A", 1, 10.0, 10.5, 8.0, 8.5), ("A", 2, 8.6, 9.0, 5.0, 8.4), ("B", 1, 8.0, 10.0, 7.5, 9.5), ("B", 2, 9.4, 13.0, 9.0, 9.6), ("C", 1, 10.0, 10.5, 8.0, 8.5), ("C", 2, 6.0, 9.0, 5.0, 8.4)]
+    df = spark.createDataFrame(rows, "ticker string, ts int, open double, high double, low double, close double")
+
+    def hits(**options):
+        f = Frame(df)
+        return sorted((r.ticker, r.bullish_pin, r.bearish_pin) for r in f.add(**setups.pin_bars(f, **options)).df.where("ts = 2").collect())
+
+    assert hits() == [("A", True, False), ("B", False, True), ("C", False, False)]
+    assert hits(same_direction=True) == [("A", False, False), ("B", False, False), ("C", False, False)]
+    assert hits(most_body=0.7, body_position=0.8, body_to_eye=2, inside_body=True) == [("A", True, False), ("B", False, True), ("C", False, False)]
+    assert hits(protruding=1.5) == [("A", False, False), ("B", False, False), ("C", False, False)]
+    with pytest.raises(ValueError):
+        hits(other=1)
+
+
+def test_trend_pivots_by_a_plain_loop(spark, frames):
+    g, n = frames["A"], 12
+    high, low = g.high.to_numpy(), g.low.to_numpy()
+    since = lambda x, i: int(np.argmax(x[i - n + 1 : i + 1][::-1]))
+    down = {i: since(-low, i) < since(high, i) for i in range(n - 1, len(g))}
+    want = [(-1, i - 1 - since(-low, i - 1), i) if down[i - 1] else (1, i - 1 - since(high, i - 1), i) for i in range(n, len(g)) if down[i] != down[i - 1]]
+    rows = setups.trend_pivots(Frame(spark.createDataFrame(g)), n).orderBy("known_bar").collect()
+    assert [(r.side, r.bar, r.known_bar) for r in rows] == want and all(r.price == (high if r.side > 0 else low)[r.bar] for r in rows)
+    late = setups.trend_pivots(Frame(spark.createDataFrame(g)), n, 120).collect()
+    assert {r.known_bar for r in late} == {i for _, _, i in want if i > len(g) - 1 - 120}

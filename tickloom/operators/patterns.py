@@ -18,15 +18,15 @@ def fractals(f: Frame, n: int = 5) -> dict[str, Column]:
     return {"top": F.coalesce(top, F.lit(False)), "bottom": F.coalesce(low, F.lit(False))}
 
 
-def pivot_rows(f: Frame, n: int = 5) -> DataFrame:
-    """One row per pivot, sides alternating: of pivots of one side in a row the most extreme stays, the first of equals."""
+def pivot_rows(f: Frame, n: int = 5, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per pivot, sides alternating: of pivots of one side in a row the most extreme stays, the first of equals; with the columns ``keep`` of its bar."""
     marks = {k: f.hold(v) for k, v in fractals(f, n).items()}
     i = f.hold(f.bar())
     side = F.when(marks["top"], 1).when(marks["bottom"], -1)
-    rows = f.df.where(marks["top"] | marks["bottom"]).select("ticker", "ts", i.alias("bar"), side.alias("side"), F.when(side == 1, F.col("high")).otherwise(F.col("low")).alias("price"))
+    rows = f.df.where(marks["top"] | marks["bottom"]).select("ticker", "ts", i.alias("bar"), side.alias("side"), F.when(side == 1, F.col("high")).otherwise(F.col("low")).alias("price"), *keep)
     w = Window.partitionBy("ticker").orderBy("bar")
     island = rows.withColumn("new", F.coalesce((F.lag("side").over(w) != F.col("side")).cast("int"), F.lit(1))).withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    best = island.groupBy("ticker", "island").agg(F.max_by(F.struct("ts", "bar", "side", "price"), F.struct(F.col("side") * F.col("price"), -F.col("bar"))).alias("p"))
+    best = island.groupBy("ticker", "island").agg(F.max_by(F.struct("ts", "bar", "side", "price", *keep), F.struct(F.col("side") * F.col("price"), -F.col("bar"))).alias("p"))
     return best.select("ticker", "p.*")
 
 
@@ -94,10 +94,10 @@ def level_breaks(f: Frame, levels: DataFrame) -> DataFrame:
     return f.df.join(levels.withColumnRenamed("price", "level"), "ticker").where(up | down).select("ticker", "ts", "kind", "level", "close")
 
 
-def double_extremes(pivots: DataFrame, pct: float = 3.0) -> DataFrame:
-    """Tops (or bottoms) within ``pct`` percent of the last of their side, with a pivot between them."""
+def double_extremes(pivots: DataFrame, band: Column) -> DataFrame:
+    """Tops (or bottoms) less than ``band`` from the last of their side, with a pivot between them."""
     before = F.lag("price").over(Window.partitionBy("ticker", "side").orderBy("bar"))
-    rows = pivots.withColumn("before", before).where(F.abs(F.col("price") - F.col("before")) <= F.col("before") * pct / 100)
+    rows = pivots.withColumn("before", before).where(F.abs(F.col("price") - F.col("before")) < band)
     return rows.select("ticker", "ts", "bar", F.when(F.col("side") == 1, "double top").otherwise("double bottom").alias("pattern"), "price")
 
 

@@ -66,11 +66,6 @@ def _(spark, d):
     return out(f, {"shifted_up": patterns.shifted_break(f)["shifted_up"], "first_up": patterns.first_breaks(f)["first_up"]})
 
 
-@query("c_double_extremes")
-def _(spark, d):
-    return tidy(patterns.double_extremes(patterns.pivot_rows(framed(spark, d))))
-
-
 @query("c_impulses")
 def _(spark, d):
     return tidy(patterns.impulses(patterns.pivot_rows(framed(spark, d))))

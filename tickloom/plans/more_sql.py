@@ -18,7 +18,6 @@ def _wma(x: str, n: int) -> str:
 
 
 SQL = {
-    "c_double_extremes": f"{_PIVOT_ROWS} SELECT ticker, ts, bar, CASE WHEN side = 1 THEN 'double top' ELSE 'double bottom' END AS pattern, {r('price')} AS price FROM (SELECT *, lag(price) OVER (PARTITION BY ticker, side ORDER BY bar) AS b FROM pv) WHERE abs(price - b) <= b * 3.0 / 100",
     "c_impulses": f"{_PIVOT_ROWS} SELECT ticker, ts, side, {r('price')} AS price, {r('side * (p3 - p4) / nullif(side * (p3 - p2), 0)')} AS fourth_ratio FROM (SELECT *, {_SIX} FROM pv) WHERE side * (p1 - p0) > 0 AND side * (p2 - p0) > 0 AND side * (p4 - p1) > 0 AND side * (p3 - p2) > least(side * (p1 - p0), side * (price - p4)) AND side * (price - p4) > 0",
     "c_wolfe_waves": f"{_PIVOT_ROWS}, q AS (SELECT *, {_WOLFE} FROM pv), z AS (SELECT *, (p3 - p1) / nullif(b3 - b1, 0) AS s13, (p4 - p2) / nullif(b4 - b2, 0) AS s24 FROM q) SELECT ticker, ts, -side AS side, {r('price')} AS price, {r('p1 + (p4 - p1) / (b4 - b1) * (bar - b1)')} AS target FROM z WHERE side * (p3 - p1) > 0 AND side * (p4 - p1) < 0 AND side * (p4 - p2) > 0 AND side * (price - (p3 + s13 * (bar - b3))) >= 0 AND side * (s24 - s13) > 0",
     "c_harmonics": f"{_PIVOT_ROWS}, q AS (SELECT *, {_FIVE} FROM pv), z AS (SELECT *, abs(b - a) / nullif(abs(a - x), 0) AS rb, abs(c - b) / nullif(abs(b - a), 0) AS rc, abs(price - a) / nullif(abs(a - x), 0) AS rd, abs(price - c) / nullif(abs(b - a), 0) AS cd FROM q WHERE x IS NOT NULL) SELECT ticker, ts, bar, -side AS side, pattern, {r('price')} AS price FROM (SELECT *, CASE WHEN rb BETWEEN 0.55 AND 0.7 AND rc BETWEEN 0.382 AND 0.886 AND rd BETWEEN 0.74 AND 0.82 THEN 'gartley' WHEN rb BETWEEN 0.35 AND 0.55 AND rc BETWEEN 0.382 AND 0.886 AND rd BETWEEN 0.84 AND 0.92 THEN 'bat' WHEN rb BETWEEN 0.72 AND 0.85 AND rc BETWEEN 0.382 AND 0.886 AND rd BETWEEN 1.2 AND 1.7 THEN 'butterfly' WHEN rb BETWEEN 0.35 AND 0.65 AND rc BETWEEN 0.382 AND 0.886 AND rd BETWEEN 1.55 AND 1.7 THEN 'crab' WHEN cd BETWEEN 0.95 AND 1.05 AND rc BETWEEN 0.55 AND 0.85 THEN 'abcd' END AS pattern FROM z) WHERE pattern IS NOT NULL",

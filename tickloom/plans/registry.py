@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tickloom.plans import filters, further, market_queries, more_queries, more_sql, parameter_queries, recurrence_sql, screens, series_queries, sheet, stream_queries, swing_queries, warehouse_queries
+from tickloom.plans import filters, further, market_queries, more_queries, more_sql, parameter_queries, recurrence_sql, screens, series_queries, setup_queries, sheet, stream_queries, swing_queries, warehouse_queries
 
-PARTS = (series_queries, market_queries, screens, filters, sheet, more_queries, further, warehouse_queries, stream_queries, swing_queries, parameter_queries)
+PARTS = (series_queries, market_queries, screens, filters, sheet, more_queries, further, warehouse_queries, stream_queries, swing_queries, parameter_queries, setup_queries)
 
 
 def queries() -> dict:
