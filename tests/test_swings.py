@@ -174,7 +174,7 @@ def test_pin_bars(spark):
 
     assert hits() == [("A", True, False), ("B", False, True), ("C", False, False)]
     assert hits(same_direction=True) == [("A", False, False), ("B", False, False), ("C", False, False)]
-    assert hits(most_body=0.7, body_position=0.8, body_to_eye=2, inside_body=True) == [("A", True, False), ("B", False, True), ("C", False, False)]
+    assert hits(inside_body=True) == [("A", False, False), ("B", False, False), ("C", False, False)]
     assert hits(protruding=1.5) == [("A", False, False), ("B", False, False), ("C", False, False)]
     with pytest.raises(ValueError):
         hits(other=1)
