@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tickloom.functions import recur as k, swings
+from tickloom.functions import recur as k
 from tickloom.functions.frame import Frame
 from tickloom.operators import candles, indicators as ind, patterns, timeframes
 from tickloom.operators.scan import scan
@@ -29,7 +29,7 @@ def query(name: str, sql: str | None = None):
 
 MORE = {
     "events": {"macd_event": lambda b: k.macd_events(b.c), "macd_next": lambda b: k.macd_next_change(b.c), "impulse": lambda b: k.impulse(b.c), "regime": lambda b: k.regime(b), "divergence": lambda b: k.divergence(b.c, k.rsi(b.c)), "lows": lambda b: k.successive_lows(k.rsi(b.c)), "t3_prediction": lambda b: k.t3_prediction(b.c), "atr_crossing": lambda b: k.atr_band_crossing(b)},
-    "smoothed": {"cycle": lambda b: swings.dominant_cycle((b.h + b.l) / 2)["smooth_period"], "multiple_cci": lambda b: k.multiple_cci(b), "zero_lag_r": lambda b: k.zero_lag_r(b), "flower": lambda b: k.flower(b), "rsi_top": lambda b: k.adaptive_bands(k.rsi(b.c), 50)[0], "rsi_low": lambda b: k.adaptive_bands(k.rsi(b.c), 50)[1], "projection_70": lambda b: k.rsi_projection(b.c, 14, 70), "volume_explosion": lambda b: k.volume_explosion(b), "bull_volume": lambda b: k.bull_bear_volume(b)[0], "bear_volume": lambda b: k.bull_bear_volume(b)[1]},
+    "smoothed": {"multiple_cci": lambda b: k.multiple_cci(b), "zero_lag_r": lambda b: k.zero_lag_r(b), "flower": lambda b: k.flower(b), "rsi_top": lambda b: k.adaptive_bands(k.rsi(b.c), 50)[0], "rsi_low": lambda b: k.adaptive_bands(k.rsi(b.c), 50)[1], "projection_70": lambda b: k.rsi_projection(b.c, 14, 70), "volume_explosion": lambda b: k.volume_explosion(b), "bull_volume": lambda b: k.bull_bear_volume(b)[0], "bear_volume": lambda b: k.bull_bear_volume(b)[1]},
     "bands": {"keltner_top": lambda b: k.keltner(b)[0], "keltner_low": lambda b: k.keltner(b)[1], "fib_top1": lambda b: k.fibonacci_bands(b)[0], "fib_low3": lambda b: k.fibonacci_bands(b)[5], "range_top": lambda b: k.range_lines(b)[0], "range_low": lambda b: k.range_lines(b)[1], "stoploss_long": lambda b: k.atr_stoploss(b)[0], "stoploss_short": lambda b: k.atr_stoploss(b)[1], "jnsar": lambda b: k.jnsar(b), "percent_trail": lambda b: k.percent_trail(b.c), "phase_line": lambda b: k.phase_trend(b), "jaw": lambda b: k.ref(k.wilders((b.h + b.l) / 2, 13), -8), "teeth": lambda b: k.ref(k.wilders((b.h + b.l) / 2, 8), -5), "lips": lambda b: k.ref(k.wilders((b.h + b.l) / 2, 5), -3), "asymmetric_stop": lambda b: k.volatility_stop(b, 3.0, 10, bear=2.0)},
     "selected": {n: (lambda b, n=n: k.indicator(n, b, 14)) for n in k.SELECTOR},
 }

@@ -337,3 +337,64 @@ held AS (SELECT ticker, i, {', '.join(f'CAST({first} AS DOUBLE) AS {n}' for n, (
 SELECT k.ticker, k.ts, {r('CASE WHEN st_side > 0 THEN up ELSE dn END')} AS supertrend, {r('st_side')} AS supertrend_side, {r('vs_best - vs_side * 3 * atr10')} AS volatility_stop, {r('CASE WHEN ch_side > 0 THEN ch_long ELSE ch_short END')} AS chandelier,
  {r('CASE WHEN cc_side > 0 THEN cc_long ELSE cc_short END')} AS chandelier_close, {r('trail')} AS atr_trail, {r('sar')} AS sar, {r('ho')} AS ha_open, {r('hc')} AS ha_close, {r('sho')} AS smooth_ha_open, {r('dv.top')} AS darvas_top, {r('dv.bot')} AS darvas_low, {r('jaw')} AS jaw, {r('teeth')} AS teeth, {r('lips')} AS lips
 FROM k JOIN held USING (ticker, i) JOIN (SELECT ticker, i, top, bot FROM dv) dv USING (ticker, i)"""
+
+# -- bands, with the states of four trailing lines in one walk ---------------------------------
+_BANDS_IN = f"""{walks.walk({'atr10': wilders('tr', 10), 'atr14': wilders('tr', 14), 'atr20': wilders('tr', 20), 'rl': ema('(high + low + 2 * close) / 4', 8), 'eh': ema('high', 5), 'el': ema('low', 5), 'ec': ema('close', 5), 'w13': wilders(_MID, 13), 'w8': wilders(_MID, 8), 'w5': wilders(_MID, 5)})},
+bk AS MATERIALIZED (SELECT *, {ma('close', 20)} AS m20, {_MID} AS mid, high - 2 * atr14 AS sl, low + 2 * atr14 AS ss, eh + el + ec AS j FROM w)"""
+_BAND_BEST = "CASE WHEN e.v_side > 0 THEN greatest(e.v_best, close) ELSE least(e.v_best, close) END"
+_BAND_GAP = lambda side: f"(CASE WHEN {side} > 0 THEN 3 ELSE 2 END) * atr10"
+_BAND_TURN = f"(close - (({_BAND_BEST}) - e.v_side * {_BAND_GAP('e.v_side')})) * e.v_side < 0"
+_LINE = "CASE WHEN e.ph > 0 THEN greatest(e.line, mid - 1.5 * atr14) ELSE least(e.line, mid + 1.5 * atr14) END"
+_FLIP = f"(close - ({_LINE})) * e.ph < 0"
+_BAND_STATE = {
+    "best": ("close", "CASE WHEN close < e.best * 0.9 THEN close ELSE greatest(e.best, close) END"),
+    "ph": ("CASE WHEN close < mid - 1.5 * atr14 THEN -1 ELSE 1 END", f"CASE WHEN {_FLIP} THEN -e.ph ELSE e.ph END"),
+    "line": ("CASE WHEN close < mid - 1.5 * atr14 THEN mid + 1.5 * atr14 ELSE mid - 1.5 * atr14 END", f"CASE WHEN {_FLIP} THEN mid + e.ph * 1.5 * atr14 ELSE {_LINE} END"),
+    "v_side": ("1", f"CASE WHEN {_BAND_TURN} THEN -e.v_side ELSE e.v_side END"), "v_best": ("close", f"CASE WHEN {_BAND_TURN} THEN close ELSE {_BAND_BEST} END"),
+}
+SQL["r_bands"] = f"""WITH RECURSIVE {_BANDS_IN},
+held AS (SELECT ticker, i, {', '.join(f'CAST({first} AS DOUBLE) AS {n}' for n, (first, _) in _BAND_STATE.items())} FROM bk WHERE i = 1
+ UNION ALL SELECT bk.ticker, bk.i, {', '.join(f'{x} AS {n}' for n, (_, x) in _BAND_STATE.items())} FROM held e JOIN bk ON bk.ticker = e.ticker AND bk.i = e.i + 1)
+SELECT bk.ticker, bk.ts, {r('m20 + 2 * atr20')} AS keltner_top, {r('m20 - 2 * atr20')} AS keltner_low, {r('m20 + 1.618 * atr20')} AS fib_top1, {r('m20 - 4.236 * atr20')} AS fib_low3,
+ {r(f'({hhv("rl", 60)})')} AS range_top, {r(f'({llv("rl", 60)})')} AS range_low, {r(f'({hhv("sl", 10)})')} AS stoploss_long, {r(f'({llv("ss", 10)})')} AS stoploss_short, {r(f'({total("j", 5)}) / 15')} AS jnsar,
+ {r('best * 0.9')} AS percent_trail, {r('line')} AS phase_line, {r(lag('w13', 8))} AS jaw, {r(lag('w8', 5))} AS teeth, {r(lag('w5', 3))} AS lips, {r(f"v_best - v_side * {_BAND_GAP('v_side')}")} AS asymmetric_stop
+FROM (SELECT bk.*, best, ph, line, v_side, v_best FROM bk JOIN held USING (ticker, i)) bk"""
+
+_MAD_LISTS = {f"w{n}": f"list(x3) {over(n)}" for n in (14, 25, 50)}
+_CCI = " + ".join(f"(x3 - a{n}) / nullif(0.015 * mad{n}, 0) / 3" for n in (14, 25, 50))
+SQL["r_smoothed"] = layered(
+    [
+        {"x3": "(high + low + close) / 3", "m4": "(high + low + 2 * close) / 4", "sg": f"coalesce(sign(close - {lag('close')}), 0) * volume", "share": "coalesce((close - low) / nullif(high - low, 0), 0.5)", "r14": f"-100 * (({hhv('high', 14)}) - close) / nullif(({hhv('high', 14)}) - ({llv('low', 14)}), 0)"},
+        _MAD_LISTS | {f"a{n}": ma("x3", n) for n in (14, 25, 50)} | {"sd4": full("stddev_pop({x}) {w}", "m4", 20)},
+        {f"mad{n}": f"CASE WHEN a{n} IS NOT NULL THEN list_avg(list_transform(w{n}, lambda v: abs(v - a{n}))) END" for n in (14, 25, 50)},
+        *rsi_layers({"rsi": ("close", 14)}),
+        {"cci": _CCI, "rc": "rsi - 50", "gap": "13 * (l_rsi * 70 / 30.0 - g_rsi)"},
+        {"cc5": ema("cci", 5)} | chain("wq", "r14", 5, 2) | {"m4e": ema("m4", 20), "fl1": ema("(m4 - m4e) / nullif(sd4, 0)", 5), "fl": ema("fl1", 3), "ve": ema("sg", 13), "vv": ema("volume", 13)} | chain("bu", "volume * share", 9, 3) | chain("be", "volume * (1 - share)", 9, 3),
+        {"p70": "CASE WHEN gap >= 0 THEN close + gap ELSE close + gap * 30.0 / 70 END"},
+    ],
+    KEYS
+    | {"multiple_cci": r("cc5"), "zero_lag_r": r("2 * wq1 - wq2"), "flower": r("fl"), "rsi_top": r(f"50 + 0.8 * ({hhv('rc', 50)})"), "rsi_low": r(f"50 + 0.8 * ({llv('rc', 50)})")}
+    | {"projection_70": r("CASE WHEN p70 >= close THEN ceil(p70 / 0.1 - 1e-9) ELSE floor(p70 / 0.1 + 1e-9) END * 0.1"), "volume_explosion": r("100 * ve / nullif(vv, 0)"), "bull_volume": r(tema_of("bu")), "bear_volume": r(tema_of("be"))},
+)
+_MIDS = {f"r{n}": f"(({hhv('high', n)}) + ({llv('low', n)})) / 2" for n in (*range(3, 16, 3), *range(30, 61, 10))}
+_SHORT, _LONG = (", ".join(f"r{n}" for n in s) for s in (range(3, 16, 3), range(30, 61, 10)))
+_ALL_MIDS = " AND ".join(f"{n} IS NOT NULL" for n in _MIDS)
+SQL["v_states"] = layered(
+    [
+        walks.DIRECTIONAL | walks.RSI | {"atr": wilders("tr", 14)},
+        _MIDS | {"h20": hhv("high", 20), "l20": llv("low", 20), "h5": hhv("high", 5), "l5": llv("low", 5), "v1": lag("volume"), "n_left": "i - max(i) OVER (PARTITION BY ticker)", "open1": "first(open) OVER (PARTITION BY ticker, date_trunc('month', ts) ORDER BY ts ROWS UNBOUNDED PRECEDING)"},
+        {"h20b": lag("h20"), "l20b": lag("l20"), "h5b": lag("h5"), "l5b": lag("l5"), "inside": "CASE WHEN n_left > -50 THEN close END"},
+        {"sw": f"last_value(CASE WHEN close > h20b THEN l5 WHEN close < l20b THEN h5 END IGNORE NULLS) {SO_FAR}", "state": f"coalesce(last_value(CASE WHEN close > h5b THEN 1 WHEN close < l5b THEN -1 END IGNORE NULLS) {SO_FAR}, 0)"}
+        | {n: f"{g}(inside, i) OVER (PARTITION BY ticker)" for n, g in (("slope", "regr_slope"), ("cut", "regr_intercept"))},
+        {"line": "CASE WHEN inside IS NOT NULL THEN cut + slope * i END", "same": f"coalesce(state = {lag('state')}, false)"},
+        {"err": "sqrt(sum((inside - line) * (inside - line)) OVER (PARTITION BY ticker) / nullif(count(inside) OVER (PARTITION BY ticker) - 2, 0))", "since": f"last_value(CASE WHEN NOT same THEN i END IGNORE NULLS) {SO_FAR}"},
+    ],
+    KEYS
+    | {"rsi_zone": "CASE " + " ".join(f"WHEN rsi <= {t} THEN 'to {t}'" for t in range(20, 81, 10)) + " WHEN rsi IS NOT NULL THEN 'over 80' END", "trend_strength": "CASE WHEN adx < 20 THEN 'none' WHEN adx < 25 THEN 'weak' WHEN adx < 40 THEN 'trending' WHEN adx < 60 THEN 'strong' WHEN adx IS NOT NULL THEN 'extreme' END"}
+    | {"ribbon_up": f"coalesce(least({_SHORT}) > greatest({_LONG}), false)::BIGINT", "ribbon_down": f"coalesce(greatest({_SHORT}) < least({_LONG}), false)::BIGINT", "swing_stop": r("sw"), "latched": "state", "latched_bars": "coalesce(i - since, i)", "trigger_up": r("open1 + 0.5 * atr"), "trigger_down": r("open1 - 0.5 * atr")}
+    | {"interest": "CASE WHEN close > c1 AND volume > v1 THEN 'long build-up' WHEN NOT close > c1 AND volume > v1 THEN 'short build-up' WHEN close > c1 AND NOT volume > v1 THEN 'short covering' WHEN NOT close > c1 AND NOT volume > v1 THEN 'long unwinding' ELSE '' END"}
+    | {f"target_{n}": r(f"close + {n} * 2 * atr") for n in (1, 2, 3)}
+    | {"risk_percent": r("100 * 2 * atr / close"), "channel": r("line"), "channel_top": r("line + 2 * err"), "channel_low": r("line - 2 * err")},
+    ctes=walks.RICH,
+    source="c",
+)
