@@ -398,3 +398,49 @@ SQL["v_states"] = layered(
     ctes=walks.RICH,
     source="c",
 )
+
+# -- every indicator of the selector, 14 bars --------------------------------------------------
+_W14, _W7 = weighted("close", 14), weighted("close", 7)
+_ALMA14 = [exp(-((k - 0.85 * 13) ** 2) / (2 * (14 / 6) ** 2)) for k in range(14)]
+SQL["r_selected"] = layered(
+    [
+        {"x3": "(high + low + close) / 3", "m4": "(high + low + 2 * close) / 4", "mid": _MID, "dm": "high - low", "turn": f"CASE WHEN {_HLC} > lag({_HLC}) {W} THEN 1 WHEN {_HLC} < lag({_HLC}) {W} THEN -1 END", "w14": _W14, "hraw": f"2 * {_W7} - {_W14}",
+         "sm14": f"CASE WHEN i = 14 THEN avg(close) {over(14)} WHEN i > 14 THEN close END", "off": f"close - ({ma('close', 14)})", "raw": f"(close - ({llv('low', 14)})) / nullif(({hhv('high', 14)}) - ({llv('low', 14)}), 0)"},
+        *rsi_layers({"rsi": ("close", 14)}),
+        {"trend": f"coalesce(last_value(turn IGNORE NULLS) {SO_FAR}, -1)", "dm1": lag("dm"), "mid1": lag("mid"), "d5": f"close - {lag('close', 5)}", "d14": f"close - {lag('close', 14)}", "root": f"sqrt((close - {lag('close')}) * (close - {lag('close')}) + 1)", "vp": f"abs(high - {lag('low')})", "vm": f"abs(low - {lag('high')})",
+         "tr14": total("tr", 14), "sd4": full("stddev_pop({x}) {w}", "m4", 14), "srsi": stoch("rsi", 14), "k14": f"100 * ({ma('raw', 3)})", "zz": f"(off - ({ma('off', 14)})) / nullif(({full('stddev_pop({x}) {w}', 'off', 14)}), 0)", "fo": f"(close - {lag('close')}) * volume", "sg": f"coalesce(sign(close - {lag('close')}), 0) * volume"},
+        {"flip": f"CASE WHEN i > 1 AND trend <> {lag('trend')} THEN 1 ELSE 0 END", "vp14": total("vp", 14), "vm14": total("vm", 14), "path": total("root", 14)},
+        {"run": f"sum(flip) {SO_FAR}", "vxp": "vp14 / nullif(tr14, 0)", "vxm": "vm14 / nullif(tr14, 0)"},
+        {"cm": "CASE WHEN i = 1 THEN 0 ELSE sum(CASE WHEN i > 1 THEN dm ELSE 0 END + CASE WHEN flip = 1 THEN dm1 ELSE 0 END) OVER (PARTITION BY ticker, run ORDER BY ts ROWS UNBOUNDED PRECEDING) END"},
+        {"vf": "volume * abs(2 * dm / nullif(cm, 0) - 1) * trend * 100"},
+        walks.DIRECTIONAL | {"u5": wilders("CASE WHEN d5 IS NOT NULL THEN greatest(d5, 0) END", 14), "n5": wilders("CASE WHEN d5 IS NOT NULL THEN greatest(-d5, 0) END", 14)} | chain("tx", "close", 14, 3) | {"e28": ema("close", 28), "atr": wilders("tr", 14)}
+        | {"vadx": wilders("100 * abs(vxp - vxm) / nullif(vxp + vxm, 0)", 14), "mi1": ema("dm", 9), "mi2": ema("mi1", 9), "force": ema("fo", 14), "eom": wilders("(mid - mid1) * dm / nullif(volume, 0)", 14), "m4e": ema("m4", 14), "fl1": ema("(m4 - m4e) / nullif(sd4, 0)", 5), "fl": ema("fl1", 3)}
+        | {"f23": ema("close", 23), "f50": ema("close", 50), "pe": ema("sign(d14) * 100 * sqrt(d14 * d14 + 196) / nullif(path, 0)", 5), "k1": ema("vf", 14), "k2": ema("vf", 28), "tp1": ema("zz", 20), "tp2": ema("tp1", 20), "ve": ema("sg", 14), "vv": ema("volume", 14)}
+        | {"ap": same("x3"), "esa": ema("ap", 14), "dev": ema("abs(ap - esa)", 14), "wt": ema("(ap - esa) / nullif(0.015 * dev, 0)", 21), "wil": wilders("close", 14), "smma": wilders("sm14", 14)} | chain("f", "close", 14, 6) | {"t": same(tema_of("f"))} | chain("t", "t", 14, 3),
+        {"ratio": "mi1 / nullif(mi2, 0)", "mx": "f23 - f50"},
+        {"sc1": stoch("mx", 14)},
+        {"sc1f": f"last_value(sc1 IGNORE NULLS) {SO_FAR}"},
+        {"p1": ("sc1f", "0.5")},
+        {"sc2": stoch("p1", 14)},
+        {"sc2f": f"last_value(sc2 IGNORE NULLS) {SO_FAR}"},
+        {"schaff": ("sc2f", "0.5")},
+    ],
+    KEYS
+    | {"rsi": r("rsi"), "rmi": r("100 * u5 / nullif(u5 + n5, 0)"), "trix": r(f"100 * (tx3 / nullif({lag('tx3')}, 0) - 1)"), "stoch_k": r("k14"), "stoch_d": r(ma("k14", 3)), "macd": r("tx1 - e28"), "atr": r("atr"), "adx": r("adx"), "plus_di": r("plus"), "minus_di": r("minus"), "vortex_adx": r("vadx")}
+    | {"mass": r(total("ratio", 14)), "force": r("force"), "eom": r("eom"), "flower": r("fl"), "schaff": r("schaff"), "efficiency": r("pe"), "stoch_rsi": r(ma("srsi", 3)), "klinger": r("k1 - k2"), "wave_trend": r("wt"), "two_poles": r("tp2"), "volume_explosion": r("100 * ve / nullif(vv, 0)")}
+    | {"average_simple": r(ma("close", 14)), "average_ema": r("f1"), "average_wilders": r("wil"), "average_dema": r("2 * f1 - f2"), "average_tema": r("t"), "average_wma": r("w14"), "average_dwma": r(f"2 * w14 - {weighted('w14', 14)}"), "average_hma": r(weighted("hraw", 3)), "average_alma": r(weighted("close", 14, _ALMA14))}
+    | {"average_t3": r(" + ".join(f"{v!r} * {c}" for c, v in _T3.items())), "average_zltema": r(f"2 * t - {tema_of('t')}"), "average_zlma": r("2 * f1 - f2"), "average_smma": r("smma")},
+    ctes=walks.RICH,
+    source="c",
+)
+
+# -- cointegration with the index: least squares, then the residuals' regression in closed form --
+SQL["z_cointegration"] = f"""WITH {BARS_SQL}, ix AS (SELECT ts, sum(close * volume) / sum(volume) AS x FROM bars GROUP BY ts),
+p AS (SELECT ticker, ts, close AS y, x FROM bars JOIN ix USING (ts)),
+o AS (SELECT ticker, regr_slope(y, x) AS ratio, regr_intercept(y, x) AS cut, count(*) AS n, max(x) - min(x) AS span FROM p GROUP BY ticker),
+e AS (SELECT p.ticker, p.ts, y - ratio * x - cut AS e FROM p JOIN o USING (ticker)),
+d AS (SELECT ticker, ts, {lag('e')} AS e1, e - {lag('e')} AS de FROM e), m AS (SELECT *, {lag('de')} AS d1 FROM d),
+s AS (SELECT ticker, sum(e1 * e1) AS a, sum(e1 * d1) AS b, sum(d1 * d1) AS c, sum(e1 * de) AS u, sum(d1 * de) AS v, sum(de * de) AS w, count(*) AS k FROM m WHERE d1 IS NOT NULL GROUP BY ticker),
+f AS (SELECT ticker, (c * u - b * v) / nullif(a * c - b * b, 0) AS g0, (a * v - b * u) / nullif(a * c - b * b, 0) AS g1, c / nullif(a * c - b * b, 0) AS inv, * EXCLUDE (ticker) FROM s)
+SELECT ticker, {r('CASE WHEN n >= 11 AND span > 0 THEN ratio END')} AS ratio, {r('CASE WHEN n >= 11 AND span > 0 THEN cut END')} AS intercept,
+ {r('CASE WHEN n >= 11 AND span > 0 THEN g0 / sqrt((w - g0 * u - g1 * v) / greatest(1, k - 2) * inv) END')} AS t_value FROM o LEFT JOIN f USING (ticker)"""

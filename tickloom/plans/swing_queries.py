@@ -261,7 +261,7 @@ e AS (SELECT ticker, i, {_ZEROS} AS sm, {_ZEROS} AS de, {_ZEROS} AS q1, {_ZEROS}
  FROM (SELECT * EXCLUDE (q1, i1), CASE WHEN i > 6 THEN {_push(f"{_filtered('de')} * gain", 'q1')} ELSE q1 END AS q1, CASE WHEN i > 6 THEN {_push('de[4]', 'i1')} ELSE i1 END AS i1
  FROM (SELECT * EXCLUDE (de), CASE WHEN i > 6 THEN {_push(f"{_filtered('sm')} * gain", 'de')} ELSE de END AS de
  FROM (SELECT s1.ticker, s1.i, s1.close, {_push('s1.sm', 'e.sm')} AS sm, de, q1, i1, i3, q3, re, im, raw, period, sp, fast, slow, 0.075 * period + 0.54 AS gain FROM e JOIN s1 ON s1.ticker = e.ticker AND s1.i = e.i + 1)))))))))
-SELECT s1.ticker, s1.ts, {r('fast - slow', 2)} AS macd, {r('CASE WHEN s1.i >= 9 THEN avg(fast - slow) OVER (PARTITION BY s1.ticker ORDER BY s1.ts ROWS BETWEEN 8 PRECEDING AND CURRENT ROW) END', 2)} AS signal FROM s1 JOIN e USING (ticker, i)"""
+SELECT s1.ticker, s1.ts, {r('fast - slow', 2)} AS macd, {r('CASE WHEN s1.i >= 9 THEN avg(fast - slow) OVER (PARTITION BY s1.ticker ORDER BY s1.ts ROWS BETWEEN 8 PRECEDING AND CURRENT ROW) END', 2)} AS signal, {r('sp', 2)} AS cycle FROM s1 JOIN e USING (ticker, i)"""
 
 
 def _cycle_of(b: k.Bars):
@@ -270,6 +270,6 @@ def _cycle_of(b: k.Bars):
 
 @query("i_cycle_macd", ordered(_CYCLE))
 def _(spark, d):
-    """MACD over one and two dominant cycles."""
-    made = scan(bars_eod(spark, d), {"macd": lambda b: b.once(_cycle_of)[0], "signal": lambda b: b.once(_cycle_of)[1]})
-    return tidy(made.select("ticker", "ts", "macd", "signal"), 2)
+    """MACD over one and two dominant cycles, and the cycle."""
+    made = scan(bars_eod(spark, d), {"macd": lambda b: b.once(_cycle_of)[0], "signal": lambda b: b.once(_cycle_of)[1], "cycle": lambda b: sw.dominant_cycle((b.h + b.l) / 2)["smooth_period"]})
+    return tidy(made.select("ticker", "ts", "macd", "signal", "cycle"), 2)
