@@ -28,7 +28,7 @@ from tickloom.llm.common import free_name
 
 WINDOW = 10
 #: Bytes of text in a shard (one document may exceed it), and of test items held by a task at once.
-SHARD_BYTES, ITEM_BYTES = 4 << 20, 16 << 20
+SHARD_BYTES, ITEM_BYTES = 2 << 20, 16 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2**64
 _UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -142,7 +142,7 @@ def equal_words(a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.ndarra
     return same
 
 
-COMPARED_AT_ONCE = 1 << 20
+COMPARED_AT_ONCE = 1 << 18
 #: Pairs of a document and an item that are told apart at once.
 PAIRS_AT_ONCE = 1 << 22
 
