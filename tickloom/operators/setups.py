@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.functions import recur
 from tickloom.functions.frame import Frame
+from tickloom.operators import indicators
+from tickloom.operators.scan import scan
 
 #: The published bounds of a pin bar (nose) and the bar before it (left eye), as shares of lengths and bodies.
 PIN_BAR = {"most_body": 0.33, "body_position": 0.4, "least_eye_body": 0.1, "protruding": 0.5, "body_to_eye": 1.0, "length_to_eye": 0.0, "eye_depth": 0.2}
@@ -65,3 +68,36 @@ def trend_pivots(f: Frame, n: int = 12, last: int | None = None) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("ticker", "side").orderBy(F.desc("known_bar")))
     priced = found.join(prices, ["ticker", "bar"]).withColumn("price", F.when(F.col("side") > 0, F.col("high")).otherwise(F.col("low")))
     return priced.select("ticker", "ts", "side", "bar", "known_bar", "price", nth.alias("nth"))
+
+
+def spaced(f: Frame, signals: dict[str, Column], n: int) -> DataFrame:
+    """The frame's rows with each signal, those within ``n`` bars of one that passed being silent; one grouped pass for all."""
+    f.add(**{f"_raw_{name}": F.coalesce(x, F.lit(False)).cast("int") for name, x in signals.items()})
+    steps = {name: (lambda b, name=name: recur.exrem_span(b.g[f"_raw_{name}"].to_numpy(bool), n)) for name in signals}
+    columns = [*f.given, *(f"_raw_{name}" for name in signals)]
+    return scan(f.df.select(*columns), steps).drop(*(f"_raw_{name}" for name in signals))
+
+
+def far_from_average(f: Frame, n: int = 50, least: float = 10, change: float = 15, over: int = 20, sessions: int = 200) -> dict[str, Column]:
+    """Closes farther from their mean (in percent) than in any of ``sessions`` bars and than ``least``, after a change of over ``change`` percent: below to buy, above to sell."""
+    away = f.hold(indicators.distance_from_ma(f, n))
+    moved = F.abs(f.roc("close", over)) > change
+    return {"away": away, "buy": (away <= f.llv(away, sessions)) & (away < -least) & moved, "sell": (away >= f.hhv(away, sessions)) & (away > least) & moved}
+
+
+def j_turns(f: Frame, n: int = 9, k: int = 3, d: int = 3, low: float = 0, high: float = 100) -> dict[str, Column]:
+    """Turns of the J line from under ``low`` (to buy) and from over ``high`` (to sell)."""
+    j = f.hold(indicators.kdj(f, n, k, d)["kdj_j"])
+    one, two = f.hold(f.ref(j, -1)), f.hold(f.ref(j, -2))
+    return {"j": j, "buy": (j > one) & (two > one) & (one < low), "sell": (j < one) & (two < one) & (one > high)}
+
+
+def keltner_steps(n: int = 20, over: int = 10, times: tuple[float, ...] = (1, 2, 3)) -> dict:
+    """Scan steps for an exponential mean and bands at several multiples of the mean true range about it."""
+    middle = lambda b: b.once(_middle, n)
+    wide = lambda b: b.once(recur.atr, over)
+    return {"center": middle} | {f"{side}{k:g}": (lambda b, k=k, sign=sign: middle(b) + sign * k * wide(b)) for k in times for side, sign in (("top", 1), ("low", -1))}
+
+
+def _middle(b: recur.Bars, n: int):
+    return recur.ema(b.c, n)

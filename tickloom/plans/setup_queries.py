@@ -11,9 +11,10 @@ from tickloom.operators.scan import scan
 from tickloom.plans import walks
 from tickloom.plans.bars import BARS_SQL, bars_eod
 from tickloom.plans.further import _DATES
+from tickloom.plans.recurrence_sql import _SPACED, layered
 from tickloom.plans.screens import _PIVOT_ROWS
 from tickloom.plans.series_queries import framed, out, tidy
-from tickloom.plans.sqltext import KEYS, SPEC, W, lag, over, r, staged
+from tickloom.plans.sqltext import KEYS, W, div, hhv, lag, llv, ma, over, r, staged
 
 QUERIES, SQL = {}, {}
 
@@ -85,3 +86,45 @@ def _(spark, d):
     share = crosssection.stix(crosssection.breadth(bars_eod(spark, d)))
     bars = share.withColumns({c: F.col("close") for c in ("open", "high", "low")} | {"volume": F.lit(0)})
     return tidy(scan(bars, {"thrust": lambda b: k.ema(b.c / 100, 10)}).select("ts", "thrust"))
+
+
+def _spaced_sql(steps: list[dict[str, str]], value: str, n: int) -> str:
+    """SQL of ``value`` and of the signals buy_ and sell_, each silent for n bars after one that passed."""
+    base = staged([{"i": f"row_number() {W}"}, *steps], {"ticker": "ticker", "ts": "ts", "i": "i", "value": value, "b": "coalesce(buy_, false)", "s": "coalesce(sell_, false)"})
+    return f"WITH RECURSIVE x AS MATERIALIZED ({base}), {_SPACED.format(into='pb', hit='b', source='x', n=n)}, {_SPACED.format(into='ps', hit='s', source='x', n=n)}"
+
+
+_FAR = [{"m50": ma("close", 50), "c20": lag("close", 20)}, {"away": f"100 * {div('close - m50', 'm50')}"}, {"lo": llv("away", 200), "hi": hhv("away", 200), "moved": "abs(100 * (close / nullif(c20, 0) - 1)) > 15"}, {"buy_": "away <= lo AND away < -10 AND moved", "sell_": "away >= hi AND away > 10 AND moved"}]
+
+
+@query("a_far_from_average", f"{_spaced_sql(_FAR, 'away', 20)} SELECT x.ticker, x.ts, {r('x.value')} AS away, CAST(pb.pass AS DOUBLE) AS buy, CAST(ps.pass AS DOUBLE) AS sell FROM x JOIN pb USING (ticker, i) JOIN ps USING (ticker, i)")
+def _(spark, d):
+    """Distance from the 50-bar mean, and where it is the farthest of 200 bars after a large move."""
+    f = framed(spark, d)
+    made = setups.far_from_average(f)
+    f.given.append("away")
+    f.add(away=made.pop("away"))
+    return tidy(setups.spaced(f, made, 20).select("ticker", "ts", "away", "buy", "sell"))
+
+
+_J = [{"l9": llv("low", 9), "h9": hhv("high", 9)}, {"raw": f"100 * {div('close - l9', 'h9 - l9')}"}, {"kk": ma("raw", 3)}, {"dd": ma("kk", 3)}, {"j": "3 * kk - 2 * dd"}, {"j1": lag("j"), "j2": lag("j", 2)}, {"buy_": "j > j1 AND j2 > j1 AND j1 < 0", "sell_": "j < j1 AND j2 < j1 AND j1 > 100"}]
+
+
+@query("i_j_turns", f"{_spaced_sql(_J, 'j', 5)} SELECT x.ticker, x.ts, {r('x.value', 3)} AS j, CAST(pb.pass AS DOUBLE) AS buy, CAST(ps.pass AS DOUBLE) AS sell FROM x JOIN pb USING (ticker, i) JOIN ps USING (ticker, i)")
+def _(spark, d):
+    """The J line and its turns from beyond 0 and 100; repeats within five bars are silent."""
+    f = framed(spark, d)
+    made = setups.j_turns(f)
+    f.given.append("j")
+    f.add(j=made.pop("j"))
+    return tidy(setups.spaced(f, made, 5).select("ticker", "ts", "j", "buy", "sell"), 3)
+
+
+@query(
+    "v_keltner_bands",
+    layered([{"e20": walks.ema("close", 20), "a10": walks.wilders("tr", 10)}], KEYS | {"center": r("e20")} | {f"{n}{k}": r(f"e20 {s} {k} * a10") for k in (1, 2, 3) for n, s in (("top", "+"), ("low", "-"))}),
+)
+def _(spark, d):
+    """Three bands about the exponential mean."""
+    steps = setups.keltner_steps()
+    return tidy(scan(bars_eod(spark, d), steps).select("ticker", "ts", *steps))
