@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import recur as k
 from tickloom.functions.frame import Frame
-from tickloom.operators import crosssection, patterns, setups
+from tickloom.operators import crosssection, indicators as ind, patterns, setups, timeframes
 from tickloom.operators.scan import scan
 from tickloom.plans import walks
 from tickloom.plans.bars import BARS_SQL, bars_eod
 from tickloom.plans.further import _DATES
-from tickloom.plans.recurrence_sql import _SPACED, layered
+from tickloom.plans.recurrence_sql import _SPACED, _mfi_sql, compressed, layered
 from tickloom.plans.screens import _PIVOT_ROWS
 from tickloom.plans.series_queries import framed, out, tidy
 from tickloom.plans.sqltext import KEYS, W, div, hhv, lag, llv, ma, over, r, staged
@@ -128,3 +128,57 @@ def _(spark, d):
     """Three bands about the exponential mean."""
     steps = setups.keltner_steps()
     return tidy(scan(bars_eod(spark, d), steps).select("ticker", "ts", *steps))
+
+
+# -- money flow of day, week and month with volume that grows in two of them --------------------
+_WEEK_VOLUME = "(volume > 1.2 * v10 AND v1 > 1.2 * v10b) OR (volume > 1.2 * v1 AND v1 > 1.2 * v2) OR (v1 > 1.2 * v2 AND v2 > 1.2 * v3)"
+_MONTH_VOLUME = "(volume > 1.3 * v5 AND v1 > 1.3 * v5b) OR volume > 1.3 * v1 OR (v1 > 1.3 * v2 AND volume < v1) OR (v2 > 1.3 * v3 AND v1 < v2 AND volume < v2)"
+#: Mean close times mean volume of ten bars that a share must pass; the published 50,000 fits another market's prices.
+LEAST_TRADED = 20_000
+
+
+def _period_sql(unit: str, source: str, n: int, rule: str) -> str:
+    lags = ", ".join(f"lag(volume, {k}) {W} AS v{k}" for k in (1, 2, 3))
+    return f"""{_mfi_sql(source, 7, f'{source}_mfi')}, {source}_v AS (SELECT *, {lags}, {ma('volume', n)} AS v{n} FROM {source}), {source}_w AS (SELECT *, {lag(f'v{n}')} AS v{n}b FROM {source}_v),
+{source}_p AS (SELECT x.ticker, x.ts, m.mfi, coalesce({rule}, false) AS loud FROM {source}_w x JOIN {source}_mfi m USING (ticker, ts)),
+{source}_q AS (SELECT ticker, ts, lag(mfi) {W} AS mfi, lag(mfi, 2) {W} AS mfi1, lag(loud) {W} AS loud FROM {source}_p)"""
+
+
+_MFI_SCREEN = f"""WITH RECURSIVE {compressed('month', 'months', compressed('week', 'weeks', walks.walk({'f': walks.ema('close', 6), 's': walks.ema('close', 13), 'm': ('f - s', '1'), 'sig': walks.ema('m', 5)})))},
+{_mfi_sql('bars', 14, 'days_mfi')}, {_period_sql('week', 'weeks', 10, _WEEK_VOLUME)}, {_period_sql('month', 'months', 5, _MONTH_VOLUME)},
+j AS (SELECT w.ticker, w.ts, w.close, w.volume, d.mfi AS mfi_d, wq.mfi AS mfi_w, wq.mfi1 AS mfi_w1, mq.mfi AS mfi_m, wq.loud AS loud_w, mq.loud AS loud_m, w.m, w.sig FROM w JOIN days_mfi d USING (ticker, ts)
+ LEFT JOIN weeks_q wq ON wq.ticker = w.ticker AND wq.ts = CAST(date_trunc('week', w.ts) AS DATE) LEFT JOIN months_q mq ON mq.ticker = w.ticker AND mq.ts = CAST(date_trunc('month', w.ts) AS DATE)),
+k AS (SELECT *, {ma('volume', 20)} AS v20, {lag('volume')} AS vb, {ma('close', 10)} AS c10, {ma('volume', 10)} AS v10, mfi_d > mfi_w1 AND {lag('mfi_d')} <= {lag('mfi_w1')} AS crossed, m > sig AND {lag('m')} <= {lag('sig')} AS macd_up FROM j)
+SELECT ticker, ts, {r('close')} AS close, {r('mfi_d')} AS mfi_d, {r('mfi_w')} AS mfi_w, {r('mfi_m')} AS mfi_m FROM k
+WHERE ((crossed AND mfi_m > 40 AND mfi_w > 60) OR (mfi_m > 50 AND mfi_w > 50 AND macd_up)) AND volume > 1.3 * v20 AND volume > vb AND (loud_w OR loud_m) AND c10 * v10 > {LEAST_TRADED}"""
+
+
+@query("t_mfi_cross_screen", _MFI_SCREEN)
+def _(spark, d):
+    return tidy(mfi_cross_screen(bars_eod(spark, d)))
+
+
+def mfi_cross_screen(bars, least: float = LEAST_TRADED):
+    """Bars whose money flow crosses the week's while week and month are strong, or whose MACD turns up then, on volume that grows by day and by week or month.
+
+    Weeks and months are the last completed ones.
+    """
+    f = Frame(scan(bars, {"m": lambda b: k.macd(b.c, 6, 13), "sig": lambda b: k.macd_signal(b.c, 6, 13, 5)}))
+    rows = f.add(mfi_d=ind.mfi(f, 14)).df.select("ticker", "ts", "close", "volume", "m", "sig", "mfi_d")
+    for frame, tag, n in (("W", "w", 10), ("M", "m", 5)):
+        c = Frame(timeframes.compress(bars, frame))
+        v = F.col("volume")
+        mean = c.hold(c.ma("volume", n))
+        one, two, three, before = (c.hold(x) for x in (c.ref("volume", -1), c.ref("volume", -2), c.ref("volume", -3), c.ref(mean, -1)))
+        if frame == "W":
+            loud = ((v > 1.2 * mean) & (one > 1.2 * before)) | ((v > 1.2 * one) & (one > 1.2 * two)) | ((one > 1.2 * two) & (two > 1.2 * three))
+        else:
+            loud = ((v > 1.3 * mean) & (one > 1.3 * before)) | (v > 1.3 * one) | ((one > 1.3 * two) & (v < one)) | ((two > 1.3 * three) & (one < two) & (v < two))
+        flow = c.hold(ind.mfi(c, 7))
+        coarse = c.add(**{f"mfi_{tag}": flow, f"mfi_{tag}1": c.ref(flow, -1), f"loud_{tag}": F.coalesce(loud, F.lit(False))}).df
+        rows = timeframes.expand(rows, coarse, frame, [f"mfi_{tag}", f"mfi_{tag}1", f"loud_{tag}"])
+    g = Frame(rows)
+    m = g.hold_all({"v20": g.ma("volume", 20), "vb": g.ref("volume", -1), "c10": g.ma("close", 10), "v10": g.ma("volume", 10), "crossed": g.cross("mfi_d", "mfi_w1"), "macd_up": g.cross("m", "sig")})
+    strong = (m["crossed"] & (F.col("mfi_m") > 40) & (F.col("mfi_w") > 60)) | ((F.col("mfi_m") > 50) & (F.col("mfi_w") > 50) & m["macd_up"])
+    loud = (F.col("volume") > 1.3 * m["v20"]) & (F.col("volume") > m["vb"]) & (F.col("loud_w") | F.col("loud_m"))
+    return g.df.where(strong & loud & (m["c10"] * m["v10"] > least)).select("ticker", "ts", "close", "mfi_d", "mfi_w", "mfi_m")
