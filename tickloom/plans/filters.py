@@ -69,7 +69,7 @@ _SCORE = {"tk2": "close < bot AND c1 > bot1", "short": "close > m5", "medium": "
 )
 def trend_score(spark, d, least: float = LEAST_VALUE):
     """Nine flags of trend and their sum, of shares whose mean value traded is over ``least``."""
-    f = Frame(scan(bars_eod(spark, d), _SCAN | {"kk": lambda b: k.stoch_k(b), "dd": lambda b: k.stoch_d(b)}))
+    f = Frame(scan(bars_eod(spark, d), _SCAN | {"kk": lambda b: k.stoch_share(b), "dd": lambda b: k.ma(k.stoch_share(b), 3)}))
     c, i = F.col("close"), f.hold(f.bar())
     m = f.hold_all({"m5": f.ma("close", 5), "m20": f.ma("close", 20), "m60": f.ma("close", 60), "sd": f.stdev("close", 20), "high_52w": f.hhv("high", 250), "low_52w": f.llv("low", 250), "v20": f.ma("volume", 20), "mfi": ind.mfi(f, 14), "rsi1": F.lag("rsi", 1).over(f.w), "rsi2": F.lag("rsi", 2).over(f.w), "c1": F.lag(c).over(f.w),
                     "h_at": F.max_by(i, F.struct("high", i)).over(f.back(14)), "l_at": F.min_by(i, F.struct(F.col("low"), -i)).over(f.back(14))})
