@@ -138,8 +138,8 @@ def _(spark, d):
 @query("e37_signal_labels")
 def _(spark, d):
     """Four-way label of each of six smoothed lines: crossed up, above, crossed down, below."""
-    pairs = {"rsi": lambda b: (k.rsi(b.c), k.ema(k.rsi(b.c), 9)), "t3": lambda b: (k.t3(b.c, 3), k.t3(b.c, 5)), "williams": lambda b: (k.zero_lag_r(b), k.ema(k.zero_lag_r(b), 9)), "double_ema": lambda b: (k.ema(b.c, 5), k.ema(b.c, 20)), "zltema": lambda b: (k.zero_lag_tema(b.c, 9), k.zero_lag_tema(b.c, 20)), "t3_rsi": lambda b: (k.t3(k.rsi(b.c), 3), k.t3(k.rsi(b.c), 8))}
-    f = Frame(scan(bars_eod(spark, d), {f"{n}_{i}": (lambda b, g=g, i=i: g(b)[i]) for n, g in pairs.items() for i in (0, 1)}))
+    pairs = ("rsi", "t3", "williams", "double_ema", "zltema", "t3_rsi")
+    f = Frame(scan(bars_eod(spark, d), {f"{n}_{i}": (lambda b, n=n, i=i: b.once(k.signal_lines)[n][i]) for n in pairs for i in (0, 1)}))
     labels = {}
     for n in pairs:
         a, b = F.col(f"{n}_0"), F.col(f"{n}_1")
