@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 from tickloom.functions.recur import Bars, atr, div, exrem_span, heikin_ashi, hhv, llv, ma, ref, tema
@@ -121,42 +123,47 @@ def dominant_cycle(x: np.ndarray) -> dict[str, np.ndarray]:
     ``i1`` and ``q1`` (in phase and quadrature), ``period`` (between 6 and 50) and
     ``smooth_period``; bars before the seventh are zero.
     """
-    n = len(x)
-    names = ("smooth", "detrend", "q1", "i1", "i3", "q3", "re", "im", "raw", "period", "smooth_period")
-    v = {k: [0.0] * n for k in names}
-    price = x.tolist()
-    hilbert = lambda series, i: sum(w * series[i - k] for k, w in HILBERT)
+    n, price, full = len(x), x.tolist(), 2 * math.pi
+    smooth, detrend, q1, i1, periods, smooth_periods = ([0.0] * n for _ in range(6))
+    (k0, w0), (k1, w1), (k2, w2), (k3, w3) = HILBERT
+    i3 = q3 = re = im = raw = period = smooth_period = 0.0
     for i in range(6, n):
-        gain = 0.075 * v["period"][i - 1] + 0.54
-        v["smooth"][i] = (4 * price[i] + 3 * price[i - 1] + 2 * price[i - 2] + price[i - 3]) / 10
-        v["detrend"][i] = hilbert(v["smooth"], i) * gain
-        v["q1"][i] = hilbert(v["detrend"], i) * gain
-        v["i1"][i] = v["detrend"][i - 3]
-        i2, q2 = v["i1"][i] - hilbert(v["q1"], i) * gain, v["q1"][i] + hilbert(v["i1"], i) * gain
-        v["i3"][i], v["q3"][i] = 0.2 * i2 + 0.8 * v["i3"][i - 1], 0.2 * q2 + 0.8 * v["q3"][i - 1]
-        (i3, i3b), (q3, q3b) = v["i3"][i : i - 2 : -1], v["q3"][i : i - 2 : -1]
-        v["re"][i] = 0.2 * (i3 * i3b + q3 * q3b) + 0.8 * v["re"][i - 1]
-        v["im"][i] = 0.2 * (i3 * q3b - q3 * i3b) + 0.8 * v["im"][i - 1]
-        before = v["raw"][i - 1]
-        raw = 2 * np.pi / np.arctan(v["im"][i] / v["re"][i]) if v["im"][i] and v["re"][i] else before
-        v["raw"][i] = raw
+        gain = 0.075 * period + 0.54
+        a, b, c, d = i - k0, i - k1, i - k2, i - k3
+        smooth[i] = (4 * price[i] + 3 * price[i - 1] + 2 * price[i - 2] + price[i - 3]) / 10
+        detrend[i] = (w0 * smooth[a] + w1 * smooth[b] + w2 * smooth[c] + w3 * smooth[d]) * gain
+        q1[i] = (w0 * detrend[a] + w1 * detrend[b] + w2 * detrend[c] + w3 * detrend[d]) * gain
+        i1[i] = detrend[i - 3]
+        i2 = i1[i] - (w0 * q1[a] + w1 * q1[b] + w2 * q1[c] + w3 * q1[d]) * gain
+        q2 = q1[i] + (w0 * i1[a] + w1 * i1[b] + w2 * i1[c] + w3 * i1[d]) * gain
+        i3b, q3b, before = i3, q3, raw
+        i3, q3 = 0.2 * i2 + 0.8 * i3, 0.2 * q2 + 0.8 * q3
+        re, im = 0.2 * (i3 * i3b + q3 * q3b) + 0.8 * re, 0.2 * (i3 * q3b - q3 * i3b) + 0.8 * im
+        if im and re and (angle := math.atan(im / re)):
+            raw = full / angle
         held = 1.5 * before if raw > 1.5 * before else 0.67 * before if raw < 0.67 * before else raw
-        v["period"][i] = 0.2 * min(50.0, max(6.0, held)) + 0.8 * v["period"][i - 1]
-        v["smooth_period"][i] = 0.33 * v["period"][i] + 0.67 * v["smooth_period"][i - 1]
-    return {k: np.array(v[k]) for k in ("i1", "q1", "period", "smooth_period")}
+        period = 0.2 * min(50.0, max(6.0, held)) + 0.8 * period
+        smooth_period = 0.33 * period + 0.67 * smooth_period
+        periods[i], smooth_periods[i] = period, smooth_period
+    return {"i1": np.array(i1), "q1": np.array(q1), "period": np.array(periods), "smooth_period": np.array(smooth_periods)}
+
+
+def cycle_of(b: Bars) -> dict[str, np.ndarray]:
+    """The dominant cycle of the bars' middle."""
+    return dominant_cycle((b.h + b.l) / 2)
 
 
 def cycle_macd(b: Bars, signal: int = 9) -> tuple[np.ndarray, np.ndarray]:
     """Difference of two averages of the close over one and two dominant cycles of the bars' middle, and its plain mean."""
-    period = np.floor(dominant_cycle((b.h + b.l) / 2)["smooth_period"] + 0.5)
-    fast, slow, out = b.c[:1].tolist(), b.c[:1].tolist(), []
-    c = b.c.tolist()
-    for i in range(b.n):
-        if i:
-            fast.append(fast[-1] + (c[i] - fast[-1]) * min(1.0, 2 / (period[i] + 1)))
-            slow.append(slow[-1] + (c[i] - slow[-1]) * min(1.0, 2 / (2 * period[i] + 1)))
-        out.append(fast[-1] - slow[-1])
-    macd = np.array(out)
+    period = np.floor(b.once(cycle_of)["smooth_period"] + 0.5)
+    lines = []
+    for cycles in (1, 2):
+        shares, y, line = np.minimum(1.0, 2 / (cycles * period + 1)).tolist(), float(b.c[0]) if b.n else 0.0, []
+        for v, share in zip(b.c.tolist(), shares):
+            y += (v - y) * share
+            line.append(y)
+        lines.append(np.array(line))
+    macd = lines[0] - lines[1]
     return macd, ma(macd, signal)
 
 

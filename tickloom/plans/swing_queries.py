@@ -271,5 +271,5 @@ def _cycle_of(b: k.Bars):
 @query("i_cycle_macd", ordered(_CYCLE))
 def _(spark, d):
     """MACD over one and two dominant cycles, and the cycle."""
-    made = scan(bars_eod(spark, d), {"macd": lambda b: b.once(_cycle_of)[0], "signal": lambda b: b.once(_cycle_of)[1], "cycle": lambda b: sw.dominant_cycle((b.h + b.l) / 2)["smooth_period"]})
+    made = scan(bars_eod(spark, d), {"macd": lambda b: b.once(_cycle_of)[0], "signal": lambda b: b.once(_cycle_of)[1], "cycle": lambda b: b.once(sw.cycle_of)["smooth_period"]})
     return tidy(made.select("ticker", "ts", "macd", "signal", "cycle"), 2)
