@@ -28,3 +28,21 @@ def test_results_are_made_once_and_not_changed():
         with pytest.raises(ValueError):
             half(x, 2)[0] = 1
     assert half(x, 2) is not half(x, 2)
+
+
+def sorts(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Sort [")
+
+
+def test_since_and_exrem_need_one_sort(spark):
+    from pyspark.sql import functions as F
+
+    from tickloom.functions.frame import Frame
+
+    rows = [("A", i, x, c, d) for i, (x, c, d) in enumerate([(5.0, False, True), (None, True, False), (3.0, False, False), (None, False, True), (4.0, False, False), (1.0, True, True), (2.0, None, False)])]
+    f = Frame(spark.createDataFrame(rows, "ticker string, ts long, x double, c boolean, d boolean"))
+    f.add(top=f.since("c", "x"), low=f.since("c", "x", top=False), first=f.exrem(F.col("x").isNotNull(), "d"))
+    assert sorts(f.df) == 1
+    got = sorted(f.df.collect(), key=lambda r: r.ts)
+    assert [r.top for r in got] == [None, None, 3, 3, 4, 1, 2] and [r.low for r in got] == [None, None, 3, 3, 3, 1, 1]
+    assert [r.first for r in got] == [True, False, True, False, True, False, True]

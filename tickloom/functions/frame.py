@@ -157,9 +157,13 @@ class Frame:
 
     def since(self, cond, x, top: bool = True) -> Column:
         """Greatest (or least) value since ``cond`` last held; null before."""
-        run = self.hold(F.sum(F.coalesce(as_column(cond), F.lit(False)).cast("int")).over(self.so_far))
-        frame = Window.partitionBy(self.by, run).orderBy(self.order).rowsBetween(Window.unboundedPreceding, 0)
-        return F.when(run > 0, (F.max if top else F.min)(as_column(x)).over(frame))
+        # Runs are numbered upwards, so the extreme of (run, value) is that of the last run, without a sort by runs.
+        x, run = as_column(x), self.hold(F.sum(F.coalesce(as_column(cond), F.lit(False)).cast("int")).over(self.so_far))
+        if top:
+            best = F.max(F.struct(run.alias("r"), x.alias("v"))).over(self.so_far)
+        else:
+            best = F.min(F.struct((-run).alias("r"), x.isNull().alias("n"), x.alias("v"))).over(self.so_far)
+        return F.when(run > 0, best["v"])
 
     def last_value(self, x) -> Column:
         """The ticker's final value on every bar (looks ahead)."""
@@ -186,8 +190,8 @@ class Frame:
         """Of the signals ``a`` only the first until ``b``; if both hold on a bar, a passes and then b resets."""
         a, b = (F.coalesce(as_column(x), F.lit(False)) for x in (a, b))
         group = self.hold(F.coalesce(F.sum(b.cast("int")).over(self.w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        seen = F.sum(a.cast("int")).over(Window.partitionBy(self.by, group).orderBy(self.order).rowsBetween(Window.unboundedPreceding, 0))
-        return a & (seen == 1)
+        seen = F.last(F.when(a, group), ignorenulls=True).over(self.w.rowsBetween(Window.unboundedPreceding, -1))
+        return a & ~F.coalesce(seen == group, F.lit(False))
 
     def flip(self, a, b) -> Column:
         """True from ``a`` until ``b``; on a bar with both, a counts."""
