@@ -46,3 +46,13 @@ def test_since_and_exrem_need_one_sort(spark):
     got = sorted(f.df.collect(), key=lambda r: r.ts)
     assert [r.top for r in got] == [None, None, 3, 3, 4, 1, 2] and [r.low for r in got] == [None, None, 3, 3, 3, 1, 1]
     assert [r.first for r in got] == [True, False, True, False, True, False, True]
+
+
+def test_runs_against_start_anew():
+    import pandas as pd
+
+    from tickloom.operators import indicators as ind
+
+    c = [5.0, 4.0, 2.0, 2.0, 3.0, 6.0, 5.0]
+    rise, fall = ind.runs_against(k.Bars(pd.DataFrame({x: c for x in ("open", "high", "low", "close", "volume")})))
+    assert rise.tolist() == [0, 1, 3, 0, 0, 0, 1] and fall.tolist() == [0, 0, 0, 0, 1, 4, 0]
