@@ -51,8 +51,6 @@ def test_since_and_exrem_need_one_sort(spark):
 def test_runs_against_start_anew():
     import pandas as pd
 
-    from tickloom.operators import indicators as ind
-
     c = [5.0, 4.0, 2.0, 2.0, 3.0, 6.0, 5.0]
-    rise, fall = ind.runs_against(k.Bars(pd.DataFrame({x: c for x in ("open", "high", "low", "close", "volume")})))
+    rise, fall = k.runs_against(k.Bars(pd.DataFrame({x: c for x in ("open", "high", "low", "close", "volume")})))
     assert rise.tolist() == [0, 1, 3, 0, 0, 0, 1] and fall.tolist() == [0, 0, 0, 0, 1, 4, 0]

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import recur
 from tickloom.functions.frame import Frame, as_column
+from tickloom.operators.scan import scan
 
 div = F.try_divide
 
@@ -129,22 +129,9 @@ def swing_index(f: Frame, limit: float = 1000.0) -> Column:
     return f.cum(f.hold(F.coalesce(one, F.lit(0.0))))
 
 
-def runs_against(b: recur.Bars) -> tuple[np.ndarray, np.ndarray]:
-    """On each bar the sum of the falls of the run of falls it is in, and the same of rises."""
-    change = np.nan_to_num(b.c - recur.ref(b.c, -1))
-    out = []
-    for moves in (np.maximum(-change, 0), np.maximum(change, 0)):
-        y = 0.0
-        out.append(np.array([y := y + v if v else 0.0 for v in moves.tolist()]))
-    return out[0], out[1]
-
-
-#: Scan steps that ``trend_continuation`` needs: a sum that starts anew has no window along all bars.
-RUN_STEPS = {f"against_{n}": (lambda b, i=i: b.once(runs_against)[i]) for i, n in enumerate(("rise", "fall"))}
-
-
 def trend_continuation(f: Frame, n: int = 35) -> dict[str, Column]:
-    """Sum of rises less the run of falls, and the other way round; the frame holds ``RUN_STEPS``."""
+    """Sum of rises less the run of falls, and the other way round; a sum that starts anew has no window along all bars, so it is scanned."""
+    f.df = scan(f.df, {f"against_{x}": (lambda b, i=i: b.once(recur.runs_against)[i]) for i, x in enumerate(("rise", "fall"))}, f.by, f.order)
     change = f.hold(F.coalesce(F.col("close") - f.ref("close", -1), F.lit(0.0)))
     sides = {"tcf_plus": (change, "against_rise"), "tcf_minus": (-change, "against_fall")}
     return {name: f.sum(f.hold(F.greatest(move, F.lit(0.0)) - F.col(against)), n) for name, (move, against) in sides.items()}

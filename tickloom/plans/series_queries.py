@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.frame import Frame
 from tickloom.operators import indicators as ind
-from tickloom.operators.scan import scan
 from tickloom.plans.bars import bars_eod
 from tickloom.plans.sqltext import KEYS, SO_FAR, SPEC, W, div, full, hhv, lag, llv, ma, over, r, rounded, staged, total
 
@@ -195,8 +194,9 @@ def _(spark, d):
 
 @query("i_swing_and_runs")
 def _(spark, d):
-    f = Frame(scan(bars_eod(spark, d), ind.RUN_STEPS))
-    return out(f, {"asi": ind.swing_index(f), **ind.trend_continuation(f), "percent_rank": f.percent_rank("close", 60)}, asi=2, tcf_plus=2, tcf_minus=2)
+    f = framed(spark, d)
+    tcf = ind.trend_continuation(f)
+    return out(f, {"asi": ind.swing_index(f), **tcf, "percent_rank": f.percent_rank("close", 60)}, asi=2, tcf_plus=2, tcf_minus=2)
 
 
 @query(
