@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.functions import recur as k
 from tickloom.functions.frame import Frame
 from tickloom.operators import indicators as ind
+from tickloom.operators.scan import scan
 from tickloom.plans.bars import bars_eod
 from tickloom.plans.sqltext import KEYS, SO_FAR, SPEC, W, div, full, hhv, lag, llv, ma, over, r, rounded, staged, total
 
@@ -109,9 +112,8 @@ _SLOPE, _CUT = "regr_slope(close, i) {w}", "regr_intercept(close, i) {w}"
     ),
 )
 def _(spark, d):
-    f = framed(spark, d)
-    slope = f.hold(f.slope("close", 20))
-    return out(f, {"sd": f.stdev("close", 20), "sd_sample": f.stdev("close", 20, False), "corr": f.corr("close", F.col("volume").cast("double"), 20), "slope": slope, "linreg": f.linreg("close", 20), "forecast": f.linreg("close", 20, 1), "stderr": f.stderr("close", 20), "angle": F.degrees(F.atan(slope))}, 3, stderr=2, angle=2)
+    steps = {"sd": lambda b: k.stdev(b.c, 20), "sd_sample": lambda b: k.stdev(b.c, 20, False), "corr": lambda b: k.corr(b.c, b.v, 20), "slope": lambda b: k.slope(b.c, 20), "linreg": lambda b: k.linreg(b.c, 20), "forecast": lambda b: k.linreg(b.c, 20, 1), "stderr": lambda b: k.stderr(b.c, 20), "angle": lambda b: np.degrees(np.arctan(k.slope(b.c, 20)))}
+    return tidy(scan(bars_eod(spark, d).select("ticker", "ts", "close", "volume"), steps, keep=("ticker", "ts")), 3, stderr=2, angle=2)
 
 
 _A, _B = f"coalesce(close > {lag('hh')}, false)", f"coalesce(close < {lag('ll')}, false)"
@@ -170,9 +172,11 @@ _TR = f"greatest(high, coalesce({lag('close')}, high)) - least(low, coalesce({la
     ),
 )
 def _(spark, d):
-    f = framed(spark, d)
-    a, o = ind.aroon(f), ind.awesome(f)
-    return out(f, {"stoch_k": ind.stoch_k(f), **ind.kdj(f), "cci": ind.cci(f), "mfi": ind.mfi(f), "williams": ind.williams_r(f), "ultimate": ind.ultimate(f), "dpo": ind.dpo(f), "aroon_up": a["aroon_up"], "aroon_down": a["aroon_down"], "psych": ind.psychological(f), "position": ind.range_position(f, 14), "ao": o["ao"], "ac": o["ac"]}, cci=3)
+    steps = {
+        "stoch_k": k.stoch_k, **{n: (lambda b, i=i: b.once(k.kdj)[i]) for i, n in enumerate(("kdj_k", "kdj_d", "kdj_j"))}, "cci": k.cci, "mfi": k.mfi, "williams": k.williams, "ultimate": k.ultimate, "dpo": k.dpo,
+        **{n: (lambda b, i=i: b.once(k.aroon)[i]) for i, n in enumerate(("aroon_up", "aroon_down"))}, "psych": k.psychological, "position": k.range_position, **{n: (lambda b, i=i: b.once(k.awesome)[i]) for i, n in enumerate(("ao", "ac"))},
+    }
+    return tidy(scan(bars_eod(spark, d).drop("open"), steps, keep=("ticker", "ts")), cci=3)
 
 
 def _roc(n: int) -> str:
