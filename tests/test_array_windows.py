@@ -54,3 +54,8 @@ def test_oscillators(spark, some_bars):
     columns = {"cci": ind.cci(f), "mfi": ind.mfi(f), "williams": ind.williams_r(f), "ultimate": ind.ultimate(f), "dpo": ind.dpo(f), "psych": ind.psychological(f), "position": ind.range_position(f, 14), "up": ind.aroon(f)["aroon_up"], "down": ind.aroon(f)["aroon_down"], "ac": ind.awesome(f)["ac"], "j": ind.kdj(f)["kdj_j"]}
     steps = {"cci": k.cci, "mfi": k.mfi, "williams": k.williams, "ultimate": k.ultimate, "dpo": k.dpo, "psych": k.psychological, "position": k.range_position, "up": lambda b: k.aroon(b)[0], "down": lambda b: k.aroon(b)[1], "ac": lambda b: k.awesome(b)[1], "j": lambda b: k.kdj(b)[2]}
     same(some_bars, f.add(**columns).df, steps)
+
+
+def test_break_signals_scan_once(spark):
+    text = plan(__spark_entry__.queries()["e22_break_signals"](spark, SMALL))
+    assert "Window" not in text and text.index("Sort [industry") < text.index("RepartitionByExpression") < text.index("FlatMapGroupsInArrow")

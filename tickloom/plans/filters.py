@@ -223,12 +223,15 @@ def break_signals(spark, d, least: int = LEAST_VOLUME, least_price: float = 2.5)
     """Distance from the extremes of the high (both of them, as published) and from the averages, with the industry; sorted by industry and then by distance from the 20-bar high."""
     from tickloom.plans.bars import dimension
 
-    f = framed(spark, d)
     c = F.col("close")
-    m = f.hold_all({f"h{n}": f.hhv("high", n) for n in _SPANS} | {f"l{n}": f.llv("high", n) for n in _SPANS} | {f"m{n}": f.ma("close", n) for n in _SPANS} | {"c1": F.lag(c).over(f.w), "v5": f.ma("volume", 5)})
-    kept = f.df.where((m["v5"] >= least) & (c >= least_price))
+    steps = {"c1": lambda b: k.ref(b.c, -1), "v5": lambda b: k.ma(b.v, 5)}
+    for n in _SPANS:
+        steps |= {f"h{n}": lambda b, n=n: k.hhv(b.h, n), f"l{n}": lambda b, n=n: k.llv(b.h, n), f"m{n}": lambda b, n=n: k.ma(b.c, n)}
+    scanned = scan(bars_eod(spark, d).select("ticker", "ts", "high", "close", "volume"), steps, keep=("ticker", "ts", "close"))
+    m, kept = {n: F.col(n) for n in steps}, scanned.where((F.col("v5") >= least) & (c >= least_price))
     share = lambda x: ((c - x) * 100 / x)
     rows = kept.select("ticker", "ts", share(m["c1"]).alias("c_1"), *[share(m[f"h{n}"]).alias(f"hhv_{n}") for n in _SPANS], *[share(m[f"l{n}"]).alias(f"llv_{n}") for n in _SPANS], *[(c - m[f"m{n}"]).alias(f"ma_{n}") for n in _SPANS])
+    rows = rows.repartition("ticker")  # the sort below first samples what it sorts: it takes this shuffle's files, and bars are scanned once
     named = tidy(rows).join(dimension(spark, d).select("ticker", "industry"), "ticker", "left")
     return named.orderBy("industry", "hhv_20")
 
