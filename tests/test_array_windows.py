@@ -59,3 +59,14 @@ def test_oscillators(spark, some_bars):
 def test_break_signals_scan_once(spark):
     text = plan(__spark_entry__.queries()["e22_break_signals"](spark, SMALL))
     assert "Window" not in text and text.index("Sort [industry") < text.index("RepartitionByExpression") < text.index("FlatMapGroupsInArrow")
+
+
+def test_far_from_average(spark, some_bars):
+    from tickloom.operators import setups
+
+    assert "Window" not in plan(__spark_entry__.queries()["a_far_from_average"](spark, SMALL))
+    f = Frame(some_bars)
+    made = setups.far_from_average(f, 5, 1, 2, 3, 10)
+    f.given.append("away")
+    f.add(away=made.pop("away"))
+    same(some_bars, setups.spaced(f, made, 4), setups.far_steps(5, 1, 2, 3, 10, 4))

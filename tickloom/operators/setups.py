@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,6 +86,22 @@ def far_from_average(f: Frame, n: int = 50, least: float = 10, change: float = 1
     return {"away": away, "buy": (away <= f.llv(away, sessions)) & (away < -least) & moved, "sell": (away >= f.hhv(away, sessions)) & (away > least) & moved}
 
 
+def far_steps(n: int = 50, least: float = 10, change: float = 15, over: int = 20, sessions: int = 200, silent: int = 20) -> dict:
+    """``far_from_average`` as scan steps, its signals silent for ``silent`` bars after one that passed: long windows cost least as arrays."""
+    away = lambda b: b.once(_away, n)
+    moved = lambda b: np.abs(100 * (recur.div(b.c, recur.ref(b.c, -over)) - 1)) > change
+    return {
+        "away": away,
+        "buy": lambda b: recur.exrem_span((away(b) <= recur.llv(away(b), sessions)) & (away(b) < -least) & moved(b), silent),
+        "sell": lambda b: recur.exrem_span((away(b) >= recur.hhv(away(b), sessions)) & (away(b) > least) & moved(b), silent),
+    }
+
+
+def _away(b: recur.Bars, n: int):
+    m = recur.ma(b.c, n)
+    return 100 * recur.div(b.c - m, m)
+
+
 def j_turns(f: Frame, n: int = 9, k: int = 3, d: int = 3, low: float = 0, high: float = 100) -> dict[str, Column]:
     """Turns of the J line from under ``low`` (to buy) and from over ``high`` (to sell)."""
     j = f.hold(indicators.kdj(f, n, k, d)["kdj_j"])

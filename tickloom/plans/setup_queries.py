@@ -100,11 +100,7 @@ _FAR = [{"m50": ma("close", 50), "c20": lag("close", 20)}, {"away": f"100 * {div
 @query("a_far_from_average", f"{_spaced_sql(_FAR, 'away', 20)} SELECT x.ticker, x.ts, {r('x.value')} AS away, CAST(pb.pass AS DOUBLE) AS buy, CAST(ps.pass AS DOUBLE) AS sell FROM x JOIN pb USING (ticker, i) JOIN ps USING (ticker, i)")
 def _(spark, d):
     """Distance from the 50-bar mean, and where it is the farthest of 200 bars after a large move."""
-    f = framed(spark, d)
-    made = setups.far_from_average(f)
-    f.given.append("away")
-    f.add(away=made.pop("away"))
-    return tidy(setups.spaced(f, made, 20).select("ticker", "ts", "away", "buy", "sell"))
+    return tidy(scan(bars_eod(spark, d).select("ticker", "ts", "close"), setups.far_steps(), keep=("ticker", "ts")))
 
 
 _J = [{"l9": llv("low", 9), "h9": hhv("high", 9)}, {"raw": f"100 * {div('close - l9', 'h9 - l9')}"}, {"kk": ma("raw", 3)}, {"dd": ma("kk", 3)}, {"j": "3 * kk - 2 * dd"}, {"j1": lag("j"), "j2": lag("j", 2)}, {"buy_": "j > j1 AND j2 > j1 AND j1 < 0", "sell_": "j < j1 AND j2 < j1 AND j1 > 100"}]
