@@ -70,3 +70,15 @@ def test_far_from_average(spark, some_bars):
     f.given.append("away")
     f.add(away=made.pop("away"))
     same(some_bars, setups.spaced(f, made, 4), setups.far_steps(5, 1, 2, 3, 10, 4))
+
+
+def test_points_of_a_sweep_share_windows(spark, some_bars):
+    """Equal windows of a chunk's points are made once."""
+    from tickloom.operators import parameters as pm
+
+    pm.RULES["shared_windows"] = (lambda b, length: (b.c == b.c) & (k.ma(b.c, 3) is k.ma(b.c, 3))), (pm.Param("length", 1, 1, 3),)
+    try:
+        rows = pm.sweep(some_bars, "shared_windows", chunk=2).collect()
+    finally:
+        del pm.RULES["shared_windows"]
+    assert len(rows) == 9 and {r.trades for r in rows} == {1}

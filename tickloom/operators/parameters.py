@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -141,20 +141,23 @@ def sweep(bars: DataFrame, name: str, grid: dict[str, tuple] | None = None, chun
     params = [p.narrowed(*grid[p.name]) if grid and p.name in grid else p for p in params]
     total = points(params)
 
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        b, rows = k.Bars(g.sort_values("ts").reset_index(drop=True)), []
+    def run(key: tuple, g: pa.Table) -> pa.Table:
+        ticker, at = (x.as_py() for x in key)
+        b, rows = k.Bars(g.combine_chunks().take(pa.array(np.argsort(g["ts"].to_numpy(), kind="stable")))), []
         change = k.div(k.ref(b.c, 1), b.c) - 1
-        for number in range(key[1] * chunk, min(total, (key[1] + 1) * chunk)):
-            values = point(params, number)
-            with np.errstate(all="ignore"):
+        with np.errstate(all="ignore"), k.keeping():  # the points share windows of equal lengths
+            for number in range(at * chunk, min(total, (at + 1) * chunk)):
+                values = point(params, number)
                 held = np.asarray(make(b, **values), bool)
-            entries = held & ~np.concatenate(([False], held[:-1]))
-            rows.append((key[0], *values.values(), float(np.nansum(np.where(held, change, 0.0))), int(entries.sum())))
-        return pd.DataFrame(rows, columns=["ticker", *(p.name for p in params), "profit", "trades"])
+                entries = held & ~np.concatenate(([False], held[:-1]))
+                rows.append((ticker, *values.values(), float(np.nansum(np.where(held, change, 0.0))), int(entries.sum())))
+        columns = zip(*rows)
+        kinds = (pa.string(), *(pa.int64() if p.whole else pa.float64() for p in params), pa.float64(), pa.int64())
+        return pa.table([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=["ticker", *(p.name for p in params), "profit", "trades"])
 
     schema = "ticker string, " + "".join(f"{p.name} {'long' if p.whole else 'double'}, " for p in params) + "profit double, trades long"
     chunks = F.explode(F.sequence(F.lit(0), F.lit((total - 1) // chunk))).alias("chunk")
-    return bars.select("ticker", "ts", "open", "high", "low", "close", "volume", chunks).groupBy("ticker", "chunk").applyInPandas(run, schema)
+    return bars.select("ticker", "ts", "open", "high", "low", "close", "volume", chunks).groupBy("ticker", "chunk").applyInArrow(run, schema)
 
 
 def best_points(swept: DataFrame, n: int = 1) -> DataFrame:
