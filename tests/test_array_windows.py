@@ -82,3 +82,8 @@ def test_points_of_a_sweep_share_windows(spark, some_bars):
     finally:
         del pm.RULES["shared_windows"]
     assert len(rows) == 9 and {r.trades for r in rows} == {1}
+
+
+def test_classes_scan_what_they_read(spark):
+    text = plan(__spark_entry__.queries()["q_classes"](spark, SMALL))
+    assert "Window" not in text and "up_long" not in text

@@ -31,12 +31,29 @@ def random_walk(b: k.Bars, low: int, high: int) -> tuple[np.ndarray, np.ndarray]
 STEPS = {
     "avg_spread": lambda b: k.ema(b.h - b.l, 40), "avg_move": lambda b: k.ema(np.abs(b.c - b.o), 40), "up_now": lambda b: b.once(random_walk, 2, 7)[0], "down_now": lambda b: b.once(random_walk, 2, 7)[1], "up_long": lambda b: b.once(random_walk, 8, 40)[0], "down_long": lambda b: b.once(random_walk, 8, 40)[1],
     "mean_spread": lambda b: k.wilders(b.h - b.l, 40), "mean_result": lambda b: k.wilders(np.abs(b.c - k.ref(b.c, -1)), 40),
+    "vol_avg": lambda b: k.ma(b.v, 30), "vol_mean": lambda b: k.stdev(k.ma(b.v, 30), 30), "high5": lambda b: k.hhv(b.h, 5), "low5": lambda b: k.llv(b.l, 5), "high10": lambda b: k.hhv(b.h, 10), "vol60": lambda b: k.hhv(b.v, 60),
+    **{f"slope_{n}": (lambda b, n=n: k.slope(k.ma(b.c, 5), n)) for n in (40, 10, 3)},
 }
+#: What the classes alone need.
+CLASS_STEPS = {n: STEPS[n] for n in ("avg_spread", "vol_avg", "vol_mean")}
 
 
-def scanned(bars: DataFrame, **more) -> Frame:
-    """A frame of bars with what the sheet takes from a scan, and any other steps."""
-    return Frame(scan(bars, STEPS | more))
+def force_lines(b: k.Bars, n: int, over: int) -> tuple[np.ndarray, ...]:
+    """The columns of ``forces`` as arrays."""
+    span, moved = b.h - b.l, np.abs(b.c - k.ref(b.c, -1))
+    buy, sell = (k.wma(np.nan_to_num(k.div(b.v * x, span)), n) for x in (b.c - b.l, b.h - b.c))
+    top, low = np.fmax(k.hhv(buy, over), k.hhv(sell, over)), np.fmin(k.llv(buy, over), k.llv(sell, over))
+    ratios = k.div(span, k.wilders(span, 40)), k.div(b.v, k.wma(b.v, over)), k.div(moved, k.wilders(moved, 40))
+    scaled = (100 * (x - k.llv(x, over)) / (k.hhv(x, over) - k.llv(x, over) + 1e-9) for x in ratios)
+    return 100 * k.div(buy - low, top - low), 100 * k.div(sell - low, top - low), *scaled
+
+
+FORCE_STEPS = {x: (lambda b, i=i: b.once(force_lines, 20, 40)[i]) for i, x in enumerate(("buy_force", "sell_force", "spread_norm", "volume_norm", "result_norm"))}
+
+
+def scanned(bars: DataFrame, only: dict | None = None, **more) -> Frame:
+    """A frame of bars with what the sheet takes from a scan (or of it ``only`` some), and any other steps."""
+    return Frame(scan(bars, (STEPS if only is None else only) | more))
 
 
 def said(x: Column) -> Column:
@@ -44,11 +61,24 @@ def said(x: Column) -> Column:
     return F.coalesce(x, F.lit(False))
 
 
+def close_position() -> Column:
+    """Fifth of the bar's spread in which it closes, from the low."""
+    s, l = F.col("high") - F.col("low"), F.col("low")
+    low_side = lambda share: F.col("close") <= s * share + l
+    return F.when(low_side(0.2), 1).when(low_side(0.4), 2).when(low_side(0.6), 3).when(low_side(0.8), 4).otherwise(5)
+
+
+def class_terms() -> dict[str, Column]:
+    """What ``texts`` reads, from a frame of the ``CLASS_STEPS``."""
+    return {"v": F.col("volume"), "spread": F.col("high") - F.col("low"), "close_pos": close_position()} | {n: F.col(n) for n in CLASS_STEPS}
+
+
 def base(f: Frame) -> dict[str, Column]:
     """Classes of the bar, trend states, and the terms that the signals share."""
     o, h, l, c, v = (F.col(x) for x in ("open", "high", "low", "close", "volume"))
-    back = f.hold_all({f"{n}{i}": F.lag(x, i).over(f.w) for n, x, most in (("c", c, 5), ("h", h, 1), ("l", l, 1), ("v", v, 2)) for i in range(1, most + 1)} | {"vol_avg": f.ma("volume", 30), "h5": f.hhv("high", 5), "l5": f.llv("low", 5), "h10": f.hhv("high", 10), "v60": f.hhv("volume", 60), "m5": f.ma("close", 5), "bar": f.bar()})
-    b = {"c": c, "v": v, "spread": h - l, "avg_spread": F.col("avg_spread"), **back}
+    back = f.hold_all({f"{n}{i}": F.lag(x, i).over(f.w) for n, x, most in (("c", c, 5), ("h", h, 1), ("l", l, 1), ("v", v, 2)) for i in range(1, most + 1)})
+    held = {"vol_avg": "vol_avg", "vol_mean": "vol_mean", "h5": "high5", "l5": "low5", "h10": "high10", "v60": "vol60"} | {f"trend_{n}": f"slope_{n}" for n in (40, 10, 3)}
+    b = {"c": c, "v": v, "spread": h - l, "avg_spread": F.col("avg_spread"), **back, **{n: F.col(x) for n, x in held.items()}}
     s, mean = b["spread"], b["vol_avg"]
     j, j2, k2 = F.col("up_long") - F.col("down_long"), F.col("up_long"), F.col("down_long")
     low_side = lambda share: c <= s * share + l
@@ -56,11 +86,11 @@ def base(f: Frame) -> dict[str, Column]:
         "wide": s > 1.5 * b["avg_spread"], "narrow": s < 0.7 * b["avg_spread"], "over_spread": s > b["avg_spread"], "low_volume": (v < b["v1"]) & (v < b["v2"]) & (v < mean), "high_volume": (v > b["v1"]) & (b["v1"] > b["v2"]), "up_bar": c > b["c1"], "down_bar": c < b["c1"], "busy": (v > mean) | said(v > b["v1"]),
         "up_close": c >= s * 0.7 + l, "down_close": low_side(0.3), "above_close": c > s * 0.5 + l, "below_close": c < s * 0.5 + l, "mid_close": (c > s * 0.3 + l) & (c < s * 0.7 + l), "fresh_high": h == b["h5"], "fresh_low": l == b["l5"],
     }
-    close_pos = F.when(low_side(0.2), 1).when(low_side(0.4), 2).when(low_side(0.6), 3).when(low_side(0.8), 4).otherwise(5)
+    close_pos = close_position()
     vol_pos = F.when(v > mean * 2, 1).when(v > mean * 1.3, 2).when(v >= mean, 3).when((v < mean) & (v > mean * 0.7), 4).otherwise(5)
     position = F.when(c == l, b["avg_spread"]).otherwise(div(s, c - l + 1e-9))
     states = {"upmajor": F.when(j > 1, 1).when(j < -1, -1).otherwise(0), "upminor": F.when(j2 > 1, 1).otherwise(-1), "dnminor": F.when(k2 > 1, 1).otherwise(-1), "upimd": F.when(F.col("up_now") > 1, 1).otherwise(0), "dnimd": F.when(F.col("down_now") > 1, 1).otherwise(0)}
-    b |= f.hold_all({n: said(x) for n, x in terms.items()} | {"close_pos": close_pos, "vol_pos": vol_pos, "position": position, **states, "j": j, "vol_mean": f.stdev(mean, 30), **{f"trend_{n}": f._full(b["m5"], n, F.regr_slope(b["m5"], b["bar"].cast("double")).over(f.back(n))) for n in (40, 10, 3)}})
+    b |= f.hold_all({n: said(x) for n, x in terms.items()} | {"close_pos": close_pos, "vol_pos": vol_pos, "position": position, **states, "j": j})
     b |= {f"{n}_1": said(F.lag(b[n]).over(f.w)) for n in ("up_bar", "down_bar", "wide", "down_close")}
     return b
 

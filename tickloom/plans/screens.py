@@ -183,14 +183,15 @@ def _(spark, d):
 
 @query("q_volume_price_sheet", vpa_sql.SHEET)
 def _(spark, d):
-    f = vpa.scanned(bars_eod(spark, d))
-    return out(f, {**vpa.sheet(f), **vpa.forces(f)}, 3)
+    steps = {n: s for n, s in vpa.STEPS.items() if n not in ("mean_spread", "mean_result")}
+    f = vpa.scanned(bars_eod(spark, d), steps, **vpa.FORCE_STEPS)
+    return out(f, {**vpa.sheet(f), **{n: F.col(n) for n in vpa.FORCE_STEPS}}, 3)
 
 
 @query("q_classes", vpa_sql.CLASS_SQL)
 def _(spark, d):
-    f = vpa.scanned(bars_eod(spark, d))
-    return out(f, vpa.texts(vpa.base(f)))
+    f = vpa.scanned(bars_eod(spark, d).drop("open"), vpa.CLASS_STEPS)
+    return out(f, vpa.texts(vpa.class_terms()))
 
 
 _AHEAD = f"OVER ({SPEC} ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)"
