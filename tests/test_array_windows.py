@@ -84,6 +84,12 @@ def test_points_of_a_sweep_share_windows(spark, some_bars):
     assert len(rows) == 9 and {r.trades for r in rows} == {1}
 
 
+def test_volume_price_sheet_needs_few_windows(spark):
+    """Means, extremes and slopes come from the scan; what is left to windows are lags."""
+    text = plan(__spark_entry__.queries()["q_volume_price_sheet"](spark, SMALL))
+    assert not any(f in text for f in ("avg(", "regr_slope", "stddev_pop", "collect_list"))
+
+
 def test_classes_scan_what_they_read(spark):
     text = plan(__spark_entry__.queries()["q_classes"](spark, SMALL))
     assert "Window" not in text and "up_long" not in text
