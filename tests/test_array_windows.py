@@ -93,3 +93,11 @@ def test_volume_price_sheet_needs_few_windows(spark):
 def test_classes_scan_what_they_read(spark):
     text = plan(__spark_entry__.queries()["q_classes"](spark, SMALL))
     assert "Window" not in text and "up_long" not in text
+
+
+def test_small_splits_share_a_task():
+    from tickloom.sources import barsource
+
+    assert barsource.split_for(17 << 20, 1 << 16, 16) == -(-(17 << 20) // 16)
+    assert barsource.split_for(1 << 40, 1 << 16, 16) == barsource.SPLIT_BYTES and barsource.split_for(1 << 10, 1 << 16, 16) == 1 << 16
+    assert barsource.split_for(1 << 30, 1 << 16, 0) == 1 << 16

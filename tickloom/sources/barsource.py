@@ -62,6 +62,11 @@ def dealt(ranges: list[tuple[str, int, int]], split_bytes: int) -> list[Ranges]:
     return out
 
 
+def split_for(total: int, split_bytes: int, tasks: int) -> int:
+    """Bytes of a partition: ``split_bytes``, or as many more, up to ``SPLIT_BYTES``, as leave ``tasks`` partitions; a task costs more than small pieces do."""
+    return max(split_bytes, min(SPLIT_BYTES, -(-total // tasks))) if tasks else split_bytes
+
+
 def records(path: str, partition: Ranges) -> Iterator[pa.RecordBatch]:
     files, _ = store(path)
     for name, first, n in partition.pieces:
@@ -75,10 +80,11 @@ def records(path: str, partition: Ranges) -> Iterator[pa.RecordBatch]:
 
 class BarReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path, self.suffix, self.split = options["path"], options.get("suffix", "dat"), int(options.get("splitbytes", SPLIT_BYTES))
+        self.path, self.suffix, self.split, self.tasks = options["path"], options.get("suffix", "dat"), int(options.get("splitbytes", SPLIT_BYTES)), int(options.get("tasks", 0))
 
     def partitions(self) -> list[Ranges]:
-        return dealt([(p, 0, n) for p, n in sorted(sizes(self.path, self.suffix).items())], self.split) or [Ranges([])]
+        found = sorted(sizes(self.path, self.suffix).items())
+        return dealt([(p, 0, n) for p, n in found], split_for(sum(n for _, n in found) * RECORD.itemsize, self.split, self.tasks)) or [Ranges([])]
 
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         yield from records(self.path, partition)
@@ -140,9 +146,11 @@ class BarWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[Written | None]) -> None:
         files, root = store(self.path)
-        for name in (f for m in messages if m for f in m.files):
-            kind, file = name.split("/")[-2:]
+        written = [f for m in messages if m for f in m.files]
+        for kind in {name.split("/")[-2] for name in written}:
             files.create_dir(f"{root}/{kind}", recursive=True)
+        for name in written:
+            kind, file = name.split("/")[-2:]
             files.move(name, f"{root}/{kind}/{file}")
         self.abort(messages)
 
@@ -173,7 +181,7 @@ class BarFiles(DataSource):
 def read_bars(spark: SparkSession, path: str, since: str | None = None, suffix: str = "dat", intraday: bool = False, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """As ``barfiles.read_bar_files``, from record ranges in the place of whole files."""
     spark.dataSource.register(BarFiles)
-    rows = spark.read.format("barfiles").option("suffix", suffix).option("splitbytes", split_bytes).load(path)
+    rows = spark.read.format("barfiles").option("suffix", suffix).option("splitbytes", split_bytes).option("tasks", 4 * spark.sparkContext.defaultParallelism).load(path)
     return bars_of_records(rows, since, suffix, intraday)
 
 
