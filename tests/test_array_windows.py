@@ -72,6 +72,12 @@ def test_far_from_average(spark, some_bars):
     same(some_bars, setups.spaced(f, made, 4), setups.far_steps(5, 1, 2, 3, 10, 4))
 
 
+def test_rsi_channel_sorts_slim_rows(spark):
+    """One sort for the scan, of the ticker, time and close alone, and no windows after it."""
+    text = plan(__spark_entry__.queries()["i_rsi_channel"](spark, SMALL))
+    assert "Window" not in text and "high" not in text.split("FlatMapGroupsInArrow")[1] and "volume" not in text.split("FlatMapGroupsInArrow")[1]
+
+
 def test_points_of_a_sweep_share_windows(spark, some_bars):
     """Equal windows of a chunk's points are made once."""
     from tickloom.operators import parameters as pm

@@ -7,6 +7,7 @@ when later bars come.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,17 +74,21 @@ def rsi_marks(b: k.Bars, n: int, pct: float):
     return marks, sw.segment_lines(rsi, marks)
 
 
+def channel_of(b: k.Bars, n: int, pct: float, width: float):
+    rsi, lines = b.once(rsi_of, n), b.once(rsi_marks, n, pct)[1]
+    first, level, slope, error = k.carried_on(lines, ~np.isnan(lines[:, 0])).T
+    middle = level + slope * (np.arange(b.n) - first)
+    top, low = middle + width * error, middle - width * error
+    up, down = k.cross(rsi, top), k.cross(low, rsi)
+    return top, low, up, down, k.exrem(up, down), k.exrem(down, up)
+
+
 def rsi_channel(bars: DataFrame, pct: float = 35, n: int = 14, width: float = 2.0) -> Frame:
     """RSI, the line through its values between the last two swings carried on, the channel of ``width`` standard errors, and crossings out of it."""
-    names = ("first", "level", "slope", "error")
-    steps = {"rsi": lambda b: b.once(rsi_of, n)} | {x: (lambda b, i=i: b.once(rsi_marks, n, pct)[1][:, i]) for i, x in enumerate(names)}
-    f = Frame(scan(bars, steps))
-    bar = f.hold(f.bar())
-    held = f.hold(F.last(F.when(F.col("first").isNotNull(), F.struct(*names)), ignorenulls=True).over(f.so_far))
-    middle = held["level"] + held["slope"] * (bar - held["first"])
-    top, low = f.hold(middle + width * held["error"]), f.hold(middle - width * held["error"])
-    up, down = f.hold(f.cross("rsi", top)), f.hold(f.cross(low, "rsi"))
-    return f.add(channel_top=top, channel_low=low, buy_channel=up, sell_channel=down, buy=f.exrem(up, down), sell=f.exrem(down, up))
+    names = ("channel_top", "channel_low", "buy_channel", "sell_channel", "buy", "sell")
+    steps = {"rsi": lambda b: b.once(rsi_of, n)} | {x: (lambda b, i=i: b.once(channel_of, n, pct, width)[i]) for i, x in enumerate(names)}
+    f = Frame(scan(bars.select("ticker", "ts", "close"), steps, keep=("ticker", "ts")))  # a task's sorts hold only what the scan reads
+    return f.add(**{x: F.col(x) == 1 for x in names[2:]})
 
 
 def major_levels(bars: DataFrame, n: int = 2, kept: int = 6) -> DataFrame:
