@@ -44,6 +44,14 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the files of a settled ``df`` that nothing will read again; a cluster's blocks make even small ones count."""
+    file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, lengthened until no column of ``df`` has that name in any letter case."""
     taken = {c.lower() for c in df.columns}

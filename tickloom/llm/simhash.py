@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from tickloom.llm.common import free_name, settle
+from tickloom.llm.common import forget, free_name, release, settle
 
 BITS, DISTANCE, SEGMENTS, BUCKET = 64, 2, 16, 128
 SHINGLE, SEED = 3, 42
@@ -181,12 +181,15 @@ def components(links: DataFrame) -> DataFrame:
         if now == seen:
             return links.select(F.col("a").alias("node"), F.col("b").alias("root")).union(links.select("b", "b").distinct())
         # Partitions follow the number of links, so that a few of them are not dealt over many files again and again.
-        seen, links = now, links.coalesce(1 + now["n"] // LINKS_PER_PARTITION)
+        seen, before, links = now, links, links.coalesce(1 + now["n"] // LINKS_PER_PARTITION)
         least = links.groupBy("a").agg(F.min("b").alias("m"))
         big = links.join(least.withColumnRenamed("a", "b"), "b", "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
         least = big.groupBy("a").agg(F.min("b").alias("m"))
         moved = big.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         links = settle(moved.union(least.select("a", F.col("m").alias("b"))).distinct())
+        del big, least, moved
+        forget(before)
+        release(links.sparkSession)  # else the rounds' shuffles pile up, each in a file for every pair of tasks
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", segments: int = SEGMENTS, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
