@@ -107,3 +107,17 @@ def test_small_splits_share_a_task():
     assert barsource.split_for(17 << 20, 1 << 16, 16) == -(-(17 << 20) // 16)
     assert barsource.split_for(1 << 40, 1 << 16, 16) == barsource.SPLIT_BYTES and barsource.split_for(1 << 10, 1 << 16, 16) == 1 << 16
     assert barsource.split_for(1 << 30, 1 << 16, 0) == 1 << 16
+
+
+def test_candles(spark, some_bars):
+    """The flags of one scan are those of the column builders, also at a ticker's first bars and on level ones."""
+    from tickloom.operators import candles
+
+    assert "Window" not in plan(__spark_entry__.queries()["k_candles"](spark, SMALL))
+    f, flags = candles.scanned_flags(some_bars)
+    g = Frame(some_bars)
+    columns = candles.vocabulary(g) | candles.single(g) | candles.simple(g)
+    assert list(flags) == list(columns)
+    got = {(r.ticker, r.ts): r.asDict() for r in f.add(**flags).select("ticker", "ts", *flags).collect()}
+    want = {(r.ticker, r.ts): r.asDict() for r in g.add(**{n: x.cast("long") for n, x in columns.items()}).select("ticker", "ts", *columns).collect()}
+    assert got == want and {n for r in want.values() for n, x in r.items() if x == 1 and n in columns} >= {"white", "black", "bull_engulfing", "double_gap_up", "doji"}

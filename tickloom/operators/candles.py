@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.functions import recur as k
 from tickloom.functions.frame import Frame
+from tickloom.operators.scan import scan
 
 div = F.try_divide
 
@@ -112,6 +116,62 @@ def simple(f: Frame) -> dict[str, Column]:
     })
 
 
+def flags(b: k.Bars) -> dict[str, np.ndarray]:
+    """``vocabulary``, ``single`` and ``simple`` as arrays; a comparison with a missing value does not hold."""
+    o, h, l, c = b.o, b.h, b.l, b.c
+    (o1, h1, l1, c1), (o2, h2, l2, c2) = ([k.ref(x, -i) for x in (o, h, l, c)] for i in (1, 2))
+    before = lambda held, i=1: np.concatenate((np.zeros(min(i, b.n), bool), held[: max(0, b.n - i)]))
+    every = lambda *parts: reduce(np.logical_and, parts)
+    white, black, known = c >= o, o > c, ~(np.isnan(o) | np.isnan(c))
+    top, foot = np.maximum(o, c), np.minimum(o, c)
+    small, large = foot >= top * (1 - SMALL_BODY), (white & (c >= o * (1 + LARGE_BODY))) | (black & (c <= o * (1 - LARGE_BODY)))
+    white1, black1, body, body1 = before(white), before(black), np.abs(o - c), np.abs(o1 - c1)
+    above = (black1 & white & (o > o1)) | (black1 & black & (c > o1)) | (white1 & white & (o > c1)) | (white1 & black & (c > c1))
+    under = (black1 & white & (c < c1)) | (black1 & black & (o < c1)) | (white1 & white & (c < o1)) | (white1 & black & (o < o1))
+    high5, low5, ma13 = k.hhv(h, 5), k.llv(l, 5), k.ma(c, 13)
+    gap_up, gap_down = l > h1, h < l1
+    high_today, high_yesterday, low_yesterday = high5 == h, high5 == h1, low5 == l1
+    doji = lambda o, h, l, c: (np.abs(c - o) <= c * SMALL_BODY) | (np.abs(o - c) <= (h - l) * 0.1)
+    words = {
+        "white": white, "black": black, "small_body": small, "large_body": large, "small_upper": h <= top * (1 + SMALL_BODY), "small_lower": l >= foot * (1 - SMALL_BODY), "large_upper": h >= top * (1 + LARGE_BODY), "large_lower": l <= foot * (1 - LARGE_BODY),
+        "medium_body": known & ~large & ~small, "identical_bodies": np.abs(body1 - body) < body * SMALL_BODY, "body_gap_up": above, "body_gap_down": under,
+        "high_today": high_today, "high_yesterday": high_yesterday, "low_today": low5 == l, "low_yesterday": low_yesterday, "doji_today": doji(o, h, l, c), "doji_yesterday": doji(o1, h1, l1, c1),
+        "gap_up": gap_up, "gap_down": gap_down, "big_gap_up": l > 1.01 * h1, "big_gap_down": h < 0.99 * l1, "huge_gap_up": l > 1.02 * h1, "huge_gap_down": h < 0.98 * l1, "double_gap_up": gap_up & before(gap_up), "double_gap_down": gap_down & before(gap_down),
+    }
+    span, up, down, up1, down1, up2, down2 = h - l, c > o, black, c1 > o1, o1 > c1, c2 > o2, o2 > c2
+    share = lambda part: part / (0.001 + h - l)
+    one = {
+        "near_doji": body <= span * 0.1, "long_black": down & (share(o - c) > 0.6), "small_black": down & (span > 3 * (o - c)), "long_white": up & (share(c - o) > 0.6), "small_white": up & (span > 3 * (c - o)),
+        "marubozu_black": every(down, h == o, c == l), "marubozu_white": every(up, h == c, o == l), "closing_marubozu_black": down & (c == l), "closing_marubozu_white": up & (c == h), "opening_marubozu_black": down & (o == h), "opening_marubozu_white": up & (o == l),
+        "hanging_man": every(span > 4 * (o - c), share(c - l) >= 0.75, share(o - l) >= 0.75), "hammer": every(span > 3 * (o - c), share(c - l) > 0.6, share(o - l) > 0.6), "inverted_hammer": every(span > 3 * (o - c), share(h - c) > 0.6, share(h - o) > 0.6), "shooting_star": every(span > 4 * (o - c), share(h - c) >= 0.75, share(h - o) >= 0.75),
+        "spinning_top_black": every(down, span > 3 * (o - c), share(h - o) < 0.4, share(c - l) < 0.4), "spinning_top_white": every(up, span > 3 * (c - o), share(h - c) < 0.4, share(o - l) < 0.4), "doji": o == c,
+    }
+    thin = lambda part, span: k.div(part, span) < 0.2
+    more = {
+        "bear_abandoned_baby": every(c1 == o1, up2, down, l1 > h2, l1 > h), "evening_doji_star": every(up2, k.div(c2 - o2, 0.001 + h2 - l2) > 0.6, c2 < o1, up1, h1 - l1 > 3 * (c1 - o1), down, o < o1), "dark_cloud": every(c1 > o1 * 1.01, down, o > h1, c > o1, (c1 + o1) / 2 > c, ma13 - k.ref(ma13, -4) > 0),
+        "bear_engulfing": every(up1, down, o >= c1, o1 >= c, o - c > c1 - o1), "three_outside_down": every(up2, down1, o1 >= c2, o2 >= c1, o1 - c1 > c2 - o2, down, c < c1), "bull_abandoned_baby": every(c1 == o1, down2, up, l2 > h1, l > h1),
+        "morning_doji_star": every(down2, k.div(o2 - c2, 0.001 + h2 - l2) > 0.6, c2 > o1, down1, h1 - l1 > 3 * (c1 - o1), up, o > o1), "bull_engulfing": every(down1, up, c >= o1, c1 >= o, c - o > o1 - c1), "three_outside_up": every(down2, up1, c1 >= o2, c2 >= o1, c1 - o1 > o2 - c2, up, c > c1),
+        "bull_harami": every(down1, up, c <= o1, c1 <= o, c - o < o1 - c1), "three_inside_up": every(down2, up1, c1 <= o2, c2 <= o1, c1 - o1 < o2 - c2, up, c > c1, o > o1), "piercing_line": every(c1 < o1, (o1 + c1) / 2 < c, o < c, o < c1, c < o1, (c - o) / (0.001 + h - l) > 0.6),
+        "bear_harami": every(up1, down, o <= c1, o1 <= c, o - c < c1 - o1), "three_inside_down": every(up2, down1, o1 <= c2, o2 <= c1, o1 - c1 < c2 - o2, down, c < c1, o < o1),
+        "three_white_soldiers": every(c > o * 1.01, c1 > o1 * 1.01, c2 > o2 * 1.01, c > c1, c1 > c2, o < c1, o > o1, o1 < c2, o1 > o2, thin(h - c, h - l), thin(h1 - c1, h1 - l1), thin(h2 - c2, h2 - l2)), "three_black_crows": every(o > c * 1.01, o1 > c1 * 1.01, o2 > c2 * 1.01, c < c1, c1 < c2, o > c1, o < o1, o1 > c2, o1 < o2, thin(c - l, h - l), thin(c1 - l1, h1 - l1), thin(c2 - l2, h2 - l2)),
+        "evening_star": every(before(large, 2), before(white, 2), before(above), before(known & ~large), black, ~small, high_today | high_yesterday), "morning_star": every(before(large, 2), before(black, 2), before(under), white, large, c > c2, low_yesterday),
+        "matching_low": every(k.llv(l, 8) == k.llv(l, 2), c1 <= o1 * 0.99, np.abs(c - c1) <= c * SMALL_BODY, o > c1, o <= h - (h - l) * 0.5),
+    }
+    return words | one | more
+
+
+#: All flags by name, and how many of them are the bits of one scanned column: fewer than a double holds exactly.
+FLAGS, BITS = tuple(flags(k.Bars(pa.table({x: [1.0] for x in ("open", "high", "low", "close")})))), 32
+
+
+def scanned_flags(bars: DataFrame) -> tuple[Frame, dict[str, Column]]:
+    """A frame of ticker and ts, and the 0 or 1 of each flag in it: a scan packs them, so neither windows nor wide rows are needed."""
+    packed = lambda b, at: sum(b.once(flags)[n] * 2.0**i for i, n in enumerate(FLAGS[at : at + BITS]))
+    steps = {f"_bits{at}": (lambda b, at=at: packed(b, at)) for at in range(0, len(FLAGS), BITS)}
+    f = Frame(scan(bars.select("ticker", "ts", "open", "high", "low", "close"), steps, keep=("ticker", "ts")))
+    return f, {n: F.shiftright(F.col(f"_bits{i - i % BITS}").cast("long"), i % BITS).bitwiseAND(F.lit(1).cast("long")) for i, n in enumerate(FLAGS)}
+
+
 #: The labels of a candle, a price move and a pair, the first that holds.
 CANDLE_LABELS = {
     "hanging_man": "Hanging Man", "shooting_star": "Shooting Star", "dark_cloud": "Dark Cloud Cover", "bear_engulfing": "Bearish Engulfing", "bear_harami": "Bearish Harami", "evening_star": "Evening Star", "hammer": "Hammer", "inverted_hammer": "Inverted Hammer", "piercing_line": "Piercing Line",

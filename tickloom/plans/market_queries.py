@@ -291,8 +291,8 @@ CANDLE_SQL = staged([*_CANDLE_STEPS, {f"p_{n}": _flag(x) for n, x in _ALL_CANDLE
 @query("k_candles", staged(_CANDLE_STEPS, KEYS | {n: _flag(x) for n, x in (_VOCABULARY | _SINGLE | _SIMPLE).items()}))
 def _(spark, d):
     """The candle vocabulary: bodies, shadows, gaps and context, patterns of one bar, simple patterns of two and three."""
-    f = framed(spark, d)
-    return out(f, candles.vocabulary(f) | candles.single(f) | candles.simple(f))
+    f, flags = candles.scanned_flags(bars_eod(spark, d))
+    return out(f, flags)
 
 
 @query("k_named_candles", CANDLE_SQL)
