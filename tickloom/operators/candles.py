@@ -116,11 +116,11 @@ def simple(f: Frame) -> dict[str, Column]:
     })
 
 
-def flags(b: k.Bars) -> dict[str, np.ndarray]:
+def flags(bars: k.Bars) -> dict[str, np.ndarray]:
     """``vocabulary``, ``single`` and ``simple`` as arrays; a comparison with a missing value does not hold."""
-    o, h, l, c = b.o, b.h, b.l, b.c
+    o, h, l, c = bars.o, bars.h, bars.l, bars.c
     (o1, h1, l1, c1), (o2, h2, l2, c2) = ([k.ref(x, -i) for x in (o, h, l, c)] for i in (1, 2))
-    before = lambda held, i=1: np.concatenate((np.zeros(min(i, b.n), bool), held[: max(0, b.n - i)]))
+    before = lambda held, i=1: np.concatenate((np.zeros(min(i, bars.n), bool), held[: max(0, bars.n - i)]))
     every = lambda *parts: reduce(np.logical_and, parts)
     white, black, known = c >= o, o > c, ~(np.isnan(o) | np.isnan(c))
     top, foot = np.maximum(o, c), np.minimum(o, c)
