@@ -65,3 +65,30 @@ def test_a_stream_takes_what_files_gain(spark, tmp_path):
     file_of(folder / "a.dat", [20240102, 20240103], [4, 5])
     file_of(folder / "b.dat", [20240101], 9)
     assert run() == {("A", 1): 1, ("A", 2): 4, ("A", 3): 5, ("B", 1): 9}
+
+
+def test_files_that_are_alone_are_read_whole(spark, tmp_path):
+    """Their bars meet no others, so they are not shuffled; files of one ticker, in any letter case or folder, are, and large ones."""
+    for folder, name, days in (("a/stock", "abc", [20240103, 20240101, 20240103, 20240231]), ("a/stock", "x", [20240101]), ("b/stock", "X ", [20240101, 20240102]), ("a/fund", "x", [20240105]), ("a/fund", "é", [20240101]), ("a/fund", "long", list(range(20240101, 20240132)))):
+        (tmp_path / folder).mkdir(parents=True, exist_ok=True)
+        file_of(tmp_path / folder / f"{name}.dat", days, len(days))
+    options = {"path": str(tmp_path), "splitbytes": 8 * barfiles.RECORD.itemsize}
+    of = {files: {"/".join(p.split("/")[-3:]) for part in barsource.BarReader(options | {"files": files}).partitions() for p, _, _ in part.pieces} for files in ("alone", "shared", "all")}
+    assert of["alone"] == {"a/stock/abc.dat", "a/fund/x.dat"} and of["alone"] | of["shared"] == of["all"] and not of["alone"] & of["shared"]
+    reader = barsource.BarReader(options | {"files": "alone"})
+    kept = {(r["path"], r["record"], r["d"]) for part in reader.partitions() for b in reader.read(part) for r in b.to_pylist()}
+    assert kept == {("fund/x.dat", 0, 20240105), ("stock/abc.dat", 1, 20240101), ("stock/abc.dat", 2, 20240103), ("stock/abc.dat", 3, 20240231)}
+    got = barsource.read_bars(spark, str(tmp_path), split_bytes=options["splitbytes"])
+    assert got.count() == 2 + 2 + 1 + 1 + 31 and got.groupBy("asset_class", "ticker", "ts").count().where("count > 1").count() == 0
+
+
+def test_times_are_those_of_the_session(spark, tmp_path):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Ho_Chi_Minh")
+    try:
+        bars = spark.sql("SELECT t AS ticker, timestamp'1999-12-31 23:59:58' + make_dt_interval(0, 0, 0, id) AS ts, 1D AS open, 2D AS high, CAST(NULL AS DOUBLE) AS low, 1D AS close, 5 AS volume FROM range(4), (SELECT explode(array('a', 'b')) AS t)")
+        barsource.write_bars(bars, str(tmp_path / "out"))
+        rows = np.fromfile(tmp_path / "out" / "stock" / "b.dat", barfiles.RECORD)
+        assert rows["d"].tolist() == [19991231] * 2 + [20000101] * 2 and rows["t"].tolist() == [235958, 235959, 0, 1] and np.isnan(rows["low"]).all()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

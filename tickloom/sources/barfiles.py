@@ -48,12 +48,12 @@ def bars_of_records(rows: DataFrame, since: str | None, suffix: str, intraday: b
         rows = rows.where(F.col("date") >= F.lit(since).cast("date"))
     money = lambda c: F.round(c, 2).alias(c)
     out = rows.select(
-        F.upper(F.trim(ticker_of("path", suffix))).alias("ticker"),
+        F.upper(F.trim(ticker_of(F.substring_index("path", "/", -1), suffix))).alias("ticker"),
         (F.col("date").cast("timestamp") + clock if intraday else F.col("date")).alias("ts"),
         *map(money, ("open", "high", "low", "close")),
         F.floor("volume").cast("long").alias("volume"),
         "open_int",
-        F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("asset_class"),
+        F.substring_index(F.substring_index("path", "/", -2), "/", 1).alias("asset_class"),
         "record",
     )
     return keep_last(out, ["asset_class", "ticker", "ts"], ["record"]).drop("record") if last else out

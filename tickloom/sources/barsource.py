@@ -1,7 +1,10 @@
 """Binary bar files as a Spark data source: ``spark.read.format("barfiles")``, ``readStream`` and ``write``.
 
 Files are cut into ranges of whole records and small files are put together, so
-partitions are of about one size whatever the files are.  A stream takes the
+partitions are of about one size whatever the files are.  A daily file that no
+other one shares its ticker with, and that is no larger than a partition, is read
+whole by one task, which keeps the last record of each day itself; only bars of
+other files have to meet by ticker and time.  A stream takes the
 records that files have gained since the last batch.  Files are reached through
 pyarrow, which knows local, HDFS, S3 and GCS addresses; for other stores
 ``barfiles.read_bar_files`` reads whole files through Spark.
@@ -10,11 +13,13 @@ pyarrow, which knows local, HDFS, S3 and GCS addresses; for other stores
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +67,29 @@ def dealt(ranges: list[tuple[str, int, int]], split_bytes: int) -> list[Ranges]:
     return out
 
 
+def alone(found: dict[str, int], most: int) -> list[tuple[str, int]]:
+    """Files (path, records) of at most ``most`` records whose ticker and asset class no other one can have.
+
+    Tickers are upper-cased and trimmed later, not by Python, so names that are
+    not plain ASCII are left out.
+    """
+    owner = {p: (p.split("/")[-2], p.rsplit("/", 1)[-1].rsplit(".", 1)[0].strip().upper()) for p in found}
+    held = Counter(owner.values())
+    return [(p, n) for p, n in found.items() if n <= most and p.rsplit("/", 1)[-1].isascii() and held[owner[p]] == 1]
+
+
+def dealt_whole(files: list[tuple[str, int]], split_bytes: int) -> list[Ranges]:
+    """Whole files in partitions of about ``split_bytes``."""
+    most, out, room = max(1, split_bytes // RECORD.itemsize), [], 0
+    for path, n in files:
+        if room <= 0:
+            out.append(Ranges([]))
+            room = most
+        out[-1].pieces.append((path, 0, n))
+        room -= n
+    return out
+
+
 def split_for(total: int, split_bytes: int, tasks: int) -> int:
     """Bytes of a partition: ``split_bytes``, or as many more, up to ``SPLIT_BYTES``, as leave ``tasks`` partitions; a task costs more than small pieces do."""
     return max(split_bytes, min(SPLIT_BYTES, -(-total // tasks))) if tasks else split_bytes
@@ -78,16 +106,54 @@ def records(path: str, partition: Ranges) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays(columns, ["path", "record", *RECORD.names])
 
 
+def last_of_days(path: str, partition: Ranges) -> Iterator[pa.RecordBatch]:
+    """Of each whole file and day the last record, many files in a batch; ``path`` is cut to the file and the folder above it."""
+    files, _ = store(path)
+    names, parts, held = [], [], 0
+
+    def batch() -> pa.RecordBatch:
+        rows = np.concatenate([r for r, _ in parts])
+        of = pa.array(names).take(pa.array(np.repeat(np.arange(len(parts)), [len(r) for r, _ in parts])))
+        return pa.RecordBatch.from_arrays([of, pa.array(np.concatenate([at for _, at in parts])), *(pa.array(rows[c].astype(np.int32 if c in "dt" else np.float64)) for c in RECORD.names)], ["path", "record", *RECORD.names])
+
+    for name, _, n in partition.pieces:
+        with files.open_input_file(name) as f:
+            rows = np.frombuffer(f.read_at(n * RECORD.itemsize, 0), RECORD)
+        if len(rows) > 1 and not (rows["d"][1:] > rows["d"][:-1]).all():
+            at = np.sort(len(rows) - 1 - np.unique(rows["d"][::-1], return_index=True)[1])
+            rows = rows[at]
+        else:
+            at = np.arange(len(rows))
+        names.append("/".join(name.split("/")[-2:]))
+        parts.append((rows, at))
+        held += len(rows)
+        if held >= RECORDS_AT_ONCE:
+            yield batch()
+            names, parts, held = [], [], 0
+    if held:
+        yield batch()
+
+
 class BarReader(DataSourceReader):
+    """With the option ``files`` as "alone" the last records of the days of each file that is alone, as "shared" all records of the other files."""
+
     def __init__(self, options: dict):
         self.path, self.suffix, self.split, self.tasks = options["path"], options.get("suffix", "dat"), int(options.get("splitbytes", SPLIT_BYTES)), int(options.get("tasks", 0))
+        self.files = options.get("files", "all")
 
     def partitions(self) -> list[Ranges]:
-        found = sorted(sizes(self.path, self.suffix).items())
-        return dealt([(p, 0, n) for p, n in found], split_for(sum(n for _, n in found) * RECORD.itemsize, self.split, self.tasks)) or [Ranges([])]
+        found = dict(sorted(sizes(self.path, self.suffix).items()))
+        split = split_for(sum(found.values()) * RECORD.itemsize, self.split, self.tasks)
+        if self.files != "all":
+            single = alone(found, max(1, split // RECORD.itemsize))
+            if self.files == "alone":
+                return dealt_whole(single, split) or [Ranges([])]
+            apart = {p for p, _ in single}
+            found = {p: n for p, n in found.items() if p not in apart}
+        return dealt([(p, 0, n) for p, n in found.items()], split) or [Ranges([])]
 
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
-        yield from records(self.path, partition)
+        yield from (last_of_days if self.files == "alone" else records)(self.path, partition)
 
 
 class BarStreamReader(DataSourceStreamReader):
@@ -122,28 +188,46 @@ class BarWriter(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         files, root = store(self.path)
-        written, open_file, at = [], None, None
+        written, open_file, at, made = [], None, None, set()
         staged = f"{root}/{self.staged}/{uuid.uuid4().hex}"  # of this attempt: a repeated task shares no file with the first
         try:
             for batch in iterator:
-                for (kind, ticker), rows in batch.to_pandas().groupby(["asset_class", "ticker"], sort=False):
+                kinds, tickers, out = *(batch.column(c).dictionary_encode() for c in ("asset_class", "ticker")), self.coded(batch)
+                codes = [c.indices.fill_null(-1).to_numpy(zero_copy_only=False) for c in (kinds, tickers)]
+                begins = np.flatnonzero(np.r_[len(out) > 0, (codes[0][1:] != codes[0][:-1]) | (codes[1][1:] != codes[1][:-1])])
+                for first, end in zip(begins.tolist(), [*begins[1:].tolist(), len(out)]):
+                    kind, ticker = kinds[first].as_py(), tickers[first].as_py()
+                    if kind is None or ticker is None:
+                        continue
                     if at != (kind, ticker):
                         if open_file:
                             open_file.close()
                         at, name = (kind, ticker), f"{kind}/{ticker}.{self.suffix}"
-                        files.create_dir(f"{staged}/{kind}", recursive=True)
+                        if kind not in made:
+                            files.create_dir(f"{staged}/{kind}", recursive=True)
+                            made.add(kind)
                         open_file = files.open_output_stream(f"{staged}/{name}")
                         written.append(f"{staged}/{name}")
-                    out, ts = np.zeros(len(rows), RECORD), rows["ts"].dt
-                    out["d"], out["t"] = ts.year * 10000 + ts.month * 100 + ts.day, ts.hour * 10000 + ts.minute * 100 + ts.second
-                    for c in RECORD.names[2:]:
-                        out[c] = rows[c]
-                    open_file.write(out.tobytes())
+                    open_file.write(out[first:end].tobytes())
         finally:
             if open_file:
                 open_file.close()
         return Written(written)
 
+    @staticmethod
+    def coded(batch: pa.RecordBatch) -> np.ndarray:
+        """The rows of a batch as records; rows without a time have day 0, which is no date."""
+        out, ts = np.zeros(batch.num_rows, RECORD), batch.column("ts")
+        ts = (pc.local_timestamp(ts) if ts.type.tz else ts).cast(pa.timestamp("us")).to_numpy(zero_copy_only=False)
+        day, month = ts.astype("datetime64[D]"), ts.astype("datetime64[M]")
+        months, seconds = month.astype(np.int64) + 1970 * 12, (ts - day).astype("timedelta64[s]").astype(np.int64)
+        known = ~np.isnat(ts)
+        out["d"] = np.where(known, months // 12 * 10000 + (months % 12 + 1) * 100 + (day - month.astype("datetime64[D]")).astype(np.int64) + 1, 0)
+        out["t"] = np.where(known, seconds // 3600 * 10000 + seconds // 60 % 60 * 100 + seconds % 60, 0)
+        for c in RECORD.names[2:]:
+            out[c] = batch.column(c).to_numpy(zero_copy_only=False)
+        return out
+
     def commit(self, messages: list[Written | None]) -> None:
         files, root = store(self.path)
         written = [f for m in messages if m for f in m.files]
@@ -181,8 +265,13 @@ class BarFiles(DataSource):
 def read_bars(spark: SparkSession, path: str, since: str | None = None, suffix: str = "dat", intraday: bool = False, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """As ``barfiles.read_bar_files``, from record ranges in the place of whole files."""
     spark.dataSource.register(BarFiles)
-    rows = spark.read.format("barfiles").option("suffix", suffix).option("splitbytes", split_bytes).option("tasks", 4 * spark.sparkContext.defaultParallelism).load(path)
-    return bars_of_records(rows, since, suffix, intraday)
+    def rows(files: str) -> DataFrame:
+        return spark.read.format("barfiles").option("suffix", suffix).option("splitbytes", split_bytes).option("tasks", 4 * spark.sparkContext.defaultParallelism).option("files", files).load(path)
+
+    if intraday:
+        return bars_of_records(rows("all"), since, suffix, intraday)
+    single = bars_of_records(rows("alone"), since, suffix, intraday, last=False).drop("record")
+    return single.unionByName(bars_of_records(rows("shared"), since, suffix, intraday))
 
 
 def bar_stream(spark: SparkSession, path: str, suffix: str = "dat", intraday: bool = False) -> DataFrame:
